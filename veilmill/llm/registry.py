@@ -1,10 +1,11 @@
-"""One query per corpus operator, over whole tables."""
+"""One query per corpus operator, over whole tables, and SQL for those that it can express."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import quality_rules
+from . import mixing, pu_classifier, quality_rules, topk, warc
 from .common import load
 
 
@@ -12,5 +13,51 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
 
 
-QUERIES = {"op2_quality_rules": op2_quality_rules}
-ORACLES: dict[str, str] = {}
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(load(spark, sf_dir, "documents"))
+
+
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(load(spark, sf_dir, "pages")).drop("url")
+
+
+def op8_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(load(spark, sf_dir, "embeddings"), F.expr("vec_id % 20 = 0"), 20)
+
+
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pu_classifier.classify(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
+
+
+QUERIES = {
+    "op2_quality_rules": op2_quality_rules,
+    "op3_mixing": op3_mixing,
+    "op6_warc": op6_warc,
+    "op8_topk_search": op8_topk_search,
+    "op9_quality_classifier": op9_quality_classifier,
+}
+
+ORACLES = {
+    "op6_warc": """
+        WITH p AS (
+            SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha256(coalesce(html, '')) AS d FROM pages
+        ), f AS (
+            SELECT *, n >= 100 AND min(page_id) OVER (PARTITION BY d) < page_id AS again, min(page_id) OVER (PARTITION BY d) AS first FROM p
+        )
+        SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, d AS payload_digest,
+            CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type,
+            CASE WHEN again THEN first END AS refers_to
+        FROM f
+    """,
+    "op8_topk_search": """
+        WITH v AS (
+            SELECT vec_id, list_transform(embedding, lambda c: floor(64 * CAST(c AS DOUBLE))) AS x FROM embeddings
+            WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0
+        ), s AS (
+            SELECT q.vec_id AS query_id, v.vec_id AS vec_id, CAST(list_dot_product(q.x, v.x) AS BIGINT) AS score
+            FROM v AS q JOIN v ON q.vec_id % 20 = 0 AND q.vec_id <> v.vec_id
+        )
+        SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+        FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 20
+    """,
+}
