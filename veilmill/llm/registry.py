@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, pu_classifier, quality_rules, topk, warc
+from . import mixing, ngram_join, pu_classifier, quality_rules, topk, warc
 from .common import load
 
 
@@ -21,6 +21,10 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(load(spark, sf_dir, "pages")).drop("url")
 
 
+def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_duplicates(load(spark, sf_dir, "documents"))
+
+
 def op8_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(load(spark, sf_dir, "embeddings"), F.expr("vec_id % 20 = 0"), 20)
 
@@ -33,6 +37,7 @@ QUERIES = {
     "op2_quality_rules": op2_quality_rules,
     "op3_mixing": op3_mixing,
     "op6_warc": op6_warc,
+    "op7_ngram_join": op7_ngram_join,
     "op8_topk_search": op8_topk_search,
     "op9_quality_classifier": op9_quality_classifier,
 }
