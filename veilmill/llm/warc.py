@@ -18,6 +18,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyarrow import fs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,8 +26,12 @@ from .common import new_folder, written
 
 #: Payloads from this size on are written once and then referred to.
 REVISIT_BYTES = 100
-#: Bytes read or inflated at a time; records per archive on average.
-CHUNK, FILE_RECORDS = 1 << 16, 4_000
+#: Bytes read or inflated at a time; most records in an archive.
+CHUNK, FILE_RECORDS = 1 << 16, 1_000
+#: Revisits that may be broadcast, of about 100 bytes each; more are joined by shuffling.
+BROADCAST_ROWS = 200_000
+#: Most tasks for the files' sake; each takes several files beyond that.
+MOST_TASKS = 4_096
 INDEX = "file string, offset bigint, length bigint, record_id string, record_type string"
 GZIP = 16 + zlib.MAX_WBITS
 
@@ -98,36 +103,37 @@ def inflated(stream, chunk: int = CHUNK) -> Iterator[bytes]:
 
 
 def write(rows: DataFrame, folder: str) -> DataFrame:
-    """Archives under folder, one monolithic gzip stream each; returns file, n_records.
+    """Archives under folder, one monolithic gzip stream of up to FILE_RECORDS records each; returns file, n_records.
 
-    rows: file_no, page_id, url, payload, digest, refers_to. Rows of a file_no go into one file, by page_id.
+    rows: page_id, url, payload, digest, refers_to. Each partition writes files of its own, named by its number.
     """
 
     def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        at, out, engine, n, temporary, where = None, None, None, 0, "", None
+        number, n, name, out = 0, 0, "", None
 
         def close() -> pd.DataFrame:
             out.write(engine.flush())
             out.close()
             where.move(temporary, path)
-            return pd.DataFrame({"file": [f"{folder}/{at:08d}.warc.gz"], "n_records": [n]})
+            return pd.DataFrame({"file": [name], "n_records": [n]})
 
         for batch in batches:
             for r in batch.itertuples(index=False):
-                if r.file_no != at:
-                    if out is not None:
-                        yield close()
-                    at, n = r.file_no, 0
-                    where, path = _open(f"{folder}/{at:08d}.warc.gz")
+                if out is None:
+                    name, n = f"{folder}/{TaskContext.get().partitionId():06d}-{number:06d}.warc.gz", 0
+                    number += 1
+                    where, path = _open(name)
                     temporary = f"{path}.{uuid.uuid4().hex}"
                     out, engine = where.open_output_stream(temporary, compression=None), zlib.compressobj(6, zlib.DEFLATED, GZIP)
                 out.write(engine.compress(record_bytes(r.page_id, r.url, bytes(r.payload), r.digest, None if pd.isna(r.refers_to) else int(r.refers_to))))
                 n += 1
+                if n == FILE_RECORDS:
+                    yield close()
+                    out = None
         if out is not None:
             yield close()
 
-    dealt = rows.repartition("file_no").sortWithinPartitions("file_no", "page_id")
-    return dealt.mapInPandas(task, "file string, n_records bigint")
+    return rows.mapInPandas(task, "file string, n_records bigint")
 
 
 def normalise(files: DataFrame) -> DataFrame:
@@ -158,7 +164,7 @@ def normalise(files: DataFrame) -> DataFrame:
                 if rows:
                     yield pd.DataFrame(rows)
 
-    return files.select("file").repartition("file").mapInPandas(task, INDEX)
+    return files.select("file").repartition(min(MOST_TASKS, max(1, files.count())), "file").mapInPandas(task, INDEX)
 
 
 def read(index: DataFrame) -> DataFrame:
@@ -185,22 +191,33 @@ def read(index: DataFrame) -> DataFrame:
             frame = pd.DataFrame(out, columns=["page_id", "url", "record_type", "refers_to", "payload_digest", "payload_bytes", "payload"])
             yield frame.astype({"refers_to": "Int64"})
 
-    return index.select("file", "offset", "length").mapInPandas(task, "page_id bigint, url string, record_type string, refers_to bigint, payload_digest string, payload_bytes bigint, payload binary")
+    tasks = min(MOST_TASKS, max(1, index.select("file").distinct().count()))
+    return index.select("file", "offset", "length").repartition(tasks, "file").sortWithinPartitions("file", "offset").mapInPandas(task, "page_id bigint, url string, record_type string, refers_to bigint, payload_digest string, payload_bytes bigint, payload binary")
 
 
-def plan_records(pages: DataFrame) -> DataFrame:
-    """file_no, page_id, url, payload, digest, refers_to of each row of pages.
-
-    The first of equal payloads, by page_id, is found per digest with partial sums; a digest that many pages share
-    is one row on the right of the join, and its pages on the left may be split at run time.
-    """
+def _payloads(pages: DataFrame) -> DataFrame:
     payload = F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary")
     rows = pages.where("page_id is not null").select("page_id", F.coalesce(F.col("url").cast("string"), F.lit("")).alias("url"), payload.alias("payload"))
-    rows = rows.withColumn("digest", F.sha2("payload", 256))
-    large = F.length("payload") >= REVISIT_BYTES
-    first = rows.where(large).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").select(F.col("digest").alias("_digest"), "first")
-    joined = rows.join(first, (F.col("digest") == F.col("_digest")) & large, "left")
-    return joined.select("page_id", "url", "payload", "digest", F.when(F.col("first") < F.col("page_id"), F.col("first")).alias("refers_to"))
+    return rows.withColumn("digest", F.sha2("payload", 256))
+
+
+def revisits(pages: DataFrame) -> DataFrame:
+    """page_id, digest, refers_to of the pages whose payload a page with a smaller page_id has too.
+
+    Works on digests without payloads. The first of a digest is found from partial minima; a digest that many pages
+    share is one row on the right of the join, and its pages on the left may be split at run time.
+    """
+    large = _payloads(pages).where(F.length("payload") >= REVISIT_BYTES).select("page_id", F.unhex("digest").alias("key"))
+    first = large.groupBy("key").agg(F.min("page_id").alias("refers_to"), F.max("page_id").alias("last")).where("refers_to < last").select("key", "refers_to")
+    return large.join(first, "key").where("refers_to < page_id").select("page_id", F.lower(F.hex("key")).alias("digest"), "refers_to").distinct()
+
+
+def plan_records(pages: DataFrame) -> DataFrame:
+    """page_id, url, payload, digest, refers_to of each row of pages. Payloads move only if there are too many revisits to broadcast."""
+    again = written(revisits(pages), "warc-revisits")
+    if again.count() <= BROADCAST_ROWS:
+        again = F.broadcast(again)
+    return _payloads(pages).join(again, ["page_id", "digest"], "left").select("page_id", "url", "payload", "digest", "refers_to")
 
 
 def round_trip(pages: DataFrame) -> DataFrame:
@@ -211,9 +228,6 @@ def round_trip(pages: DataFrame) -> DataFrame:
     responses if the page_id is the payload's smallest. Empty pages give no files and no rows. Further columns are ignored.
     """
     folder = new_folder(pages.sparkSession, "warc")
-    rows = plan_records(pages)
-    files = max(1, pages.count() // FILE_RECORDS)
-    rows = rows.withColumn("file_no", F.pmod(F.xxhash64("page_id"), F.lit(files)))
-    archives = written(write(rows, folder), "warc-files")
+    archives = written(write(plan_records(pages), folder), "warc-files")
     index = written(normalise(archives), "warc-index")
     return read(index).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url")
