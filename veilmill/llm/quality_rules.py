@@ -174,10 +174,12 @@ def _verdict(stats: DataFrame, rules: list[Rule]) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, **params) -> DataFrame:
-    """The rows of docs, all their columns, that judge() keeps. Judged in the row, so texts are never shuffled."""
-    docs = docs.select("*", F.col("doc_id").alias("_q_id"), F.col("text").alias("_q_text"))
-    stats = written(with_features(with_stats(docs.select("doc_id", "text"), ("doc_id",))), "quality-stats")
-    rules = learn(stats, labels, **params)
-    names = [c for c in docs.columns if not c.startswith("_q_")]
-    rows = docs.select(F.struct(*names).alias("_doc"), F.col("text"))
-    return _verdict(with_features(with_stats(rows, ("_doc",))), rules).where("kept").select("_doc.*")
+    """The rows of docs, all their columns, that judge() keeps.
+
+    The statistics are written beside the rows, so each text is read once and never shuffled, and the verdict is a
+    filter over written columns.
+    """
+    rows = docs.select(F.struct(*docs.columns).alias("doc"), "doc_id", "text")
+    stats = written(with_features(with_stats(rows, ("doc", "doc_id"))), "quality-rows")
+    rules = learn(stats.drop("doc"), labels, **params)
+    return _verdict(stats, rules).where("kept").select("doc.*")

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, ngram_join, pu_classifier, quality_rules, secrets, topk, warc
+from . import line_dedup, mixing, ngram_join, pu_classifier, quality_rules, secrets, spm, topk, warc
 from .common import load
 
+#: A public SentencePiece model; read where the driver runs, and never copied.
+PIECE_MODEL = os.path.join("/opt/tokenizers", "piece_bpe_32k.model")
+
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
@@ -17,6 +22,10 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(load(spark, sf_dir, "documents"))
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup(load(spark, sf_dir, "documents"))
+
+
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(load(spark, sf_dir, "documents"))
 
@@ -37,14 +46,20 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pu_classifier.classify(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
 
 
+def op10_sentencepiece(spark: SparkSession, sf_dir: str, model: str = PIECE_MODEL) -> DataFrame:
+    return spm.encode_decode(load(spark, sf_dir, "documents"), spm.Pieces.load(model))
+
+
 QUERIES = {
     "op2_quality_rules": op2_quality_rules,
     "op3_mixing": op3_mixing,
+    "op4_line_dedup": op4_line_dedup,
     "op5_secrets": op5_secrets,
     "op6_warc": op6_warc,
     "op7_ngram_join": op7_ngram_join,
     "op8_topk_search": op8_topk_search,
     "op9_quality_classifier": op9_quality_classifier,
+    "op10_sentencepiece": op10_sentencepiece,
 }
 
 ORACLES = {
