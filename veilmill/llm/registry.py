@@ -7,13 +7,17 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, mixing, ngram_join, pu_classifier, quality_rules, secrets, spm, topk, warc
+from . import line_dedup, mixing, ngram_join, pu_classifier, quality_rules, secrets, spm, suffix_dedup, topk, warc
 from .common import load
 
 #: A public SentencePiece model; read where the driver runs, and never copied.
 PIECE_MODEL = os.path.join("/opt/tokenizers", "piece_bpe_32k.model")
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.without_repeats(load(spark, sf_dir, "documents")).drop("removed")
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
 
@@ -51,6 +55,7 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str, model: str = PIECE_MODE
 
 
 QUERIES = {
+    "op1_suffix_dedup": op1_suffix_dedup,
     "op2_quality_rules": op2_quality_rules,
     "op3_mixing": op3_mixing,
     "op4_line_dedup": op4_line_dedup,
