@@ -130,7 +130,9 @@ def linked_components(sets: DataFrame) -> DataFrame:
     """node, component of all sets that link to another."""
     spark = sets.sparkSession
     by_rank = Window.partitionBy("token").orderBy("id")
-    postings = sets.select("id", F.explode("first").alias("token"))
+    # Tokens from this one on, of n: what can still be shared if it is the first that is.
+    postings = sets.select("id", "n", F.size("tokens").alias("shared"), F.posexplode("first").alias("at", "token"))
+    postings = postings.select("id", "n", "token", (F.col("shared") - F.col("at")).alias("from_here"))
     postings = postings.withColumn("rank", F.row_number().over(by_rank) - 1)
     postings = postings.withColumn("size", F.count("*").over(Window.partitionBy("token"))).where("size > 1")
     postings = written(postings, "join-postings")
@@ -141,15 +143,18 @@ def linked_components(sets: DataFrame) -> DataFrame:
         now = postings.join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
         open_groups = now.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.first("size").alias("size")).where(F.col("x") < F.col("y")).where(F.col("size") > low)
         now = now.join(open_groups.select("token"), "token", "left_semi")
-        leaders = now.where((F.col("rank") >= low) & (F.col("rank") < high)).select("token", F.col("id").alias("b"), F.col("rank").alias("leader"), F.col("component").alias("of_b"))
-        pairs = now.join(leaders, "token").where("rank > leader and component != of_b").select(F.col("id").alias("a"), "b")
+        leaders = now.where((F.col("rank") >= low) & (F.col("rank") < high)).select("token", F.col("id").alias("b"), F.col("rank").alias("leader"), F.col("component").alias("of_b"), F.col("n").alias("n_b"), F.col("from_here").alias("from_b"))
+        met = now.join(leaders, "token").where("rank > leader and component != of_b")
+        # The pair's first common token passes this if the pair links, as no token before it is common.
+        pairs = met.where(f"{100 + PERCENT} * least(from_here, from_b) >= {PERCENT} * (n + n_b)").select(F.col("id").alias("a"), "b")
         # First each set meets one leader only, which settles most groups; then every leader.
         pairs = pairs.groupBy("a").agg(F.min("b").alias("b")) if single else pairs.distinct()
         pairs = written(pairs, "join-pairs")
-        if pairs.count():
-            edges = written(edges.union(verified(pairs, sets)), "join-edges")
+        n_pairs = pairs.count()
+        if n_pairs and (new := written(verified(pairs, sets), "join-links")).count():
+            edges = edges.union(new)
             labels = components(edges)
-        elif not single and not open_groups.where(F.col("size") > high).count():
+        elif not n_pairs and not single and not open_groups.where(F.col("size") > high).count():
             return labels
         if single:
             single = False
