@@ -101,6 +101,14 @@ def _nnpu(xp: np.ndarray, xu: np.ndarray, prior: float, steps: int = 600, decay:
     return _adam(gradient, xp.shape[1], steps)
 
 
+def _sample(rows: DataFrame) -> np.ndarray:
+    """The features of the FIT_ROWS rows with the least hash of doc_id; a filter on the hash keeps what tasks send bounded."""
+    share = min(1.0, 1.2 * FIT_ROWS / max(1, rows.count()))
+    near = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) < int(share * (1 << 40)))
+    least = near.orderBy(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)), "doc_id", *NAMES).select(*NAMES).limit(FIT_ROWS).collect()
+    return np.array([list(r) for r in least], dtype=float).reshape(-1, len(NAMES))
+
+
 def fit(stats: DataFrame, labels: DataFrame, bins: int = 10) -> Model:
     """labels: doc_id, quality; only quality = 1 outside the held-out third is learned from.
 
@@ -109,9 +117,7 @@ def fit(stats: DataFrame, labels: DataFrame, bins: int = 10) -> Model:
     """
     pool = stats.where("doc_id is not null").where(~held_out())
     trusted = labels.where("quality = 1 and doc_id is not null").where(~held_out()).select("doc_id").distinct()
-    by_hash = [F.expr("xxhash64(doc_id)"), F.col("doc_id"), *map(F.col, NAMES)]
-    pick = lambda df: np.array([list(r) for r in df.orderBy(*by_hash).select(*NAMES).limit(FIT_ROWS).collect()], dtype=float).reshape(-1, len(NAMES))
-    p, u = pick(pool.join(trusted, "doc_id", "left_semi")), pick(pool)
+    p, u = _sample(pool.join(trusted, "doc_id", "left_semi")), _sample(pool)
     if not len(p) or not len(u):
         return Model([[] for _ in NAMES], [[0.0] for _ in NAMES], 0.0, 0.5)
     cuts = [sorted(set(np.quantile(u[:, j], np.linspace(0, 1, bins + 1)[1:-1]).tolist())) for j in range(len(NAMES))]
