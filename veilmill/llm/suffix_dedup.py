@@ -33,8 +33,8 @@ from .common import written
 from .shingles import A, B, C, S32, mix, slices
 
 LENGTH, TUPLE = 100, 36
-#: Different blocks of a name from which its starts are dealt out one by one.
-HOT_BLOCKS = 8_192
+#: Blocks of a name from which its starts are dealt out one by one; fewer are judged together, in about 1 KB of memory each.
+HOT_BLOCKS = 65_536
 PLACE_BITS = np.uint64(28)
 
 
