@@ -1,6 +1,6 @@
 """SentencePiece encoding and decoding on a relational lattice.
 
-Texts fall into units that no piece can cross: a run of blanks with the characters after it, or a line end. The distinct
+Texts fall into units that no piece can cross: blanks with the letters, or the other characters, after them. The distinct
 units of a corpus are its vocabulary. Each is exploded into substrings of bounded length, these are equi-joined to the
 piece table, and the matches, grouped by unit, are the edges of its lattice, which a higher-order aggregate
 folds into a segmentation: by Viterbi for unigram models, and for BPE models, whose encoding is no best path, by
@@ -26,8 +26,10 @@ from pyspark.sql import functions as F
 from .common import written
 
 SPACE = "▁"
-#: Units: a line end, blanks with what follows them, or blanks before a line end.
-UNITS = f"\n|{SPACE}*[^{SPACE}\n]+|{SPACE}+"
+#: Characters that pieces keep apart from all others but blanks in front of them.
+LETTERS = "A-Za-zÀ-ÖØ-öø-ɏ"
+#: Units: a line end, a digit, blanks with the letters or with the other characters after them, or blanks alone.
+UNITS = f"\n|[0-9]|{SPACE}*[{LETTERS}]+|{SPACE}*[^{LETTERS}{SPACE}\n0-9]+|{SPACE}+"
 #: Characters of a unit from which merging leaves the fold, whose state is the bits of one long.
 FOLD_CHARS = 60
 #: Documents of a chunk, on average; most pieces that may be broadcast.
@@ -88,7 +90,7 @@ class Pieces:
         pieces = [model.id_to_piece(i) for i in range(n)]
         special = [model.is_control(i) or model.is_unknown(i) or model.is_unused(i) or model.is_byte(i) for i in range(n)]
         plain = [p for p, s in zip(pieces, special, strict=True) if not s]
-        if n > MOST_PIECES or any(re.search(f"[^{SPACE}]{SPACE}", p) or (len(p) > 1 and "\n" in p) for p in plain):
+        if n > MOST_PIECES or any(len(re.findall(UNITS, p)) != 1 for p in plain):
             raise ValueError("a piece of this model crosses the ends of units")
         at = {p: i for i, p in enumerate(pieces)}
         byte_ids = [at[f"<0x{b:02X}>"] for b in range(256)] if "<0x00>" in at else []
@@ -119,13 +121,14 @@ def lattice(vocabulary: DataFrame, table: Pieces) -> DataFrame:
     spark = vocabulary.sparkSession
     rows = [(p, i, float(s)) for i, (p, s, x) in enumerate(zip(table.pieces, table.scores, table.special, strict=True)) if not x]
     pieces = F.broadcast(spark.createDataFrame(rows, "piece string, id int, score double"))
-    starts = vocabulary.select("unit", F.length("unit").alias("n"), F.explode(F.expr("sequence(0, length(unit) - 1)")).alias("start"))
+    # Grouping by a hash first makes for cheap comparisons where groups are sorted.
+    starts = vocabulary.select(F.xxhash64("unit").alias("key"), "unit", F.length("unit").alias("n"), F.explode(F.expr("sequence(0, length(unit) - 1)")).alias("start"))
     parts = starts.select("*", F.explode(F.expr(f"sequence(1, least({table.longest}, n - start))")).alias("size"))
-    parts = parts.select("unit", "n", "start", "size", F.expr("substr(unit, start + 1, size)").alias("piece"))
+    parts = parts.select("unit", "n", "start", "size", F.expr("substr(unit, start + 1, size)").alias("piece"), "key")
     edges = parts.join(pieces, "piece", "left").where("id is not null or size = 1")
     unseen = min(score for _, _, score in rows) - 10.0
     edge = F.struct((-F.coalesce("score", F.lit(unseen))).alias("cost"), "start", (F.col("start") + F.col("size")).alias("stop"), "id")
-    return edges.groupBy("unit", "n").agg(F.sort_array(F.collect_list(edge)).alias("edges"))
+    return edges.groupBy("key", "unit", "n").agg(F.sort_array(F.collect_list(edge)).alias("edges")).drop("key")
 
 
 def _character_ids(table: Pieces) -> str:
@@ -144,24 +147,21 @@ def merged(edges: DataFrame, table: Pieces) -> DataFrame:
     The state is the set of symbol ends, one bit each. An edge applies if its ends are symbol ends and one more
     lies between them.
     """
-    rows = edges.select(
-        "unit", "n",
-        F.expr(_character_ids(table)).alias("chars"),
-        F.expr("transform(filter(edges, x -> x.stop > x.start + 1), x -> struct(x.start, x.stop, x.id, shiftleft(1L, x.start) | shiftleft(1L, x.stop) as both, shiftleft(shiftleft(1L, x.stop - x.start - 1) - 1, x.start + 1) as inner))").alias("long"),
-    )
-    rows = rows.withColumn("ends", F.expr("aggregate(sequence(1, greatest(1, least(n - 1, size(long)))), shiftleft(1L, n + 1) - 1, (m, i) -> coalesce(m & ~get(filter(long, x -> (m & x.both) = x.both and bit_count(m & x.inner) = 1), 0).inner, m))"))
-    rows = rows.withColumn("at", F.expr("filter(sequence(0, n), i -> (shiftrightunsigned(ends, i) & 1) = 1)"))
-    ids = "flatten(transform(slice(at, 1, size(at) - 1), (s, k) -> if(at[k + 1] = s + 1, chars[s], array(get(filter(long, x -> x.start = s and x.stop = at[k + 1]), 0).id))))"
-    return rows.select("unit", F.expr(ids).alias("ids"))
+    # transform(array(x), v -> ...)[0] binds x to v, so that no lambda computes it again for each of its elements.
+    long = "transform(filter(edges, x -> x.stop > x.start + 1), x -> struct(x.start, x.stop, x.id, shiftleft(1L, x.start) | shiftleft(1L, x.stop) as both, shiftleft(shiftleft(1L, x.stop - x.start - 1) - 1, x.start + 1) as inner))"
+    ends = "aggregate(sequence(1, greatest(1, least(n - 1, size(v.long)))), shiftleft(1L, n + 1) - 1, (m, i) -> coalesce(m & ~get(filter(v.long, x -> (m & x.both) = x.both and bit_count(m & x.inner) = 1), 0).inner, m))"
+    at = "filter(sequence(0, n), i -> (shiftrightunsigned(ends, i) & 1) = 1)"
+    ids = "flatten(transform(slice(at, 1, size(at) - 1), (s, k) -> if(at[k + 1] = s + 1, v.chars[s], array(get(filter(v.long, x -> x.start = s and x.stop = at[k + 1]), 0).id))))"
+    bound = f"transform(array(struct({long} as long, {_character_ids(table)} as chars)), v -> transform(array({ends}), ends -> transform(array({at}), at -> {ids})[0])[0])[0]"
+    return edges.select("unit", F.expr(bound).alias("ids"))
 
 
 def viterbi(edges: DataFrame, table: Pieces) -> DataFrame:
     """unit, ids on the best path: one fold over positions keeps the best cost, edge and id up to each, another goes back."""
-    rows = edges.select("unit", "n", "edges", F.expr(_character_ids(table)).alias("chars"))
     step = "struct(path[x.start].cost + x.cost as cost, x.start as start, x.id as id)"
-    rows = rows.withColumn("path", F.expr(f"aggregate(sequence(1, n), array(struct(0D as cost, -1 as start, cast(null as int) as id)), (path, e) -> concat(path, array(array_min(transform(filter(edges, x -> x.stop = e), x -> {step})))))"))
-    back = "aggregate(sequence(1, n), struct(n as at, cast(array() as array<array<int>>) as ids), (s, i) -> if(s.at = 0, s, struct(path[s.at].start as at, concat(array(if(path[s.at].start = s.at - 1, chars[s.at - 1], array(path[s.at].id))), s.ids) as ids)))"
-    return rows.select("unit", F.flatten(F.expr(back)["ids"]).alias("ids"))
+    path = f"aggregate(sequence(1, n), array(struct(0D as cost, -1 as start, cast(null as int) as id)), (path, e) -> concat(path, array(array_min(transform(filter(edges, x -> x.stop = e), x -> {step})))))"
+    back = "aggregate(sequence(1, n), struct(n as at, cast(array() as array<array<int>>) as ids), (s, i) -> if(s.at = 0, s, struct(v.path[s.at].start as at, concat(array(if(v.path[s.at].start = s.at - 1, v.chars[s.at - 1], array(v.path[s.at].id))), s.ids) as ids)), s -> flatten(s.ids))"
+    return edges.select("unit", F.expr(f"transform(array(struct({path} as path, {_character_ids(table)} as chars)), v -> {back})[0]").alias("ids"))
 
 
 def merge_long(unit: str, ids: dict[str, int], scores: list[float], table: Pieces) -> list[int]:
