@@ -74,11 +74,11 @@ def values(df: DataFrame, name: str, key: str = "doc_id", text: str = "text") ->
 def trimmed(spans: str, border: str = r"[\s.,;:!?'\"()\[\]{}<>]") -> Column:
     """Spans without punctuation at their borders, anchored anew; what is empty then is dropped."""
     return F.expr(f"""
-        filter(transform({spans}, s -> named_struct(
-            'type', s.type, 'value', regexp_replace(s.value, '^{_q(border)}+|{_q(border)}+$', ''),
-            'start', s.start + length(regexp_extract(s.value, '^{_q(border)}*', 0)),
-            'end', s.start + length(regexp_extract(s.value, '^{_q(border)}*', 0)) + length(regexp_replace(s.value, '^{_q(border)}+|{_q(border)}+$', '')),
-            'score', s.score)), s -> s.end > s.start)
+        filter(transform({spans}, span_ -> named_struct(
+            'type', span_.type, 'value', regexp_replace(span_.value, '^{_q(border)}+|{_q(border)}+$', ''),
+            'start', span_.start + length(regexp_extract(span_.value, '^{_q(border)}*', 0)),
+            'end', span_.start + length(regexp_extract(span_.value, '^{_q(border)}*', 0)) + length(regexp_replace(span_.value, '^{_q(border)}+|{_q(border)}+$', '')),
+            'score', span_.score)), span_ -> span_.end > span_.start)
     """)
 
 
@@ -104,14 +104,14 @@ def merged_fragments(spans: DataFrame, texts: DataFrame, key: str = "doc_id") ->
 def without_false_cards(spans: str) -> Column:
     """A card number that fails its check digit goes if a longer span contains it; alone it stays."""
     return F.expr(f"""
-        filter({spans}, s -> not (s.type = 'CREDIT_CARD' and not luhn_check(regexp_replace(s.value, '[^0-9]', ''))
-            and exists({spans}, o -> o.start <= s.start and o.end >= s.end and o.end - o.start > s.end - s.start)))
+        filter({spans}, span_ -> not (span_.type = 'CREDIT_CARD' and not luhn_check(regexp_replace(span_.value, '[^0-9]', ''))
+            and exists({spans}, other_ -> other_.start <= span_.start and other_.end >= span_.end and other_.end - other_.start > span_.end - span_.start)))
     """)
 
 
 def checked(spans: str, text: str) -> Column:
     """spans, or an error if one of them lies outside the text, is empty, or has no type or score."""
-    bad = F.expr(f"exists({spans}, s -> s.type is null or s.start is null or s.end is null or s.score is null or isnan(s.score) or s.start < 0 or s.end <= s.start or s.end > length({text}))")
+    bad = F.expr(f"exists({spans}, span_ -> span_.type is null or span_.start is null or span_.end is null or span_.score is null or isnan(span_.score) or span_.start < 0 or span_.end <= span_.start or span_.end > length({text}))")
     return F.when(bad, F.raise_error(F.lit("malformed span")).cast(f"array<{SPAN}>")).otherwise(F.col(spans))
 
 
