@@ -133,7 +133,8 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
 def _judged(docs: DataFrame) -> DataFrame:
     """doc (all columns of docs), gone, text (what is left) for each row of docs."""
     gone = written(repeated_lines(docs), "dedup-gone")
-    out = docs.select(F.struct(*docs.columns).alias("doc"), F.col("doc_id").alias("id")).join(gone, "id", "left")
+    # Merged whatever its size: what goes grows with the corpus, and no plan should change with it.
+    out = docs.select(F.struct(*docs.columns).alias("doc"), F.col("doc_id").alias("id")).join(gone.hint("merge"), "id", "left")
     kept = F.expr("array_join(filter(split(doc.text, '\\n', -1), (x, i) -> not array_contains(gone, i)), '\\n')")
     return out.select("doc", F.coalesce("gone", F.array().cast("array<int>")).alias("gone"), F.when(F.col("gone").isNull(), F.col("doc.text")).otherwise(kept).alias("text"))
 
