@@ -182,4 +182,4 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def first_of_each(docs: DataFrame) -> DataFrame:
     """The rows of docs, all their columns, whose doc_id is the smallest of its component; rows that repeat it stay too."""
     keep = near_duplicates(docs).where("doc_id = component_id or doc_id is null").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(keep, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
+    return docs.join(keep.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
