@@ -71,7 +71,8 @@ def _ranked(rows: DataFrame, key: str, run: str, order: list[str], amount: Colum
 def schedule(sources: DataFrame) -> DataFrame:
     """slot, place, rank of the slot in its source, and the words [first_word, end_word) of the source's repeated stream.
 
-    As many slots as all targets need and 1/64 more, of which each source uses as many as it needs.
+    As many slots as all targets need and 1/64 more, of which each source uses as many as it needs. What a source
+    still lacks then, as one with a stretch so short that no point fell in it, comes at the end.
     """
     need = sources.agg(F.sum(F.ceil(F.round("target") / BLOCK_WORDS)).alias("n"), F.count("*").alias("k")).first()
     slots, k = int(need["n"] or 0), need["k"]
@@ -82,7 +83,10 @@ def schedule(sources: DataFrame) -> DataFrame:
     stretches = sources.where("high > low").select("place", "target", "low", "high", F.explode(F.sequence(F.floor(F.col("low") * grid), F.least(F.floor(F.col("high") * grid), F.lit(grid - 1)))).alias("cell"))
     found = points.withColumn("cell", F.floor(F.col("point") * grid)).join(stretches, "cell").where("point >= low and point < high")
     found = found.select("slot", "place", "target", F.floor(F.col("slot") / RUN_ROWS).alias("run"))
-    found = _ranked(found, "place", "run", ["slot"], F.lit(1), "rank")
+    found = written(_ranked(found, "place", "run", ["slot"], F.lit(1), "rank").select("slot", "place", "rank", "target"), "mix-slots")
+    needs = sources.select("place", "target", F.ceil(F.round("target") / BLOCK_WORDS).alias("need")).join(found.groupBy("place").agg(F.count("*").alias("have")), "place", "left")
+    lacking = needs.withColumn("have", F.coalesce("have", F.lit(0))).where("have < need").select("place", "target", F.explode(F.sequence(F.col("have"), F.col("need") - 1)).alias("rank"))
+    found = found.unionByName(lacking.select((F.lit(slots) + F.col("place") - 1 + F.col("rank") * k).alias("slot"), "place", "rank", "target"))
     first, end = F.col("rank") * BLOCK_WORDS, F.least((F.col("rank") + 1) * BLOCK_WORDS, F.round("target").cast("bigint"))
     return found.select("slot", "place", "rank", first.alias("first_word"), end.alias("end_word")).where("first_word < end_word")
 
@@ -139,7 +143,7 @@ def mixed(docs: DataFrame) -> DataFrame:
     sizes = written(sized(docs.select("row", "doc.doc_id", "doc.source", "doc.text"), "row"), "mix-sizes")
     rows, sources = _prepared(sizes)
     turns = taken_parts(rows, sources).groupBy("row", "turn").agg(F.sum("words").alias("words")).join(rows.select("row", "size"), "row")
-    out = docs.join(turns, "row")
+    out = docs.join(turns.hint("merge"), "row")
     text = F.when(F.col("words") == F.col("size"), F.col("doc.text")).otherwise(F.array_join(F.slice(word_array(F.col("doc.text")), 1, F.col("words").cast("int")), " "))
     new = {"text": text, "n_chars": F.when(F.col("words") == F.col("size"), F.col("doc.n_chars")).otherwise(F.length(text))} if "n_chars" in names else {"text": text}
     return out.select(*(new.get(c, F.col(f"doc.`{c}`")).alias(c) for c in names))
