@@ -227,7 +227,7 @@ def encode(docs: DataFrame, table: Pieces, *keep: str) -> DataFrame:
     chunks = docs.count() // CHUNK_DOCS + 1
     rows = docs.select(key, F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     rows = rows.select(key, F.pmod(F.xxhash64(key, "text"), F.lit(chunks)).alias("chunk"), "text")
-    used = rows.select("chunk", F.explode(units(F.col("text"))).alias("unit")).distinct()
+    used = rows.select("chunk", F.explode(F.array_distinct(units(F.col("text")))).alias("unit")).distinct()
     used = written(used, "pieces-units")
     vocabulary = used.select("unit").distinct()
     encoded = written(encode_units(vocabulary, table), "pieces-vocabulary")
@@ -264,7 +264,7 @@ def decoded(ids: Column, table: Pieces) -> Column:
             spelled.append(p[3:5] if i in of_bytes else (" ⁇ ".encode().hex() if i == table.unknown else ""))
         else:
             spelled.append(p.replace(SPACE, " ").encode().hex())
-    literal = F.lit(spelled)
+    literal = F.split(F.lit(",".join(spelled)), ",")  # folded to one constant array when the query is planned
     text = F.decode(F.unhex(F.array_join(F.transform(ids, lambda i: F.element_at(literal, i + 1)), "")), "utf-8")
     return F.when(F.startswith(text, F.lit(" ")), F.substring(text, 2, 2**31 - 1)).otherwise(text)
 
