@@ -16,7 +16,7 @@ def connection(folder):
 
 
 def plain(value):
-    if value is None or value is pd.NaT:
+    if value is None or value is pd.NaT or value is pd.NA:
         return None
     if hasattr(value, "item"):
         value = value.item()
