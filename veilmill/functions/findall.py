@@ -12,10 +12,15 @@ def _text(s: str) -> str:
     return "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def find_all(text: str, pattern: str, kind: str, score: float, group: int = 0) -> Column:
-    """array<SPAN> of the matches of a Java pattern in the column named text. The pattern must not match the empty string."""
+def find_all(text: str, pattern: str, kind: str, score: float, group: int = 0, needs: tuple[str, ...] = ()) -> Column:
+    """array<SPAN> of the matches of a Java pattern in the column named text. The pattern must not match the empty string.
+
+    needs: substrings one of which every match has; a text without them is not searched, and one without a match is
+    searched once only, not for matches and for gaps.
+    """
     p = _text(pattern)
-    return F.expr(f"""
+    cheap = " or ".join(f"contains({text}, {_text(n)})" for n in needs) or "true"
+    found = F.expr(f"""
         aggregate(
             regexp_extract_all({text}, {p}, {group}),
             named_struct('gaps', split({text}, {p}, -1), 'i', 0, 'at', 0, 'out', cast(array() as array<{SPAN}>)),
@@ -24,6 +29,7 @@ def find_all(text: str, pattern: str, kind: str, score: float, group: int = 0) -
                 'out', concat(s.out, array(named_struct('type', {_text(kind)}, 'value', x, 'start', s.at + length(s.gaps[s.i]), 'end', s.at + length(s.gaps[s.i]) + length(x), 'score', {score}D)))),
             s -> s.out)
     """)
+    return F.when(F.expr(f"({cheap}) and {text} rlike {p}"), found).otherwise(F.expr(f"cast(array() as array<{SPAN}>)"))
 
 
 def spliced(text: str, spans: str, replacement: str) -> Column:

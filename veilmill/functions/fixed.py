@@ -36,17 +36,17 @@ SERVICE_PREFIXES = ("svc-", "sa-", "srv-", "service-", "system:", "bot-", "ci-")
 SERVICE_SUFFIXES = ("-svc", "-sa", "-bot", "-agent", "-runner", "-job", "-operator")
 FORGES = ("github.com", "gitlab.com", "bitbucket.org", "codeberg.org")
 
-# Token formats by type, with scores.
+# Token formats by type, with scores and what every token of the format has.
 TOKEN_FORMATS = (
-    ("AUTH_TOKEN", r"\b(?:ghp|gho|ghu|ghs|ghr)_[A-Za-z0-9]{16,}\b", 0.95),
-    ("AUTH_TOKEN", r"\bgithub_pat_[A-Za-z0-9_]{20,}\b", 0.95),
-    ("AUTH_TOKEN", r"\bglpat-[A-Za-z0-9_-]{16,}\b", 0.95),
-    ("AUTH_TOKEN", r"\bxox[baprs]-[A-Za-z0-9-]{10,}\b", 0.95),
-    ("AUTH_TOKEN", r"\bsk-[A-Za-z0-9_-]{20,}\b", 0.9),
-    ("AUTH_TOKEN", r"\b(?:AKIA|ASIA)[A-Z0-9]{16}\b", 0.95),
-    ("AUTH_TOKEN", r"\bdop_v1_[a-f0-9]{32,}\b", 0.95),
-    ("AUTH_TOKEN", r"\bnpm_[A-Za-z0-9]{30,}\b", 0.95),
-    ("IBAN_CODE", r"\b[A-Z]{2}\d{2}(?:[ ]?[A-Z0-9]{4}){2,7}(?:[ ]?[A-Z0-9]{1,3})?\b", 0.92),
+    ("AUTH_TOKEN", r"\b(?:ghp|gho|ghu|ghs|ghr)_[A-Za-z0-9]{16,}\b", 0.95, ("ghp_", "gho_", "ghu_", "ghs_", "ghr_")),
+    ("AUTH_TOKEN", r"\bgithub_pat_[A-Za-z0-9_]{20,}\b", 0.95, ("github_pat_",)),
+    ("AUTH_TOKEN", r"\bglpat-[A-Za-z0-9_-]{16,}\b", 0.95, ("glpat-",)),
+    ("AUTH_TOKEN", r"\bxox[baprs]-[A-Za-z0-9-]{10,}\b", 0.95, ("xox",)),
+    ("AUTH_TOKEN", r"\bsk-[A-Za-z0-9_-]{20,}\b", 0.9, ("sk-",)),
+    ("AUTH_TOKEN", r"\b(?:AKIA|ASIA)[A-Z0-9]{16}\b", 0.95, ("AKIA", "ASIA")),
+    ("AUTH_TOKEN", r"\bdop_v1_[a-f0-9]{32,}\b", 0.95, ("dop_v1_",)),
+    ("AUTH_TOKEN", r"\bnpm_[A-Za-z0-9]{30,}\b", 0.95, ("npm_",)),
+    ("IBAN_CODE", r"\b[A-Z]{2}\d{2}(?:[ ]?[A-Z0-9]{4}){2,7}(?:[ ]?[A-Z0-9]{1,3})?\b", 0.92, ()),
 )
 
 # Words of surrogates, our own; any list would do, as nothing depends on the words themselves.

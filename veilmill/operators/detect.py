@@ -13,32 +13,36 @@ from ..functions.fixed import TOKEN_FORMATS
 
 @dataclass(frozen=True)
 class Recogniser:
-    """A pattern that must not match the empty string, with the type and score of its spans."""
+    """A pattern that must not match the empty string, with the type and score of its spans.
+
+    needs: substrings one of which every match has, if there are any; cheap to look for before the pattern.
+    """
 
     name: str
     kind: str
     pattern: str
     score: float = 0.85
+    needs: tuple[str, ...] = ()
 
 
 OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 RECOGNISERS = (
-    Recogniser("email", "EMAIL_ADDRESS", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}", 0.9),
+    Recogniser("email", "EMAIL_ADDRESS", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}", 0.9, ("@",)),
     Recogniser("ipv4", "IP_ADDRESS", rf"\b(?:{OCTET}\.){{3}}{OCTET}\b", 0.9),
     Recogniser("card", "CREDIT_CARD", r"\b[0-9]{16}\b", 0.7),
     Recogniser("assignment", "PASSWORD_CONTEXT", r"(?i)\b(?:password|passwd|secret|token|api_?key)\b\s*[:=]\s*[\"'][^\"'\s]+[\"']", 0.95),
-    Recogniser("phone", "PHONE_NUMBER", r"\+[0-9]{1,3} ?\(?[0-9]{1,4}\)?(?:[ .-][0-9]{2,4}){2,4}", 0.8),
-    Recogniser("url", "URL", r"https?://[^\s\"'<>()]+", 0.85),
-    Recogniser("jwt", "JWT", r"\beyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 0.95),
-    Recogniser("uuid", "UUID", r"\b[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}\b", 0.9),
-    Recogniser("mac", "MAC_ADDRESS", r"\b[0-9A-Fa-f]{2}(?::[0-9A-Fa-f]{2}){5}\b", 0.9),
+    Recogniser("phone", "PHONE_NUMBER", r"\+[0-9]{1,3} ?\(?[0-9]{1,4}\)?(?:[ .-][0-9]{2,4}){2,4}", 0.8, ("+",)),
+    Recogniser("url", "URL", r"https?://[^\s\"'<>()]+", 0.85, ("http://", "https://",)),
+    Recogniser("jwt", "JWT", r"\beyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 0.95, ("eyJ",)),
+    Recogniser("uuid", "UUID", r"\b[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}\b", 0.9, ("-",)),
+    Recogniser("mac", "MAC_ADDRESS", r"\b[0-9A-Fa-f]{2}(?::[0-9A-Fa-f]{2}){5}\b", 0.9, (":",)),
     Recogniser("sha1", "COMMIT_SHA", r"\b[0-9a-f]{40}\b", 0.85),
     Recogniser("sha256", "HASH", r"\b[0-9a-f]{64}\b", 0.85),
-    Recogniser("cve", "CVE_ID", r"\bCVE-[0-9]{4}-[0-9]{4,7}\b", 0.95),
+    Recogniser("cve", "CVE_ID", r"\bCVE-[0-9]{4}-[0-9]{4,7}\b", 0.95, ("CVE-",)),
     Recogniser("host", "HOSTNAME", r"\b[a-z0-9-]+(?:\.[a-z0-9-]+)*\.(?:internal|local|lan|intra|corp|example|test|com|net|org|io)\b", 0.8),
-    Recogniser("service", "SERVICE_ACCOUNT", r"\bsvc-[a-z0-9-]+-(?:prod|staging|dev)\b", 0.9),
-    Recogniser("date", "DATE", r"\b[0-9]{4}-[0-9]{2}-[0-9]{2}\b", 0.8),
-    *(Recogniser(f"token{i}", kind, pattern, score) for i, (kind, pattern, score) in enumerate(TOKEN_FORMATS)),
+    Recogniser("service", "SERVICE_ACCOUNT", r"\bsvc-[a-z0-9-]+-(?:prod|staging|dev)\b", 0.9, ("svc-",)),
+    Recogniser("date", "DATE", r"\b[0-9]{4}-[0-9]{2}-[0-9]{2}\b", 0.8, ("-",)),
+    *(Recogniser(f"token{i}", kind, pattern, score, needs) for i, (kind, pattern, score, needs) in enumerate(TOKEN_FORMATS)),
 )
 BY_NAME = {r.name: r for r in RECOGNISERS}
 #: Pairs of armour lines; Java only, for the back-reference.
@@ -46,13 +50,13 @@ ARMOUR = r"(?s)-----BEGIN ([A-Z0-9 ]+)-----.*?-----END \1-----"
 
 
 def armour_spans(text: str) -> Column:
-    spans = find_all(text, ARMOUR, "CRYPTOGRAPHIC_KEY", 0.99)
+    spans = find_all(text, ARMOUR, "CRYPTOGRAPHIC_KEY", 0.99, needs=("-----BEGIN ",))
     return F.transform(spans, lambda s: s.withField("type", F.when(F.contains(F.substring_index(s["value"], "\n", 1), F.lit("CERTIFICATE")), "CERTIFICATE").otherwise("CRYPTOGRAPHIC_KEY")))
 
 
 def spans_of(text: str, recognisers: tuple[Recogniser, ...] = RECOGNISERS) -> Column:
     """All spans of the column named text, by start and then by length, longest first; none where no word character is."""
-    found = F.flatten(F.array(armour_spans(text), *(find_all(text, r.pattern, r.kind, r.score) for r in recognisers)))
+    found = F.flatten(F.array(armour_spans(text), *(find_all(text, r.pattern, r.kind, r.score, needs=r.needs) for r in recognisers)))
     found = F.array_sort(F.array_distinct(found), lambda a, b: F.when(a["start"] != b["start"], a["start"] - b["start"]).otherwise(b["end"] - a["end"]))
     return F.when(F.col(text).rlike(r"(?U)\w"), found).otherwise(F.array().cast(f"array<{SPAN}>"))
 
