@@ -33,7 +33,7 @@ UNITS = f"\n|[0-9]|{SPACE}*[{LETTERS}]+|{SPACE}*[^{LETTERS}{SPACE}\n0-9]+|{SPACE
 #: Characters of a unit from which merging leaves the fold, whose state is the bits of one long.
 FOLD_CHARS = 60
 #: Documents of a chunk, on average; most pieces that may be broadcast.
-CHUNK_DOCS, MOST_PIECES = 4_096, 300_000
+CHUNK_DOCS, MOST_PIECES = 2_048, 300_000
 UNIGRAM, BPE = 1, 2
 
 
