@@ -142,6 +142,22 @@ def test_pseudonyms_restore_and_secrets_never_enter_the_mapping(spark):
     assert joined == back
 
 
+def test_restoration_is_the_same_at_every_size_of_the_view(spark, monkeypatch):
+    view = {"+1 (672) 555-0196": "+1 (415) 555-9911", "+1 (672) 555-0197": "B", "db.corp.test": "H", "db.corp.test:443": "HP", "a.b@corp.test": "M", "https://w.test/x": "U", "https://w.test/x/y": "UY", "東京": "Z", "-- z": "D", "corp": "C"}
+    texts = [
+        None, "", "call +1 (672) 555-0196, or +1 (672) 555-0197.", "x+1 (672) 555-0196", "+1 (672) 555-01967", "db.corp.test:443/path db.corp.test:80 db.corp.test/p xdb.corp.test",
+        "<a.b@corp.test>,https://w.test/x/y?q https://w.test/xy https://w.test/x", "東京東京x x東京", "--- z -- z -- zz", "corp_corp corp1 \U0001f600corp", "call +1 (672) 555-0196, or +1 (672) 555-0197.",
+    ]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, safe_text string")
+    rows = spark.createDataFrame(list(view.items()), "surrogate string, real string")
+    monkeypatch.setattr(plan, "view", lambda *a: rows)
+    run = lambda: [r["restored"] for r in plan.restore(df, rows, "s", KEYS).orderBy("doc_id").collect()]
+    small = run()
+    assert small[2] == "call +1 (415) 555-9911, or B." and small[5] == "HP/path H:80 H/p xdb.C.test" and small[6] == "<M>,UY?q https://w.test/xy U"
+    monkeypatch.setattr(plan, "PATTERN_ENTRIES", 0)
+    assert run() == small
+
+
 def test_policy_precedence(spark):
     values = spark.createDataFrame([("HOSTNAME", "h"), ("AUTH_TOKEN", "t"), ("PERSON", "p")], "type string, value string")
     fp = values.select("type", policy.fingerprint(KEYS, F.col("type"), F.col("value")).alias("f")).collect()[0]["f"]

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterable, Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -53,15 +57,18 @@ def pseudonymise(docs: DataFrame, scope: str, keys: Keys, known: DataFrame | Non
     return safe, mapping
 
 
-#: Surrogates of a view that one pattern may hold; larger views restore by joining words.
+#: Surrogates of a view that one pattern may hold; larger views restore by joins, with the same result.
 PATTERN_ENTRIES = 5_000
+#: What texts are cut into to meet surrogates: runs of letters and digits, which no border of a match parts, and single other characters.
+RUN = "[A-Za-z0-9]+"
+TOKEN = re.compile(f"{RUN}|[^A-Za-z0-9]")
 
 
 def restore(texts: DataFrame, mapping: DataFrame, scope: str, keys: Keys, text: str = "safe_text") -> DataFrame:
     """texts with a column restored: every surrogate of the scope replaced by its real value, longest first; unknown ones stay.
 
-    A view of up to PATTERN_ENTRIES is one alternation with a literal map, in the row. A larger one is a join: texts
-    are cut into runs of surrogate characters, runs meet the view by equality, and texts are put together again.
+    A view of up to PATTERN_ENTRIES is one alternation with a literal map, in the row. A larger one is a join with
+    the same result, see restore_by_join().
     """
     real = view(mapping, scope, keys)
     rows = real.orderBy(F.length("surrogate").desc(), "surrogate").limit(PATTERN_ENTRIES + 1).collect()
@@ -75,11 +82,65 @@ def restore(texts: DataFrame, mapping: DataFrame, scope: str, keys: Keys, text:
     return restore_by_join(texts, real, text)
 
 
+def _places(text: str, shapes: Iterable[tuple[str, int, int]]) -> Iterator[tuple[int, int]]:
+    """Start and end of what has borders like a match's, for shapes (anchor, characters before it, length)."""
+    by: dict[str, list[tuple[int, int]]] = {}
+    for anchor, before, size in set(shapes):
+        by.setdefault(anchor, []).append((before, size))
+    edge = lambda i: not (0 <= i < len(text) and text[i].isascii() and text[i].isalnum())
+    for m in TOKEN.finditer(text):
+        for before, size in by.get(m.group(), ()):
+            a = m.start() - before
+            if a >= 0 and a + size <= len(text) and edge(a - 1) and edge(a + size):
+                yield a, a + size
+
+
+def _shape(surrogate: str) -> tuple[str, int, int]:
+    """Its anchor, which is its first run of letters and digits or else its first character, the characters before it, its length."""
+    m = re.search(RUN, surrogate)
+    return (m.group(), m.start(), len(surrogate)) if m else (surrogate[0], 0, len(surrogate))
+
+
+def _candidates(texts: pd.Series, anchors: pd.Series, before: pd.Series, sizes: pd.Series) -> pd.Series:
+    return pd.Series([list({t[a:b] for a, b in _places(t, zip(*shapes, strict=True))}) for t, *shapes in zip(texts, anchors, before, sizes, strict=True)])
+
+
+def _put_back(texts: pd.Series, surrogates: pd.Series, reals: pd.Series) -> pd.Series:
+    """Leftmost first, then longest, as the alternation does."""
+    out = []
+    for text, names, values in zip(texts, surrogates, reals, strict=True):
+        if names is None or text is None:
+            out.append(text)
+            continue
+        by, parts, at = dict(zip(names, values, strict=True)), [], 0
+        for a, b in sorted(_places(text, map(_shape, by)), key=lambda p: (p[0], -p[1])):
+            if a >= at and (real := by.get(text[a:b])) is not None:
+                parts += [text[at:a], real]
+                at = b
+        out.append("".join([*parts, text[at:]]))
+    return pd.Series(out, dtype=object)
+
+
 def restore_by_join(texts: DataFrame, real: DataFrame, text: str = "safe_text") -> DataFrame:
-    """Restoration for views of any size, of surrogates that stand as whole runs of [A-Za-z0-9._%+@:/-]."""
-    run = r"[A-Za-z0-9._%+@:/-]*[A-Za-z0-9]"
-    runs = texts.select(F.explode(F.array_distinct(F.regexp_extract_all(text, F.lit(run), F.lit(0)))).alias("surrogate")).distinct().join(real, "surrogate")
-    keyed = texts.withColumn("_row", F.xxhash64(F.struct(*texts.columns).cast("string")))
-    hits = keyed.select("_row", F.explode(F.array_distinct(F.regexp_extract_all(text, F.lit(run), F.lit(0)))).alias("surrogate")).distinct().join(runs, "surrogate").groupBy("_row").agg(F.map_from_entries(F.collect_list(F.struct("surrogate", "real"))).alias("_by"))
-    out = keyed.join(hits, "_row", "left")
-    return out.withColumn("restored", F.when(F.col("_by").isNull(), F.col(text)).otherwise(replaced(F.col(text), run, F.coalesce("_by", F.create_map().cast("map<string,string>"))))).drop("_row", "_by")
+    """Restoration for views of any size, of surrogates of any characters.
+
+    Tokens of a text meet the anchors of surrogates; where one stands, the text is cut as the surrogates with that anchor
+    are long, and the cuts with borders meet the view by equality. So a text meets no surrogate that it doesn't hold,
+    however many share an anchor. Equal texts are one.
+    """
+    real = real.where("surrogate != ''")
+    run = F.regexp_extract("surrogate", RUN, 0)
+    shapes = real.select(
+        F.when(run == "", F.substring("surrogate", 1, 1)).otherwise(run).alias("anchor"),
+        F.when(run == "", 0).otherwise(F.length(F.regexp_extract("surrogate", "^[^A-Za-z0-9]*", 0))).alias("before"),
+        F.length("surrogate").alias("size"),
+    ).distinct()
+    keyed = texts.withColumn("_key", F.sha2(F.col(text), 256))
+    once = materialise(keyed.where("_key is not null").select("_key", F.col(text).alias("_text")).dropDuplicates(["_key"]), "texts")
+    tokens = once.select("_key", F.explode(F.array_distinct(F.regexp_extract_all("_text", F.lit(TOKEN.pattern), F.lit(0)))).alias("anchor"))
+    met = tokens.join(shapes, "anchor").groupBy("_key").agg(F.collect_list(F.struct("anchor", "before", "size")).alias("s"))
+    candidates = F.pandas_udf(_candidates, "array<string>")
+    cut = once.join(met, "_key").select("_key", F.explode(candidates("_text", "s.anchor", "s.before", "s.size")).alias("surrogate"))
+    hits = cut.join(real, "surrogate").groupBy("_key").agg(F.collect_list(F.struct("surrogate", "real")).alias("_by"))
+    put_back = F.pandas_udf(_put_back, "string")
+    return keyed.join(hits, "_key", "left").withColumn("restored", put_back(F.col(text), "_by.surrogate", "_by.real")).drop("_key", "_by")
