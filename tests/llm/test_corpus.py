@@ -185,6 +185,15 @@ def test_line_dedup(spark, real, texts):
     assert {x for t in texts.values() for x in t.split("\n")} <= kept
 
 
+def test_line_dedup_finds_blocks_whose_lines_others_hold_first(spark):
+    x, y, z = "six words are in this line", "four words in here", "and four more here"
+    rows = [x + "\nfirst", "other\n" + y, "top\n" + x + "\n" + y + "\nend", "begin\n" + x + "\n" + y, z, x + "\n" + z + "\n" + x + "\n" + y + "\n" + z, y + "\n\n" + x + "\n" + z, "new\n" + y + "\n\n" + x]
+    got = {r["doc_id"]: r["removed_lines"] for r in line_dedup.dedup(docs_of(spark, rows)).collect()}
+    assert got == {0: [], 1: [], 2: [], 3: [1, 2], 4: [], 5: [2, 3], 6: [2, 3], 7: [1, 2, 3]}
+    assert line_dedup.common_lines([1, 2], [1, 3, 1, 2], [6, 6]) == [0, 1]
+    assert line_dedup.common_lines([1, 2, 3], [3, 1, 2], [6, 3, 9]) == []
+
+
 def test_patience_alignment():
     a, b = [1, 2, 3, 9, 9, 4, 5], [0, 1, 2, 3, 7, 9, 9, 4, 6, 5]
     pairs = line_dedup.align(a, b)

@@ -1,9 +1,10 @@
 """Line dedup by pairwise alignment.
 
-Documents that overlap are found through the hashes of lines that few documents hold: every document with such a line is
-paired with the line's first holder (smallest doc_id), so a line makes as many pairs as it has later holders,
-not all pairs of them. Lines that very many documents hold make pairs in the same way; rarity only decides which lines
-anchor an alignment, as patience diff does: lines that occur once in either document, in an increasing order, then the
+Documents that overlap are found through the hashes of lines, and of the shortest runs of lines with BLOCK_WORDS words that
+start or end at each line: every document with such a line or run is paired with its first holder (smallest doc_id), so each
+makes as many pairs as it has later holders, not all pairs of them. Every line of a block that can go lies in such a run of
+the block, so a document that has the block first is aligned even where it holds none of its lines first.
+Lines that very many documents hold make pairs in the same way; rarity only decides which lines anchor an alignment, as patience diff does: lines that occur once in either document, in an increasing order, then the
 ranges between them. Blocks of consecutive lines that the alignment has in common are deleted from the later document.
 
 A line's first holder keeps it, as no earlier document has it, so no text vanishes from the corpus.
@@ -16,6 +17,7 @@ from collections import Counter
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -24,6 +26,8 @@ from .common import written
 
 #: Words from which a line can pair documents, and from which a common block goes.
 LINE_WORDS, BLOCK_WORDS = 3, 10
+#: The prime and base of the hashes of runs of lines.
+RUN_PRIME, RUN_BASE = (1 << 61) - 1, 0x1B873593CC9E2D51
 
 
 def align(a: list[int], b: list[int]) -> list[tuple[int, int]]:
@@ -73,10 +77,28 @@ def align(a: list[int], b: list[int]) -> list[tuple[int, int]]:
     return sorted(out)
 
 
+def runs(lines: list[int], words: list[int]) -> dict[tuple[int, int], int]:
+    """64-bit hashes of the shortest runs of lines with BLOCK_WORDS words that start, or end, at each line, by (start, end)."""
+    upto = np.concatenate([[0], np.cumsum(words)])
+    # The least end of a run that starts at each line, past all lines where there is none; the last start of one that ends at each.
+    ends = np.searchsorted(upto, upto[:-1] + BLOCK_WORDS, "left")
+    starts = np.searchsorted(upto, upto[1:] - BLOCK_WORDS, "right") - 1
+    spans = {(i, j) for i, j in enumerate(ends.tolist()) if j <= len(lines)} | {(i, j) for j, i in enumerate(starts.tolist(), 1) if i >= 0}
+    if not spans:
+        return {}
+    # A polynomial modulo a prime gives the hash of every run at once, however long it is.
+    sums, powers = [0], [1]
+    for x in lines:
+        sums.append((sums[-1] * RUN_BASE + x) % RUN_PRIME)
+        powers.append(powers[-1] * RUN_BASE % RUN_PRIME)
+    return {(i, j): (sums[j] - sums[i] * powers[j - i]) % RUN_PRIME * 8 + min(j - i, 7) - (1 << 63) for i, j in spans}
+
+
 def common_lines(a: list[int], b: list[int], words: list[int]) -> list[int]:
     """Positions in a of the lines of aligned common blocks of BLOCK_WORDS words or more.
 
-    What one alignment leaves unmatched is aligned again, so blocks that have moved, or that a has twice, go too.
+    What one alignment leaves unmatched is aligned again, so blocks that have moved, or that a has twice, go too. A line
+    that was matched apart from its block, as where b has it twice, goes by the runs of lines that a and b have in common.
     """
     out: list[int] = []
     rest = list(range(len(a)))
@@ -94,6 +116,11 @@ def common_lines(a: list[int], b: list[int], words: list[int]) -> list[int]:
             last = (i, j)
         gone = {i for i, _ in matched}
         rest = [i for i in rest if i not in gone]
+    if sum(words[i] for i, x in enumerate(a) if x in held) >= BLOCK_WORDS and len(out) < sum(x in held for x in a):
+        # Lines that only b has are in no common run, so their words don't count.
+        known = dict(zip(a, words, strict=True))
+        in_b = set(runs(b, [known.get(x, 0) for x in b]).values())
+        out = sorted({*out, *(i for span, x in runs(a, words).items() if x in in_b for i in range(*span))})
     return out
 
 
@@ -112,9 +139,16 @@ def line_table(docs: DataFrame) -> DataFrame:
     return text.select("id", F.transform("l", lambda x: F.xxhash64(x)).alias("lines"), F.transform("l", lambda x: F.regexp_count(x, F.lit(r"[^\x20\x09-\x0D]+"))).alias("words"))
 
 
+def _with_runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        yield pd.DataFrame({"id": batch.id, "runs": [sorted(set(runs(a.tolist(), w.tolist()).values())) for a, w in zip(batch.lines, batch.words, strict=True)]})
+
+
 def overlapping(lines: DataFrame) -> DataFrame:
-    """Pairs (a, b), b < a: b is the first document with one of a's lines."""
-    held = lines.select("id", F.explode(F.arrays_zip("lines", "words")).alias("l")).where(F.col("l.words") >= LINE_WORDS).select("id", F.col("l.lines").alias("line")).distinct()
+    """Pairs (a, b), b < a: b is the first document with one of a's lines or runs of lines."""
+    single = lines.select("id", F.explode(F.arrays_zip("lines", "words")).alias("l")).where(F.col("l.words") >= LINE_WORDS).select("id", F.col("l.lines").alias("line"))
+    several = lines.where("id is not null").mapInPandas(_with_runs, "id bigint, runs array<bigint>").select("id", F.explode("runs").alias("line"))
+    held = single.unionByName(several).distinct()
     first = held.groupBy("line").agg(F.min("id").alias("b"), F.max("id").alias("last")).where("b < last").select("line", "b")
     return held.join(first, "line").where("b < id").select(F.col("id").alias("a"), "b").distinct()
 
@@ -126,7 +160,7 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     a = lines.select(F.col("id").alias("a"), F.col("lines").alias("lines_a"), F.col("words").alias("words_a"))
     b = lines.select(F.col("id").alias("b"), F.col("lines").alias("lines_b"))
     found = pairs.join(a, "a").join(b, "b").select("a", "lines_a", "words_a", "lines_b").mapInPandas(_aligned, "a bigint, gone array<int>")
-    # A document has no more partners than lines, so what is gathered here is bounded by its own length.
+    # A document has at most three partners for each of its lines, so what is gathered here is bounded by its own length.
     return found.select("a", F.explode("gone").alias("i")).groupBy(F.col("a").alias("id")).agg(F.sort_array(F.collect_set("i")).alias("gone"))
 
 
