@@ -194,6 +194,13 @@ def test_line_dedup_finds_blocks_whose_lines_others_hold_first(spark):
     assert line_dedup.common_lines([1, 2, 3], [3, 1, 2], [6, 3, 9]) == []
 
 
+def test_line_dedup_of_scripts_without_blanks(spark):
+    han, thai, short = "敏捷的棕色狐狸跳过懒狗。", "สวัสดีชาวโลกทั้งหลาย", "短い行"
+    rows = [f"{han}\n{thai}\n{short}", f"新\n{han}\nx", thai, short, f"{short}\n{han}"]
+    got = {r["doc_id"]: r["removed_lines"] for r in line_dedup.dedup(docs_of(spark, rows)).collect()}
+    assert got == {0: [], 1: [1], 2: [0], 3: [], 4: [1]}
+
+
 def test_patience_alignment():
     a, b = [1, 2, 3, 9, 9, 4, 5], [0, 1, 2, 3, 7, 9, 9, 4, 6, 5]
     pairs = line_dedup.align(a, b)
