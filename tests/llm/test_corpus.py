@@ -169,6 +169,20 @@ def test_schedule_prefixes_are_mixed_too(spark, real):
     assert len({(r["place"], r["rank"]) for r in slots}) == len(slots)
 
 
+def test_mixed_stream_follows_the_schedule(spark, real, texts):
+    got = [tuple(r) for r in mixing.blocks(real).collect()]
+    assert [r[0] for r in got] == sorted(r[0] for r in got)
+    words, first, n = {i: re.findall(WORD, t or "") for i, t in texts.items()}, {}, defaultdict(int)
+    for slot, i, _, at, text in got:
+        assert text.split(" ") == words[i][at : at + len(text.split(" "))]
+        first.setdefault(i, slot)
+        n[slot] += len(text.split(" "))
+    assert max(n.values()) <= mixing.BLOCK_WORDS and sum(v < mixing.BLOCK_WORDS for v in n.values()) <= real.select("source").distinct().count()
+    assert {r["doc_id"]: r["first_slot"] for r in mixing.mix(real).collect()} == {i: first.get(i) for i in texts}
+    turns = {(i, turn): slot for slot, i, turn, _, _ in reversed(got)}
+    assert [r["doc_id"] for r in mixing.mixed(real).collect()] == [i for i, _ in sorted(turns, key=lambda k: next(j for j, r in enumerate(got) if (r[1], r[2]) == k))]
+
+
 def test_line_dedup(spark, real, texts):
     long = "this line has rather more than ten words so that it counts for itself"
     rows = ["one two three\n" + long + "\nend", "start\n" + long + "\nother line", long + "\nfresh\n" + long, "short line here", "short line here", None, "", "one two three\nfour five six\nseven eight nine ten", "x\none two three\nfour five six\nseven eight nine ten\ny"]

@@ -101,18 +101,18 @@ def streams(sizes: DataFrame, sources: DataFrame) -> DataFrame:
 
 
 def block_parts(rows: DataFrame) -> DataFrame:
-    """row, turn (0 when the stream first passes), place, rank of a block, and the stream's words that the row has in that block."""
+    """row, turn (0 when the stream first passes), its start in the stream, place, rank of a block, and the stream's words that the row has in that block."""
     turns = rows.where("size > 0").select("*", F.explode(F.sequence(F.lit(0), F.lit(MOST_REPEATS - 1))).alias("turn"))
     turns = turns.withColumn("start", F.col("offset") + F.col("turn") * F.col("source_size")).where("start < target")
     turns = turns.withColumn("end", F.col("start") + F.col("size"))
     cut = turns.select("*", F.explode(F.sequence(F.floor(F.col("start") / BLOCK_WORDS), F.floor((F.col("end") - 1) / BLOCK_WORDS))).alias("rank"))
-    return cut.select("row", "turn", "place", "rank", F.greatest("start", F.col("rank") * BLOCK_WORDS).alias("from_word"), F.least("end", (F.col("rank") + 1) * BLOCK_WORDS).alias("to_word"))
+    return cut.select("row", "turn", "start", "place", "rank", F.greatest("start", F.col("rank") * BLOCK_WORDS).alias("from_word"), F.least("end", (F.col("rank") + 1) * BLOCK_WORDS).alias("to_word"))
 
 
 def taken_parts(rows: DataFrame, sources: DataFrame) -> DataFrame:
-    """row, turn, slot, words: what each slot of the schedule takes from each row."""
+    """row, turn, slot, at (words of the row before), words: what each slot of the schedule takes from each row."""
     parts = block_parts(rows).join(schedule(sources), ["place", "rank"])
-    return parts.select("row", "turn", "slot", (F.least("to_word", "end_word") - F.col("from_word")).alias("words")).where("words > 0")
+    return parts.select("row", "turn", "slot", (F.col("from_word") - F.col("start")).alias("at"), (F.least("to_word", "end_word") - F.col("from_word")).alias("words")).where("words > 0")
 
 
 def _prepared(sizes: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -121,19 +121,33 @@ def _prepared(sizes: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def mix(docs: DataFrame) -> DataFrame:
-    """doc_id, size, source_size, target, taken for each row of docs.
+    """doc_id, size, source_size, target, taken, first_slot (null where nothing is taken) for each row of docs.
 
     Null texts have size 0 and are never taken; null sources are one source, last in order. Rows that repeat are taken
     one by one; their doc_id may be null. Empty docs give an empty result, and docs without any word targets of 0.
     Further columns are ignored.
     """
     rows, sources = _prepared(written(sized(docs).withColumn("row", F.monotonically_increasing_id()), "mix-sizes"))
-    taken = taken_parts(rows, sources).groupBy("row").agg(F.sum("words").alias("taken"))
-    return rows.join(taken, "row", "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("bigint").alias("taken"))
+    taken = taken_parts(rows, sources).groupBy("row").agg(F.sum("words").alias("taken"), F.min("slot").alias("first_slot"))
+    return rows.join(taken, "row", "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("bigint").alias("taken"), "first_slot")
+
+
+def blocks(docs: DataFrame) -> DataFrame:
+    """slot, doc_id, turn, first_word (words of the text before), text: the mixed stream, in order of slots.
+
+    What a slot takes of one document is a row, its words one blank apart; within a slot rows are in order of the source's stream.
+    """
+    docs = written(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "source", "text"), "mix-docs")
+    rows, sources = _prepared(written(sized(docs, "row"), "mix-sizes"))
+    parts = taken_parts(rows, sources).join(rows.select("row", "offset"), "row").groupBy("row", "offset").agg(F.collect_list(F.struct("slot", "turn", "at", "words")).alias("parts"))
+    # Words are parted once for all parts of a row.
+    held = docs.join(parts.hint("merge"), "row").select("doc_id", "offset", "parts", word_array(F.col("text")).alias("w"))
+    cut = F.transform("parts", lambda p: F.struct(p["slot"].alias("slot"), p["turn"].alias("turn"), p["at"].alias("first_word"), F.array_join(F.slice(F.col("w"), (p["at"] + 1).cast("int"), p["words"].cast("int")), " ").alias("text")))
+    return held.select("doc_id", "offset", F.explode(cut).alias("p")).orderBy("p.slot", "p.turn", "offset", "p.first_word").select("p.slot", "doc_id", "p.turn", "p.first_word", "p.text")
 
 
 def mixed(docs: DataFrame) -> DataFrame:
-    """docs as the mix has them: each row once per turn that takes words of it, with its own columns.
+    """docs as the mix has them: each row once per turn that takes words of it, with its own columns, in order of first slots.
 
     Whole texts stay as they are; of the last document that a target reaches only the words taken stay, one blank
     apart, and n_chars, where there is one, is the length of the new text. Rows without words are in no mix.
@@ -142,8 +156,9 @@ def mixed(docs: DataFrame) -> DataFrame:
     docs = written(docs.select(F.monotonically_increasing_id().alias("row"), F.struct(*names).alias("doc")), "mix-docs")
     sizes = written(sized(docs.select("row", "doc.doc_id", "doc.source", "doc.text"), "row"), "mix-sizes")
     rows, sources = _prepared(sizes)
-    turns = taken_parts(rows, sources).groupBy("row", "turn").agg(F.sum("words").alias("words")).join(rows.select("row", "size"), "row")
+    turns = taken_parts(rows, sources).groupBy("row", "turn").agg(F.sum("words").alias("words"), F.min("slot").alias("first_slot")).join(rows.select("row", "size", "offset"), "row")
     out = docs.join(turns.hint("merge"), "row")
     text = F.when(F.col("words") == F.col("size"), F.col("doc.text")).otherwise(F.array_join(F.slice(word_array(F.col("doc.text")), 1, F.col("words").cast("int")), " "))
     new = {"text": text, "n_chars": F.when(F.col("words") == F.col("size"), F.col("doc.n_chars")).otherwise(F.length(text))} if "n_chars" in names else {"text": text}
+    out = out.orderBy("first_slot", "turn", "offset")
     return out.select(*(new.get(c, F.col(f"doc.`{c}`")).alias(c) for c in names))
