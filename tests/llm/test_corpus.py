@@ -250,6 +250,18 @@ def test_a_learned_format_is_found_and_prose_is_not(spark):
     assert [r["n_learned"] for r in got[:200]] == [0] * 200 and got[201]["n_learned"] == got[202]["n_learned"] == 0
 
 
+def test_learned_formats_reach_beyond_base_spans_and_need_no_digits(spark):
+    rng = np.random.default_rng(2)
+    key = lambda: "sk_live_" + "".join(rng.choice(list("0123456789abcdef"), 24))
+    letters = lambda: "".join(rng.choice(list("ABCDEFGHIJKLMNOPQRSTUVWXYZ"), 20))
+    rows = [f"token = {f()} is set" for _ in range(150) for f in (key, letters)] + [f"bare {key()} here", f"bare {letters()} here", "internationalisation-of-words", "institutionalised/organisations"]
+    got = secrets.scan(docs_of(spark, rows)).orderBy("doc_id").collect()[300:]
+    assert "learned:5:37" in got[0]["spans"].split(",") and got[1]["spans"] == "learned:5:25"
+    assert got[2]["n_learned"] == got[3]["n_learned"] == 0
+    _, ordinary = secrets.fit(spark.createDataFrame([(["x"], rows[-2:])], "secrets array<string>, candidates array<string>"))
+    assert sum(s.ends for s in ordinary) == 2
+
+
 def test_automata_are_stochastic_and_smaller_than_their_trees():
     strings = [f"{i:016x}" for i in range(0, 10**9, 10**6)]
     automaton = secrets.infer(strings)

@@ -3,7 +3,7 @@
 The base patterns' values are the labelled credentials. A prefix tree of a bounded sample of them is generalised as in
 ALERGIA: states whose next-symbol and ending frequencies are compatible (Hoeffding's bound, recursively) are merged into a
 deterministic probabilistic automaton. Its symbols are character classes. Every candidate, a long run of credential
-characters with letters and digits that no base span covers, is scored by its likelihood per character under the
+characters that no base span covers whole, is scored by its likelihood per character under the
 automaton against that under the text's ordinary long words; likely ones are spans too.
 """
 
@@ -177,20 +177,19 @@ def _scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             spans = base_spans(text)
             found = []
             for m in CANDIDATE.finditer(text):
-                s = m.group()
-                if any(c in "0123456789" for c in s) and any(c.isalpha() for c in s) and not any(a < m.end() and m.start() < b for _, a, b in spans):
-                    found.append((m.start(), s))
+                if not any(a <= m.start() and m.end() <= b for _, a, b in spans):
+                    found.append((m.start(), m.group()))
             out.append(([k for k, _, _ in spans], [a for _, a, _ in spans], [b for _, _, b in spans], [_value(text, *s) for s in spans], [a for a, _ in found], [s for _, s in found]))
         frame = pd.DataFrame(out, columns=["kinds", "starts", "ends", "secrets", "c_starts", "candidates"])
         frame.insert(0, "doc_id", batch.doc_id.astype("Int64").to_numpy(dtype=object, na_value=None) if len(batch) else [])
         yield frame.astype({"doc_id": "Int64"})
 
 
-def fit(scanned: DataFrame, docs: DataFrame) -> tuple[list[State], list[State]]:
-    """Automata of credentials and of ordinary long words (runs of letters), from at most FIT_ROWS of each."""
+def fit(scanned: DataFrame) -> tuple[list[State], list[State]]:
+    """Automata of credentials and of ordinary long words (candidates without digits), from at most FIT_ROWS of each, of all texts."""
     least = lambda df: [r[0] for r in df.where("s is not null").distinct().orderBy(F.xxhash64("s"), "s").limit(FIT_ROWS).collect()]
     secrets = least(scanned.select(F.explode("secrets").alias("s")))
-    words = least(docs.where(F.pmod(F.xxhash64("text"), F.lit(64)) == 0).select(F.explode(F.regexp_extract_all("text", F.lit(r"[A-Za-z+/_.=-]{16,}"), F.lit(0))).alias("s")))
+    words = least(scanned.select(F.explode("candidates").alias("s")).where(~F.col("s").rlike("[0-9]")))
     return infer(secrets), infer(words)
 
 
@@ -203,7 +202,7 @@ def scan(docs: DataFrame) -> DataFrame:
     """
     rows = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     scanned = written(rows.mapInPandas(_scan, SCANNED), "secrets-scanned")
-    secret, ordinary = fit(scanned, rows)
+    secret, ordinary = fit(scanned)
     known = len(secret) > 1
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
