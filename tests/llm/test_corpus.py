@@ -77,6 +77,13 @@ def test_suffix_dedup_is_brute_force(spark, real, texts, monkeypatch, hot):
     assert len(got) == len(pick) + 1 and {r["doc_id"]: tuple(r)[1:5] for r in got} == brute_repeats(pick)
 
 
+def test_suffix_dedup_places_beyond_their_bits(monkeypatch):
+    tuples, strings = suffix_dedup.window_hashes(np.random.default_rng(3).integers(0, 256, 5000).astype(np.uint8))
+    want = suffix_dedup.first_samples(tuples, len(strings))
+    monkeypatch.setattr(suffix_dedup, "PLACE_BITS", np.uint64(8))
+    assert want.max() > 4000 and (suffix_dedup.first_samples(tuples, len(strings)) == want).all()
+
+
 def test_suffix_dedup_null_and_repeated_ids(spark):
     t = "z" * 50 + "some words " * 20
     got = suffix_dedup.without_repeats(spark.createDataFrame([(None, t), (1, t), (1, t + "!"), (2, t)], "doc_id bigint, text string")).collect()

@@ -57,7 +57,8 @@ def window_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def first_samples(tuples: np.ndarray, starts: int) -> np.ndarray:
     """For each start, the place of the leftmost least tuple in the string of LENGTH bytes there."""
-    low = np.uint64((1 << int(PLACE_BITS)) - 1)
+    # Texts that the place's bits don't hold get more of them.
+    low = np.uint64((1 << max(int(PLACE_BITS), len(tuples).bit_length())) - 1)
     least = (tuples & ~low) | np.arange(len(tuples), dtype=np.uint64)
     size, width = 1, LENGTH - TUPLE + 1
     while 2 * size <= width:
