@@ -409,7 +409,7 @@ def test_viterbi_fold_is_the_best_path(spark):
     scores = [0.0, -2.0, -3.0, -3.1, -3.2, -4.0, -3.5, -4.5, -6.6, -9.0]
     table = spm.Pieces(spm.UNIGRAM, pieces, scores, [True] + [False] * 9, [], 0)
     units = ["▁abc", "▁cab", "▁aabbcc", "▁axb", "abcabc", "▁"]
-    got = dict(spm.encode_units(spark.createDataFrame([(u,) for u in units], "unit string").distinct(), table).collect())
+    got = dict(spm.encode_units(spark.createDataFrame([(0, u, []) for u in units], "part bigint, unit string, uses array<int>"), table).select("unit", "ids").collect())
 
     def best(u):
         paths = {0: (0.0, [])}

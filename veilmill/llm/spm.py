@@ -4,27 +4,30 @@ Texts fall into units that no piece can cross: blanks with the letters, or the o
 units of a corpus are its vocabulary. Each is exploded into substrings of bounded length, these are equi-joined to the
 piece table, and the matches, grouped by unit, are the edges of its lattice, which a higher-order aggregate
 folds into a segmentation: by Viterbi for unigram models, and for BPE models, whose encoding is no best path, by
-merging edges in the order of their scores. Texts are then put together from their units' ids, chunk by chunk: a
-chunk of documents meets the encodings of its own units only, so no task needs the vocabulary.
+merging edges in the order of their scores. A chunk of documents is coded by its own distinct units. A unit meets its uses, one for each chunk that has it, in its
+lattice's group and takes them along, so that its ids go straight to these chunks, where texts are put together again: no
+task needs the vocabulary, and nothing is joined but pieces.
 """
 
 from __future__ import annotations
 
+import hashlib
 import heapq
 import re
+import zlib
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import count
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import sentencepiece
-import zstandard
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
-
 SPACE = "▁"
 #: Characters that pieces keep apart from all others but blanks in front of them.
 LETTERS = "A-Za-zÀ-ÖØ-öø-ɏ"
@@ -32,8 +35,12 @@ LETTERS = "A-Za-zÀ-ÖØ-öø-ɏ"
 UNITS = f"\n|[0-9]|{SPACE}*[{LETTERS}]+|{SPACE}*[^{LETTERS}{SPACE}\n0-9]+|{SPACE}+"
 #: Characters of a unit from which merging leaves the fold, whose state is the bits of one long.
 FOLD_CHARS = 60
-#: Documents of a chunk, on average; most pieces that may be broadcast.
-CHUNK_DOCS, MOST_PIECES = 2_048, 300_000
+#: Characters of text in a chunk; units that are assembled at a time.
+CHUNK_BYTES, BATCH_UNITS = 32 << 20, 1 << 20
+#: Documents whose chunks share a vocabulary, which bounds the uses of one unit; documents for which that has a part of its own.
+GROUP_DOCS, PART_DOCS = 1 << 25, 4_096
+#: Most tasks of a stage; most pieces that may be broadcast.
+MOST_TASKS, MOST_PIECES = 100_000, 300_000
 UNIGRAM, BPE = 1, 2
 
 
@@ -100,6 +107,11 @@ class Pieces:
     def longest(self) -> int:
         return max(len(p) for p, s in zip(self.pieces, self.special, strict=True) if not s)
 
+    @property
+    def fold_chars(self) -> int:
+        """Characters of the longest unit that the fold takes."""
+        return 2**31 - 1 if self.kind == UNIGRAM else FOLD_CHARS
+
     def ids(self) -> dict[str, int]:
         return {p: i for i, p in enumerate(self.pieces) if not self.special[i]}
 
@@ -113,22 +125,23 @@ def units(text: Column) -> Column:
 
 
 def lattice(vocabulary: DataFrame, table: Pieces) -> DataFrame:
-    """unit, n (its characters), edges array<struct<cost, start, stop, id>>, best score first and then from the left.
+    """part, unit, n (its characters), uses, edges array<struct<cost, start, stop, id>>, best score first and then from the left.
 
-    vocabulary is partitioned by unit, and all of this stays in its partitions. Every character has an edge; the
-    id of one that is no piece is null.
+    vocabulary (part, unit, uses) is partitioned by part, and all of this stays in its partitions. Every character has an
+    edge; the id of one that is no piece is null.
     """
     spark = vocabulary.sparkSession
     rows = [(p, i, float(s)) for i, (p, s, x) in enumerate(zip(table.pieces, table.scores, table.special, strict=True)) if not x]
     pieces = F.broadcast(spark.createDataFrame(rows, "piece string, id int, score double"))
-    # Grouping by a hash first makes for cheap comparisons where groups are sorted.
-    starts = vocabulary.select(F.xxhash64("unit").alias("key"), "unit", F.length("unit").alias("n"), F.explode(F.expr("sequence(0, length(unit) - 1)")).alias("start"))
+    # Grouping by a hash first makes for cheap comparisons where groups are sorted. One edge of each unit carries its uses.
+    starts = vocabulary.select("part", F.xxhash64("unit").alias("key"), "unit", F.length("unit").alias("n"), "uses", F.explode(F.expr("sequence(0, length(unit) - 1)")).alias("start"))
+    starts = starts.select("part", "key", "unit", "n", F.when(F.col("start") == 0, F.col("uses")).alias("uses"), "start")
     parts = starts.select("*", F.explode(F.expr(f"sequence(1, least({table.longest}, n - start))")).alias("size"))
-    parts = parts.select("unit", "n", "start", "size", F.expr("substr(unit, start + 1, size)").alias("piece"), "key")
+    parts = parts.select("part", "key", "unit", "n", F.when(F.col("size") == 1, F.col("uses")).alias("uses"), "start", "size", F.expr("substr(unit, start + 1, size)").alias("piece"))
     edges = parts.join(pieces, "piece", "left").where("id is not null or size = 1")
     unseen = min(score for _, _, score in rows) - 10.0
     edge = F.struct((-F.coalesce("score", F.lit(unseen))).alias("cost"), "start", (F.col("start") + F.col("size")).alias("stop"), "id")
-    return edges.groupBy("key", "unit", "n").agg(F.sort_array(F.collect_list(edge)).alias("edges")).drop("key")
+    return edges.groupBy("part", "key", "unit", "n").agg(F.sort_array(F.collect_list(edge)).alias("edges"), F.first("uses", ignorenulls=True).alias("uses")).drop("key")
 
 
 def _character_ids(table: Pieces) -> str:
@@ -142,7 +155,7 @@ def _character_ids(table: Pieces) -> str:
 
 
 def merged(edges: DataFrame, table: Pieces) -> DataFrame:
-    """unit, ids by BPE: again and again the best edge over exactly two symbols becomes one symbol.
+    """part, unit, uses, ids by BPE: again and again the best edge over exactly two symbols becomes one symbol.
 
     The state is the set of symbol ends, one bit each. An edge applies if its ends are symbol ends and one more
     lies between them.
@@ -153,15 +166,15 @@ def merged(edges: DataFrame, table: Pieces) -> DataFrame:
     at = "filter(sequence(0, n), i -> (shiftrightunsigned(ends, i) & 1) = 1)"
     ids = "flatten(transform(slice(at, 1, size(at) - 1), (s, k) -> if(at[k + 1] = s + 1, v.chars[s], array(get(filter(v.long, x -> x.start = s and x.stop = at[k + 1]), 0).id))))"
     bound = f"transform(array(struct({long} as long, {_character_ids(table)} as chars)), v -> transform(array({ends}), ends -> transform(array({at}), at -> {ids})[0])[0])[0]"
-    return edges.select("unit", F.expr(bound).alias("ids"))
+    return edges.select("part", "unit", "uses", F.expr(bound).alias("ids"))
 
 
 def viterbi(edges: DataFrame, table: Pieces) -> DataFrame:
-    """unit, ids on the best path: one fold over positions keeps the best cost, edge and id up to each, another goes back."""
+    """part, unit, uses, ids on the best path: one fold over positions keeps the best cost, edge and id up to each, another goes back."""
     step = "struct(path[x.start].cost + x.cost as cost, x.start as start, x.id as id)"
     path = f"aggregate(sequence(1, n), array(struct(0D as cost, -1 as start, cast(null as int) as id)), (path, e) -> concat(path, array(array_min(transform(filter(edges, x -> x.stop = e), x -> {step})))))"
     back = "aggregate(sequence(1, n), struct(n as at, cast(array() as array<array<int>>) as ids), (s, i) -> if(s.at = 0, s, struct(v.path[s.at].start as at, concat(array(if(v.path[s.at].start = s.at - 1, v.chars[s.at - 1], array(v.path[s.at].id))), s.ids) as ids)), s -> flatten(s.ids))"
-    return edges.select("unit", F.expr(f"transform(array(struct({path} as path, {_character_ids(table)} as chars)), v -> {back})[0]").alias("ids"))
+    return edges.select("part", "unit", "uses", F.expr(f"transform(array(struct({path} as path, {_character_ids(table)} as chars)), v -> {back})[0]").alias("ids"))
 
 
 def merge_long(unit: str, ids: dict[str, int], scores: list[float], table: Pieces) -> list[int]:
@@ -194,66 +207,153 @@ def merge_long(unit: str, ids: dict[str, int], scores: list[float], table: Piece
 
 
 def encode_units(vocabulary: DataFrame, table: Pieces) -> DataFrame:
-    """unit, ids of distinct units, partitioned by unit."""
-    if table.kind == UNIGRAM:
-        return viterbi(lattice(vocabulary, table), table)
-    short = merged(lattice(vocabulary.where(F.length("unit") <= FOLD_CHARS), table), table)
-
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids = table.ids()
+    """part, unit, uses, ids of distinct units (part, unit, uses), partitioned as vocabulary is."""
+    return (viterbi if table.kind == UNIGRAM else merged)(lattice(vocabulary, table), table)
+
+
+def _to_bytes(batch: pa.RecordBatch) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
+def _from_bytes(data: bytes) -> pa.Table:
+    return pa.ipc.open_stream(data).read_all()
+
+
+def _chunk(keys: list, counts: list[int], codes: list[np.ndarray], at: dict[str, int], groups: int, parts: int, where: bytes) -> pa.RecordBatch:
+    """One row: a chunk's texts as codes of its distinct units, the frequent ones having small codes, and those units by part."""
+    units = list(at)
+    code = np.concatenate(codes) if codes else np.zeros(0, np.int32)
+    order = np.argsort(-np.bincount(code, minlength=len(units)), kind="stable")
+    rank = np.empty(len(units), np.int32)
+    rank[order] = np.arange(len(units), dtype=np.int32)
+    code = rank[code]
+    # Bytes of one weight stand together, which compresses best.
+    planes = pa.record_batch({f"b{k}": pa.array([(code >> 8 * k).astype(np.uint8).tobytes()], pa.large_binary()) for k in range(4)})
+    rows = pa.record_batch({"key": pa.array(keys, pa.int64()), "n": pa.array(counts, pa.int64())})
+    part = np.fromiter((zlib.crc32(u.encode()) for u in units), np.int64, len(units)) % parts
+    part += zlib.crc32(where) % groups * parts
+    sorting = sorted(range(len(units)), key=units.__getitem__)
+    named = pa.record_batch({"unit": pa.array([units[i] for i in sorting], pa.string()), "part": pa.array(part[sorting]), "code": pa.array(rank[sorting])})
+    packed = [_to_bytes(x) for x in (planes, rows, named)]
+    name = hashlib.blake2b(where + b"".join(packed), digest_size=8).digest()
+    body = pa.array([{"codes": packed[0], "rows": packed[1], "units": packed[2]}], pa.struct([("codes", pa.binary()), ("rows", pa.binary()), ("units", pa.binary())]))
+    return pa.record_batch([pa.array([int.from_bytes(name, "little", signed=True)], pa.int64()), pa.array([_to_bytes(pa.RecordBatch.from_struct_array(body))], pa.binary())], names=["chunk", "packed"])
+
+
+def _chunked(groups: int, parts: int):
+    """From key, text: chunks of about CHUNK_BYTES of text (one text at least), each one row chunk, packed."""
+
+    def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        spell, n_chunks = re.compile(UNITS), count()
+        where = lambda: b"%d.%d." % (TaskContext.get().partitionId(), next(n_chunks))
+        fresh = lambda: ([], [], [], defaultdict(count().__next__))
+        keys, counts, codes, at = fresh()
+        size = 0
         for batch in batches:
-            yield pd.DataFrame({"unit": batch.unit, "ids": [merge_long(u, ids, table.scores, table) for u in batch.unit]})
-
-    return short.unionByName(vocabulary.where(F.length("unit") > FOLD_CHARS).mapInPandas(fold, "unit string, ids array<int>"))
+            for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                text = text.as_py()
+                found = spell.findall(SPACE + text.replace(" ", SPACE)) if text else ()
+                keys.append(key)
+                counts.append(len(found))
+                codes.append(np.fromiter(map(at.__getitem__, found), np.int32, len(found)))
+                size += len(text) + 32
+                if size >= CHUNK_BYTES:
+                    yield _chunk(keys, counts, codes, at, groups, parts, where())
+                    keys, counts, codes, at = fresh()
+                    size = 0
+        if keys:
+            yield _chunk(keys, counts, codes, at, groups, parts, where())
+
+    return chunks
+
+
+def _units_by_part(most: int):
+    """From chunk, packed: part, chunk, units, codes: the units of the chunk that fall to each part, and their codes in it."""
+
+    def units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for chunk, packed in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                named = _from_bytes(_from_bytes(packed.as_py()).column("units")[0].as_py())
+                named = named.filter(pc.less_equal(pc.utf8_length(named.column("unit")), most))
+                named = named.take(pa.array(np.argsort(named.column("part").to_numpy(), kind="stable"))).combine_chunks()
+                heads = np.flatnonzero(np.diff(named.column("part").to_numpy(), prepend=-1))
+                ends = pa.array(np.append(heads, named.num_rows).astype(np.int32))
+                lists = [pa.ListArray.from_arrays(ends, named.column(c).combine_chunks()) for c in ("unit", "code")]
+                yield pa.record_batch([named.column("part").combine_chunks().take(pa.array(heads)), pa.array([chunk] * len(heads), pa.int64()), *lists], names=["part", "chunk", "units", "codes"])
 
+    return units
 
-def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """doc_id, chunk and the text, compressed before it is shuffled."""
-    press = zstandard.ZstdCompressor(level=3)
-    for batch in batches:
-        for at in range(0, batch.num_rows, 256):
-            part = batch.slice(at, 256)
-            packed = [press.compress(t.encode()) for t in part.column(2).to_pylist()]
-            yield pa.record_batch([part.column(0), part.column(1), pa.array(packed, pa.binary())], names=["doc_id", "chunk", "packed"])
 
+def _assembled(key: str, table: Pieces):
+    """From packed, codes, sizes, ids (the encodings of the chunk's units, in lists): key, ids, n_units of each of the chunk's rows.
 
-def encode(docs: DataFrame, table: Pieces, *keep: str) -> DataFrame:
-    """keep (whole-number columns; doc_id by default), ids array<int>, n_units for each row of docs.
+    The few units that are too long for the fold, one in each chunk that has it, are merged here.
+    """
 
-    A null text is encoded as an empty one: no ids. Rows that repeat are encoded each. Empty docs give an empty result;
-    further columns are ignored.
+    def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        piece_ids = table.ids()
+        for batch in batches:
+            for packed, *found in zip(*batch.columns, strict=True):
+                body = _from_bytes(packed.as_py())
+                planes, rows = (_from_bytes(body.column(c)[0].as_py()) for c in ("codes", "rows"))
+                code = sum(np.frombuffer(planes.column(f"b{k}")[0].as_buffer(), np.uint8).astype(np.int32) << 8 * k for k in range(4))
+                n = int(code.max(initial=-1)) + 1
+                length, first = np.full(n, -1, np.int64), np.zeros(n, np.int64)
+                values = np.zeros(0, np.int32)
+                if found[0].is_valid:
+                    own, sizes, values = (x.values.flatten().to_numpy() for x in found)
+                    sizes = sizes.astype(np.int64)
+                    length[own], first[own] = sizes, np.cumsum(sizes) - sizes
+                named = _from_bytes(body.column("units")[0].as_py())
+                for r in named.filter(pc.greater(pc.utf8_length(named.column("unit")), table.fold_chars)).to_pylist():
+                    ids = merge_long(r["unit"], piece_ids, table.scores, table)
+                    length[r["code"]], first[r["code"]] = len(ids), len(values)
+                    values = np.concatenate([values, np.array(ids, np.int32)])
+                if (length < 0).any():
+                    raise RuntimeError("a chunk's units are not all encoded: the rows of a recomputed task differ from those of its first run")
+                ends = np.concatenate([[0], np.cumsum(rows.column("n").to_numpy())])
+                at = 0
+                while at < rows.num_rows:
+                    stop = max(at + 1, int(np.searchsorted(ends, ends[at] + BATCH_UNITS, "right")) - 1)
+                    mine = code[ends[at] : ends[stop]]
+                    sizes = length[mine]
+                    upto = np.concatenate([[0], np.cumsum(sizes)])
+                    place = np.arange(upto[-1]) + np.repeat(first[mine] - upto[:-1], sizes)
+                    cuts = upto[ends[at : stop + 1] - ends[at]].astype(np.int32)
+                    part = rows.slice(at, stop - at)
+                    yield pa.record_batch([part.column("key").combine_chunks(), pa.ListArray.from_arrays(pa.array(cuts), pa.array(values[place])), part.column("n").combine_chunks()], names=[key, "ids", "n_units"])
+                    at = stop
+
+    return assemble
+
+
+def encode(docs: DataFrame, table: Pieces, key: str = "doc_id") -> DataFrame:
+    """key (a column of whole numbers), ids array<int>, n_units for each row of docs.
+
+    A null text is encoded as an empty one: no ids. Null keys and rows that repeat are encoded each. Empty docs give an
+    empty result; further columns are ignored.
+
+    docs is to be a scan, or another frame whose tasks give the same rows when they are run again: chunks are computed
+    once and lie in shuffle files; where these are lost and computed anew from other rows, the job fails.
     """
-    key = keep[0] if keep else "doc_id"
-    chunks = docs.count() // CHUNK_DOCS + 1
-    rows = docs.select(key, F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    rows = rows.select(key, F.pmod(F.xxhash64(key, "text"), F.lit(chunks)).alias("chunk"), "text")
-    used = rows.select("chunk", F.explode(F.array_distinct(units(F.col("text")))).alias("unit")).distinct()
-    used = written(used, "pieces-units")
-    vocabulary = used.select("unit").distinct()
-    encoded = written(encode_units(vocabulary, table), "pieces-vocabulary")
-    found = used.join(encoded, "unit").select("chunk", "unit", "ids")
-    packed = rows.mapInArrow(_packed, f"{key} bigint, chunk bigint, packed binary")
-
-    def assemble(key_of: tuple, documents: pa.Table, own: pa.Table) -> pa.Table:
-        spell = re.compile(UNITS)
-        at = {u: i for i, u in enumerate(own.column("unit").to_pylist())}
-        lists = own.column("ids").combine_chunks() if own.num_rows else pa.array([], pa.list_(pa.int32()))
-        values, ends = lists.flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int64)
-        unpack = zstandard.ZstdDecompressor()
-        out, n_units, sizes = [], [], []
-        for blob in documents.column("packed").to_pylist():
-            text = unpack.decompress(blob, max_output_size=1 << 31).decode() if blob else ""
-            found = np.fromiter((at[u] for u in spell.findall((SPACE + text.replace(" ", SPACE)) if text else "")), np.int64)
-            length = ends[found + 1] - ends[found]
-            total = int(length.sum())
-            place = np.arange(total) - np.repeat(np.cumsum(length) - length, length) + np.repeat(ends[found], length)
-            out.append(values[place].astype(np.int32))
-            n_units.append(len(found))
-            sizes.append(total)
-        ids = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(np.concatenate(out) if out else np.zeros(0, np.int32)))
-        return pa.table({key: documents.column(key), "ids": ids, "n_units": pa.array(n_units, pa.int64())})
-
-    return packed.groupBy("chunk").cogroup(found.groupBy("chunk")).applyInArrow(assemble, f"{key} bigint, ids array<int>, n_units bigint")
+    n = docs.count()
+    groups, parts = n // GROUP_DOCS + 1, min(n, GROUP_DOCS) // PART_DOCS + 2
+    tasks = min(groups * parts, MOST_TASKS)
+    rows = docs.select(F.col(key).cast("bigint"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    # Texts move once, as codes of their chunk's units. Both uses below read this one exchange.
+    chunks = rows.mapInArrow(_chunked(groups, parts), "chunk bigint, packed binary").repartition(tasks, "chunk")
+    dealt = chunks.mapInArrow(_units_by_part(table.fold_chars), "part bigint, chunk bigint, units array<string>, codes array<int>").repartition(tasks, "part")
+    used = dealt.select("part", "chunk", F.explode(F.arrays_zip("units", "codes")).alias("u")).select("part", F.col("u.units").alias("unit"), F.struct("chunk", F.col("u.codes").alias("code")).alias("use"))
+    vocabulary = used.groupBy("part", "unit").agg(F.collect_list("use").alias("uses"))
+    encoded = encode_units(vocabulary, table).select("part", "ids", F.explode("uses").alias("use")).select("part", "use.chunk", "use.code", "ids")
+    found = encoded.groupBy("part", "chunk").agg(F.collect_list(F.struct("code", "ids")).alias("e"))
+    found = found.select("chunk", F.struct(F.col("e.code").alias("codes"), F.transform("e.ids", lambda x: F.size(x)).alias("sizes"), F.flatten("e.ids").alias("ids")).alias("found"))
+    found = found.repartition(tasks, "chunk").groupBy("chunk").agg(F.collect_list("found").alias("found"))
+    both = chunks.join(found.hint("merge"), "chunk", "left").select("packed", "found.codes", "found.sizes", "found.ids")
+    return both.mapInArrow(_assembled(key, table), f"{key} bigint, ids array<int>, n_units bigint")
 
 
 def decoded(ids: Column, table: Pieces) -> Column:
