@@ -36,9 +36,9 @@ UNITS = f"\n|[0-9]|{SPACE}*[{LETTERS}]+|{SPACE}*[^{LETTERS}{SPACE}\n0-9]+|{SPACE
 #: Characters of a unit from which merging leaves the fold, whose state is the bits of one long.
 FOLD_CHARS = 60
 #: Characters of text in a chunk; units that are assembled at a time.
-CHUNK_BYTES, BATCH_UNITS = 32 << 20, 1 << 20
+CHUNK_CHARS, BATCH_UNITS = 16 << 20, 1 << 19
 #: Documents whose chunks share a vocabulary, which bounds the uses of one unit; documents for which that has a part of its own.
-GROUP_DOCS, PART_DOCS = 1 << 25, 4_096
+GROUP_DOCS, PART_DOCS = 1 << 25, 2_048
 #: Most tasks of a stage; most pieces that may be broadcast.
 MOST_TASKS, MOST_PIECES = 100_000, 300_000
 UNIGRAM, BPE = 1, 2
@@ -244,7 +244,7 @@ def _chunk(keys: list, counts: list[int], codes: list[np.ndarray], at: dict[str,
 
 
 def _chunked(groups: int, parts: int):
-    """From key, text: chunks of about CHUNK_BYTES of text (one text at least), each one row chunk, packed."""
+    """From key, text: chunks of about CHUNK_CHARS of text (one text at least), each one row chunk, packed."""
 
     def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         spell, n_chunks = re.compile(UNITS), count()
@@ -260,7 +260,7 @@ def _chunked(groups: int, parts: int):
                 counts.append(len(found))
                 codes.append(np.fromiter(map(at.__getitem__, found), np.int32, len(found)))
                 size += len(text) + 32
-                if size >= CHUNK_BYTES:
+                if size >= CHUNK_CHARS:
                     yield _chunk(keys, counts, codes, at, groups, parts, where())
                     keys, counts, codes, at = fresh()
                     size = 0
@@ -271,24 +271,26 @@ def _chunked(groups: int, parts: int):
 
 
 def _units_by_part(most: int):
-    """From chunk, packed: part, chunk, units, codes: the units of the chunk that fall to each part, and their codes in it."""
+    """From chunk, packed: part, chunk, units (in order, between line ends; "" for the line end), codes: the chunk's units of each part."""
 
-    def units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for chunk, packed in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 named = _from_bytes(_from_bytes(packed.as_py()).column("units")[0].as_py())
                 named = named.filter(pc.less_equal(pc.utf8_length(named.column("unit")), most))
                 named = named.take(pa.array(np.argsort(named.column("part").to_numpy(), kind="stable"))).combine_chunks()
                 heads = np.flatnonzero(np.diff(named.column("part").to_numpy(), prepend=-1))
-                ends = pa.array(np.append(heads, named.num_rows).astype(np.int32))
-                lists = [pa.ListArray.from_arrays(ends, named.column(c).combine_chunks()) for c in ("unit", "code")]
-                yield pa.record_batch([named.column("part").combine_chunks().take(pa.array(heads)), pa.array([chunk] * len(heads), pa.int64()), *lists], names=["part", "chunk", "units", "codes"])
+                ends = np.append(heads, named.num_rows)
+                units = ["" if u == "\n" else u for u in named.column("unit").to_pylist()]
+                units = pa.array(["\n".join(units[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.string())
+                codes = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), named.column("code").combine_chunks())
+                yield pa.record_batch([named.column("part").combine_chunks().take(pa.array(heads)), pa.array([chunk] * len(heads), pa.int64()), units, codes], names=["part", "chunk", "units", "codes"])
 
-    return units
+    return deal
 
 
-def _assembled(key: str, table: Pieces):
-    """From packed, codes, sizes, ids (the encodings of the chunk's units, in lists): key, ids, n_units of each of the chunk's rows.
+def _assembled(key: str, table: Pieces, low: int):
+    """From packed, codes, sizes, ids (less low; the encodings of the chunk's units, in lists): key, ids, n_units of each of the chunk's rows.
 
     The few units that are too long for the fold, one in each chunk that has it, are merged here.
     """
@@ -299,13 +301,16 @@ def _assembled(key: str, table: Pieces):
             for packed, *found in zip(*batch.columns, strict=True):
                 body = _from_bytes(packed.as_py())
                 planes, rows = (_from_bytes(body.column(c)[0].as_py()) for c in ("codes", "rows"))
-                code = sum(np.frombuffer(planes.column(f"b{k}")[0].as_buffer(), np.uint8).astype(np.int32) << 8 * k for k in range(4))
+                code = np.zeros(0, np.int32)
+                for k in range(4):
+                    plane = np.frombuffer(planes.column(f"b{k}")[0].as_buffer(), np.uint8)
+                    code = plane.astype(np.int32) if k == 0 else np.bitwise_or(code, plane.astype(np.int32) << 8 * k, out=code) if plane.any() else code
                 n = int(code.max(initial=-1)) + 1
                 length, first = np.full(n, -1, np.int64), np.zeros(n, np.int64)
                 values = np.zeros(0, np.int32)
                 if found[0].is_valid:
                     own, sizes, values = (x.values.flatten().to_numpy() for x in found)
-                    sizes = sizes.astype(np.int64)
+                    sizes, values = sizes.astype(np.int64), values.astype(np.int32) + low
                     length[own], first[own] = sizes, np.cumsum(sizes) - sizes
                 named = _from_bytes(body.column("units")[0].as_py())
                 for r in named.filter(pc.greater(pc.utf8_length(named.column("unit")), table.fold_chars)).to_pylist():
@@ -345,15 +350,19 @@ def encode(docs: DataFrame, table: Pieces, key: str = "doc_id") -> DataFrame:
     rows = docs.select(F.col(key).cast("bigint"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     # Texts move once, as codes of their chunk's units. Both uses below read this one exchange.
     chunks = rows.mapInArrow(_chunked(groups, parts), "chunk bigint, packed binary").repartition(tasks, "chunk")
-    dealt = chunks.mapInArrow(_units_by_part(table.fold_chars), "part bigint, chunk bigint, units array<string>, codes array<int>").repartition(tasks, "part")
-    used = dealt.select("part", "chunk", F.explode(F.arrays_zip("units", "codes")).alias("u")).select("part", F.col("u.units").alias("unit"), F.struct("chunk", F.col("u.codes").alias("code")).alias("use"))
+    dealt = chunks.mapInArrow(_units_by_part(table.fold_chars), "part bigint, chunk bigint, units string, codes array<int>").repartition(tasks, "part")
+    used = dealt.select("part", "chunk", F.explode(F.arrays_zip(F.split("units", "\n", -1).alias("units"), "codes")).alias("u"))
+    used = used.select("part", F.when(F.col("u.units") == "", "\n").otherwise(F.col("u.units")).alias("unit"), F.struct("chunk", F.col("u.codes").alias("code")).alias("use"))
     vocabulary = used.groupBy("part", "unit").agg(F.collect_list("use").alias("uses"))
     encoded = encode_units(vocabulary, table).select("part", "ids", F.explode("uses").alias("use")).select("part", "use.chunk", "use.code", "ids")
     found = encoded.groupBy("part", "chunk").agg(F.collect_list(F.struct("code", "ids")).alias("e"))
-    found = found.select("chunk", F.struct(F.col("e.code").alias("codes"), F.transform("e.ids", lambda x: F.size(x)).alias("sizes"), F.flatten("e.ids").alias("ids")).alias("found"))
+    # Ids are shuffled in two bytes where two bytes tell all pieces apart.
+    low, kind = (2**15, "array<smallint>") if len(table.pieces) <= 2**16 else (0, "array<int>")
+    ids = F.transform(F.flatten("e.ids"), lambda i: i - low).cast(kind)
+    found = found.select("chunk", F.struct(F.col("e.code").alias("codes"), F.transform("e.ids", lambda x: F.size(x)).cast("array<smallint>").alias("sizes"), ids.alias("ids")).alias("found"))
     found = found.repartition(tasks, "chunk").groupBy("chunk").agg(F.collect_list("found").alias("found"))
     both = chunks.join(found.hint("merge"), "chunk", "left").select("packed", "found.codes", "found.sizes", "found.ids")
-    return both.mapInArrow(_assembled(key, table), f"{key} bigint, ids array<int>, n_units bigint")
+    return both.mapInArrow(_assembled(key, table, low), f"{key} bigint, ids array<int>, n_units bigint")
 
 
 def decoded(ids: Column, table: Pieces) -> Column:
