@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import sentencepiece
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -31,12 +32,12 @@ from pyspark.sql import functions as F
 SPACE = "▁"
 #: Characters that pieces keep apart from all others but blanks in front of them.
 LETTERS = "A-Za-zÀ-ÖØ-öø-ɏ"
-#: Units: a line end, a digit, blanks with the letters or with the other characters after them, or blanks alone.
-UNITS = f"\n|[0-9]|{SPACE}*[{LETTERS}]+|{SPACE}*[^{LETTERS}{SPACE}\n0-9]+|{SPACE}+"
+#: Units: blanks with the letters after them, a line end, a digit, blanks with the other characters after them, or blanks alone.
+UNITS = f"{SPACE}*[{LETTERS}]+|\n|[0-9]|{SPACE}*[^{LETTERS}{SPACE}\n0-9]+|{SPACE}+"
 #: Characters of a unit from which merging leaves the fold, whose state is the bits of one long.
 FOLD_CHARS = 60
-#: Characters of text in a chunk; units that are assembled at a time.
-CHUNK_CHARS, BATCH_UNITS = 16 << 20, 1 << 19
+#: Characters of text in a chunk; units that are assembled at a time; encodings that are packed together.
+CHUNK_CHARS, BATCH_UNITS, FOUND_ROWS = 20 << 20, 1 << 19, 1 << 18
 #: Documents whose chunks share a vocabulary, which bounds the uses of one unit; documents for which that has a part of its own.
 GROUP_DOCS, PART_DOCS = 1 << 25, 2_048
 #: Most tasks of a stage; most pieces that may be broadcast.
@@ -124,23 +125,38 @@ def units(text: Column) -> Column:
     return F.regexp_extract_all(normalised(text), F.lit(UNITS), F.lit(0))
 
 
+#: A BPE edge is one long: the rank of its cost, its start, its size and its id, from the top; the id of what is no piece.
+RANK, START, SIZE, NONE = 40, 32, 24, (1 << 24) - 1
+
+
 def lattice(vocabulary: DataFrame, table: Pieces) -> DataFrame:
-    """part, unit, n (its characters), uses, edges array<struct<cost, start, stop, id>>, best score first and then from the left.
+    """part, unit, n (its characters), uses, edges, best score first and then from the left.
 
+    Edges are structs of cost, start, stop and id for unigram models, longs for BPE models, whose order of costs is all that counts.
     vocabulary (part, unit, uses) is partitioned by part, and all of this stays in its partitions. Every character has an
-    edge; the id of one that is no piece is null.
+    edge, also where it is no piece. Substrings of three characters and more are exploded in those lengths only that
+    pieces with their first three characters have.
     """
     spark = vocabulary.sparkSession
     rows = [(p, i, float(s)) for i, (p, s, x) in enumerate(zip(table.pieces, table.scores, table.special, strict=True)) if not x]
-    pieces = F.broadcast(spark.createDataFrame(rows, "piece string, id int, score double"))
+    rank = {s: k for k, s in enumerate(sorted({s for _, _, s in rows}, reverse=True))}
+    heads: dict[str, set[int]] = defaultdict(set)
+    for p, _, _ in rows:
+        if len(p) > 2:
+            heads[p[:3]].add(len(p))
+    pieces = F.broadcast(spark.createDataFrame([(*r, rank[r[2]]) for r in rows], "piece string, id int, score double, rank bigint"))
+    sizes = F.broadcast(spark.createDataFrame([(h, sorted(x)) for h, x in heads.items()] or [("", [])], "head string, sizes array<int>"))
     # Grouping by a hash first makes for cheap comparisons where groups are sorted. One edge of each unit carries its uses.
     starts = vocabulary.select("part", F.xxhash64("unit").alias("key"), "unit", F.length("unit").alias("n"), "uses", F.explode(F.expr("sequence(0, length(unit) - 1)")).alias("start"))
-    starts = starts.select("part", "key", "unit", "n", F.when(F.col("start") == 0, F.col("uses")).alias("uses"), "start")
-    parts = starts.select("*", F.explode(F.expr(f"sequence(1, least({table.longest}, n - start))")).alias("size"))
+    starts = starts.select("part", "key", "unit", "n", F.when(F.col("start") == 0, F.col("uses")).alias("uses"), "start", F.expr("substr(unit, start + 1, 3)").alias("head")).join(sizes, "head", "left")
+    parts = starts.select("*", F.explode(F.when(F.col("sizes").isNull(), F.array(F.lit(1), F.lit(2))).otherwise(F.concat(F.array(F.lit(1), F.lit(2)), "sizes"))).alias("size")).where("start + size <= n")
     parts = parts.select("part", "key", "unit", "n", F.when(F.col("size") == 1, F.col("uses")).alias("uses"), "start", "size", F.expr("substr(unit, start + 1, size)").alias("piece"))
     edges = parts.join(pieces, "piece", "left").where("id is not null or size = 1")
-    unseen = min(score for _, _, score in rows) - 10.0
-    edge = F.struct((-F.coalesce("score", F.lit(unseen))).alias("cost"), "start", (F.col("start") + F.col("size")).alias("stop"), "id")
+    if table.kind == UNIGRAM:
+        unseen = min(score for _, _, score in rows) - 10.0
+        edge = F.struct((-F.coalesce("score", F.lit(unseen))).alias("cost"), "start", (F.col("start") + F.col("size")).alias("stop"), "id")
+    else:
+        edge = F.expr(f"shiftleft(coalesce(rank, {len(rank)}L), {RANK}) | shiftleft(cast(start as bigint), {START}) | shiftleft(cast(size as bigint), {SIZE}) | coalesce(id, {NONE})")
     return edges.groupBy("part", "key", "unit", "n").agg(F.sort_array(F.collect_list(edge)).alias("edges"), F.first("uses", ignorenulls=True).alias("uses")).drop("key")
 
 
@@ -166,7 +182,9 @@ def merged(edges: DataFrame, table: Pieces) -> DataFrame:
     at = "filter(sequence(0, n), i -> (shiftrightunsigned(ends, i) & 1) = 1)"
     ids = "flatten(transform(slice(at, 1, size(at) - 1), (s, k) -> if(at[k + 1] = s + 1, v.chars[s], array(get(filter(v.long, x -> x.start = s and x.stop = at[k + 1]), 0).id))))"
     bound = f"transform(array(struct({long} as long, {_character_ids(table)} as chars)), v -> transform(array({ends}), ends -> transform(array({at}), at -> {ids})[0])[0])[0]"
-    return edges.select("part", "unit", "uses", F.expr(bound).alias("ids"))
+    bits = lambda at: f"cast(shiftright(e, {at}) & 255 as int)"
+    fields = f"transform(edges, e -> struct({bits(START)} as start, {bits(START)} + {bits(SIZE)} as stop, nullif(cast(e & {NONE} as int), {NONE}) as id))"
+    return edges.withColumn("edges", F.expr(fields)).select("part", "unit", "uses", F.expr(bound).alias("ids"))
 
 
 def viterbi(edges: DataFrame, table: Pieces) -> DataFrame:
@@ -222,50 +240,75 @@ def _from_bytes(data: bytes) -> pa.Table:
     return pa.ipc.open_stream(data).read_all()
 
 
-def _chunk(keys: list, counts: list[int], codes: list[np.ndarray], at: dict[str, int], groups: int, parts: int, where: bytes) -> pa.RecordBatch:
-    """One row: a chunk's texts as codes of its distinct units, the frequent ones having small codes, and those units by part."""
-    units = list(at)
-    code = np.concatenate(codes) if codes else np.zeros(0, np.int32)
-    order = np.argsort(-np.bincount(code, minlength=len(units)), kind="stable")
-    rank = np.empty(len(units), np.int32)
-    rank[order] = np.arange(len(units), dtype=np.int32)
-    code = rank[code]
-    # Bytes of one weight stand together, which compresses best.
-    planes = pa.record_batch({f"b{k}": pa.array([(code >> 8 * k).astype(np.uint8).tobytes()], pa.large_binary()) for k in range(4)})
-    rows = pa.record_batch({"key": pa.array(keys, pa.int64()), "n": pa.array(counts, pa.int64())})
-    part = np.fromiter((zlib.crc32(u.encode()) for u in units), np.int64, len(units)) % parts
-    part += zlib.crc32(where) % groups * parts
-    sorting = sorted(range(len(units)), key=units.__getitem__)
-    named = pa.record_batch({"unit": pa.array([units[i] for i in sorting], pa.string()), "part": pa.array(part[sorting]), "code": pa.array(rank[sorting])})
-    packed = [_to_bytes(x) for x in (planes, rows, named)]
-    name = hashlib.blake2b(where + b"".join(packed), digest_size=8).digest()
-    body = pa.array([{"codes": packed[0], "rows": packed[1], "units": packed[2]}], pa.struct([("codes", pa.binary()), ("rows", pa.binary()), ("units", pa.binary())]))
-    return pa.record_batch([pa.array([int.from_bytes(name, "little", signed=True)], pa.int64()), pa.array([_to_bytes(pa.RecordBatch.from_struct_array(body))], pa.binary())], names=["chunk", "packed"])
+def _ends(sizes: np.ndarray) -> np.ndarray:
+    return np.concatenate([[0], np.cumsum(sizes)])
+
+
+def _gathered(first: np.ndarray, sizes: np.ndarray, which: np.ndarray) -> np.ndarray:
+    """The positions of the lists that which names, end to end, if list i has sizes[i] positions from first[i] on."""
+    n = sizes[which]
+    upto = _ends(n)
+    return np.arange(upto[-1]) + np.repeat(first[which] - upto[:-1], n)
+
+
+class _Chunk:
+    """Texts as codes of the units that they have, by way of their words: each distinct word is cut into units once."""
+
+    def __init__(self):
+        self.keys, self.texts, self.words, self.size = [], [], defaultdict(count().__next__), 0
+
+    def add(self, key, text: str) -> None:
+        # A blank begins a unit, unless several stand together, which then begin one; a text is its words but for these.
+        words = text.split(" ") if text else []
+        if "" in words:
+            words = [m[1:] for m in re.findall(f"{SPACE}+[^{SPACE}]*", SPACE + text.replace(" ", SPACE))]
+        elif SPACE in text:
+            words = [m[1:] for w in words for m in re.findall(f"{SPACE}+[^{SPACE}]*", SPACE + w)]
+        self.keys.append(key)
+        self.texts.append(np.fromiter(map(self.words.__getitem__, words), np.int32, len(words)))
+        self.size += len(text) + 32
+
+    def row(self, groups: int, parts: int, where: bytes) -> pa.RecordBatch:
+        """The chunk as one row: texts as codes of its units, frequent ones having small codes, and the units by part."""
+        spell, at = re.compile(UNITS), defaultdict(count().__next__)
+        cut = [[at[u] for u in spell.findall(SPACE + w)] for w in self.words]
+        sizes = np.fromiter(map(len, cut), np.int64, len(cut))
+        of_word = np.fromiter((u for x in cut for u in x), np.int32, int(sizes.sum()))
+        words = np.concatenate(self.texts) if self.texts else np.zeros(0, np.int32)
+        code = of_word[_gathered(_ends(sizes)[:-1], sizes, words)]
+        upto = _ends(sizes[words])
+        counts = np.diff(upto[_ends(np.array([len(t) for t in self.texts]))])
+        units = list(at)
+        order = np.argsort(-np.bincount(code, minlength=len(units)), kind="stable")
+        rank = np.empty(len(units), np.int32)
+        rank[order] = np.arange(len(units), dtype=np.int32)
+        code = rank[code]
+        # Bytes of one weight stand together, which compresses best.
+        planes = pa.record_batch({f"b{k}": pa.array([(code >> 8 * k).astype(np.uint8).tobytes()], pa.large_binary()) for k in range(4)})
+        rows = pa.record_batch({"key": pa.array(self.keys, pa.int64()), "n": pa.array(counts, pa.int64())})
+        part = np.fromiter((zlib.crc32(u.encode()) for u in units), np.int64, len(units)) % parts + zlib.crc32(where) % groups * parts
+        sorting = sorted(range(len(units)), key=units.__getitem__)
+        named = pa.record_batch({"unit": pa.array([units[i] for i in sorting], pa.string()), "part": pa.array(part[sorting]), "code": pa.array(rank[sorting])})
+        packed = [_to_bytes(x) for x in (planes, rows, named)]
+        name = hashlib.blake2b(where + b"".join(packed), digest_size=8).digest()
+        body = pa.array([{"codes": packed[0], "rows": packed[1], "units": packed[2]}], pa.struct([("codes", pa.binary()), ("rows", pa.binary()), ("units", pa.binary())]))
+        return pa.record_batch([pa.array([int.from_bytes(name, "little", signed=True)], pa.int64()), pa.array([_to_bytes(pa.RecordBatch.from_struct_array(body))], pa.binary())], names=["chunk", "packed"])
 
 
 def _chunked(groups: int, parts: int):
     """From key, text: chunks of about CHUNK_CHARS of text (one text at least), each one row chunk, packed."""
 
     def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        spell, n_chunks = re.compile(UNITS), count()
+        n_chunks, chunk = count(), _Chunk()
         where = lambda: b"%d.%d." % (TaskContext.get().partitionId(), next(n_chunks))
-        fresh = lambda: ([], [], [], defaultdict(count().__next__))
-        keys, counts, codes, at = fresh()
-        size = 0
         for batch in batches:
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                text = text.as_py()
-                found = spell.findall(SPACE + text.replace(" ", SPACE)) if text else ()
-                keys.append(key)
-                counts.append(len(found))
-                codes.append(np.fromiter(map(at.__getitem__, found), np.int32, len(found)))
-                size += len(text) + 32
-                if size >= CHUNK_CHARS:
-                    yield _chunk(keys, counts, codes, at, groups, parts, where())
-                    keys, counts, codes, at = fresh()
-                    size = 0
-        if keys:
-            yield _chunk(keys, counts, codes, at, groups, parts, where())
+                chunk.add(key, text.as_py())
+                if chunk.size >= CHUNK_CHARS:
+                    yield chunk.row(groups, parts, where())
+                    chunk = _Chunk()
+        if chunk.keys:
+            yield chunk.row(groups, parts, where())
 
     return chunks
 
@@ -289,8 +332,58 @@ def _units_by_part(most: int):
     return deal
 
 
-def _assembled(key: str, table: Pieces, low: int):
-    """From packed, codes, sizes, ids (less low; the encodings of the chunk's units, in lists): key, ids, n_units of each of the chunk's rows.
+def _planes(x: np.ndarray) -> bytes:
+    x = x.astype("<u4")
+    return x.view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def _from_planes(data: bytes, n: int, at: int) -> tuple[np.ndarray, int]:
+    return np.frombuffer(data, np.uint8, 4 * n, at).reshape(4, n).T.copy().view("<u4").ravel(), at + 4 * n
+
+
+def _found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From chunk, code, ids: chunk, found: the encodings of the units of one chunk, packed, as many as come together in FOUND_ROWS."""
+    press = zstandard.ZstdCompressor(level=3)
+    held: list[pa.RecordBatch] = []
+    rows = 0
+
+    def packed() -> pa.RecordBatch:
+        table = pa.Table.from_batches(held).combine_chunks()
+        chunk, code = table.column("chunk").to_numpy(), table.column("code").to_numpy()
+        lists = table.column("ids").combine_chunks()
+        sizes, values = lists.value_lengths().to_numpy().astype(np.int64), lists.flatten().to_numpy()
+        order = np.lexsort((code, chunk))
+        chunk, code = chunk[order], code[order]
+        values, sizes = values[_gathered(_ends(sizes)[:-1], sizes, order)], sizes[order]
+        heads = np.flatnonzero(np.diff(chunk, prepend=chunk[0] - 1)) if len(chunk) else np.zeros(0, np.int64)
+        cuts, upto, out = np.append(heads, len(chunk)), _ends(sizes), []
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            head = np.array([b - a, upto[b] - upto[a]], "<i8").tobytes()
+            out.append(press.compress(head + _planes(np.diff(code[a:b], prepend=0)) + _planes(sizes[a:b]) + _planes(values[upto[a] : upto[b]])))
+        return pa.record_batch([pa.array(chunk[heads]), pa.array(out, pa.binary())], names=["chunk", "found"])
+
+    for batch in batches:
+        held.append(batch)
+        rows += batch.num_rows
+        if rows >= FOUND_ROWS:
+            yield packed()
+            held, rows = [], 0
+    if rows:
+        yield packed()
+
+
+def _unpacked(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """code, sizes, ids of what _found packed."""
+    raw = zstandard.ZstdDecompressor().decompress(data)
+    n, total = np.frombuffer(raw, "<i8", 2)
+    code, at = _from_planes(raw, int(n), 16)
+    sizes, at = _from_planes(raw, int(n), at)
+    values, _ = _from_planes(raw, int(total), at)
+    return np.cumsum(code.astype(np.int64)), sizes.astype(np.int64), values.astype(np.int32)
+
+
+def _assembled(key: str, table: Pieces):
+    """From packed, found (the encodings of the chunk's units): key, ids, n_units of each of the chunk's rows.
 
     The few units that are too long for the fold, one in each chunk that has it, are merged here.
     """
@@ -298,38 +391,31 @@ def _assembled(key: str, table: Pieces, low: int):
     def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         piece_ids = table.ids()
         for batch in batches:
-            for packed, *found in zip(*batch.columns, strict=True):
+            for packed, found in zip(*batch.columns, strict=True):
                 body = _from_bytes(packed.as_py())
-                planes, rows = (_from_bytes(body.column(c)[0].as_py()) for c in ("codes", "rows"))
+                planes, rows, named = (_from_bytes(body.column(c)[0].as_py()) for c in ("codes", "rows", "units"))
                 code = np.zeros(0, np.int32)
                 for k in range(4):
                     plane = np.frombuffer(planes.column(f"b{k}")[0].as_buffer(), np.uint8)
                     code = plane.astype(np.int32) if k == 0 else np.bitwise_or(code, plane.astype(np.int32) << 8 * k, out=code) if plane.any() else code
-                n = int(code.max(initial=-1)) + 1
-                length, first = np.full(n, -1, np.int64), np.zeros(n, np.int64)
-                values = np.zeros(0, np.int32)
-                if found[0].is_valid:
-                    own, sizes, values = (x.values.flatten().to_numpy() for x in found)
-                    sizes, values = sizes.astype(np.int64), values.astype(np.int32) + low
-                    length[own], first[own] = sizes, np.cumsum(sizes) - sizes
-                named = _from_bytes(body.column("units")[0].as_py())
-                for r in named.filter(pc.greater(pc.utf8_length(named.column("unit")), table.fold_chars)).to_pylist():
-                    ids = merge_long(r["unit"], piece_ids, table.scores, table)
-                    length[r["code"]], first[r["code"]] = len(ids), len(values)
-                    values = np.concatenate([values, np.array(ids, np.int32)])
+                long = named.filter(pc.greater(pc.utf8_length(named.column("unit")), table.fold_chars)).to_pylist()
+                merged_long = [merge_long(r["unit"], piece_ids, table.scores, table) for r in long]
+                pieces = [_unpacked(x.as_py()) for x in (found.values if found.is_valid else ())]
+                pieces.append((np.array([r["code"] for r in long], np.int64), np.array([len(x) for x in merged_long], np.int64), np.array([i for x in merged_long for i in x], np.int32)))
+                own, sizes, values = (np.concatenate([p[i] for p in pieces]) for i in range(3))
+                length, first = np.full(named.num_rows, -1, np.int64), np.zeros(named.num_rows, np.int64)
+                length[own], first[own] = sizes, _ends(sizes)[:-1]
                 if (length < 0).any():
                     raise RuntimeError("a chunk's units are not all encoded: the rows of a recomputed task differ from those of its first run")
-                ends = np.concatenate([[0], np.cumsum(rows.column("n").to_numpy())])
+                ends = _ends(rows.column("n").to_numpy())
                 at = 0
                 while at < rows.num_rows:
                     stop = max(at + 1, int(np.searchsorted(ends, ends[at] + BATCH_UNITS, "right")) - 1)
                     mine = code[ends[at] : ends[stop]]
-                    sizes = length[mine]
-                    upto = np.concatenate([[0], np.cumsum(sizes)])
-                    place = np.arange(upto[-1]) + np.repeat(first[mine] - upto[:-1], sizes)
-                    cuts = upto[ends[at : stop + 1] - ends[at]].astype(np.int32)
+                    upto = _ends(length[mine])
                     part = rows.slice(at, stop - at)
-                    yield pa.record_batch([part.column("key").combine_chunks(), pa.ListArray.from_arrays(pa.array(cuts), pa.array(values[place])), part.column("n").combine_chunks()], names=[key, "ids", "n_units"])
+                    lists = pa.ListArray.from_arrays(pa.array(upto[ends[at : stop + 1] - ends[at]].astype(np.int32)), pa.array(values[_gathered(first, length, mine)]))
+                    yield pa.record_batch([part.column("key").combine_chunks(), lists, part.column("n").combine_chunks()], names=[key, "ids", "n_units"])
                     at = stop
 
     return assemble
@@ -354,15 +440,10 @@ def encode(docs: DataFrame, table: Pieces, key: str = "doc_id") -> DataFrame:
     used = dealt.select("part", "chunk", F.explode(F.arrays_zip(F.split("units", "\n", -1).alias("units"), "codes")).alias("u"))
     used = used.select("part", F.when(F.col("u.units") == "", "\n").otherwise(F.col("u.units")).alias("unit"), F.struct("chunk", F.col("u.codes").alias("code")).alias("use"))
     vocabulary = used.groupBy("part", "unit").agg(F.collect_list("use").alias("uses"))
-    encoded = encode_units(vocabulary, table).select("part", "ids", F.explode("uses").alias("use")).select("part", "use.chunk", "use.code", "ids")
-    found = encoded.groupBy("part", "chunk").agg(F.collect_list(F.struct("code", "ids")).alias("e"))
-    # Ids are shuffled in two bytes where two bytes tell all pieces apart.
-    low, kind = (2**15, "array<smallint>") if len(table.pieces) <= 2**16 else (0, "array<int>")
-    ids = F.transform(F.flatten("e.ids"), lambda i: i - low).cast(kind)
-    found = found.select("chunk", F.struct(F.col("e.code").alias("codes"), F.transform("e.ids", lambda x: F.size(x)).cast("array<smallint>").alias("sizes"), ids.alias("ids")).alias("found"))
-    found = found.repartition(tasks, "chunk").groupBy("chunk").agg(F.collect_list("found").alias("found"))
-    both = chunks.join(found.hint("merge"), "chunk", "left").select("packed", "found.codes", "found.sizes", "found.ids")
-    return both.mapInArrow(_assembled(key, table, low), f"{key} bigint, ids array<int>, n_units bigint")
+    encoded = encode_units(vocabulary, table).select("ids", F.explode("uses").alias("use")).select("use.chunk", "use.code", "ids")
+    found = encoded.select("chunk", "code", "ids").mapInArrow(_found, "chunk bigint, found binary").repartition(tasks, "chunk").groupBy("chunk").agg(F.collect_list("found").alias("found"))
+    both = chunks.join(found.hint("merge"), "chunk", "left").select("packed", "found")
+    return both.mapInArrow(_assembled(key, table), f"{key} bigint, ids array<int>, n_units bigint")
 
 
 def decoded(ids: Column, table: Pieces) -> Column:
