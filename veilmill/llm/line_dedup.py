@@ -29,6 +29,8 @@ LINE_WORDS, BLOCK_WORDS = 3, 10
 #: A word: each letter of a script that sets no blanks between words, and each run of other characters between blanks.
 UNSPACED = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsBopomofo}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}\p{IsTibetan}"
 WORD = rf"[{UNSPACED}]|[^\x20\x09-\x0D{UNSPACED}]+"
+#: Lines without a character from here on have none of these scripts, so their words are counted without looking scripts up.
+SPACED, PLAIN_WORD = r"[\x{0E00}-\x{10FFFF}]", r"[^\x20\x09-\x0D]+"
 #: The prime and base of the hashes of runs of lines.
 RUN_PRIME, RUN_BASE = (1 << 61) - 1, 0x1B873593CC9E2D51
 
@@ -139,7 +141,7 @@ def _aligned(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def line_table(docs: DataFrame) -> DataFrame:
     """id, lines (64-bit hashes), words (per line) of the documents that take part."""
     text = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").alias("id"), F.split(F.col("text").cast("string"), "\n", -1).alias("l"))
-    return text.select("id", F.transform("l", lambda x: F.xxhash64(x)).alias("lines"), F.transform("l", lambda x: F.regexp_count(x, F.lit(WORD))).alias("words"))
+    return text.select("id", F.transform("l", lambda x: F.xxhash64(x)).alias("lines"), F.transform("l", lambda x: F.when(x.rlike(SPACED), F.regexp_count(x, F.lit(WORD))).otherwise(F.regexp_count(x, F.lit(PLAIN_WORD)))).alias("words"))
 
 
 def _with_runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
