@@ -15,6 +15,7 @@ import hashlib
 import heapq
 import re
 import zlib
+from array import array
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -271,9 +272,13 @@ class _Chunk:
     def row(self, groups: int, parts: int, where: bytes) -> pa.RecordBatch:
         """The chunk as one row: texts as codes of its units, frequent ones having small codes, and the units by part."""
         spell, at = re.compile(UNITS), defaultdict(count().__next__)
-        cut = [[at[u] for u in spell.findall(SPACE + w)] for w in self.words]
-        sizes = np.fromiter(map(len, cut), np.int64, len(cut))
-        of_word = np.fromiter((u for x in cut for u in x), np.int32, int(sizes.sum()))
+        sizes, flat = np.zeros(len(self.words), np.int64), array("i")
+        for i, w in enumerate(self.words):
+            found = spell.findall(SPACE + w)
+            sizes[i] = len(found)
+            flat.extend(map(at.__getitem__, found))
+        self.words.clear()
+        of_word = np.frombuffer(flat, np.int32) if flat else np.zeros(0, np.int32)
         words = np.concatenate(self.texts) if self.texts else np.zeros(0, np.int32)
         code = of_word[_gathered(_ends(sizes)[:-1], sizes, words)]
         upto = _ends(sizes[words])
