@@ -36,6 +36,9 @@ LENGTH, TUPLE = 100, 36
 #: Blocks of a name from which its starts are dealt out one by one; fewer are judged together, in about 1 KB of memory each.
 HOT_BLOCKS = 65_536
 PLACE_BITS = np.uint64(28)
+#: One document in so many tells which names are frequent; least blocks of a frequent name among these, and most such names;
+#: tasks over which a frequent name is spread.
+SAMPLED, FREQUENT, MOST_FREQUENT, SALTS = 16, 256, 100_000, 256
 
 
 def _light(h: np.ndarray) -> np.ndarray:
@@ -228,17 +231,30 @@ def _identified(docs: DataFrame) -> DataFrame:
     return rows.withColumn("hash", F.xxhash64("text")).join(several, ["doc", "hash"], "left").select("doc", F.coalesce("part", F.lit(0)).alias("part"), "text")
 
 
+BLOCKS = "name bigint, block bigint, doc bigint, part int, lo int, hi int"
+
+
+def frequent_names(rows: DataFrame) -> DataFrame:
+    """name of at most MOST_FREQUENT names with many blocks, as a share of the documents shows; decides only how names are spread."""
+    some = rows.where(F.pmod(F.xxhash64("doc"), F.lit(SAMPLED)) == 0).mapInArrow(_blocks, BLOCKS).groupBy("name").agg(F.count("*").alias("n")).where(F.col("n") >= FREQUENT)
+    some = written(some, "suffix-frequent")
+    total = some.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    return some.where(F.col("n") > total // MOST_FREQUENT).select("name")
+
+
 def repeated_runs(rows: DataFrame) -> DataFrame:
     """doc, part, lo, hi: runs of starts of 100-byte strings that start earlier too; of rows doc, part, text."""
-    blocks = rows.where("doc is not null").mapInArrow(_blocks, "name bigint, block bigint, doc bigint, part int, lo int, hi int")
-    named = Window.partitionBy("name").orderBy("block", "doc", "part", "lo")
-    every = Window.partitionBy("name")
-    alike = Window.partitionBy("name", "block").orderBy("doc", "part", "lo")
-    seen = blocks.withColumn("n", F.count("*").over(every)).where("n > 1")
+    rows = rows.where("doc is not null")
+    blocks = rows.mapInArrow(_blocks, BLOCKS).join(F.broadcast(frequent_names(rows).withColumn("frequent", F.lit(True))), "name", "left")
+    # A frequent name has several blocks anyway, so only equal blocks of it must meet; its first ones are all looked into.
+    blocks = blocks.withColumn("salt", F.when(F.col("frequent"), F.pmod("block", F.lit(SALTS))).otherwise(-1))
+    every = Window.partitionBy("name", "salt")
+    alike = Window.partitionBy("name", "salt", "block").orderBy("doc", "part", "lo")
+    seen = blocks.withColumn("n", F.count("*").over(every)).where("n > 1 or frequent")
     seen = seen.withColumn("first", F.first(F.struct("doc", "part", "lo")).over(alike)).withColumn("again", F.struct("doc", "part", "lo") != F.col("first"))
-    seen = seen.withColumn("other", F.max("block").over(every) != F.min("block").over(every)).where("again or other")
-    seen = written(seen.select("name", "doc", "part", "lo", "hi", "n", "again"), "suffix-blocks")
-    checks = seen.where("not again").groupBy("doc", "part").agg(F.collect_list(F.struct("name", "lo", "hi", (F.col("n") > HOT_BLOCKS).alias("hot"))).alias("checks"))
+    seen = seen.withColumn("other", F.col("frequent").isNotNull() | (F.max("block").over(every) != F.min("block").over(every))).where("again or other")
+    seen = written(seen.select("name", "doc", "part", "lo", "hi", (F.col("frequent").isNotNull() | (F.col("n") > HOT_BLOCKS)).alias("hot"), "again"), "suffix-blocks")
+    checks = seen.where("not again").groupBy("doc", "part").agg(F.collect_list(F.struct("name", "lo", "hi", "hot")).alias("checks"))
     texts = rows.mapInArrow(_packed, "doc bigint, part int, packed binary")
     cut = texts.join(checks, ["doc", "part"]).select("doc", "part", "packed", "checks").mapInArrow(_cut, "name bigint, hot boolean, doc bigint, part int, lo int, span binary")
     cut = written(cut, "suffix-cut")
