@@ -21,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,8 +30,11 @@ from .components import components
 from .shingles import mix, shingle_sets, slices
 
 WORDS, PERCENT = 5, 80
-#: Documents whose ids may be broadcast: 16 bytes each.
+#: Documents whose ids may be broadcast: 16 bytes each; beyond that, compressed texts meet them by a shuffle.
 BROADCAST_ROWS = 1_000_000
+#: One set in so many tells which tokens are frequent; least sets of a frequent token among these, and most such tokens;
+#: tasks over which a frequent token is spread.
+SAMPLED, FREQUENT, MOST_FREQUENT, SALTS = 16, 256, 100_000, 256
 ORDERS = 3
 
 
@@ -90,26 +94,60 @@ def signatures(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(_signed, "doc_id bigint, n_shingles bigint, sign binary, prefix array<bigint>")
 
 
+def frequent_tokens(postings: DataFrame) -> DataFrame:
+    """token of at most MOST_FREQUENT tokens of many sets, as a share of the postings (e, token) shows; decides only how tokens are spread."""
+    some = postings.where(F.pmod(F.xxhash64("e"), F.lit(SAMPLED)) == 0).distinct().groupBy("token").count().where(F.col("count") >= FREQUENT)
+    some = written(some, "join-frequent")
+    total = some.agg(F.coalesce(F.sum("count"), F.lit(0))).first()[0]
+    return some.where(F.col("count") > total // MOST_FREQUENT).select("token", F.lit(True).alias("frequent"))
+
+
 def _survivors(signed: DataFrame) -> DataFrame:
     """id (smallest doc_id), n of each distinct set that meets enough other sets in its prefix."""
     found = signed.where("n_shingles > 0")
     short = F.expr("conv(substr(hex(sign), 1, 15), 16, 10)").cast("bigint")
     postings = found.select(short.alias("e"), F.explode("prefix").alias("token"))
-    group = Window.partitionBy("token")
-    shared = postings.withColumn("shared", F.min("e").over(group) < F.max("e").over(group)).where("shared").groupBy("e", "token").agg(F.lit(1)).groupBy("e").count()
+    postings = postings.join(F.broadcast(frequent_tokens(postings)), "token", "left").withColumn("salt", F.when(F.col("frequent"), F.pmod("e", F.lit(SALTS))).otherwise(-1))
+    # That a frequent token is shared is known.
+    group = Window.partitionBy("token", "salt")
+    postings = postings.withColumn("shared", F.col("frequent").isNotNull() | (F.min("e").over(group) < F.max("e").over(group)))
+    shared = postings.where("shared").groupBy("e", "token").agg(F.lit(1)).groupBy("e").count()
     sets = found.where("doc_id is not null").groupBy("sign").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n")).withColumn("e", short)
     enough = F.expr(f"greatest(1, cast(ceil(n * {PERCENT} / 100) as bigint) div 10)")
     return sets.join(shared, "e").where(F.col("count") >= enough).select("id", "n")
 
 
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """doc_id, text compressed before it is shuffled."""
+    press = zstandard.ZstdCompressor(level=1)
+    for batch in batches:
+        packed = [None if t is None else press.compress(t.encode()) for t in batch.column(1).to_pylist()]
+        yield pa.record_batch([batch.column(0), pa.array(packed, pa.binary())], names=["doc_id", "packed"])
+
+
+def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    unpack = zstandard.ZstdDecompressor()
+    for batch in batches:
+        for at in range(0, batch.num_rows, 256):
+            some = batch.slice(at, 256)
+            texts = [None if b is None else unpack.decompress(b, max_output_size=1 << 31).decode() for b in some.column(1).to_pylist()]
+            yield pa.record_batch([some.column(0), pa.array(texts, pa.string())], names=["doc_id", "text"])
+
+
 def prefix_sets(docs: DataFrame, survivors: DataFrame) -> DataFrame:
     """id, n, tokens, first, others of the surviving sets."""
     chosen = survivors.select(F.col("id").alias("_id"))
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    met = F.col("doc_id") == F.col("_id")
     if survivors.count() <= BROADCAST_ROWS:
-        chosen = F.broadcast(chosen)
-    texts = docs.select("doc_id", "text").join(chosen, F.col("doc_id") == F.col("_id"), "left_semi")
+        texts = texts.join(F.broadcast(chosen), met, "left_semi")
+    else:
+        packed = texts.mapInArrow(_packed, "doc_id bigint, packed binary").join(chosen.hint("merge"), met, "left_semi")
+        texts = packed.mapInArrow(_unpacked, "doc_id bigint, text string")
     tokens = texts.mapInArrow(_full, "id bigint, tokens array<bigint>").select("id", F.explode("tokens").alias("token"))
-    counted = tokens.withColumn("df", F.count("*").over(Window.partitionBy("token"))).where("df > 1")
+    tokens = tokens.join(F.broadcast(frequent_tokens(tokens.withColumnRenamed("id", "e"))), "token", "left").withColumn("salt", F.when(F.col("frequent"), F.pmod("id", F.lit(SALTS))).otherwise(-1))
+    # Frequent tokens stand behind all others in each order; among themselves the order needs no counts.
+    counted = tokens.withColumn("df", F.when(F.col("frequent"), F.lit(2**31 - 1)).otherwise(F.count("*").over(Window.partitionBy("token", "salt")))).where("df > 1")
     sets = counted.groupBy("id").agg(F.collect_list(F.struct(F.col("df").cast("int").alias("df"), "token")).alias("t"))
     sets = sets.join(survivors, "id").select("id", "n", F.col("t.df").alias("dfs"), F.col("t.token").alias("tokens"))
     return sets.mapInArrow(_ordered, "id bigint, n bigint, tokens array<bigint>, first array<bigint>, others array<array<bigint>>")
@@ -136,7 +174,6 @@ def linked_components(sets: DataFrame) -> DataFrame:
     postings = postings.withColumn("rank", F.row_number().over(by_rank) - 1)
     postings = postings.withColumn("size", F.count("*").over(Window.partitionBy("token"))).where("size > 1")
     postings = written(postings, "join-postings")
-    edges = spark.createDataFrame([], "a bigint, b bigint")
     labels = spark.createDataFrame([], "node bigint, component bigint")
     low, high, single = 0, 1, True
     while True:
@@ -152,8 +189,7 @@ def linked_components(sets: DataFrame) -> DataFrame:
         pairs = written(pairs, "join-pairs")
         n_pairs = pairs.count()
         if n_pairs and (new := written(verified(pairs, sets), "join-links")).count():
-            edges = edges.union(new)
-            labels = components(edges)
+            labels = components(labels.select(F.col("node").alias("a"), F.col("component").alias("b")).union(new))
         elif not n_pairs and not single and not open_groups.where(F.col("size") > high).count():
             return labels
         if single:
