@@ -28,7 +28,7 @@ from .common import new_folder, written
 REVISIT_BYTES = 100
 #: Bytes read or inflated at a time; most records in an archive.
 CHUNK, FILE_RECORDS = 1 << 16, 1_000
-#: Revisits that may be broadcast, of about 100 bytes each; more are joined by shuffling.
+#: Revisits that may be broadcast, of about 100 bytes each; beyond that, compressed payloads meet them by a shuffle.
 BROADCAST_ROWS = 200_000
 #: Most tasks for the files' sake; each takes several files beyond that.
 MOST_TASKS = 4_096
@@ -212,12 +212,26 @@ def revisits(pages: DataFrame) -> DataFrame:
     return large.join(first, "key").where("refers_to < page_id").select("page_id", F.lower(F.hex("key")).alias("digest"), "refers_to").distinct()
 
 
+def _deflated(unpack: bool):
+    """The payload column compressed before it is shuffled, or as it was."""
+
+    def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield batch.assign(payload=[zlib.decompress(p) if unpack else zlib.compress(p, 1) for p in batch.payload])
+
+    return task
+
+
 def plan_records(pages: DataFrame) -> DataFrame:
     """page_id, url, payload, digest, refers_to of each row of pages. Payloads move only if there are too many revisits to broadcast."""
     again = written(revisits(pages), "warc-revisits")
+    rows, columns = _payloads(pages).select("page_id", "url", "payload", "digest"), "page_id bigint, url string, payload binary, digest string"
     if again.count() <= BROADCAST_ROWS:
-        again = F.broadcast(again)
-    return _payloads(pages).join(again, ["page_id", "digest"], "left").select("page_id", "url", "payload", "digest", "refers_to")
+        return rows.join(F.broadcast(again), ["page_id", "digest"], "left").select("page_id", "url", "payload", "digest", "refers_to")
+    moved = rows.mapInPandas(_deflated(False), columns).join(again.hint("merge"), ["page_id", "digest"], "left").select("page_id", "url", "payload", "digest", "refers_to")
+    # Refers_to is null for most rows, which pandas would turn into a float; it keeps to text on the way.
+    moved = moved.withColumn("refers_to", F.col("refers_to").cast("string")).mapInPandas(_deflated(True), columns + ", refers_to string")
+    return moved.withColumn("refers_to", F.col("refers_to").cast("bigint"))
 
 
 def round_trip(pages: DataFrame) -> DataFrame:
