@@ -87,8 +87,11 @@ def test_suffix_dedup_places_beyond_their_bits(monkeypatch):
 def test_suffix_dedup_null_and_repeated_ids(spark):
     t = "z" * 50 + "some words " * 20
     got = suffix_dedup.without_repeats(spark.createDataFrame([(None, t), (1, t), (1, t + "!"), (2, t)], "doc_id bigint, text string")).collect()
-    assert sorted(r["n_removed"] > 100 for r in got) == [False, False, True, True] or sum(r["n_removed"] >= len(t) - 60 for r in got) >= 2
-    assert [r["n_removed"] for r in got if r["doc_id"] is None] == [0]
+    # The null row is judged apart; the two texts of document 1 come one after the other, and what they hold goes from document 2.
+    inner = brute_repeats([(0, t)])[0][1]
+    assert [r["n_removed"] for r in got if r["doc_id"] is None] == [0] and [r["n_removed"] for r in got if r["doc_id"] == 2] == [len(t)]
+    ones = sorted((r["n_bytes"], r["n_removed"]) for r in got if r["doc_id"] == 1)
+    assert ones in ([(270, inner), (271, 270)], [(270, 270), (271, brute_repeats([(0, t + "!")])[0][1])])
 
 
 def base_stats(text):
@@ -359,18 +362,66 @@ def test_topk_is_brute_force(spark, monkeypatch):
     monkeypatch.setattr(topk, "STRIPE", 16)
     rng = np.random.default_rng(0)
     rows = [(i, [float(x) for x in rng.normal(size=24)]) for i in range(300)] + [(300 + i, [0.5] * 24) for i in range(30)]
+    rows += [(1000 + i, [float(c) * 10.0**e for c in rng.normal(size=24)]) for i, e in enumerate((12, 18, 18, 30, 300, 300) * 8)]
     rows += [(900, None), (901, [1.0, None]), (902, [float("nan")] * 24), (903, []), (904, [1.0] * 3), (20, rows[20][1]), (920, [1e12] * 24)]
     df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>").withColumn("score", F.lit(1))
     got = sorted(map(tuple, topk.top_k(df, F.expr("vec_id % 20 = 0")).collect()))
-    ints = {i: [int(np.floor(64 * c)) for c in v] for i, v in rows if v and all(c is not None and np.isfinite(c) for c in v)}
+    ints = {i: [int(np.floor(64 * c)) for c in v] for i, v in rows if v is not None and all(c is not None and np.isfinite(c) for c in v)}
     want = []
     for q in ints:
         if q % 20 == 0:
             found = sorted((-sum(a * b for a, b in zip(ints[q], ints[i], strict=True)), i) for i in ints if i != q and len(ints[i]) == len(ints[q]))[:20]
-            want += [(q, r, i, -s) for r, (s, i) in enumerate(found, 1)]
+            want += [(q, r, i, max(min(-s, 2**63 - 1), -(2**63))) for r, (s, i) in enumerate(found, 1)]
     assert got == sorted(want)
 
 
+def test_topk_bounds_spare_most_blocks_of_clustered_vectors(spark, monkeypatch):
+    monkeypatch.setattr(topk, "VECTORS", 128)
+    monkeypatch.setattr(topk, "QUERIES", 16)
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(12, 4)).repeat(8, axis=1) * 3
+    rows = [(i, (centres[i % 12] + rng.normal(size=32) / 20).tolist()) for i in range(3000)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    x = np.floor(64 * np.array([v for _, v in rows]))
+    best = {(q, r): (i, s) for q, r, i, s in topk.top_k(df, F.expr("vec_id % 20 = 0"), 5).collect()}
+    for q in range(0, 3000, 20):
+        scores = x @ x[q]
+        scores[q] = -np.inf
+        assert [best[q, r] for r in range(1, 6)] == [(i, scores[i]) for i in np.lexsort((np.arange(3000), -scores))[:5]]
+    q, v = topk.prepared(df, F.expr("vec_id % 20 = 0"))
+    floors = {i: s for (i, r), (_, s) in best.items() if r == 5}
+    least = defaultdict(lambda: np.inf)
+    for r in q.select("vec_id", "qb").collect():
+        least[r["qb"]] = min(least[r["qb"]], floors[r["vec_id"]])
+    pairs = topk.block_pairs(q, v).collect()
+    share = sum(r["bound"] < least[r["qb"]] for r in pairs) / len(pairs)
+    print(f"pairs of blocks that bounds spare: {share:.0%} of {len(pairs)}")
+    assert len(pairs) > 150 and share > 0.6
+
+
+@pytest.mark.parametrize("rows", [1_000_000, 0])
+def test_joins_with_and_without_broadcast_agree(spark, monkeypatch, texts, rows):
+    monkeypatch.setattr(ngram_join, "BROADCAST_ROWS", rows)
+    monkeypatch.setattr(warc, "BROADCAST_ROWS", rows)
+    some = dict(enumerate([*list(texts.values())[:60], *list(texts.values())[:10], None, ""]))
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.near_duplicates(docs_of(spark, list(some.values()))).collect()}
+    assert got == brute_links(some)
+    html = ["<p>" + "x" * 200, "short", "<p>" + "x" * 200, None, "<b>" + "é" * 90]
+    pages = spark.createDataFrame(list(enumerate(html, 1)), "page_id bigint, html string").withColumn("url", F.lit("u"))
+    assert sorted((r["page_id"], r["record_type"], r["refers_to"], r["payload_bytes"]) for r in warc.round_trip(pages).collect()) == [(1, "response", None, 203), (2, "response", None, 5), (3, "revisit", 1, 203), (4, "response", None, 0), (5, "response", None, 183)]
+
+
+def test_frequent_names_and_tokens_change_no_result(spark, texts, monkeypatch):
+    for module in (suffix_dedup, ngram_join):
+        monkeypatch.setattr(module, "SAMPLED", 1)
+        monkeypatch.setattr(module, "FREQUENT", 3)
+    pick = [*list(texts.items())[:50], *[(1000 + i, "a passage that many documents hold, word for word, and which is rather longer than a hundred bytes " + "xyz"[: i % 4]) for i in range(12)]]
+    got = suffix_dedup.without_repeats(spark.createDataFrame(pick, "doc_id bigint, text string")).collect()
+    assert {r["doc_id"]: tuple(r)[1:5] for r in got} == brute_repeats(pick)
+    rows = spark.createDataFrame(pick, "doc_id bigint, text string")
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.near_duplicates(rows).collect()} == brute_links(dict(pick))
+
+
 def test_pu_classifier_on_held_out_rows(spark):
     folder = FOLDER.replace("0.001", "0.1")
     docs, labels = common.load(spark, folder, "documents").where("doc_id < 4000"), common.load(spark, folder, "labels")
