@@ -49,6 +49,26 @@ TOKEN_FORMATS = (
     ("IBAN_CODE", r"\b[A-Z]{2}\d{2}(?:[ ]?[A-Z0-9]{4}){2,7}(?:[ ]?[A-Z0-9]{1,3})?\b", 0.92, ()),
 )
 
+# By country code, the leading digits of national numbers that are set aside for fiction; X is any area code's three.
+FICTION_NUMBERS = {
+    "1": ("NXX55501",), "33": ("19900", "26191", "35301", "46571", "53649", "63998"), "44": ("7700900", "2079460", "1134960", "1144960", "1154960", "1164960", "1174960", "1184960", "1214960", "1314960", "1414960", "1514960", "1614960"),
+    "61": ("25550", "35550", "75550", "85550", "491570"), "46": ("3139006", "4062804", "8465004", "9803192", "7017406"),
+}
+
+# Directories whose names are public, and endings of files that tell only a format.
+PUBLIC_DIRECTORIES = (
+    "bin", "boot", "dev", "etc", "home", "lib", "lib64", "media", "mnt", "opt", "proc", "root", "run", "sbin", "srv", "sys", "tmp", "usr", "var", "Users", "Library", "Applications", "local", "share", "log", "logs", "cache", "spool",
+    "src", "test", "tests", "docs", "config", "data", "build", "dist", "target", "include", "scripts", "assets", "static", "public", "templates", "node_modules", "site-packages", "Documents", "Downloads", "Desktop", ".config", ".cache", "C:",
+)
+PUBLIC_EXTENSIONS = (
+    "c", "h", "cc", "cpp", "cs", "css", "csv", "go", "html", "ini", "ipynb", "java", "jpg", "js", "json", "jsx", "kt", "lock", "log", "md", "parquet", "pdf", "php", "png", "proto", "py", "rb", "rs", "scala", "sh", "sql", "svg", "swift", "tar", "tf",
+    "toml", "ts", "tsx", "txt", "xml", "yaml", "yml", "zip", "gz", "docx", "xlsx", "pptx", "conf", "cfg", "env", "pem", "key", "crt",
+)
+# Words by which a postal address names its way, in the languages of the recogniser, and their order with the name.
+WAYS_BEFORE = ("rue", "avenue", "boulevard", "place", "chemin", "impasse", "allée", "quai", "route", "calle", "plaza", "paseo", "via", "piazza")
+WAYS_AFTER = ("street", "road", "lane", "drive", "court", "square", "way", "close", "terrace", "avenue", "boulevard")
+WAYS_JOINED = ("straße", "strasse", "weg", "platz", "gasse", "allee")
+
 # Words of surrogates, our own; any list would do, as nothing depends on the words themselves.
 SERVICE_WORDS = (
     "amber", "anvil", "aspen", "basil", "beacon", "birch", "bramble", "breeze", "cedar", "cinder", "clover", "cobalt", "comet", "coral", "crane", "dahlia",

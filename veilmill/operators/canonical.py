@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -37,6 +40,51 @@ def ipv4_text(number: Column) -> Column:
     return F.concat_ws(".", *(F.pmod(F.shiftright(number, 8 * i), F.lit(256)).cast("string") for i in (3, 2, 1, 0)))
 
 
+def bound(value: Column, result) -> Column:
+    """result(value) with the value computed once, wherever and however often the result has it."""
+    return F.get(F.transform(F.array(value), result), F.lit(0))
+
+
+def ipv6_groups(value: Column) -> Column:
+    """The eight groups of an IPv6 address, four lower-case hex digits each; null for anything else. A zone behind % is dropped."""
+    side = lambda x: F.filter(F.split(x, ":"), lambda g: g != "")
+
+    def sides(low: Column) -> Column:
+        cut = F.contains(low, F.lit("::"))
+        right = F.when(cut, side(F.regexp_replace(low, r"\A.*::", ""))).otherwise(F.array().cast("array<string>"))
+        return F.struct(low.alias("low"), cut.alias("cut"), side(F.substring_index(low, "::", 1)).alias("left"), right.alias("right"))
+
+    def groups(s: Column) -> Column:
+        missing = F.lit(8) - F.size(s["left"]) - F.size(s["right"])
+        fine = ~s["low"].rlike(r":::|::.*::|\A:[^:]|[^:]:\z|[0-9a-f]{5}") & F.when(s["cut"], missing > 0).otherwise(missing == 0)
+        return F.when(fine, F.transform(F.concat(s["left"], F.array_repeat(F.lit("0"), F.greatest(missing, F.lit(0))), s["right"]), lambda g: F.lpad(g, 4, "0")))
+
+    found = bound(bound(F.lower(F.regexp_replace(value, r"%[^%]*\z", "")), sides), groups)
+    return F.when(value.rlike(r"(?i)\A[0-9a-f:]*:[0-9a-f:]*:[0-9a-f:]*(?:%.*)?\z"), found)
+
+
+def network(value: Column) -> Column:
+    """struct<base, bits> of an IPv4 network in CIDR notation, its host bits cleared; null for anything else."""
+
+    def cleared(n: Column) -> Column:
+        size = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.lit(32) - n["bits"])
+        return F.when(n["base"].isNotNull() & n["bits"].between(0, 32), F.struct((n["base"] - F.pmod(n["base"], size)).alias("base"), n["bits"].alias("bits")))
+
+    parts = F.struct(ipv4_number(F.substring_index(value, "/", 1)).alias("base"), F.regexp_extract(value, r"/([0-9]{1,2})\z", 1).try_cast("int").alias("bits"))
+    return F.when(value.rlike(r"\A[0-9.]+/[0-9]{1,2}\z"), bound(parts, cleared))
+
+
+def nfc(value: Column) -> Column:
+    """Unicode normalisation, composed: a pandas UDF over what isn't ASCII; ASCII is its own."""
+
+    @F.pandas_udf("string")
+    def composed(x: pd.Series) -> pd.Series:
+        return x.map(lambda t: None if t is None else unicodedata.normalize("NFC", t)).astype(object)
+
+    plain = value.rlike(r"\A\p{ASCII}*\z")
+    return F.when(plain, value).otherwise(composed(F.when(~plain, value)))
+
+
 #: Address ranges that are private without being set aside for documentation or benchmarks: first and last number.
 PRIVATE_RANGES = tuple((int(a, 16), int(b, 16)) for a, b in (("00000000", "00FFFFFF"), ("0A000000", "0AFFFFFF"), ("7F000000", "7FFFFFFF"), ("A9FE0000", "A9FEFFFF"), ("AC100000", "AC1FFFFF"), ("C0A80000", "C0A8FFFF"), ("F0000000", "FFFFFFFF")))
 
@@ -70,30 +118,43 @@ def repository(value: Column, short_form: Column) -> Column:
 
 
 def canonical(kind: Column, value: Column) -> Column:
-    """struct<key, kind, attrs map, normalized>. Values are taken as normalised text already; see functions.text.nfc()."""
+    """struct<key, kind, attrs map, normalized>. Values are taken as normalised text already; see nfc()."""
     v = F.trim(value)
     v = F.when(kind.isin("URL", "REPO"), without_userinfo(v)).otherwise(v)
     slashes = F.length(v) - F.length(F.replace(v, F.lit("/"), F.lit("")))
     v = F.when(kind.isin("URL", "REPO") & F.endswith(v, F.lit("/")) & slashes.isin(1, 3), F.regexp_replace(v, r"/\z", "")).otherwise(v)
-    low, number = F.lower(v), ipv4_number(v)
-    host = F.rtrim(low, F.lit("."))
-    short, zone = F.substring_index(host, ".", 1), F.when(F.contains(host, F.lit(".")), F.regexp_replace(host, r"\A[^.]*\.", "")).otherwise("")
-    local, domain = F.substring_index(low, "@", 1), F.regexp_replace(low, r"\A[^@]*@", "")
-    repo = F.when(kind.isin("URL", "REPO"), repository(v, kind == "REPO"))
-    bare = ~F.contains(v, F.lit("://")) & F.contains(v, F.lit(".")) & ~v.rlike(r"[/?#@ \t]")
-    is_host = kind.isin("HOSTNAME", "FQDN", "CERT_CN", "HEX_HOSTNAME") | ((kind == "URL") & bare)
-
-    def made(key: Column, of: str, **attrs: Column) -> Column:
+
+    def derived(v: Column) -> Column:
+        low = F.lower(v)
+        bare = ~F.contains(v, F.lit("://")) & F.contains(v, F.lit(".")) & ~v.rlike(r"[/?#@ \t]")
+        address = kind.isin("IP_ADDRESS", "CIDR")
+        is_host = kind.isin("HOSTNAME", "FQDN", "CERT_CN", "HEX_HOSTNAME") | ((kind == "URL") & bare)
+        return F.struct(
+            v.alias("v"), low.alias("low"), F.when(address, ipv4_number(v)).alias("number"), F.when(address, ipv6_groups(v)).alias("six"), F.when(address, network(v)).alias("block"),
+            F.rtrim(low, F.lit(".")).alias("host"), F.when(kind.isin("URL", "REPO"), repository(v, kind == "REPO")).alias("repo"), is_host.alias("is_host"), environment(low).alias("env"),
+        )
+
+    def made(d: Column, key: Column, of: str, **attrs: Column) -> Column:
         pairs = [x for k, c in attrs.items() for x in (F.lit(k), c.cast("string"))]
         table = F.create_map(*pairs) if pairs else F.create_map().cast("map<string,string>")
-        return F.struct(key.alias("key"), F.lit(of).alias("kind"), table.alias("attrs"), v.alias("normalized"))
-
-    return (
-        F.when((kind == "DATE") & F.try_to_date(v, "yyyy-MM-dd").isNotNull(), made(v, "date"))
-        .when((kind == "IP_ADDRESS") & number.isNotNull(), made(F.concat(F.lit("ip:"), ipv4_text(number)), "ip", subnet=subnet(number), private=is_private(number), v=F.lit("4")))
-        .when((kind == "EMAIL_ADDRESS") & F.contains(v, F.lit("@")), made(F.concat(F.lit("email:"), low), "email", actor=F.when(is_service(local), "service").otherwise("human"), domain=domain, local=local, env=environment(local)))
-        .when(repo.isNotNull(), made(F.concat(F.lit("repo:"), repo), "repo", org=F.substring_index(repo, "/", 1), name=F.substring_index(repo, "/", -1), env=environment(repo)))
-        .when(is_host, made(F.concat(F.lit("host:"), short), "host", zone=zone, internal=is_internal(host), env=F.when(environment(short) != "", environment(short)).otherwise(environment(zone))))
-        .when(kind == "CONTAINER_IMAGE", made(F.concat(F.lit("image:"), low), "image", env=environment(low)))
-        .otherwise(made(F.concat(F.lower(kind), F.lit(":"), low), "generic", env=environment(low), actor=F.when(is_service(low), "service").otherwise("")))
-    )
+        return F.struct(key.alias("key"), F.lit(of).alias("kind"), table.alias("attrs"), d["v"].alias("normalized"))
+
+    def form(d: Column) -> Column:
+        v, low, number, six, block, host, repo = (d[c] for c in ("v", "low", "number", "six", "block", "host", "repo"))
+        short, zone = F.substring_index(host, ".", 1), F.when(F.contains(host, F.lit(".")), F.regexp_replace(host, r"\A[^.]*\.", "")).otherwise("")
+        local, domain = F.substring_index(low, "@", 1), F.regexp_replace(low, r"\A[^@]*@", "")
+        of_host = lambda env: F.when(env != "", env).otherwise(environment(zone))
+        private6 = F.array_join(six, "").rlike(r"\A(?:f[cd]|fe[89ab]|0{31}1\z)")
+        return (
+            F.when((kind == "DATE") & F.try_to_date(v, "yyyy-MM-dd").isNotNull(), made(d, v, "date"))
+            .when((kind == "IP_ADDRESS") & number.isNotNull(), made(d, F.concat(F.lit("ip:"), ipv4_text(number)), "ip", subnet=subnet(number), private=is_private(number), v=F.lit("4")))
+            .when((kind == "IP_ADDRESS") & six.isNotNull(), made(d, F.concat(F.lit("ip:"), F.array_join(six, ":")), "ip", subnet=F.array_join(F.slice(six, 1, 4), ":"), private=private6, v=F.lit("6")))
+            .when(block.isNotNull(), made(d, F.concat(F.lit("cidr:"), ipv4_text(block["base"]), F.lit("/"), block["bits"].cast("string")), "cidr", bits=block["bits"], private=is_private(block["base"])))
+            .when((kind == "EMAIL_ADDRESS") & F.contains(v, F.lit("@")), made(d, F.concat(F.lit("email:"), low), "email", actor=F.when(is_service(local), "service").otherwise("human"), domain=domain, local=local, env=environment(local)))
+            .when(repo.isNotNull(), made(d, F.concat(F.lit("repo:"), repo), "repo", org=F.substring_index(repo, "/", 1), name=F.substring_index(repo, "/", -1), env=environment(repo)))
+            .when(d["is_host"], made(d, F.concat(F.lit("host:"), short), "host", zone=zone, internal=is_internal(host), env=bound(environment(short), of_host)))
+            .when(kind == "CONTAINER_IMAGE", made(d, F.concat(F.lit("image:"), low), "image", env=d["env"]))
+            .otherwise(made(d, F.concat(F.lower(kind), F.lit(":"), low), "generic", env=d["env"], actor=F.when(is_service(low), "service").otherwise("")))
+        )
+
+    return bound(bound(v, derived), form)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.crypto import derive, hmac_hex, prefixed, seal, unseal
@@ -47,8 +47,44 @@ def entities(spans: DataFrame) -> DataFrame:
     return rows.withColumn("etype", key_type(F.col("kind"), F.col("canon")))
 
 
+def _rounds(pending: DataFrame, key: list[str], propose, taken: DataFrame) -> DataFrame | None:
+    """pending (a written table) with a surrogate that is neither taken nor equal to its value: in each round the smallest key wins among equals."""
+    done: DataFrame | None = None
+    for attempt in range(ATTEMPTS):
+        proposed = pending.withColumn("surrogate", propose(F.lit(attempt)))
+        free = proposed.where(F.lower("surrogate") != F.lower("value")).join(taken, "surrogate", "left_anti")
+        winner = Window.partitionBy("surrogate").orderBy(*key)
+        won = materialise(free.withColumn("n", F.row_number().over(winner)).where("n = 1").drop("n"), "won")
+        done = won if done is None else done.unionByName(won)
+        taken = taken.unionByName(won.select("surrogate"))
+        pending = materialise(pending.join(won.select(*key), key, "left_anti"), "pending")
+        if pending.isEmpty():
+            return done
+    raise ValueError(f"no free surrogate after {ATTEMPTS} attempts for {pending.count()} values")
+
+
+def _sealed(rows: DataFrame, scope: str, keys: Keys, real: Column) -> DataFrame:
+    bound = prefixed(F.lit(scope), F.col("etype"), F.col("surrogate"))
+    return rows.select(F.lit(scope).alias("scope"), "etype", "key_idx", "real_idx", seal(keys.cipher, real, bound).alias("real_enc"), "surrogate")
+
+
+def shared_attributes(rows: DataFrame, scope: str, keys: Keys, known: DataFrame, generator: Generator) -> tuple[DataFrame, DataFrame]:
+    """What entities share, allocated before them: networks, zones, organisations and registries, each real one to one of its own.
+
+    Gives the table etype, value, shared (the surrogate) for all that rows have, and the new mapping rows among it. These stand in
+    the mapping under types with a leading underscore, which no view restores by themselves.
+    """
+    index = lambda *parts: hmac_hex(keys.index, prefixed(F.lit(scope), *parts))
+    found = rows.select(F.explode(generator.attributes(F.col("kind"), F.col("canon"))).alias("a")).select(F.concat(F.lit("_"), "a.of").alias("etype"), "a.value").distinct()
+    found = materialise(found.withColumn("key_idx", index(F.col("etype"), F.col("value"))).withColumn("real_idx", index(F.lit("shared"), F.col("etype"), F.col("value"))), "shared")
+    before = known.select("etype", "key_idx", "surrogate")
+    old = found.join(before, ["etype", "key_idx"]).select("etype", "value", F.col("surrogate").alias("shared"))
+    new = _rounds(materialise(found.join(before, ["etype", "key_idx"], "left_anti"), "pending"), ["real_idx"], lambda attempt: generator.shared(F.col("etype"), F.col("value"), attempt), known.select("surrogate"))
+    return old.unionByName(new.select("etype", "value", F.col("surrogate").alias("shared"))), _sealed(new, scope, keys, F.col("value"))
+
+
 def allocate(found: DataFrame, scope: str, keys: Keys, known: DataFrame | None = None) -> DataFrame:
-    """New mapping rows for the entities that known has no row for.
+    """New mapping rows for the entities that known has no row for, and for the networks, zones and names that they share.
 
     Each round proposes a surrogate for every open entity, drops those that are taken or equal to their value, and
     lets the smallest real_idx win among equals, so the outcome doesn't depend on the order of rows. A value
@@ -65,22 +101,15 @@ def allocate(found: DataFrame, scope: str, keys: Keys, known: DataFrame | None =
     rows = rows.withColumn("n", F.row_number().over(Window.partitionBy("etype", "key_idx").orderBy("value"))).where("n = 1")
     rows = rows.withColumn("n", F.row_number().over(Window.partitionBy("real_idx").orderBy(priority_of(F.col("kind")), "etype", "key_idx"))).where("n = 1").drop("n")
     pending = materialise(rows.join(known.select("etype", "key_idx"), ["etype", "key_idx"], "left_anti").join(known.select("real_idx"), "real_idx", "left_anti"), "pending")
-    taken = known.select("surrogate")
-    done: DataFrame | None = None
-    for attempt in range(ATTEMPTS):
-        proposed = pending.withColumn("surrogate", generator.candidate(F.col("kind"), F.col("value"), F.col("canon"), F.lit(attempt)))
-        free = proposed.where(F.lower("surrogate") != F.lower("value")).join(taken, "surrogate", "left_anti")
-        winner = Window.partitionBy("surrogate").orderBy("real_idx", "etype", "key_idx")
-        won = materialise(free.withColumn("n", F.row_number().over(winner)).where("n = 1").drop("n"), "won")
-        done = won if done is None else done.unionByName(won)
-        taken = taken.unionByName(won.select("surrogate"))
-        pending = materialise(pending.join(won.select("etype", "key_idx"), ["etype", "key_idx"], "left_anti"), "pending")
-        if pending.isEmpty():
-            break
-    else:
-        raise ValueError(f"no free surrogate after {ATTEMPTS} attempts for {pending.count()} values")
-    bound = prefixed(F.lit(scope), F.col("etype"), F.col("surrogate"))
-    return materialise(done.select(F.lit(scope).alias("scope"), "etype", "key_idx", "real_idx", seal(keys.cipher, F.col("canon")["normalized"], bound).alias("real_enc"), "surrogate"), "mapping")
+    common, new_common = shared_attributes(pending, scope, keys, known, generator)
+    # Few attributes are shared by many entities; an entity has one, by which it meets its surrogate.
+    one = pending.withColumn("_a", F.get(generator.attributes(F.col("kind"), F.col("canon")), F.lit(0)))
+    one = one.withColumn("_of", F.concat(F.lit("_"), "_a.of")).withColumn("_value", F.col("_a.value")).drop("_a")
+    pending = materialise(one.join(common.select(F.col("etype").alias("_of"), F.col("value").alias("_value"), "shared"), ["_of", "_value"], "left").drop("_of", "_value"), "open")
+    # Types are a short list, whatever the number of entities.
+    present = {(r["form"], r["kind"]) for r in pending.select(F.col("canon.kind").alias("form"), "kind").distinct().collect()}
+    done = _rounds(pending, ["real_idx", "etype", "key_idx"], lambda attempt: generator.candidate(F.col("kind"), F.col("value"), F.col("canon"), attempt, F.col("shared"), present), known.select("surrogate").unionByName(new_common.select("surrogate")))
+    return materialise(_sealed(done, scope, keys, F.col("canon")["normalized"]).unionByName(new_common), "mapping")
 
 
 def view(mapping: DataFrame, scope: str, keys: Keys) -> DataFrame:
@@ -113,3 +142,54 @@ def rebind(mapping: DataFrame, scope: str, keys: Keys, etype: str, key_idx: str,
     fresh = old.select("scope", "etype", "key_idx", "real_idx", seal(keys.cipher, real, prefixed(F.col("scope"), F.col("etype"), F.lit(surrogate))).alias("real_enc"), F.lit(surrogate).alias("surrogate"))
     past = old.select("scope", F.concat(F.lit("_past:"), F.sha2("surrogate", 256), F.lit(":"), F.col("etype")).alias("etype"), "key_idx", "real_idx", "real_enc", "surrogate")
     return mapping.where(~hit).unionByName(fresh).unionByName(past)
+
+
+# The stored table
+
+
+def save(mapping: DataFrame, path: str) -> None:
+    """Appends mapping rows to the table at path. One writer at a time: a lock file in the table's folder refuses a second one."""
+    spark = mapping.sparkSession
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(f"{path}/_lock")
+    fs = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.createNewFile(where):
+        raise RuntimeError(f"{path} has another writer")
+    try:
+        mapping.select(*(c.split()[0] for c in SCHEMA.split(", "))).write.mode("append").parquet(path)
+    finally:
+        fs.delete(where, False)
+
+
+def stored(spark: SparkSession, path: str) -> DataFrame:
+    """The mapping table at path. One that holds plain values, or has no sealed ones, is refused."""
+    rows = spark.read.parquet(path)
+    names = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+    if names.get("real_enc") != "binary" or names.keys() & {"real", "value", "real_value"}:
+        raise ValueError(f"{path} is no table of sealed values")
+    return rows.select(*(c.split()[0] for c in SCHEMA.split(", ")))
+
+
+def version(mapping: DataFrame) -> Column:
+    """A digest of the rows, whatever their order: it changes with every row that comes or goes."""
+    return mapping.agg(F.concat_ws("-", F.count("*"), F.sum(F.xxhash64("scope", "etype", "key_idx", "surrogate").cast("decimal(38,0)"))).alias("version"))
+
+
+def present(values: DataFrame, mapping: DataFrame, scope: str, keys: Keys) -> DataFrame:
+    """The values (value) that the scope's mapping has, whatever their type."""
+    index = hmac_hex(keys.index, prefixed(F.lit(scope), F.lower(F.trim(F.col("value")))))
+    return values.withColumn("_idx", index).join(mapping.where(F.col("scope") == scope).select(F.col("real_idx").alias("_idx")), "_idx", "left_semi").drop("_idx")
+
+
+def migrated(plain: DataFrame, scope: str, keys: Keys, target: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Rows of a plain mapping (etype, key, real, surrogate) sealed, those whose key or surrogate target has already left out;
+    and one row n_read, n_written, n_conflicts."""
+    rows = plain.select("etype", hmac_hex(keys.index, prefixed(F.lit(scope), F.col("etype"), F.col("key"))).alias("key_idx"), hmac_hex(keys.index, prefixed(F.lit(scope), F.lower("real"))).alias("real_idx"), "real", "surrogate")
+    first = lambda df, *by: df.withColumn("n", F.row_number().over(Window.partitionBy(*by).orderBy("surrogate", "key_idx"))).where("n = 1").drop("n")
+    fresh = first(first(rows, "etype", "key_idx"), "surrogate")
+    if target is not None:
+        have = target.where(F.col("scope") == scope)
+        fresh = fresh.join(have.select("etype", "key_idx"), ["etype", "key_idx"], "left_anti").join(have.select("surrogate"), "surrogate", "left_anti")
+    sealed = materialise(_sealed(fresh, scope, keys, F.col("real")), "migrated")
+    n = plain.agg(F.count("*").alias("n_read")).crossJoin(F.broadcast(sealed.agg(F.count("*").alias("n_written"))))
+    return sealed, n.withColumn("n_conflicts", F.col("n_read") - F.col("n_written"))

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.findall import replaced, spliced
+from ..functions.findall import spliced
 from ..operators.detect import RECOGNISERS, Recogniser, checked, spans_of, without_false_cards
 from ..operators.generate import Generator, is_secret
 from ..operators.overlap import class_of, resolved
@@ -27,19 +27,22 @@ def resolved_spans(docs: DataFrame, recognisers: tuple[Recogniser, ...] = RECOGN
     return rows.withColumn("spans", resolved(F.col("spans"), "text"))
 
 
-def pseudonymise(docs: DataFrame, scope: str, keys: Keys, known: DataFrame | None = None, policy: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+def pseudonymise(docs: DataFrame, scope: str, keys: Keys, known: DataFrame | None = None, policy: DataFrame | None = None, recognisers: tuple[Recogniser, ...] = RECOGNISERS) -> tuple[DataFrame, DataFrame]:
     """(doc_id, n_spans, n_entities, safe_text), mapping with its new rows.
 
     Public spans and those that the policy reveals stay; secrets become one-way references and enter no
-    mapping; all others get the surrogate of their entity. Only documents with spans are shuffled.
+    mapping; all others get the surrogate of their entity. Rows meet their spans by a number of their own, so null and
+    repeated doc_ids do no harm. A span that ought to go and has nothing to go to fails the query: no text leaves half done.
+    Only rows with spans are shuffled.
     """
-    spark = docs.sparkSession
-    rows = materialise(resolved_spans(docs), "spans")
-    spans = rows.select("doc_id", F.explode("spans").alias("s")).select("doc_id", "s.*").where(class_of(F.col("type")) != "public")
+    rows = materialise(resolved_spans(docs, recognisers).withColumn("_row", F.monotonically_increasing_id()), "spans")
+    spans = rows.select("_row", F.explode("spans").alias("s")).select("_row", "s.*").where(class_of(F.col("type")) != "public")
     found = entities(spans)
+    revealed = None
     if policy is not None:
-        decided = decide(found.select(F.col("kind").alias("type"), "value").distinct(), policy, keys)
+        decided = materialise(decide(found.select(F.col("kind").alias("type"), "value").distinct(), policy, keys).select("type", "value", "decision"), "decided")
         found = found.join(decided.where("decision = 'anonymise'").select(F.col("type").alias("kind"), "value"), ["kind", "value"], "left_semi")
+        revealed = decided.where("decision != 'anonymise'").select("type", "value", F.lit(True).alias("revealed"))
     found = materialise(found, "entities")
     new = allocate(found, scope, keys, known)
     mapping = new if known is None else known.unionByName(new)
@@ -48,17 +51,18 @@ def pseudonymise(docs: DataFrame, scope: str, keys: Keys, known: DataFrame | Non
     by_real = mapping.where(F.col("scope") == scope).select("real_idx", "surrogate")
     values = found.select("kind", "value", hmac_hex(keys.index, prefixed(F.lit(scope), F.lower(F.col("canon")["normalized"]))).alias("real_idx"), "etype", hmac_hex(keys.index, prefixed(F.lit(scope), F.col("etype"), F.col("canon")["key"])).alias("key_idx"))
     by_key = mapping.where(F.col("scope") == scope).select("etype", "key_idx", F.col("surrogate").alias("by_key"))
-    values = values.join(by_real, "real_idx", "left").join(by_key, ["etype", "key_idx"], "left").select("kind", "value", F.coalesce("surrogate", "by_key").alias("surrogate"))
-    placed = spans.join(values, (F.col("type") == F.col("kind")) & (spans["value"] == values["value"]), "left").select("doc_id", spans["value"], "type", "start", "end", "surrogate")
-    placed = placed.withColumn("new", F.when(is_secret(F.col("type")), generator.secret(F.col("type"), F.col("value"))).otherwise(F.col("surrogate"))).where("new is not null")
-    by_doc = placed.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "end", "new", "type"))).alias("placed"))
-    out = rows.join(by_doc, "doc_id", "left").withColumn("placed", F.coalesce("placed", F.expr("cast(array() as array<struct<start:int,end:int,new:string,type:string>>)")))
+    values = values.join(by_real, "real_idx", "left").join(by_key, ["etype", "key_idx"], "left").select(F.col("kind").alias("type"), "value", F.coalesce("surrogate", "by_key").alias("surrogate"))
+    placed = spans.join(values, ["type", "value"], "left").withColumn("new", F.when(is_secret(F.col("type")), generator.secret(F.col("type"), F.col("value"))).otherwise(F.col("surrogate")))
+    if revealed is not None:
+        placed = placed.join(revealed, ["type", "value"], "left").where("new is not null or revealed is null")
+    refuse = F.raise_error(F.concat(F.lit("a span has no surrogate; its type is "), F.col("type")))
+    placed = placed.withColumn("new", F.when(F.col("new").isNull(), refuse).otherwise(F.col("new")))
+    by_row = placed.groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("start", "end", "new", "type"))).alias("placed"))
+    out = rows.join(by_row, "_row", "left").withColumn("placed", F.coalesce("placed", F.expr("cast(array() as array<struct<start:int,end:int,new:string,type:string>>)")))
     safe = out.select("doc_id", F.size("spans").cast("bigint").alias("n_spans"), F.size("placed").cast("bigint").alias("n_entities"), spliced("text", "placed", "new").alias("safe_text"))
     return safe, mapping
 
 
-#: Surrogates of a view that one pattern may hold; larger views restore by joins, with the same result.
-PATTERN_ENTRIES = 5_000
 #: What texts are cut into to meet surrogates: runs of letters and digits, which no border of a match parts, and single other characters.
 RUN = "[A-Za-z0-9]+"
 TOKEN = re.compile(f"{RUN}|[^A-Za-z0-9]")
@@ -67,19 +71,10 @@ TOKEN = re.compile(f"{RUN}|[^A-Za-z0-9]")
 def restore(texts: DataFrame, mapping: DataFrame, scope: str, keys: Keys, text: str = "safe_text") -> DataFrame:
     """texts with a column restored: every surrogate of the scope replaced by its real value, longest first; unknown ones stay.
 
-    A view of up to PATTERN_ENTRIES is one alternation with a literal map, in the row. A larger one is a join with
-    the same result, see restore_by_join().
+    One plan for views of any size, see restore_by_join(): real values are decrypted in tasks and reach neither the driver
+    nor a plan.
     """
-    real = view(mapping, scope, keys)
-    rows = real.orderBy(F.length("surrogate").desc(), "surrogate").limit(PATTERN_ENTRIES + 1).collect()
-    if not rows:
-        return texts.withColumn("restored", F.col(text))
-    if len(rows) <= PATTERN_ENTRIES:
-        quoted = "|".join("".join(c if c.isalnum() else "\\" + c for c in r["surrogate"]) for r in rows)
-        pattern = rf"(?<![A-Za-z0-9])(?:{quoted})(?![A-Za-z0-9])"
-        by = F.map_from_entries(F.array(*(F.struct(F.lit(r["surrogate"]), F.lit(r["real"])) for r in rows)))
-        return texts.withColumn("restored", replaced(F.col(text), pattern, by))
-    return restore_by_join(texts, real, text)
+    return restore_by_join(texts, view(mapping, scope, keys), text)
 
 
 def _places(text: str, shapes: Iterable[tuple[str, int, int]]) -> Iterator[tuple[int, int]]:

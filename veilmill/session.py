@@ -28,17 +28,24 @@ _fallback: list[str] = []
 
 
 def work_folder(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a local one where that is unset."""
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    """The folder that all executors share: spark.checkpoint.dir, or a local one where that is unset and the master is local."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir is unset: on a cluster, intermediate tables need a folder that all machines share")
     if not _fallback:
         _fallback.append("file://" + tempfile.mkdtemp(prefix="veilmill-"))
     return _fallback[0]
 
 
 def materialise(df: DataFrame, label: str) -> DataFrame:
-    """df written as Parquet to the shared folder and read again; cuts lineage between rounds."""
-    path = f"{work_folder(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """df written as Parquet to the shared folder and read again; cuts lineage between rounds. Deleted when the application ends."""
+    spark = df.sparkSession
+    path = f"{work_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.mkdirs(where)
+    fs.deleteOnExit(where)
+    df.write.parquet(f"{path}/table")
+    return spark.read.schema(df.schema).parquet(f"{path}/table")
