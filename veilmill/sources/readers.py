@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 #: Most bytes that a compressed body may inflate to, and that a block of an event stream may have.
 MOST_BODY, MOST_BLOCK = 32 << 20, 16 << 20
@@ -73,3 +76,46 @@ def inflated(df: DataFrame, key: str, body: str, most: int = MOST_BODY) -> DataF
             yield pa.record_batch([batch.column(0), pa.array(texts, pa.string()), pa.array(errors, pa.string())], names=[key, "text", "error"])
 
     return df.select(key, body).mapInArrow(task, f"{key} {dict(df.dtypes)[key]}, text string, error string")
+
+
+def stream_blocks(chunks: DataFrame) -> DataFrame:
+    """stream_id, n, block, error: the blocks of event streams that arrive in chunks (stream_id, seq, data), in batch or as a stream.
+
+    Chunks of a stream are put in order of seq within a micro-batch. What stands behind the last blank line waits for the
+    next chunk; a block that grows beyond MOST_BLOCK comes out as an error and its stream begins anew behind the next blank line.
+    """
+    gap = re.compile(r"(?:\r\n|\r(?!\n)|\n){2}")
+
+    def cut(held: str, data: str, n: int, lost: bool) -> tuple[list[tuple[int, str | None, str | None]], str, int, bool]:
+        text, out = held + data, []
+        at = 0
+        for m in gap.finditer(text):
+            # A carriage return at the end may be half of a line end.
+            if m.end() == len(text) and text.endswith("\r"):
+                break
+            if not lost and text[at : m.start()]:
+                out.append((n, text[at : m.start()], None))
+                n += 1
+            at, lost = m.end(), False
+        rest = text[at:]
+        if len(rest) > MOST_BLOCK and not lost:
+            out.append((n, None, "too large"))
+            n, lost = n + 1, True
+        return out, rest[-4:] if lost else rest, n, lost
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held, n, lost = state.get if state.exists else ("", 0, False)
+        rows = pd.concat(list(batches)).sort_values("seq")
+        out = []
+        for data in rows.data:
+            more, held, n, lost = cut(held, data or "", n, lost)
+            out += more
+        state.update((held, n, lost))
+        yield pd.DataFrame([(key[0], *x) for x in out], columns=["stream_id", "n", "block", "error"])
+
+    return chunks.groupBy("stream_id").applyInPandasWithState(step, "stream_id string, n bigint, block string, error string", "held string, n bigint, lost boolean", "append", GroupStateTimeout.NoTimeout)
+
+
+def watched(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """New and changed files of a folder as a stream of their rows; ask for it every half second with trigger(processingTime="500 milliseconds")."""
+    return spark.readStream.schema(schema).option("cleanSource", "off").json(path)
