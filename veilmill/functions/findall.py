@@ -12,24 +12,29 @@ def _text(s: str) -> str:
     return "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def find_all(text: str, pattern: str, kind: str, score: float, group: int = 0, needs: tuple[str, ...] = ()) -> Column:
+#: Marks around matches: two code points that Unicode sets aside for internal use. Texts that have them are searched without.
+OPEN, CLOSE = "\ufdd0", "\ufdd1"
+
+
+def find_all(text: str, pattern: str, kind: str, score: float, needs: tuple[str, ...] = ()) -> Column:
     """array<SPAN> of the matches of a Java pattern in the column named text. The pattern must not match the empty string.
 
-    needs: substrings one of which every match has; a text without them is not searched, and one without a match is
-    searched once only, not for matches and for gaps.
+    One pass of the pattern puts marks around its matches; what stands between marks gives values and offsets.
+    needs: substrings one of which every match has; a text without them is not searched.
     """
-    p = _text(pattern)
     cheap = " or ".join(f"contains({text}, {_text(n)})" for n in needs) or "true"
+    marked = f"regexp_replace(translate({text}, '{OPEN}{CLOSE}', '\ufffd\ufffd'), {_text(pattern)}, '{OPEN}$0{CLOSE}')"
+    # transform(array(x), p -> ...)[0] binds x, which would be computed wherever it stands. A piece is a match, its mark, and the gap after.
     found = F.expr(f"""
-        aggregate(
-            regexp_extract_all({text}, {p}, {group}),
-            named_struct('gaps', split({text}, {p}, -1), 'i', 0, 'at', 0, 'out', cast(array() as array<{SPAN}>)),
-            (s, x) -> named_struct(
-                'gaps', s.gaps, 'i', s.i + 1, 'at', s.at + length(s.gaps[s.i]) + length(x),
-                'out', concat(s.out, array(named_struct('type', {_text(kind)}, 'value', x, 'start', s.at + length(s.gaps[s.i]), 'end', s.at + length(s.gaps[s.i]) + length(x), 'score', {score}D)))),
-            s -> s.out)
+        transform(array(split({marked}, '{OPEN}')), pieces -> aggregate(
+            slice(pieces, 2, size(pieces)),
+            named_struct('at', length(pieces[0]), 'out', cast(array() as array<{SPAN}>)),
+            (s, x) -> named_struct('at', s.at + length(x) - 1, 'out', concat(s.out, array(
+                named_struct('type', {_text(kind)}, 'value', substring_index(x, '{CLOSE}', 1), 'start', s.at, 'end', s.at + length(substring_index(x, '{CLOSE}', 1)), 'score', {score}D)))),
+            s -> s.out))[0]
     """)
-    return F.when(F.expr(f"({cheap}) and {text} rlike {p}"), found).otherwise(F.expr(f"cast(array() as array<{SPAN}>)"))
+    exact = F.when(F.expr(f"contains({text}, '{OPEN}') or contains({text}, '{CLOSE}')"), F.transform(found, lambda x: x.withField("value", F.substring(F.col(text), x["start"] + 1, x["end"] - x["start"])))).otherwise(found)
+    return F.when(F.expr(cheap), F.coalesce(exact, F.expr(f"cast(array() as array<{SPAN}>)"))).otherwise(F.expr(f"cast(array() as array<{SPAN}>)"))
 
 
 def spliced(text: str, spans: str, replacement: str) -> Column:

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import fixed
 from ..functions.findall import SPAN, find_all
-from ..functions.fixed import TOKEN_FORMATS
 
 
 @dataclass(frozen=True)
@@ -25,28 +27,29 @@ class Recogniser:
     needs: tuple[str, ...] = ()
 
 
+# Repetitions are bounded, by what the formats allow at most, so that no text takes time in proportion to its square.
 OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 RECOGNISERS = (
-    Recogniser("email", "EMAIL_ADDRESS", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}", 0.9, ("@",)),
+    Recogniser("email", "EMAIL_ADDRESS", r"[A-Za-z0-9._%+-]{1,254}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,10}\.[A-Za-z]{2,63}", 0.9, ("@",)),
     Recogniser("ipv4", "IP_ADDRESS", rf"\b(?:{OCTET}\.){{3}}{OCTET}\b", 0.9),
     Recogniser("card", "CREDIT_CARD", r"\b[0-9]{16}\b", 0.7),
     Recogniser("assignment", "PASSWORD_CONTEXT", r"(?i)\b(?:password|passwd|secret|token|api_?key)\b\s*[:=]\s*[\"'][^\"'\s]+[\"']", 0.95),
     Recogniser("phone", "PHONE_NUMBER", r"\+[0-9]{1,3} ?\(?[0-9]{1,4}\)?(?:[ .-][0-9]{2,4}){2,4}", 0.8, ("+",)),
     Recogniser("url", "URL", r"https?://[^\s\"'<>()]+", 0.85, ("http://", "https://",)),
-    Recogniser("jwt", "JWT", r"\beyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 0.95, ("eyJ",)),
+    Recogniser("jwt", "JWT", r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 0.95, ("eyJ",)),
     Recogniser("uuid", "UUID", r"\b[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}\b", 0.9, ("-",)),
     Recogniser("mac", "MAC_ADDRESS", r"\b[0-9A-Fa-f]{2}(?::[0-9A-Fa-f]{2}){5}\b", 0.9, (":",)),
     Recogniser("sha1", "COMMIT_SHA", r"\b[0-9a-f]{40}\b", 0.85),
     Recogniser("sha256", "HASH", r"\b[0-9a-f]{64}\b", 0.85),
     Recogniser("cve", "CVE_ID", r"\bCVE-[0-9]{4}-[0-9]{4,7}\b", 0.95, ("CVE-",)),
-    Recogniser("host", "HOSTNAME", r"\b[a-z0-9-]+(?:\.[a-z0-9-]+)*\.(?:internal|local|lan|intra|corp|example|test|com|net|org|io)\b", 0.8),
-    Recogniser("service", "SERVICE_ACCOUNT", r"\bsvc-[a-z0-9-]+-(?:prod|staging|dev)\b", 0.9, ("svc-",)),
+    Recogniser("host", "HOSTNAME", r"\b[a-z0-9-]{1,63}(?:\.[a-z0-9-]{1,63}){0,10}\.(?:internal|local|lan|intra|corp|example|test|com|net|org|io)\b", 0.8),
+    Recogniser("service", "SERVICE_ACCOUNT", r"\bsvc-[a-z0-9-]{1,100}-(?:prod|staging|dev)\b", 0.9, ("svc-",)),
     Recogniser("date", "DATE", r"\b[0-9]{4}-[0-9]{2}-[0-9]{2}\b", 0.8, ("-",)),
-    *(Recogniser(f"token{i}", kind, pattern, score, needs) for i, (kind, pattern, score, needs) in enumerate(TOKEN_FORMATS)),
+    *(Recogniser(f"token{i}", kind, pattern, score, needs) for i, (kind, pattern, score, needs) in enumerate(fixed.TOKEN_FORMATS)),
 )
 BY_NAME = {r.name: r for r in RECOGNISERS}
 #: Pairs of armour lines; Java only, for the back-reference.
-ARMOUR = r"(?s)-----BEGIN ([A-Z0-9 ]+)-----.*?-----END \1-----"
+ARMOUR = r"(?s)-----BEGIN ([A-Z0-9 ]+)-----.{0,16384}?-----END \1-----"
 
 
 def armour_spans(text: str) -> Column:
@@ -90,19 +93,124 @@ def _q(pattern: str) -> str:
     return pattern.replace("\\", "\\\\").replace("'", "\\'")
 
 
-def merged_fragments(spans: DataFrame, texts: DataFrame, key: str = "doc_id") -> DataFrame:
+def merged_spans(spans: Column, text: Column) -> Column:
     """Neighbouring spans of one type as one, where at most two linking characters (hyphen, apostrophe, blank) part them.
 
-    The islands come from a running maximum of ends, so nested and overlapping spans of a type merge too.
+    Each span meets the end of the run before it, so nested and overlapping spans of a type merge too; the score is the least.
     """
-    order = Window.partitionBy(key, "type").orderBy("start", "end")
-    before = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    rows = spans.join(texts.select(key, "text"), key).withColumn("before", before)
-    gap = F.expr("substr(text, before + 1, start - before)")
-    apart = F.col("before").isNull() | ((F.col("start") > F.col("before")) & ~((F.col("start") - F.col("before") <= 2) & gap.rlike("\\A[-'’  ]*\\z")))
-    rows = rows.withColumn("island", F.sum(apart.cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    out = rows.groupBy(key, "type", "island").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min("score").alias("score"), F.first("text").alias("text"))
-    return out.select(key, "type", F.expr("substr(text, start + 1, end - start)").alias("value"), "start", "end", "score")
+    ordered = F.array_sort(F.transform(spans, lambda s: F.struct(s["type"].alias("type"), s["start"].alias("start"), s["end"].alias("end"), s["score"].alias("score"))))
+    run = "struct<type:string,start:int,end:int,score:double>"
+    start = F.struct(F.array().cast(f"array<{run}>").alias("out"), F.lit(None).cast(run).alias("run"))
+
+    def step(s: Column, x: Column) -> Column:
+        gap = F.substring(text, s["run"]["end"] + 1, x["start"] - s["run"]["end"])
+        near = (x["start"] <= s["run"]["end"]) | ((x["start"] - s["run"]["end"] <= 2) & gap.rlike("\\A[-'’ \u00a0]*\\z"))
+        joins = F.coalesce((s["run"]["type"] == x["type"]) & near, F.lit(False))
+        grown = F.struct(x["type"].alias("type"), s["run"]["start"].alias("start"), F.greatest(s["run"]["end"], x["end"]).alias("end"), F.least(s["run"]["score"], x["score"]).alias("score"))
+        done = F.when(joins | s["run"].isNull(), s["out"]).otherwise(F.concat(s["out"], F.array(s["run"])))
+        return F.struct(done.alias("out"), F.when(joins, grown).otherwise(x).alias("run"))
+
+    runs = F.aggregate(ordered, start, step, lambda s: F.when(s["run"].isNull(), s["out"]).otherwise(F.concat(s["out"], F.array(s["run"]))))
+    return F.transform(runs, lambda r: F.struct(r["type"].alias("type"), F.substring(text, r["start"] + 1, r["end"] - r["start"]).alias("value"), r["start"].alias("start"), r["end"].alias("end"), r["score"].alias("score")))
+
+
+def merged_fragments(spans: DataFrame, texts: DataFrame, key: str = "doc_id") -> DataFrame:
+    """merged_spans() of spans in rows of their own. Each text meets its spans once, as one array."""
+    gathered = spans.groupBy(key).agg(F.collect_list(F.struct("type", "value", F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"), F.col("score").cast("double").alias("score"))).alias("spans"))
+    rows = texts.select(key, "text").join(gathered, key)
+    return rows.select(key, F.explode(merged_spans(F.col("spans"), F.col("text"))).alias("s")).select(key, "s.*")
+
+
+#: Scores from which an entity counts, after its pieces were merged; labels of models by the types that they become, others are dropped.
+LEAST_SCORE, LABELS = 0.5, {"person": "PERSON", "date": "DATE", "address": "ADDRESS"}
+BRACKETS = {"(": ")", "[": "]", "{": "}", "<": ">", '"': '"', "'": "'", "«": "»", "“": "”"}
+
+
+def projected(spans: Column) -> Column:
+    """Spans of a model's labels as spans of types; labels that are not in LABELS are dropped."""
+    table = F.create_map(*(F.lit(x) for pair in LABELS.items() for x in pair))
+    return F.filter(F.transform(spans, lambda s: s.withField("type", F.element_at(table, F.lower(s["type"])))), lambda s: s["type"].isNotNull())
+
+
+def scored(spans: Column, least: float = LEAST_SCORE) -> Column:
+    return F.filter(spans, lambda s: s["score"] >= least)
+
+
+def shaped(spans: Column) -> Column:
+    """Spans that look like what they say: an address has a letter and a way, a comma or two words, a person a letter and two
+    words or a capital first, a date a digit. Other types pass."""
+    ways = "|".join((*fixed.WAYS_BEFORE, *fixed.WAYS_AFTER, *fixed.WAYS_JOINED))
+
+    def fits(s: Column) -> Column:
+        v, letter, several = F.trim(s["value"]), s["value"].rlike(r"\p{L}"), F.trim(s["value"]).rlike(r"\S\s+\S")
+        address = letter & (several | F.contains(v, F.lit(",")) | v.rlike(rf"(?i)(?:{ways})"))
+        return F.when(s["type"].isin("ADDRESS", "STREET_ADDRESS"), address).when(s["type"] == "PERSON", letter & (several | v.rlike(r"\A\p{Lu}"))).when(s["type"] == "DATE", v.rlike("[0-9]")).otherwise(True)
+
+    return F.filter(spans, fits)
+
+
+def cut_at_scaffolding(spans: Column) -> Column:
+    """Spans cut where the output of a tool runs through them: a line end, blanks, a number and a tab."""
+    pieces = lambda s: F.split(s["value"], r"\n[ \t]*[0-9]+\t", -1)
+    marks = lambda s: F.regexp_extract_all(s["value"], F.lit(r"\n[ \t]*[0-9]+\t"), F.lit(0))
+
+    def cut(s: Column) -> Column:
+        lengths = lambda i: F.aggregate(F.slice(pieces(s), 1, i), F.lit(0), lambda n, x: n + F.length(x)) + F.aggregate(F.slice(marks(s), 1, i), F.lit(0), lambda n, x: n + F.length(x))
+        parts = F.transform(pieces(s), lambda x, i: F.struct(s["type"].alias("type"), x.alias("value"), (s["start"] + lengths(i)).alias("start"), (s["start"] + lengths(i) + F.length(x)).alias("end"), s["score"].alias("score")))
+        return F.when(s["value"].rlike(r"\n[ \t]*[0-9]+\t"), F.filter(parts, lambda p: F.trim(p["value"]) != "")).otherwise(F.array(s))
+
+    return F.flatten(F.transform(spans, cut))
+
+
+def reason_public(spans: DataFrame, texts: DataFrame, inventory, allow, key: str = "doc_id") -> DataFrame:
+    """spans with reason: null for those to keep, else why they are public. What the inventory owns, in the token around the span or the
+    span itself, is kept; else the token may be public as a whole, or the span as one of the token's parts between slashes."""
+    rows = spans.join(texts.select(key, "text"), key).withColumn("token", token_around("text", "start", "end"))
+    part = F.exists(F.split("token", "/"), lambda p: p == F.col("value"))
+    own = inventory.owns(F.col("token")) | inventory.owns(F.col("value"))
+    whole, single = allow.reason(F.col("type"), F.col("token")), allow.reason(F.col("type"), F.col("value"))
+    return rows.withColumn("reason", F.when(own, F.lit(None).cast("string")).otherwise(F.coalesce(whole, F.when(part, single)))).drop("token", "text")
+
+
+# Persons and addresses by rule, where no model is at hand.
+_TITLE = r"(?:M\.|Mr\.?|Mrs\.?|Ms\.?|Mme\.?|Mlle\.?|Dr\.?|Prof\.?|Herr|Frau|Señora?|Sr\.|Sra\.)"
+_NAME_WORD = r"\p{Lu}[\p{L}'’-]{1,30}"
+_WAY_BEFORE, _WAY_AFTER, _WAY_JOINED = ("|".join(w) for w in (fixed.WAYS_BEFORE, fixed.WAYS_AFTER, fixed.WAYS_JOINED))
+PERSONAL = (
+    Recogniser("titled person", "PERSON", rf"\b{_TITLE} {_NAME_WORD}(?: (?:de |van |von |la |le |du )?{_NAME_WORD}){{0,3}}", 0.8),
+    Recogniser("named person", "PERSON", rf"(?<=\b(?:name|nom|contact|author|auteur|from|by|owner): ){_NAME_WORD}(?: (?:de |van |von |la |le |du )?{_NAME_WORD}){{1,3}}", 0.7, (": ",)),
+    Recogniser("address, way first", "ADDRESS", rf"\b[0-9]{{1,4}}(?: ?(?:bis|ter))?,? (?i:{_WAY_BEFORE}) (?:(?:de la|de|du|des|la|le|l'|d') ?)?\p{{L}}[\p{{L}}'’-]{{1,30}}(?: \p{{L}}[\p{{L}}'’-]{{1,30}}){{0,3}}(?:,? [0-9]{{4,5}} {_NAME_WORD}(?:[ -]{_NAME_WORD}){{0,2}})?", 0.75),
+    Recogniser("address, way last", "ADDRESS", rf"\b[0-9]{{1,5}} (?:{_NAME_WORD} ){{1,3}}(?i:{_WAY_AFTER})\b(?:, {_NAME_WORD}(?: {_NAME_WORD}){{0,2}}(?:,? [A-Z]{{2}} [0-9]{{5}})?)?", 0.75),
+    Recogniser("address, joined", "ADDRESS", rf"\b\p{{Lu}}[\p{{L}}-]{{1,30}}(?i:{_WAY_JOINED}) [0-9]{{1,4}}[a-z]?(?:, [0-9]{{5}} {_NAME_WORD})?", 0.75),
+)
+#: Recognisers by strategy: patterns only, or persons and addresses too, in certain types.
+STRATEGIES = {"regex": RECOGNISERS, "filtered": (*RECOGNISERS, *PERSONAL)}
+
+
+def strategy(name: str, types: tuple[str, ...] | None = None) -> tuple[Recogniser, ...]:
+    """The recognisers of a strategy, of certain types only where such are given. An unknown one is an error."""
+    if name not in STRATEGIES:
+        raise ValueError(f"unknown strategy {name!r}")
+    return tuple(r for r in STRATEGIES[name] if types is None or r.kind in types)
+
+
+def with_model(df: DataFrame, model, text: str = "text") -> DataFrame:
+    """df with spans of a model added to its column spans: model takes a pandas series of texts and gives, for each, a list of
+    (label, start, end, score). Labels are projected, pieces merged, then low scores and misshapen spans dropped.
+    A frame of many equal texts is searched once for each, see distinct_texts()."""
+
+    @F.pandas_udf(f"array<{SPAN}>")
+    def found(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in batches:
+            yield pd.Series([[{"type": k, "value": t[a:b], "start": a, "end": b, "score": float(p)} for k, a, b, p in spans] for t, spans in zip(batch, model(batch), strict=True)], dtype=object)
+
+    ours = shaped(scored(merged_spans(projected(found(F.coalesce(F.col(text), F.lit("")))), F.col(text))))
+    return df.withColumn("spans", F.concat("spans", ours) if "spans" in df.columns else ours)
+
+
+def distinct_texts(df: DataFrame, text: str = "text") -> DataFrame:
+    """Each text once: equal texts have equal spans, so they need not be searched again."""
+    return df.select(text).where(F.col(text).isNotNull()).distinct()
 
 
 def without_false_cards(spans: str) -> Column:

@@ -32,7 +32,11 @@ def ranked(spans: Column) -> Column:
 
 
 def resolved(spans: Column, text: str) -> Column:
-    """array<struct<start, end, type, score, value>>, ascending and disjoint: each span, winners first, gives its uncovered pieces."""
+    """array<struct<start, end, type, score, value>>, ascending and disjoint: each span, winners first, gives its uncovered pieces.
+
+    Spans are parted into islands that overlap, and each island is settled by itself: a long text with many spans costs
+    no more than its islands do.
+    """
     piece = "struct<start:int,end:int>"
     kept = "array<struct<start:int,end:int,type:string,score:double>>"
 
@@ -50,7 +54,20 @@ def resolved(spans: Column, text: str) -> Column:
         free = F.aggregate(state, whole, cut)
         return F.concat(state, F.transform(free, lambda p: F.struct(p["start"].alias("start"), p["end"].alias("end"), s["type"].alias("type"), s["score"].alias("score"))))
 
-    out = F.array_sort(F.aggregate(ranked(spans), F.array().cast(kept), place))
+    simple = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["type"].alias("type"), s["score"].alias("score"))))
+    start = F.struct(F.array().cast(f"array<{kept}>").alias("islands"), F.array().cast(kept).alias("now"), F.lit(-1).alias("until"))
+
+    def gather(s: Column, x: Column) -> Column:
+        inside = x["start"] < s["until"]
+        return F.struct(
+            F.when(inside | (F.size(s["now"]) == 0), s["islands"]).otherwise(F.concat(s["islands"], F.array(s["now"]))).alias("islands"),
+            F.when(inside, F.concat(s["now"], F.array(x))).otherwise(F.array(x)).alias("now"),
+            F.greatest(s["until"], x["end"]).alias("until"),
+        )
+
+    islands = F.aggregate(simple, start, gather, lambda s: F.concat(s["islands"], F.array(s["now"])))
+    settled = F.transform(islands, lambda i: F.when(F.size(i) <= 1, i).otherwise(F.array_sort(F.aggregate(ranked(i), F.array().cast(kept), place))))
+    out = F.flatten(settled)
     return F.transform(out, lambda p: p.withField("value", F.substring(F.col(text), p["start"] + 1, p["end"] - p["start"])))
 
 
