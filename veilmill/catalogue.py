@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,11 +40,10 @@ def query(oracle: str | None = None):
     return register
 
 
-def _whole(source: str, part: str, whole: str, table, *queries: Callable) -> None:
-    """Registers each query as NAME_whole, its source being table, with its SQL over whole instead of part."""
+def _whole(*queries: Callable) -> None:
+    """Registers each query under its earlier second name, NAME_whole, too."""
     for f in queries:
-        QUERIES[f"{f.__name__}_whole"] = partial(f, **{source: table})
-        ORACLES[f"{f.__name__}_whole"] = ORACLES[f.__name__].replace(part, whole)
+        QUERIES[f"{f.__name__}_whole"], ORACLES[f"{f.__name__}_whole"] = f, ORACLES[f.__name__]
 
 
 def _s(text: str) -> str:
@@ -327,20 +325,16 @@ def restore_roundtrip(spark, sf_dir):
 # Policy
 
 _RULES = [("global", "class", "pii", "reveal"), ("project", "type", "PHONE_NUMBER", "anonymise"), ("session", "type", "EMAIL_ADDRESS", "anonymise"), ("message", "type", "IP_ADDRESS", "reveal"), ("global", "type", "CREDIT_CARD", "reveal")]
-_QUESTIONS_SQL = f"SELECT 'q' || event_id AS fingerprint, event_type AS type, CASE WHEN event_type IN ('click', 'view') THEN 'pii' ELSE 'infra' END AS class, 's' || event_id AS surrogate, ts AS seen_at FROM events WHERE user_id % 50 = 0"
+_QUESTIONS_SQL = f"SELECT 'q' || event_id AS fingerprint, event_type AS type, CASE WHEN event_type IN ('click', 'view') THEN 'pii' ELSE 'infra' END AS class, 's' || event_id AS surrogate, ts AS seen_at FROM events"
 
 
 def _policy(spark):
     return spark.createDataFrame(_RULES, "level string, granularity string, key string, decision string")
 
 
-def _whole_questions(spark, sf_dir, of="true"):
-    e = load(spark, sf_dir, "events").where(of)
-    return e.select(F.concat(F.lit("q"), F.col("event_id")).alias("fingerprint"), F.col("event_type").alias("type"), F.when(F.col("event_type").isin("click", "view"), "pii").otherwise("infra").alias("class"), F.concat(F.lit("s"), F.col("event_id")).alias("surrogate"), F.col("ts").alias("seen_at"))
-
-
 def _questions(spark, sf_dir):
-    return _whole_questions(spark, sf_dir, "user_id % 50 = 0")
+    e = load(spark, sf_dir, "events")
+    return e.select(F.concat(F.lit("q"), F.col("event_id")).alias("fingerprint"), F.col("event_type").alias("type"), F.when(F.col("event_type").isin("click", "view"), "pii").otherwise("infra").alias("class"), F.concat(F.lit("s"), F.col("event_id")).alias("surrogate"), F.col("ts").alias("seen_at"))
 
 
 @query(f"""
@@ -353,8 +347,8 @@ def policy_decide(spark, sf_dir):
 
 
 @query(f"SELECT fingerprint, type FROM ({_QUESTIONS_SQL}) WHERE class <> 'pii'")
-def pending_questions(spark, sf_dir, questions=_questions):
-    q = questions(spark, sf_dir)
+def pending_questions(spark, sf_dir):
+    q = _questions(spark, sf_dir)
     return policy.pending(q.unionByName(q), _policy(spark)).select("fingerprint", "type")
 
 
@@ -362,23 +356,22 @@ def pending_questions(spark, sf_dir, questions=_questions):
     WITH q AS (SELECT *, row_number() OVER (PARTITION BY type ORDER BY seen_at, fingerprint) AS r FROM ({_QUESTIONS_SQL}))
     SELECT type, count(*) AS n, string_agg(CASE WHEN r <= 3 THEN surrogate END, ', ' ORDER BY r) AS preview FROM q GROUP BY type
 """)
-def questions_by_type(spark, sf_dir, questions=_questions):
-    return policy.questions_by_type(questions(spark, sf_dir))
+def questions_by_type(spark, sf_dir):
+    return policy.questions_by_type(_questions(spark, sf_dir))
 
 
 @query(f"SELECT fingerprint, type, class, count(*) OVER (PARTITION BY fingerprint) AS by_value, count(*) OVER (PARTITION BY type) AS by_type, count(*) OVER (PARTITION BY class) AS by_class FROM ({_QUESTIONS_SQL})")
-def decision_coverage(spark, sf_dir, questions=_questions):
-    return policy.coverage(questions(spark, sf_dir))
+def decision_coverage(spark, sf_dir):
+    return policy.coverage(_questions(spark, sf_dir))
 
 
 @query(f"SELECT class, type, count(*) AS n FROM ({_QUESTIONS_SQL}) GROUP BY ROLLUP (class, type)")
-def questions_rollup(spark, sf_dir, questions=_questions):
+def questions_rollup(spark, sf_dir):
     """Extension: open questions by class and type with subtotals."""
-    return questions(spark, sf_dir).rollup("class", "type").agg(F.count("*").alias("n"))
+    return _questions(spark, sf_dir).rollup("class", "type").agg(F.count("*").alias("n"))
 
 
-# The four above check a fiftieth of the users, as their SQL says; these ask about every event.
-_whole("questions", _QUESTIONS_SQL, _QUESTIONS_SQL.removesuffix(" WHERE user_id % 50 = 0"), _whole_questions, pending_questions, questions_by_type, decision_coverage, questions_rollup)
+_whole(pending_questions, questions_by_type, decision_coverage, questions_rollup)
 
 
 _SETTINGS = [("default", "mode", "auto"), ("global", "mode", "ask"), ("session", "mode", "deferred"), ("default", "dates", "free"), ("env", "dates", "same side"), ("default", "paths", "mask")]
@@ -408,17 +401,14 @@ def interval_preserved(spark, sf_dir):
 
 # Reports, on events as flows
 
-_FLOWS = "SELECT CASE WHEN event_id % 7 = 0 THEN 'connect' WHEN event_id % 31 = 0 THEN 'error' ELSE 'http' END AS kind, 'H' || (user_id % 40) || '.example.com' AS host, CAST(443 + event_id % 3 AS INTEGER) AS port, '/' || event_type AS path, event_id % 1000 AS bytes_out, event_id % 77 AS bytes_in FROM events WHERE user_id % 40 <> 3 OR event_id % 7 = 0"
-
-
-def _whole_flows(spark, sf_dir, of="true", connect="event_id % 7 = 0 or user_id % 40 = 3"):
-    e = load(spark, sf_dir, "events").where(of)
-    kind = F.expr(f"case when {connect} then 'connect' when event_id % 31 = 0 then 'error' else 'http' end")
-    return e.select(kind.alias("kind"), F.expr("concat('H', user_id % 40, '.example.com')").alias("host"), F.expr("cast(443 + event_id % 3 as int)").alias("port"), F.concat(F.lit("/"), "event_type").alias("path"), F.expr("event_id % 1000").alias("bytes_out"), F.expr("event_id % 77").alias("bytes_in"))
+_FLOWS = "SELECT CASE WHEN event_id % 7 = 0 OR user_id % 40 = 3 THEN 'connect' WHEN event_id % 31 = 0 THEN 'error' ELSE 'http' END AS kind, 'H' || (user_id % 40) || '.example.com' AS host, CAST(443 + event_id % 3 AS INTEGER) AS port, '/' || event_type AS path, event_id % 1000 AS bytes_out, event_id % 77 AS bytes_in FROM events"
 
 
 def _flows(spark, sf_dir):
-    return _whole_flows(spark, sf_dir, "user_id % 40 <> 3 or event_id % 7 = 0", "event_id % 7 = 0")
+    """Every event as a flow; all those of one host are tunnels."""
+    e = load(spark, sf_dir, "events")
+    kind = F.expr("case when event_id % 7 = 0 or user_id % 40 = 3 then 'connect' when event_id % 31 = 0 then 'error' else 'http' end")
+    return e.select(kind.alias("kind"), F.expr("concat('H', user_id % 40, '.example.com')").alias("host"), F.expr("cast(443 + event_id % 3 as int)").alias("port"), F.concat(F.lit("/"), "event_type").alias("path"), F.expr("event_id % 1000").alias("bytes_out"), F.expr("event_id % 77").alias("bytes_in"))
 
 
 _BY_HOST = f"""
@@ -430,33 +420,31 @@ _BY_HOST = f"""
 
 
 @query(_BY_HOST)
-def egress_by_host(spark, sf_dir, flows=_flows):
-    return reports.by_host(flows(spark, sf_dir))
+def egress_by_host(spark, sf_dir):
+    return reports.by_host(_flows(spark, sf_dir))
 
 
 @query(f"SELECT CAST(coalesce(sum(bytes_out) FILTER (lower(host) = 'h1.example.com'), 0) AS BIGINT) AS own, CAST(sum(bytes_out) AS BIGINT) AS total, coalesce(coalesce(sum(bytes_out) FILTER (lower(host) = 'h1.example.com'), 0) / CAST(nullif(sum(bytes_out), 0) AS DOUBLE), 0) AS ratio FROM ({_FLOWS}) WHERE kind = 'http'")
-def egress_ratio(spark, sf_dir, flows=_flows):
-    return reports.byte_ratio(flows(spark, sf_dir), "h1.example.com")
+def egress_ratio(spark, sf_dir):
+    return reports.byte_ratio(_flows(spark, sf_dir), "h1.example.com")
 
 
 @query(f"SELECT host, n_connect, n_error FROM ({_BY_HOST}) WHERE n_http = 0 AND n_connect + n_error > 0")
-def connect_only_hosts(spark, sf_dir, flows=_flows):
-    return reports.connect_only(flows(spark, sf_dir))
+def connect_only_hosts(spark, sf_dir):
+    return reports.connect_only(_flows(spark, sf_dir))
 
 
 @query(f"SELECT DISTINCT lower(host) AS host FROM ({_FLOWS}) WHERE lower(host) NOT IN ('h1.example.com', 'h2.example.com') AND NOT regexp_full_match(lower(host), '.*\\.h9\\.example\\.com')")
-def unjustified_hosts(spark, sf_dir, flows=_flows):
-    return reports.unjustified(flows(spark, sf_dir), spark.createDataFrame([("H1.example.com",), ("h2.example.com",), ("*.h9.example.com",)], "pattern string"))
+def unjustified_hosts(spark, sf_dir):
+    return reports.unjustified(_flows(spark, sf_dir), spark.createDataFrame([("H1.example.com",), ("h2.example.com",), ("*.h9.example.com",)], "pattern string"))
 
 
 @query(f"SELECT lower(host) AS host, path, count(*) AS n FROM ({_FLOWS}) WHERE kind = 'http' GROUP BY 1, 2 ORDER BY n DESC, 1, 2 LIMIT 40")
-def egress_paths(spark, sf_dir, flows=_flows):
-    return reports.paths(flows(spark, sf_dir))
+def egress_paths(spark, sf_dir):
+    return reports.paths(_flows(spark, sf_dir))
 
 
-# The five above leave out requests to one host, as their SQL says; here all its events are tunnels, and every event is a flow.
-_WHOLE_FLOWS = _FLOWS.removesuffix(" WHERE user_id % 40 <> 3 OR event_id % 7 = 0").replace("WHEN event_id % 7 = 0 THEN", "WHEN event_id % 7 = 0 OR user_id % 40 = 3 THEN")
-_whole("flows", _FLOWS, _WHOLE_FLOWS, _whole_flows, egress_by_host, egress_ratio, connect_only_hosts, unjustified_hosts, egress_paths)
+_whole(egress_by_host, egress_ratio, connect_only_hosts, unjustified_hosts, egress_paths)
 
 
 @query("SELECT DISTINCT h AS host, CASE WHEN h = 'site1.example.com' THEN 'tunnel' WHEN h = 'example.com' OR ends_with(h, '.example.com') THEN 'inspect' ELSE 'refuse' END AS verdict FROM (SELECT lower(regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1)) AS h FROM pages)")
@@ -540,13 +528,15 @@ def audit_digest(spark, sf_dir):
 _COMMANDS = (
     "ls -la", "kubectl get secret db -o yaml", "kubectl exec -it web -- sh", "cat ~/.ssh/config", "cat README.md", "terraform state pull", "gh api /user", "gh auth token", "docker inspect web",
     "git remote -v", "git status", "crontab -l", "cat /proc/self/environ", "helm get values web", "LD_PRELOAD=/tmp/x.so ls", "cat .bash_history", "strace -p 12", "make test", "cat deploy/secrets.yaml", "openssl x509 -in server.pem",
+    "cat .env", "cat .env.example", "cat .env; echo .env.example", "cat id_rsa.pub", "grep process.env src/a.js", "gcloud auth print-access-token", "kubectl get pods,secrets", "ps auxe", "git config --list", ". /tmp/x.sh", "terraform output", "docker run -v ~/.ssh:/x img",
+    "aws sso login", "security find-generic-password -w", "systemctl show-environment", "echo $HISTFILE", "cp service-account-x.json /tmp", "cat prod.env|xxd",
 )
 
 
 @query(
-    "SELECT command, CASE WHEN regexp_matches(command, " + _s("|".join(f"(?:{p})" for p in guard.SENSITIVE_FILES)) + ") THEN 'sensitive file' "
-    + " ".join(f"WHEN regexp_matches(command, {_s(p)}) THEN {_s(r)}" for r, p in guard.DENIED)
-    + " END AS reason FROM (VALUES " + ", ".join(f"({_s(c)})" for c in _COMMANDS) + ") t(command)"
+    f"WITH t AS (SELECT command, regexp_replace(command, {_s(guard.PUBLIC)}, '', 'g') AS rest FROM (VALUES " + ", ".join(f"({_s(c)})" for c in _COMMANDS) + ") v(command)) SELECT command, CASE WHEN regexp_matches(rest, " + _s("|".join(f"(?:{p})" for p in guard.SENSITIVE_FILES)) + ") THEN 'sensitive file' "
+    + " ".join(f"WHEN regexp_matches(rest, {_s(p)}) THEN {_s(r)}" for r, p in guard.DENIED)
+    + " END AS reason FROM t"
 )
 def guard_pattern_reason(spark, sf_dir):
     rows = spark.createDataFrame([(c,) for c in _COMMANDS], "command string")

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import hashlib
+import re
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.crypto import derive, hmac_hex
+from .canonical import canonical
 from .overlap import class_of
 
 # From what counts first to what counts last.
@@ -51,6 +55,67 @@ def removed(policy: DataFrame, level: str, granularity: str, key: str) -> DataFr
     return policy.where(~((F.col("level") == level) & (F.col("granularity") == granularity) & (F.col("key") == key)))
 
 
+def scope_name(*fields: str) -> str:
+    """The name of a scope's file: a readable part of the last field, and a digest of all fields behind their lengths."""
+    readable = re.sub(r"[^A-Za-z0-9._-]+", "-", fields[-1].rstrip("/").rsplit("/", 1)[-1]).strip("-.")[:40] or "scope"
+    message = b"".join(len(b).to_bytes(4, "big") + b for b in (f.encode() for f in fields))
+    return f"{readable}-{hashlib.sha256(message).hexdigest()[:16]}"
+
+
+RULE = "level string, granularity string, key string, decision string"
+
+
+def from_files(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
+    """Rules (level, granularity, key, decision) of policy files, one JSON object {granularity: {key: decision}} per level.
+
+    A file that is missing, unreadable or of another shape is an empty layer, and a rule with an unknown granularity or
+    decision, or one that reveals secrets, is none: what can't be read never opens anything.
+    """
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    out = spark.createDataFrame([], RULE)
+    for level, path in paths.items():
+        where = hadoop(path)
+        if level not in LEVELS or not where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where):
+            continue
+        text = spark.read.text(path, wholetext=True).select(F.from_json("value", "map<string,map<string,string>>", {"mode": "PERMISSIVE"}).alias("m"))
+        rows = text.select(F.explode("m").alias("granularity", "keys")).select("granularity", F.explode("keys").alias("key", "decision"))
+        rows = rows.where(F.col("granularity").isin(*GRANULARITIES) & F.col("decision").isin("anonymise", "reveal"))
+        rows = rows.where(~((F.col("granularity") == "class") & (F.col("key") == "secret") & (F.col("decision") == "reveal")))
+        out = out.unionByName(rows.select(F.lit(level).alias("level"), "granularity", "key", "decision"))
+    return out
+
+
+def answered(answers: DataFrame) -> DataFrame:
+    """Rules of level message from answers (seq, granularity, key, decision): the last one for each key; a null decision takes it back."""
+    last = answers.groupBy("granularity", "key").agg(F.max_by("decision", "seq").alias("decision")).where("decision in ('anonymise', 'reveal')")
+    return last.select(F.lit("message").alias("level"), "granularity", "key", "decision")
+
+
+def on_value(policy: DataFrame, level: str, kind: str, value: str, decision: str, keys) -> DataFrame:
+    """policy with a rule for one named value, known by its canonical form: whatever way it is written, one fingerprint."""
+    spark = policy.sparkSession
+    row = spark.createDataFrame([(kind, value)], "type string, value string")
+    form = canonical(F.col("type"), F.col("value"))["normalized"]
+    mark = row.select(fingerprint(keys, F.col("type"), form).alias("f")).first()["f"]
+    return defined(policy, level, "value", mark, decision)
+
+
+def shown(questions: DataFrame, view: DataFrame) -> DataFrame:
+    """Questions with the real value of their surrogate, for who is to answer; null where the view has none."""
+    return questions.join(view.select("surrogate", F.col("real").alias("value")), "surrogate", "left")
+
+
+# What each setting may be; an empty tuple takes any value.
+SETTINGS = {"mode": ("auto", "ask", "deferred"), "dates": ("free", "same side"), "paths": ("mask", "keep")}
+
+
+def valid_settings(rows: DataFrame) -> DataFrame:
+    """settings() of rows, or an error for a value that its setting can't have."""
+    known = F.coalesce(*(F.when(F.col("name") == n, F.col("value").isin(*v)) for n, v in SETTINGS.items()), F.lit(True))
+    fine = rows.withColumn("value", F.when(known, F.col("value")).otherwise(F.raise_error(F.concat(F.lit("invalid setting "), "name"))))
+    return settings(fine)
+
+
 def pending(questions: DataFrame, policy: DataFrame) -> DataFrame:
     """The first question of each fingerprint that no rule for its value, type or class has settled."""
     first = questions.withColumn("n", F.row_number().over(Window.partitionBy("fingerprint").orderBy("seen_at", "type"))).where("n = 1").drop("n")
@@ -67,8 +132,12 @@ def questions_by_type(questions: DataFrame) -> DataFrame:
 
 
 def coverage(questions: DataFrame) -> DataFrame:
-    """How many open questions a decision on each one's value, type or class would settle."""
-    return questions.select("fingerprint", "type", "class", F.count("*").over(Window.partitionBy("fingerprint")).alias("by_value"), F.count("*").over(Window.partitionBy("type")).alias("by_type"), F.count("*").over(Window.partitionBy("class")).alias("by_class"))
+    """How many open questions a decision on each one's value, type or class would settle: counts by each, joined back."""
+    out = questions.select("fingerprint", "type", "class")
+    for column, name in (("fingerprint", "by_value"), ("type", "by_type"), ("class", "by_class")):
+        counted = questions.groupBy(F.col(column).alias("_of")).agg(F.count("*").alias(name))
+        out = out.join(counted, F.col(column).eqNullSafe(F.col("_of"))).drop("_of")
+    return out.select("fingerprint", "type", "class", "by_value", "by_type", "by_class")
 
 
 def settings(rows: DataFrame) -> DataFrame:

@@ -68,23 +68,32 @@ def variance(a: DataFrame, b: DataFrame) -> DataFrame:
 def occurrences(bodies: DataFrame, values: DataFrame) -> DataFrame:
     """value, n: how often each sensitive value stands in the bodies, plain or with escaped slashes.
 
-    values are few by contract (a declared list); they are broadcast while they are under 10,000, and grouped into one pass over the bodies.
+    A value is looked for in the bodies only that have its anchor, its longest run of letters and digits: anchors meet the bodies'
+    own runs by equality, and the value is counted where one holds it.
     """
     rows = values.select("value").distinct().where("value != ''")
-    few = rows.limit(10_001).count() <= 10_000
-    pairs = bodies.select("body").join(F.broadcast(rows) if few else rows, F.contains("body", F.col("value")) | F.contains("body", F.replace("value", F.lit("/"), F.lit("\\/"))))
-    n = lambda needle: (F.length("body") - F.length(F.replace("body", needle, F.lit("")))) / F.length(needle)
     slashed = F.replace("value", F.lit("/"), F.lit("\\/"))
+    runs = F.regexp_extract_all("value", F.lit("[A-Za-z0-9]+"), F.lit(0))
+    longest = F.aggregate(runs, F.lit(""), lambda s, x: F.when(F.length(x) > F.length(s), x).otherwise(s))
+    # A run of the value may be part of a longer one in a body, so runs meet by their parts of four characters.
+    anchored = rows.withColumn("anchor", F.substring(longest, 1, 4))
+    numbered = bodies.select("body", F.monotonically_increasing_id().alias("_row"))
+    grams = lambda c: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(c) - 3)), lambda i: F.substring(c, i, F.lit(4)))
+    tokens = numbered.select("body", "_row", F.explode(F.array_distinct(F.flatten(F.transform(F.regexp_extract_all("body", F.lit("[A-Za-z0-9]+"), F.lit(0)), grams)))).alias("anchor"))
+    long = anchored.where(F.length("anchor") == 4).join(tokens, "anchor").select("value", "body")
+    short = anchored.where(F.length("anchor") < 4).select("value").join(bodies.select("body"), F.contains("body", F.col("value")) | F.contains("body", slashed))
+    n = lambda needle: F.floor((F.length("body") - F.length(F.replace("body", needle, F.lit("")))) / F.length(needle))
     total = n(F.col("value")) + F.when(F.contains("value", F.lit("/")), n(slashed)).otherwise(0)
-    counted = pairs.groupBy("value").agg(F.sum(total).cast("bigint").alias("n"))
-    return rows.join(counted, "value", "left").select("value", F.coalesce("n", F.lit(0)).alias("n"))
+    counted = long.unionByName(short).groupBy("value").agg(F.sum(total).cast("bigint").alias("n"))
+    return rows.join(counted, "value", "left").select("value", F.coalesce("n", F.lit(0).cast("bigint")).alias("n"))
 
 
 def latency(rows: DataFrame, value: str, *group: str) -> DataFrame:
-    """n, least, p50, p95 (the value at index int(0.95 n) of the ascending values, the last at most) and most."""
-    order = Window.partitionBy(*group).orderBy(value)
-    ranked = rows.where(F.col(value).isNotNull()).select(*group, F.col(value).alias("v"), (F.row_number().over(order) - 1).alias("i"), F.count("*").over(Window.partitionBy(*group)).alias("n"))
-    return ranked.groupBy(*group).agg(F.first("n").alias("n"), F.min("v").alias("least"), F.percentile("v", 0.5).alias("p50"), F.max(F.when(F.col("i") == F.least(F.col("n") - 1, F.floor(F.col("n") * F.lit(0.95))), F.col("v"))).alias("p95"), F.max("v").alias("most"))
+    """n, least, p50, p95 (the value at index int(0.95 n) of the ascending values, the last at most) and most; by partial aggregates."""
+    # A hair more than 0.95 makes the discrete percentile's place, ceil(p n), one more than int(0.95 n) for every n.
+    return rows.where(F.col(value).isNotNull()).groupBy(*group).agg(
+        F.count("*").alias("n"), F.min(value).alias("least"), F.percentile(value, 0.5).alias("p50"), F.expr(f"percentile_disc(0.950000000001D) within group (order by {value})").alias("p95"), F.max(value).alias("most")
+    )
 
 
 def confusion(bench: DataFrame) -> DataFrame:
@@ -107,3 +116,61 @@ def coverage_of(expected: Column, found: Column) -> Column:
     """Whether a found value covers the expected one: three characters or more, and either holds the other, or they share a word."""
     words = lambda c: F.filter(F.split(F.lower(c), r"\W+"), lambda w: F.length(w) >= 3)
     return F.exists(found, lambda f: (F.length(f) >= 3) & (F.contains(expected, f) | F.contains(f, expected) | F.arrays_overlap(words(f), words(expected))))
+
+
+def pipeline_counters(rows: DataFrame) -> DataFrame:
+    """calls, hits (texts seen before), detected (spans), substituted (spans replaced) of rows text, n_spans, n_entities."""
+    return rows.agg(
+        F.count("*").alias("calls"), (F.count("*") - F.countDistinct("text") - F.max(F.col("text").isNull().cast("int"))).alias("hits"),
+        F.coalesce(F.sum("n_spans"), F.lit(0)).alias("detected"), F.coalesce(F.sum("n_entities"), F.lit(0)).alias("substituted"),
+    )
+
+
+def path_counters(captures: DataFrame) -> DataFrame:
+    """path, n, bytes of captured requests, without their queries."""
+    return captures.groupBy(F.substring_index("path", "?", 1).alias("path")).agg(F.count("*").alias("n"), F.coalesce(F.sum("bytes_out"), F.lit(0)).alias("bytes"))
+
+
+def detectors_compared(expected: DataFrame, a: DataFrame, b: DataFrame) -> DataFrame:
+    """id, n, by_a, by_b, only_a, only_b: how many of the expected values (id, value) of each case two detectors' spans (id, value) cover."""
+
+    def covered(spans: DataFrame, name: str) -> DataFrame:
+        return spans.groupBy("id").agg(F.collect_set("value").alias(name))
+
+    rows = expected.join(covered(a, "_a"), "id", "left").join(covered(b, "_b"), "id", "left")
+    hit = lambda c: F.coalesce(coverage_of(F.col("value"), F.col(c)), F.lit(False))
+    rows = rows.select("id", hit("_a").alias("a"), hit("_b").alias("b"))
+    return rows.groupBy("id").agg(F.count("*").alias("n"), F.count_if("a").alias("by_a"), F.count_if("b").alias("by_b"), F.count_if(F.expr("a and not b")).alias("only_a"), F.count_if(F.expr("b and not a")).alias("only_b"))
+
+
+def escalation_precision(router: DataFrame, judged: DataFrame) -> DataFrame:
+    """One row n, right, precision: of the cases (id, escalated) that a router sends on, those that the stronger arm (id, expected, before, after) then puts right."""
+    sent = router.where("escalated").join(judged, "id")
+    out = sent.agg(F.count("*").alias("n"), F.count_if(F.expr("before != expected and after = expected")).alias("right"))
+    return out.withColumn("precision", F.coalesce(F.try_divide(F.col("right").cast("double"), F.col("n").cast("double")), F.lit(0.0)))
+
+
+def unrestored(answers: DataFrame, hosts: DataFrame) -> DataFrame:
+    """id, value of host-shaped strings in answers (id, text) that are no part of a known real host (host), nor have one as a part.
+
+    A string and a host stand in one another only if they share a label, so labels meet by equality before they are compared.
+    """
+    pattern = r"[a-z0-9][a-z0-9-]{0,62}(?:\.[a-z0-9-]{1,63}){1,10}"
+    found = answers.select("id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(pattern), F.lit(0)))).alias("value"))
+    labels = found.select("id", "value", F.explode(F.split("value", r"\.")).alias("label"))
+    known = hosts.select(F.lower("host").alias("host")).distinct().select("host", F.explode(F.split("host", r"\.")).alias("label"))
+    near = labels.join(known, "label").where(F.contains("host", F.col("value")) | F.contains("value", F.col("host"))).select("id", "value")
+    return found.join(near, ["id", "value"], "left_anti")
+
+
+def declared_values(declared: DataFrame, fixture: DataFrame) -> DataFrame:
+    """value: sensitive values that are declared, or stand in a fixture's texts in double quotes behind a sensitive name."""
+    extracted = fixture.select(F.explode(F.regexp_extract_all("text", F.lit(r'(?i)(?:password|secret|token|api_?key|host|email)[A-Za-z_]*"?\s*[:=]\s*"([^"]{3,200})"'), F.lit(1))).alias("value"))
+    return declared.select("value").unionByName(extracted).where("value != ''").distinct()
+
+
+def latency_halves(rows: DataFrame, value: str, order: str) -> DataFrame:
+    """half, n, median of the earlier and the later half of the rows: the middle of order splits them."""
+    middle = rows.agg(F.expr(f"percentile_disc(0.5D) within group (order by {order})").alias("_middle"))
+    split = rows.crossJoin(F.broadcast(middle))
+    return split.groupBy(F.when(F.col(order) <= F.col("_middle"), "first").otherwise("second").alias("half")).agg(F.count("*").alias("n"), F.percentile(value, 0.5).alias("median"))
