@@ -11,7 +11,7 @@ from .functions.crypto import hmac_hex, hmac_sql, prefixed, prefixed_sql
 from .functions.findall import find_all
 from .operators import canonical as can
 from .operators import detect as det
-from .operators import guard, overlap, policy, reports, rules, vault, walk
+from .operators import dates, guard, overlap, policy, reports, rules, vault, walk
 from .operators.generate import Generator, shifted_iso
 from .plans import pseudonymise as plan
 from .sources import readers
@@ -588,3 +588,146 @@ def tumbling_counts(spark, sf_dir):
 """)
 def session_windows(spark, sf_dir):
     return windows.sessions(load(spark, sf_dir, "events")).select("user_id", "n", F.col("start").cast("timestamp_ntz").alias("start"))
+
+
+# Bodies, dates, predicates and reports, each against SQL over the same tables
+
+
+@query("SELECT conv_id, turn, '/messages/0/content/0/text' AS path, text FROM conversations WHERE text IS NOT NULL UNION ALL SELECT conv_id, turn, '/metadata/' || role, role FROM conversations UNION ALL SELECT conv_id, turn, '/metadata#' || role, role FROM conversations")
+def json_nested_leaves(spark, sf_dir):
+    """Requests with protocol fields, blocks and a free map, whose keys are leaves too."""
+    c = load(spark, sf_dir, "conversations")
+    block = F.struct(F.lit("text").alias("type"), F.col("text"))
+    message = F.struct(F.when(F.col("role").isin("user", "assistant", "system"), F.col("role")).otherwise("user").alias("role"), F.array(block).alias("content"))
+    request = F.struct(F.lit("model-1").alias("model"), F.array(message).alias("messages"), F.create_map("role", "role").alias("metadata"))
+    return walk.exploded(c.select(F.struct("conv_id", "turn").alias("body_id"), F.to_json(request).alias("body"))).select("body_id.conv_id", "body_id.turn", "path", "text")
+
+
+@query("SELECT conv_id, turn, text FROM conversations")
+def json_bodies_put_back(spark, sf_dir):
+    """Every text in capitals by way of leaves and back, then read from the body in lower case again: nothing but the leaf has changed."""
+    c = load(spark, sf_dir, "conversations").withColumn("_id", F.concat_ws("-", "conv_id", "turn"))
+    bodies = c.select(F.col("_id").alias("body_id"), "conv_id", "turn", "text", F.to_json(F.struct(F.lit("user").alias("role"), F.col("text").alias("content"))).alias("body"))
+    changed = walk.exploded(bodies).select("body_id", "path", F.concat(F.lit("<"), "text", F.lit(">")).alias("text"))
+    back = walk.put_back(bodies, changed).withColumn("new", F.get_json_object("body", "$.content"))
+    return back.select("conv_id", "turn", F.when(F.col("new") == F.concat(F.lit("<"), "text", F.lit(">")), F.col("text")).alias("text"))
+
+
+@query(f"SELECT o_orderkey, strftime(CAST(o_orderdate AS DATE) + {_SHIFT}, '%d/%m/%Y') AS numeric, 'from ' || strftime(CAST(o_orderdate AS DATE) + {_SHIFT}, '%Y-%m-%d') || ' to ' || strftime(CAST(o_orderdate AS DATE) + {_SHIFT}, '%Y/%m/%d') AS inside FROM orders")
+def date_shift_in_hands(spark, sf_dir):
+    day = lambda pattern: F.date_format("o_orderdate", pattern)
+    rows = load(spark, sf_dir, "orders").select("o_orderkey", day("dd/MM/yyyy").alias("a"), F.concat(F.lit("from "), day("yyyy-MM-dd"), F.lit(" to "), day("yyyy/MM/dd")).alias("b"))
+    return rows.select("o_orderkey", dates.shifted(F.col("a"), F.lit(_SHIFT)).alias("numeric"), dates.shifted(F.col("b"), F.lit(_SHIFT)).alias("inside"))
+
+
+@query("SELECT o_orderkey, 1 AS \"start\", 11 AS \"end\", strftime(o_orderdate, '%Y-%m-%d') AS value FROM orders UNION ALL SELECT o_orderkey, 15, 25, strftime(o_orderdate, '%Y/%m/%d') FROM orders")
+def dates_in_texts(spark, sf_dir):
+    text = F.concat(F.lit("("), F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit("), ["), F.date_format("o_orderdate", "yyyy/MM/dd"), F.lit("] 12/34"))
+    rows = load(spark, sf_dir, "orders").select("o_orderkey", F.explode(dates.dated(text)).alias("d"))
+    return rows.select("o_orderkey", "d.start", "d.end", "d.value")
+
+
+@query(f"SELECT o_orderkey, strftime(CAST('0001-01-01' AS DATE) + CAST(((CAST(o_orderdate AS DATE) - CAST('0001-01-01' AS DATE)) + {_SHIFT}) % (CAST('2000-06-15' AS DATE) - CAST('0001-01-01' AS DATE) + 1) AS INTEGER), '%Y-%m-%d') AS shifted FROM orders WHERE CAST(o_orderdate AS DATE) <= CAST('2000-06-15' AS DATE)")
+def date_same_side(spark, sf_dir):
+    """Dates up to a given today rotate among themselves."""
+    rows = load(spark, sf_dir, "orders").where("cast(o_orderdate as date) <= date'2000-06-15'").select("o_orderkey", F.date_format("o_orderdate", "yyyy-MM-dd").alias("d"))
+    return rows.select("o_orderkey", dates.shifted(F.col("d"), F.lit(_SHIFT), "2000-06-15").alias("shifted"))
+
+
+@query("SELECT doc_id FROM documents WHERE false")
+def pseudonymised_leaks(spark, sf_dir):
+    """Documents in whose pseudonymised text one of their own addresses, mails, phones or hosts still stands: none."""
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text")
+    safe, _ = plan.pseudonymise(docs, SCOPE, KEYS)
+    found = _spans(spark, sf_dir, "email", "ipv4", "phone").select("doc_id", "value").distinct()
+    return safe.join(found, "doc_id").where(F.contains("safe_text", F.col("value"))).select("doc_id").distinct()
+
+
+@query(f"SELECT count(DISTINCT regexp_replace(value, '\\.[0-9]+$', '')) AS real_nets, count(DISTINCT regexp_replace(value, '\\.[0-9]+$', '')) AS new_nets, count(DISTINCT regexp_replace(value, '\\.[0-9]+$', '')) AS pairs, count(DISTINCT value) AS surrogates FROM ({_IPS})")
+def subnets_allocated(spark, sf_dir):
+    """Networks of the allocated mapping: as many new ones as real ones, and each real one with one new one."""
+    ips = det.values(load(spark, sf_dir, "documents"), "ipv4").select(F.lit("IP_ADDRESS").alias("type"), "value").distinct()
+    net = lambda c: F.regexp_replace(c, r"\.[0-9]+$", "")
+    view = vault.view(vault.allocate(vault.entities(ips), SCOPE, KEYS), SCOPE, KEYS).select(net("real").alias("a"), net("surrogate").alias("b"), "surrogate")
+    return view.agg(F.countDistinct("a").alias("real_nets"), F.countDistinct("b").alias("new_nets"), F.countDistinct("a", "b").alias("pairs"), F.countDistinct("surrogate").alias("surrogates"))
+
+
+@query(
+    f"WITH t AS (SELECT conv_id, turn, regexp_replace(text, {_s(guard.PUBLIC)}, '', 'g') AS rest FROM conversations) SELECT conv_id, turn, CASE WHEN regexp_matches(rest, " + _s("|".join(f"(?:{p})" for p in guard.SENSITIVE_FILES)) + ") THEN 'sensitive file' "
+    + " ".join(f"WHEN regexp_matches(rest, {_s(p)}) THEN {_s(r)}" for r, p in guard.DENIED)
+    + " END AS reason FROM t"
+)
+def guard_patterns_on_texts(spark, sf_dir):
+    return load(spark, sf_dir, "conversations").select("conv_id", "turn", guard.pattern_reason(F.col("text")).alias("reason"))
+
+
+@query("SELECT event_type AS key, arg_max(CASE event_id % 3 WHEN 0 THEN 'reveal' WHEN 1 THEN 'anonymise' END, event_id) FILTER (true) AS decision FROM (SELECT * FROM events) GROUP BY event_type HAVING max(event_id) % 3 <> 2")
+def message_answers(spark, sf_dir):
+    """The last answer for each key; one that takes an answer back leaves none."""
+    e = load(spark, sf_dir, "events")
+    answers = e.select(F.col("event_id").alias("seq"), F.lit("type").alias("granularity"), F.col("event_type").alias("key"), F.expr("case event_id % 3 when 0 then 'reveal' when 1 then 'anonymise' end").alias("decision"))
+    return policy.answered(answers).select("key", "decision")
+
+
+@query("SELECT '/' || event_type AS path, count(*) AS n, CAST(sum(event_id % 1000) AS BIGINT) AS bytes FROM events GROUP BY event_type")
+def path_counters(spark, sf_dir):
+    return reports.path_counters(_flows(spark, sf_dir).withColumn("path", F.concat("path", F.lit("?q="), "host")))
+
+
+@query("SELECT 2 * count(*) AS calls, 2 * count(*) - count(DISTINCT text) AS hits, CAST(2 * sum(doc_id % 5) AS BIGINT) AS detected, CAST(2 * sum(doc_id % 3) AS BIGINT) AS substituted FROM documents WHERE text IS NOT NULL")
+def pipeline_counters(spark, sf_dir):
+    d = load(spark, sf_dir, "documents").where("text is not null").select("text", F.expr("doc_id % 5").alias("n_spans"), F.expr("doc_id % 3").alias("n_entities"))
+    return reports.pipeline_counters(d.unionByName(d))
+
+
+@query("SELECT v AS value, CAST(sum((length(html) - length(replace(html, v, ''))) / length(v)) AS BIGINT) AS n FROM pages, (VALUES ('example'), ('</p>'), ('href'), ('UTF'), ('no such value')) t(v) GROUP BY v")
+def value_occurrences(spark, sf_dir):
+    values = spark.createDataFrame([(v,) for v in ("example", "</p>", "href", "UTF", "no such value")], "value string")
+    return reports.occurrences(load(spark, sf_dir, "pages").select(F.col("html").alias("body")), values)
+
+
+@query("SELECT event_id, 'k' AS path, json_extract_string(props, '$.k') AS value FROM events WHERE json_extract_string(props, '$.k') IS NOT NULL")
+def json_flattened(spark, sf_dir):
+    return walk.flattened(load(spark, sf_dir, "events"), "props", "event_id")
+
+
+@query("SELECT page_id, regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1) AS host, regexp_matches(regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1), '(^|\\.)example\\.org$') AS open, false AS local FROM pages")
+def host_predicates(spark, sf_dir):
+    pages = load(spark, sf_dir, "pages")
+    host = rules.url_host(F.col("url"))
+    return pages.select("page_id", host.alias("host"), rules.is_open_host(host, ["example.org"]).alias("open"), rules.is_local(F.col("url")).alias("local"))
+
+
+@query("SELECT DISTINCT host, '*.example.*' AS glob FROM (SELECT regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1) AS host FROM pages) WHERE regexp_matches(host, '^.*\\.example\\..*$')")
+def hosts_justified(spark, sf_dir):
+    hosts = load(spark, sf_dir, "pages").select(rules.url_host(F.col("url")).alias("host")).distinct()
+    return rules.justified(hosts, ["nowhere.test", "*.example.*"])
+
+
+@query("SELECT event_id, length(CAST(event_id * 7919 AS VARCHAR)) <= 5 AND event_id * 7919 < 65536 AS port FROM events")
+def ports(spark, sf_dir):
+    return load(spark, sf_dir, "events").select("event_id", rules.is_port((F.col("event_id") * 7919).cast("string")).alias("port"))
+
+
+@query(f"SELECT doc_id, value, CASE WHEN value IN ('example.com', 'mail1.example.com') THEN 'exact' WHEN regexp_full_match(value, 'mail[2-4]\\.example\\.com') THEN 'mail[2-4]\\.example\\.com' END AS reason FROM ({_HOSTS})")
+def public_by_join(spark, sf_dir):
+    """Exact entries of the allow list met by a join instead of a chain of conditions."""
+    rows = det.values(load(spark, sf_dir, "documents"), "host").withColumn("kind", F.lit("HOSTNAME"))
+    return ALLOW.with_reason(rows, "kind", "value").select("doc_id", "value", "reason")
+
+
+@query("WITH m AS (SELECT quantile_disc(event_id, 0.5) AS middle FROM events) SELECT CASE WHEN event_id <= middle THEN 'first' ELSE 'second' END AS half, count(*) AS n, quantile_cont(value, 0.5) AS median FROM events, m GROUP BY 1")
+def latency_halves(spark, sf_dir):
+    return reports.latency_halves(load(spark, sf_dir, "events"), "value", "event_id")
+
+
+@query(f"""
+    WITH s AS ({_spans_sql('email', 'phone')})
+    SELECT doc_id, type, trim(value, '.,;:!?()[]{{}}<>"'' ') AS value, CAST(start + 1 + length(value) - length(ltrim(value, '.,;:!?()[]{{}}<>"'' ')) - 1 AS INTEGER) AS start FROM s
+""")
+def spans_trimmed(spark, sf_dir):
+    """Spans, each with punctuation around it, trimmed to what they were."""
+    docs = load(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    spans = F.flatten(F.array(*(find_all("text", det.BY_NAME[n].pattern, det.BY_NAME[n].kind, det.BY_NAME[n].score) for n in ("email", "phone"))))
+    wide = F.transform(spans, lambda s: s.withField("value", F.concat(F.lit("(<"), s["value"], F.lit("!)"))).withField("start", s["start"] - 2).withField("end", s["end"] + 2))
+    return docs.select("doc_id", wide.alias("spans")).select("doc_id", F.explode(det.trimmed("spans")).alias("s")).select("doc_id", "s.type", "s.value", "s.start")
