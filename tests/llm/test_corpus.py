@@ -455,6 +455,14 @@ def test_sentencepiece_is_the_librarys(spark, real, texts):
         assert r["ids"] == model.encode(text) and r["decoded_sha256"] == hashlib.sha256(text.encode()).hexdigest()
 
 
+def test_sentencepiece_with_null_and_repeated_ids(spark):
+    table = spm.Pieces.load(registry.PIECE_MODEL)
+    rows = [(None, "a word"), (1, "same text"), (1, "same text"), (1, "other"), (2, None), (3, "x" * 70 + " " + "-" * 5000)]
+    got = spm.encode(spark.createDataFrame(rows, "doc_id bigint, text string"), table)
+    back = spm.decoded(got, table).collect()
+    assert sorted((str(r["doc_id"]), r["text"]) for r in back) == sorted((str(i), t or "") for i, t in rows)
+
+
 def test_viterbi_fold_is_the_best_path(spark):
     pieces = ["<unk>", "▁", "a", "b", "c", "ab", "bc", "▁a", "abc", "▁abc"]
     scores = [0.0, -2.0, -3.0, -3.1, -3.2, -4.0, -3.5, -4.5, -6.6, -9.0]

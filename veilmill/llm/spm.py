@@ -22,12 +22,13 @@ from dataclasses import dataclass
 from itertools import count
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import sentencepiece
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SPACE = "▁"
@@ -118,14 +119,6 @@ class Pieces:
         return {p: i for i, p in enumerate(self.pieces) if not self.special[i]}
 
 
-def normalised(text: Column) -> Column:
-    return F.when(text == "", "").otherwise(F.concat(F.lit(SPACE), F.replace(text, F.lit(" "), F.lit(SPACE))))
-
-
-def units(text: Column) -> Column:
-    return F.regexp_extract_all(normalised(text), F.lit(UNITS), F.lit(0))
-
-
 #: A BPE edge is one long: the rank of its cost, its start, its size and its id, from the top; the id of what is no piece.
 RANK, START, SIZE, NONE = 40, 32, 24, (1 << 24) - 1
 
@@ -387,14 +380,27 @@ def _unpacked(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.cumsum(code.astype(np.int64)), sizes.astype(np.int64), values.astype(np.int32)
 
 
+def _spelled(table: Pieces) -> list[bytes]:
+    """The bytes that each id stands for, blanks for their marks; control pieces stand for none."""
+    of_bytes = set(table.byte_ids)
+    special = lambda i, p: bytes([int(p[3:5], 16)]) if i in of_bytes else " ⁇ ".encode() if i == table.unknown else b""
+    return [special(i, p) if table.special[i] else p.replace(SPACE, " ").encode() for i, p in enumerate(table.pieces)]
+
+
+def decode_ids(ids: list[int], spelled: list[bytes]) -> str:
+    """The text of ids, without the blank in front."""
+    return b"".join([spelled[i] for i in ids]).decode("utf-8", "replace").removeprefix(" ")
+
+
 def _assembled(key: str, table: Pieces):
-    """From packed, found (the encodings of the chunk's units): key, ids, n_units of each of the chunk's rows.
+    """From packed, found (the encodings of the chunk's units): key, ids, n_units of each of the chunk's rows, and the SHA-256 of
+    the text that its ids decode to.
 
     The few units that are too long for the fold, one in each chunk that has it, are merged here.
     """
 
     def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        piece_ids = table.ids()
+        piece_ids, spelled = table.ids(), _spelled(table)
         for batch in batches:
             for packed, found in zip(*batch.columns, strict=True):
                 body = _from_bytes(packed.as_py())
@@ -419,15 +425,17 @@ def _assembled(key: str, table: Pieces):
                     mine = code[ends[at] : ends[stop]]
                     upto = _ends(length[mine])
                     part = rows.slice(at, stop - at)
-                    lists = pa.ListArray.from_arrays(pa.array(upto[ends[at : stop + 1] - ends[at]].astype(np.int32)), pa.array(values[_gathered(first, length, mine)]))
-                    yield pa.record_batch([part.column("key").combine_chunks(), lists, part.column("n").combine_chunks()], names=[key, "ids", "n_units"])
+                    ids, cuts = values[_gathered(first, length, mine)], upto[ends[at : stop + 1] - ends[at]]
+                    digests = [hashlib.sha256(decode_ids(ids[a:b].tolist(), spelled).encode()).hexdigest() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+                    lists = pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(ids))
+                    yield pa.record_batch([part.column("key").combine_chunks(), lists, part.column("n").combine_chunks(), pa.array(digests, pa.string())], names=[key, "ids", "n_units", "decoded_sha256"])
                     at = stop
 
     return assemble
 
 
 def encode(docs: DataFrame, table: Pieces, key: str = "doc_id") -> DataFrame:
-    """key (a column of whole numbers), ids array<int>, n_units for each row of docs.
+    """key (a column of whole numbers), ids array<int>, n_units, decoded_sha256 for each row of docs.
 
     A null text is encoded as an empty one: no ids. Null keys and rows that repeat are encoded each. Empty docs give an
     empty result; further columns are ignored.
@@ -448,23 +456,21 @@ def encode(docs: DataFrame, table: Pieces, key: str = "doc_id") -> DataFrame:
     encoded = encode_units(vocabulary, table).select("ids", F.explode("uses").alias("use")).select("use.chunk", "use.code", "ids")
     found = encoded.select("chunk", "code", "ids").mapInArrow(_found, "chunk bigint, found binary").repartition(tasks, "chunk").groupBy("chunk").agg(F.collect_list("found").alias("found"))
     both = chunks.join(found.hint("merge"), "chunk", "left").select("packed", "found")
-    return both.mapInArrow(_assembled(key, table), f"{key} bigint, ids array<int>, n_units bigint")
+    return both.mapInArrow(_assembled(key, table), f"{key} bigint, ids array<int>, n_units bigint, decoded_sha256 string")
 
 
-def decoded(ids: Column, table: Pieces) -> Column:
-    """The text of ids: pieces' bytes end to end, blanks for their marks, without the blank in front. Control pieces have no text."""
-    spelled, of_bytes = [], set(table.byte_ids)
-    for i, p in enumerate(table.pieces):
-        if table.special[i]:
-            spelled.append(p[3:5] if i in of_bytes else (" ⁇ ".encode().hex() if i == table.unknown else ""))
-        else:
-            spelled.append(p.replace(SPACE, " ").encode().hex())
-    literal = F.split(F.lit(",".join(spelled)), ",")  # folded to one constant array when the query is planned
-    text = F.decode(F.unhex(F.array_join(F.transform(ids, lambda i: F.element_at(literal, i + 1)), "")), "utf-8")
-    return F.when(F.startswith(text, F.lit(" ")), F.substring(text, 2, 2**31 - 1)).otherwise(text)
+def decoded(rows: DataFrame, table: Pieces, ids: str = "ids") -> DataFrame:
+    """rows with text, what their ids decode to; null for null ids."""
+
+    @F.pandas_udf("string")
+    def spell(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        spelled = _spelled(table)
+        for batch in batches:
+            yield pd.Series([None if x is None else decode_ids(list(x), spelled) for x in batch], dtype=object)
+
+    return rows.withColumn("text", spell(ids))
 
 
 def encode_decode(docs: DataFrame, table: Pieces) -> DataFrame:
     """doc_id, n_units, n_pieces, ids, decoded_sha256 (of the text that decoding the ids gives, UTF-8, lowercase hex)."""
-    rows = encode(docs, table)
-    return rows.select("doc_id", "n_units", F.size("ids").cast("bigint").alias("n_pieces"), "ids", F.sha2(decoded(F.col("ids"), table).cast("binary"), 256).alias("decoded_sha256"))
+    return encode(docs, table).select("doc_id", "n_units", F.size("ids").cast("bigint").alias("n_pieces"), "ids", "decoded_sha256")
