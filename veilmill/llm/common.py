@@ -17,10 +17,12 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a new local one where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or a new local one where that is unset and the master is local."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir is unset: on a cluster, intermediate tables need a folder that all machines share")
     fallback = getattr(shared_dir, "fallback", None)
     if fallback is None:
         fallback = shared_dir.fallback = "file://" + tempfile.mkdtemp(prefix="veilmill-")
