@@ -262,6 +262,15 @@ def _escaped(m: re.Match) -> str:
     return {"n": "\n", "t": "\t", "r": "\r", "a": "\a", "b": "\b", "e": "\x1b", "f": "\f", "v": "\v"}.get(x, x)
 
 
+def _range(a: str, b: str) -> list[str]:
+    """What {a..b} stands for; too many words are as good as their number."""
+    number = a.lstrip("-").isdigit() and b.lstrip("-").isdigit()
+    x, y = (int(a), int(b)) if number else (ord(a[-1]), ord(b[-1]))
+    if abs(x - y) > WORDS:
+        raise Unreadable("too many words")
+    return [str(i) if number else chr(i) for i in (range(x, y + 1) if x <= y else range(x, y - 1, -1))]
+
+
 def _braces(word: Word) -> list[Word]:
     texts = [word.text]
     while any("\0" in t for t in texts):
@@ -272,7 +281,7 @@ def _braces(word: Word) -> list[Word]:
                 out.append(t)
                 continue
             span = re.fullmatch(r"(-?[0-9]+|[A-Za-z])\.\.(-?[0-9]+|[A-Za-z])(\.\.-?[0-9]+)?", m.group(1))
-            parts = m.group(1).split(",") if not span else [span.group(1), span.group(2)]
+            parts = m.group(1).split(",") if not span else _range(span.group(1), span.group(2))
             out += [t[: m.start()] + p + t[m.end() :] for p in parts]
         if len(out) > WORDS:
             raise Unreadable("too many words")
