@@ -411,14 +411,6 @@ def test_joins_with_and_without_broadcast_agree(spark, monkeypatch, texts, rows)
     assert sorted((r["page_id"], r["record_type"], r["refers_to"], r["payload_bytes"]) for r in warc.round_trip(pages).collect()) == [(1, "response", None, 203), (2, "response", None, 5), (3, "revisit", 1, 203), (4, "response", None, 0), (5, "response", None, 183)]
 
 
-def test_frequent_tokens_change_no_result(spark, texts, monkeypatch):
-    monkeypatch.setattr(ngram_join, "SAMPLED", 1)
-    monkeypatch.setattr(ngram_join, "FREQUENT", 3)
-    pick = [*list(texts.items())[:50], *[(1000 + i, "a passage that many documents hold, word for word, and which is rather longer than a hundred bytes " + "xyz"[: i % 4]) for i in range(12)]]
-    rows = spark.createDataFrame(pick, "doc_id bigint, text string")
-    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.near_duplicates(rows).collect()} == brute_links(dict(pick))
-
-
 def test_pu_classifier_on_held_out_rows(spark):
     folder = FOLDER.replace("0.001", "0.1")
     docs, labels = common.load(spark, folder, "documents").where("doc_id < 4000"), common.load(spark, folder, "labels")
