@@ -55,3 +55,11 @@ def text_or_empty(name: str = "text") -> Column:
 def word_array(text: Column) -> Column:
     """The words of a text, in order; an empty array where there is none."""
     return F.filter(F.split(text, BLANKS), lambda x: x != "")
+
+
+def bucketed(df: DataFrame, label: str, n: int, key: str) -> DataFrame:
+    """df as a table of n buckets by key in the shared folder: joins by key of such tables read bucket by bucket, without a shuffle."""
+    spark = df.sparkSession
+    name = f"{label.replace('-', '_')}_{uuid.uuid4().hex}"
+    df.write.option("path", f"{new_folder(spark, label)}/table").option("compression", "zstd").bucketBy(n, key).sortBy(key).saveAsTable(name, format="parquet")
+    return spark.table(name)

@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, mixing, ngram_join, pu_classifier, quality_rules, secrets, spm, suffix_dedup, topk, warc
+from . import lexical_search, line_dedup, mixing, ngram_join, packing, pu_classifier, quality_rules, secrets, spm, suffix_dedup, topk, vector_codes, warc
 from .common import load
 
 #: A public SentencePiece model; read where the driver runs, and never copied.
@@ -54,6 +54,62 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str, model: str = PIECE_MODE
     return spm.encode_decode(load(spark, sf_dir, "documents"), spm.Pieces.load(model))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(load(spark, sf_dir, "embeddings")).drop("label")
+
+
+def op12_packing(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
+    if tokenizer is None:
+        import public_tokenizers
+
+        tokenizer = public_tokenizers.path("word_bpe_49k.json")
+    return packing.packed(load(spark, sf_dir, "documents"), tokenizer)
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
+
+
+def _lloyd_sql(parts: int = 4, entries: int = 256, rounds: int = 4) -> str:
+    """Lloyd rounds as a chain of common table expressions, one pair a round."""
+    steps = [
+        f"""v AS (
+            SELECT vec_id, label, list_transform(embedding, lambda c: floor(1024 * CAST(c AS DOUBLE))) AS x FROM embeddings
+            WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0
+        ), p AS MATERIALIZED (
+            SELECT vec_id, label, part, x[part * len(x) // {parts} + 1 : (part + 1) * len(x) // {parts}] AS x FROM v, range({parts}) AS r(part)
+        ), c0 AS MATERIALIZED (
+            SELECT part, row_number() OVER (PARTITION BY part ORDER BY vec_id) - 1 AS entry, x FROM p QUALIFY row_number() OVER (PARTITION BY part ORDER BY vec_id) <= {entries}
+        )"""
+    ]
+    for i in range(rounds + 1):
+        steps.append(
+            f"""a{i} AS MATERIALIZED (
+            SELECT p.vec_id, p.label, part, arg_min(entry, (list_dot_product(c.x, c.x) - 2 * list_dot_product(p.x, c.x), entry)) AS entry,
+                CAST(min(list_dot_product(c.x, c.x) - 2 * list_dot_product(p.x, c.x)) + any_value(list_dot_product(p.x, p.x)) AS BIGINT) AS error, any_value(p.x) AS x
+            FROM p JOIN c{i} AS c USING (part) GROUP BY p.vec_id, p.label, part
+        )"""
+        )
+        if i < rounds:
+            steps.append(
+                f"""m{i} AS (
+            SELECT part, entry, j, floor(sum(x[j]) / count(*)) AS y FROM a{i}, unnest(range(1, len(x) + 1)) AS u(j) GROUP BY part, entry, j
+        ), n{i} AS (
+            SELECT part, entry, list(y ORDER BY j) AS x FROM m{i} GROUP BY part, entry
+        ), c{i + 1} AS MATERIALIZED (
+            SELECT part, entry, coalesce(n{i}.x, c{i}.x) AS x FROM c{i} LEFT JOIN n{i} USING (part, entry)
+        )"""
+            )
+    return f"""
+        WITH {", ".join(steps)}, e AS (
+            SELECT vec_id, any_value(label) AS label, string_agg(printf('%02x', entry), '' ORDER BY part) AS code, CAST(sum(error) AS BIGINT) AS error FROM a{rounds} GROUP BY vec_id
+        ), h AS (
+            SELECT sha256(string_agg(array_to_string(list_transform(x, lambda y: CAST(y AS BIGINT)), ','), ',' ORDER BY part, entry)) AS codebooks_sha256 FROM c{rounds}
+        )
+        SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM e, h
+    """
+
+
 QUERIES = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_quality_rules": op2_quality_rules,
@@ -65,6 +121,9 @@ QUERIES = {
     "op8_topk_search": op8_topk_search,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_sentencepiece": op10_sentencepiece,
+    "op11_vector_codes": op11_vector_codes,
+    "op12_packing": op12_packing,
+    "op13_lexical_search": op13_lexical_search,
 }
 
 ORACLES = {
@@ -131,4 +190,23 @@ ORACLES = {
         SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
         FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 20
     """,
+    "op11_vector_codes": _lloyd_sql(),
+    "op13_lexical_search": """
+        WITH d AS (
+            SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS t FROM documents
+        ), s AS (
+            SELECT count(*) AS n, sum(len(t)) AS l FROM d WHERE len(t) > 0
+        ), f AS (
+            SELECT r, doc_id, term, count(*) AS tf, any_value(len(t)) AS n FROM d, unnest(t) AS u(term) GROUP BY r, doc_id, term
+        ), g AS (
+            SELECT term, floor(1000 * ln((2.0::DOUBLE * any_value(s.n) + 2) / (2 * count(*) + 1))) AS w FROM f, s GROUP BY term
+        ), i AS (
+            SELECT DISTINCT item_id, term FROM benchmark, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS u(term)
+        ), p AS (
+            SELECT item_id, r, doc_id, CAST(sum(CAST(w AS BIGINT) * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + (90 * f.n * s.n) // s.l)))) AS BIGINT) AS score
+            FROM i JOIN f USING (term) JOIN g USING (term), s GROUP BY item_id, r, doc_id
+        )
+        SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score
+        FROM p WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) <= 10
+    """,
 }
