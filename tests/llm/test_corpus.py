@@ -401,7 +401,6 @@ def test_topk_bounds_spare_most_blocks_of_clustered_vectors(spark, monkeypatch):
 
 @pytest.mark.parametrize("rows", [1_000_000, 0])
 def test_joins_with_and_without_broadcast_agree(spark, monkeypatch, texts, rows):
-    monkeypatch.setattr(ngram_join, "BROADCAST_ROWS", rows)
     monkeypatch.setattr(warc, "BROADCAST_ROWS", rows)
     some = dict(enumerate([*list(texts.values())[:60], *list(texts.values())[:10], None, ""]))
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.near_duplicates(docs_of(spark, list(some.values()))).collect()}

@@ -15,7 +15,6 @@ from __future__ import annotations
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
-from difflib import SequenceMatcher
 
 import numpy as np
 import pandas as pd
@@ -53,9 +52,17 @@ def align(a: list[int], b: list[int]) -> list[tuple[int, int]]:
         at_b = {x: j for j, x in enumerate(b[b0:b1], b0) if in_b[x] == 1}
         unique = [(i, at_b[x]) for i, x in enumerate(a[a0:a1], a0) if in_a[x] == 1 and x in at_b]
         if not unique:
-            if in_a.keys() & in_b.keys():
-                found = SequenceMatcher(None, a[a0:a1], b[b0:b1], autojunk=False).get_matching_blocks()
-                out += [(a0 + m.a + k, b0 + m.b + k) for m in found for k in range(m.size)]
+            # No anchor: each line meets the next place of it in b, as long as there is one.
+            places: dict[int, list[int]] = {}
+            for j in range(b0, b1):
+                places.setdefault(b[j], []).append(j)
+            j = b0
+            for i in range(a0, a1):
+                at = places.get(a[i], [])
+                k = bisect_left(at, j)
+                if k < len(at):
+                    out.append((i, at[k]))
+                    j = at[k] + 1
             continue
         # The longest run of anchors that increases in b, by patience sorting.
         tops: list[int] = []
@@ -102,13 +109,14 @@ def runs(lines: list[int], words: list[int]) -> dict[tuple[int, int], int]:
 def common_lines(a: list[int], b: list[int], words: list[int]) -> list[int]:
     """Positions in a of the lines of aligned common blocks of BLOCK_WORDS words or more.
 
-    What one alignment leaves unmatched is aligned again, so blocks that have moved, or that a has twice, go too. A line
-    that was matched apart from its block, as where b has it twice, goes by the runs of lines that a and b have in common.
+    What one alignment leaves unmatched is aligned once more, for blocks that have moved. Lines that were matched apart from their
+    block, as where b has them twice or a has it many times, go by the runs of lines that a and b have in common.
     """
     out: list[int] = []
     rest = list(range(len(a)))
     held = set(b)
-    while rest := [i for i in rest if a[i] in held]:
+    for _ in range(2):
+        rest = [i for i in rest if a[i] in held]
         matched = [(rest[i], j) for i, j in align([a[i] for i in rest], b)]
         block: list[int] = []
         last = (-2, -2)
@@ -139,9 +147,17 @@ def _aligned(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def line_table(docs: DataFrame) -> DataFrame:
-    """id, lines (64-bit hashes), words (per line) of the documents that take part."""
-    text = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").alias("id"), F.split(F.col("text").cast("string"), "\n", -1).alias("l"))
-    return text.select("id", F.transform("l", lambda x: F.xxhash64(x)).alias("lines"), F.transform("l", lambda x: F.when(x.rlike(SPACED), F.regexp_count(x, F.lit(WORD))).otherwise(F.regexp_count(x, F.lit(PLAIN_WORD)))).alias("words"))
+    """id, doc_id, seal, lines (64-bit hashes), words (per line) of the documents that take part, equal ones once.
+
+    A document is a doc_id with a text, whose hash is seal. ids are in the order of (doc_id, seal), whatever doc_ids repeat.
+    """
+    text = docs.where("doc_id is not null and text is not null").select("doc_id", F.col("text").cast("string").alias("t"))
+    each = text.select("doc_id", F.xxhash64("t").alias("seal"), F.split("t", "\n", -1).alias("l"))
+    words = F.transform("l", lambda x: F.when(x.rlike(SPACED), F.regexp_count(x, F.lit(WORD))).otherwise(F.regexp_count(x, F.lit(PLAIN_WORD))))
+    each = each.select("doc_id", "seal", F.transform("l", lambda x: F.xxhash64(x)).alias("lines"), words.alias("words"))
+    each = written(each.dropDuplicates(["doc_id", "seal"]), "dedup-texts")
+    order = each.repartitionByRange("doc_id", "seal").sortWithinPartitions("doc_id", "seal")
+    return order.select(F.monotonically_increasing_id().alias("id"), *each.columns)
 
 
 def _with_runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -159,31 +175,34 @@ def overlapping(lines: DataFrame) -> DataFrame:
 
 
 def repeated_lines(docs: DataFrame) -> DataFrame:
-    """id, gone: the positions (from 0, ascending) of the lines that go, of each document that loses any."""
+    """doc_id, seal, gone: the positions (from 0, ascending) of the lines that go, of each document that loses any."""
     lines = written(line_table(docs), "dedup-lines")
     pairs = overlapping(lines)
     a = lines.select(F.col("id").alias("a"), F.col("lines").alias("lines_a"), F.col("words").alias("words_a"))
     b = lines.select(F.col("id").alias("b"), F.col("lines").alias("lines_b"))
     found = pairs.join(a, "a").join(b, "b").select("a", "lines_a", "words_a", "lines_b").mapInPandas(_aligned, "a bigint, gone array<int>")
     # A document has at most three partners for each of its lines, so what is gathered here is bounded by its own length.
-    return found.select("a", F.explode("gone").alias("i")).groupBy(F.col("a").alias("id")).agg(F.sort_array(F.collect_set("i")).alias("gone"))
+    gone = found.select("a", F.explode("gone").alias("i")).groupBy(F.col("a").alias("id")).agg(F.sort_array(F.collect_set("i")).alias("gone"))
+    return gone.join(lines.select("id", "doc_id", "seal"), "id").select("doc_id", "seal", "gone")
 
 
 def _judged(docs: DataFrame) -> DataFrame:
     """doc (all columns of docs), gone, text (what is left) for each row of docs."""
     gone = written(repeated_lines(docs), "dedup-gone")
     # Merged whatever its size: what goes grows with the corpus, and no plan should change with it.
-    out = docs.select(F.struct(*docs.columns).alias("doc"), F.col("doc_id").alias("id")).join(gone.hint("merge"), "id", "left")
-    kept = F.expr("array_join(filter(split(doc.text, '\\n', -1), (x, i) -> not array_contains(gone, i)), '\\n')")
+    keyed = docs.select(F.struct(*docs.columns).alias("doc"), F.col("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("seal"))
+    # The lines are a column of their own, so that they are cut once a row and met by position.
+    out = keyed.join(gone.hint("merge"), ["doc_id", "seal"], "left").withColumn("l", F.when(F.col("gone").isNotNull(), F.split("doc.text", "\n", -1)))
+    kept = F.expr("array_join(transform(array_except(sequence(0, size(l) - 1), gone), i -> l[i]), '\\n')")
     return out.select("doc", F.coalesce("gone", F.array().cast("array<int>")).alias("gone"), F.when(F.col("gone").isNull(), F.col("doc.text")).otherwise(kept).alias("text"))
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
     """docs, all their columns, without the lines that go; n_chars, where there is one, is that of the new text.
 
-    Null texts and rows with a null doc_id stay as they are. Rows that repeat a doc_id are one document to each other:
-    neither loses lines to the other, and positions that go go from each. Documents of which all lines go
-    stay with an empty text. Empty docs give an empty result.
+    Null texts and rows with a null doc_id stay as they are. Rows that repeat a doc_id with different texts are documents of their own, in
+    the order of their texts' hashes; rows that repeat both stay alike. Documents of which all lines go stay with an empty
+    text. Empty docs give an empty result.
     """
     out = _judged(docs)
     new = {"text": F.col("text"), "n_chars": F.when(F.size("gone") == 0, F.col("doc.n_chars")).otherwise(F.length("text"))} if "n_chars" in docs.columns else {"text": F.col("text")}

@@ -22,7 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import written
@@ -30,8 +30,6 @@ from .components import components
 from .shingles import mix, shingle_sets, slices
 
 WORDS, PERCENT = 5, 80
-#: Documents whose ids may be broadcast: 16 bytes each; beyond that, compressed texts meet them by a shuffle.
-BROADCAST_ROWS = 1_000_000
 ORDERS = 3
 
 
@@ -54,18 +52,23 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, data, offsets in slices(batch):
             sets, n = shingle_sets(data, offsets, WORDS)
             ends = np.cumsum(n)
-            signs = [hashlib.blake2b(sets[e - k : e].tobytes(), digest_size=16).digest() if k else None for k, e in zip(n, ends, strict=True)]
+            signs = [_sign(sets[e - k : e]) if k else None for k, e in zip(n, ends, strict=True)]
             length = np.where(n > 0, n - least_overlap(n) + extra(n), 0)
             place = np.arange(len(sets)) - np.repeat(ends - n, n)
             prefix = sets[place < np.repeat(length, n)]
             yield pa.record_batch([part.column(0), pa.array(n.astype(np.int64)), pa.array(signs, pa.binary()), _lists(prefix, length)], names=["doc_id", "n_shingles", "sign", "prefix"])
 
 
+def _sign(tokens: np.ndarray) -> bytes:
+    return hashlib.blake2b(tokens.tobytes(), digest_size=16).digest()
+
+
 def _full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for part, data, offsets in slices(batch):
+        for _, data, offsets in slices(batch):
             sets, n = shingle_sets(data, offsets, WORDS)
-            yield pa.record_batch([part.column(0), _lists(sets, n)], names=["id", "tokens"])
+            signs = [_sign(sets[e - k : e]) if k else None for k, e in zip(n, np.cumsum(n), strict=True)]
+            yield pa.record_batch([pa.array(signs, pa.binary()), _lists(sets, n)], names=["sign", "tokens"])
 
 
 def _ordered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -73,7 +76,8 @@ def _ordered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out = []
         for r in batch.to_pylist():
-            tokens, dfs = np.array(r["tokens"], np.int64), np.array(r["dfs"])
+            tokens, once = np.unique(np.array(r["tokens"], np.int64), return_index=True)  # rows that repeat id and text bring them twice
+            dfs = np.array(r["dfs"])[once]
             n = r["n"]
             # Tokens that no other set has are the rarest, and fill the front of every prefix.
             length = n - int(least_overlap(np.int64(n))) + 1 - (n - len(tokens))
@@ -82,7 +86,7 @@ def _ordered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 for k in range(ORDERS):
                     salted = mix(tokens.view(np.uint64) + np.uint64(k * 0x9E3779B97F4A7C15 % 2**64))
                     by_order.append(tokens[np.lexsort((salted, dfs))[:length]].tolist())
-                out.append({"id": r["id"], "n": n, "tokens": r["tokens"], "first": by_order[0], "others": by_order[1:]})
+                out.append({"id": r["id"], "n": n, "tokens": tokens.tolist(), "first": by_order[0], "others": by_order[1:]})
         yield pa.RecordBatch.from_pylist(out, schema=pa.schema([("id", pa.int64()), ("n", pa.int64()), ("tokens", pa.list_(pa.int64())), ("first", pa.list_(pa.int64())), ("others", pa.list_(pa.list_(pa.int64())))]))
 
 
@@ -91,16 +95,21 @@ def signatures(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(_signed, "doc_id bigint, n_shingles bigint, sign binary, prefix array<bigint>")
 
 
+def _id() -> Column:
+    """A set's id: 64 bits of its sign, so that sets are told apart by their tokens, whatever doc_ids repeat."""
+    return F.xxhash64("sign").alias("id")
+
+
 def _survivors(signed: DataFrame) -> DataFrame:
-    """id (smallest doc_id), n of each distinct set that meets enough other sets in its prefix."""
+    """id, n, doc_id (the smallest that has it) of each distinct set that meets enough other sets in its prefix."""
     found = signed.where("n_shingles > 0")
     short = F.expr("conv(substr(hex(sign), 1, 15), 16, 10)").cast("bigint")
     postings = found.select(short.alias("e"), F.explode("prefix").alias("token"))
     group = Window.partitionBy("token")
     shared = postings.withColumn("shared", F.min("e").over(group) < F.max("e").over(group)).where("shared").groupBy("e", "token").agg(F.lit(1)).groupBy("e").count()
-    sets = found.where("doc_id is not null").groupBy("sign").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n")).withColumn("e", short)
+    sets = found.where("doc_id is not null").groupBy("sign").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n")).withColumn("e", short)
     enough = F.expr(f"greatest(1, cast(ceil(n * {PERCENT} / 100) as bigint) div 10)")
-    return sets.join(shared, "e").where(F.col("count") >= enough).select("id", "n")
+    return sets.join(shared, "e").where(F.col("count") >= enough).select(_id(), "n", "doc_id")
 
 
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -121,19 +130,15 @@ def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def prefix_sets(docs: DataFrame, survivors: DataFrame) -> DataFrame:
-    """id, n, tokens, first, others of the surviving sets."""
-    chosen = survivors.select(F.col("id").alias("_id"))
+    """id, n, tokens, first, others of the surviving sets. Texts of their doc_ids are fetched; of several such texts, those of other sets go."""
+    chosen = survivors.select(F.col("doc_id").alias("_id")).distinct()
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    met = F.col("doc_id") == F.col("_id")
-    if survivors.count() <= BROADCAST_ROWS:
-        texts = texts.join(F.broadcast(chosen), met, "left_semi")
-    else:
-        packed = texts.mapInArrow(_packed, "doc_id bigint, packed binary").join(chosen.hint("merge"), met, "left_semi")
-        texts = packed.mapInArrow(_unpacked, "doc_id bigint, text string")
-    tokens = texts.mapInArrow(_full, "id bigint, tokens array<bigint>").select("id", F.explode("tokens").alias("token"))
+    packed = texts.mapInArrow(_packed, "doc_id bigint, packed binary").join(chosen, F.col("doc_id") == F.col("_id"), "left_semi")
+    texts = packed.mapInArrow(_unpacked, "doc_id bigint, text string")
+    tokens = texts.mapInArrow(_full, "sign binary, tokens array<bigint>").where("sign is not null").select(_id(), F.explode("tokens").alias("token"))
     counted = tokens.withColumn("df", F.count("*").over(Window.partitionBy("token"))).where("df > 1")
     sets = counted.groupBy("id").agg(F.collect_list(F.struct(F.col("df").cast("int").alias("df"), "token")).alias("t"))
-    sets = sets.join(survivors, "id").select("id", "n", F.col("t.df").alias("dfs"), F.col("t.token").alias("tokens"))
+    sets = sets.join(survivors.select("id", "n"), "id").select("id", "n", F.col("t.df").alias("dfs"), F.col("t.token").alias("tokens"))
     return sets.mapInArrow(_ordered, "id bigint, n bigint, tokens array<bigint>, first array<bigint>, others array<array<bigint>>")
 
 
@@ -186,15 +191,19 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id for each row of docs.
 
     Texts without words, null ones too, have no shingles and are their own component, as is a row without partner; a
-    null doc_id has a null component and makes no link. Rows that repeat a doc_id are judged each by its text. Empty
-    docs give an empty result; further columns are ignored. Tokens are 64-bit hashes of shingles.
+    null doc_id has a null component and makes no link. Rows that repeat a doc_id are judged each by its text, and only
+    equal or linked texts join their components. Empty docs give an empty result; further columns are ignored. Tokens are 64-bit hashes of shingles.
     """
     signed = written(signatures(docs), "join-signed")
     survivors = written(_survivors(signed), "join-survivors")
     sets = written(prefix_sets(docs, survivors), "join-sets")
     found = linked_components(sets)
-    classes = signed.where("sign is not null and doc_id is not null").groupBy("sign").agg(F.min("doc_id").alias("node"))
-    classes = classes.join(found, "node", "left").select(F.col("sign").alias("_sign"), F.coalesce("component", "node").alias("component_id"))
+    classes = signed.where("sign is not null and doc_id is not null").groupBy("sign").agg(F.min("doc_id").alias("least")).withColumn("node", F.xxhash64("sign"))
+    # Components are of sets; their names are the smallest doc_ids in them.
+    named = written(classes.join(found, "node"), "join-named")
+    names = named.groupBy("component").agg(F.min("least").alias("component_id"))
+    named = named.join(names, "component").select("node", "component_id")
+    classes = classes.join(named, "node", "left").select(F.col("sign").alias("_sign"), F.coalesce("component_id", "least").alias("component_id"))
     rows = signed.select("doc_id", "n_shingles", "sign").join(classes, F.col("sign") == F.col("_sign"), "left")
     return rows.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
 
