@@ -220,7 +220,7 @@ def _ranked(cut: DataFrame) -> DataFrame:
     keys = [c for c in cut.columns if c != "ids"] + (["seal"] if "ids" in cut.columns else [])
     rows = cut.withColumn("seal", F.xxhash64("ids")) if "ids" in cut.columns else cut
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = rows.withColumn("hash", F.pmod(F.xxhash64(*keys), F.lit(4 * buckets)))
+    rows = rows.withColumn("hash", F.pmod(F.xxhash64(*keys), F.lit(buckets)))
     sums = rows.groupBy("length", "hash").count()
     before = Window.partitionBy("length").orderBy("hash").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select("length", "hash", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("before"))
