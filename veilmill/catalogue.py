@@ -534,13 +534,15 @@ _COMMANDS = (
 
 
 @query(
-    f"WITH t AS (SELECT command, regexp_replace(command, {_s(guard.PUBLIC)}, '', 'g') AS rest FROM (VALUES " + ", ".join(f"({_s(c)})" for c in _COMMANDS) + ") v(command)) SELECT command, CASE WHEN regexp_matches(rest, " + _s("|".join(f"(?:{p})" for p in guard.SENSITIVE_FILES)) + ") THEN 'sensitive file' "
-    + " ".join(f"WHEN regexp_matches(rest, {_s(p)}) THEN {_s(r)}" for r, p in guard.DENIED)
-    + " END AS reason FROM t"
-)
+    "WITH t AS (SELECT conv_id, turn, command, regexp_replace(command, " + _s(guard.PUBLIC) + ", '', 'g') AS rest FROM (SELECT conv_id, turn, concat(c, ' ', text) AS command FROM conversations JOIN (VALUES " + ", ".join(f"({i}, {_s(c)})" for i, c in enumerate(_COMMANDS)) + f") AS v(i, c) ON (conv_id + turn) % {len(_COMMANDS)} = i)) SELECT conv_id, turn, "
+    + guard.reason_sql("rest", _s)
+    + " AS reason FROM t"
+)
 def guard_pattern_reason(spark, sf_dir):
-    rows = spark.createDataFrame([(c,) for c in _COMMANDS], "command string")
-    return rows.select("command", guard.pattern_reason(F.col("command")).alias("reason"))
+    """Each turn behind a command of a list, by turns."""
+    commands = F.array(*map(F.lit, _COMMANDS))
+    rows = load(spark, sf_dir, "conversations").withColumn("command", F.concat(F.get(commands, ((F.col("conv_id") + F.col("turn")) % len(_COMMANDS)).cast("int")), F.lit(" "), F.coalesce("text", F.lit(""))))
+    return rows.select("conv_id", "turn", guard.pattern_reason(F.col("command")).alias("reason"))
 
 
 @query()
@@ -653,9 +655,9 @@ def subnets_allocated(spark, sf_dir):
 
 
 @query(
-    f"WITH t AS (SELECT conv_id, turn, regexp_replace(text, {_s(guard.PUBLIC)}, '', 'g') AS rest FROM conversations) SELECT conv_id, turn, CASE WHEN regexp_matches(rest, " + _s("|".join(f"(?:{p})" for p in guard.SENSITIVE_FILES)) + ") THEN 'sensitive file' "
-    + " ".join(f"WHEN regexp_matches(rest, {_s(p)}) THEN {_s(r)}" for r, p in guard.DENIED)
-    + " END AS reason FROM t"
+    f"WITH t AS (SELECT conv_id, turn, regexp_replace(text, {_s(guard.PUBLIC)}, '', 'g') AS rest FROM conversations) SELECT conv_id, turn, "
+    + guard.reason_sql("rest", _s)
+    + " AS reason FROM t"
 )
 def guard_patterns_on_texts(spark, sf_dir):
     return load(spark, sf_dir, "conversations").select("conv_id", "turn", guard.pattern_reason(F.col("text")).alias("reason"))
