@@ -117,6 +117,13 @@ def repository(value: Column, short_form: Column) -> Column:
     return F.when(org != "", F.concat_ws("/", org, name)).otherwise(short)
 
 
+def written_day(value: Column) -> Column:
+    """The day of a date that is written with a month's name or with numbers; null for others."""
+    from .written_dates import reading
+
+    return reading(value)["day"]
+
+
 def canonical(kind: Column, value: Column) -> Column:
     """struct<key, kind, attrs map, normalized>. Values are taken as normalised text already; see nfc()."""
     v = F.trim(value)
@@ -131,7 +138,7 @@ def canonical(kind: Column, value: Column) -> Column:
         is_host = kind.isin("HOSTNAME", "FQDN", "CERT_CN", "HEX_HOSTNAME") | ((kind == "URL") & bare)
         return F.struct(
             v.alias("v"), low.alias("low"), F.when(address, ipv4_number(v)).alias("number"), F.when(address, ipv6_groups(v)).alias("six"), F.when(address, network(v)).alias("block"),
-            F.rtrim(low, F.lit(".")).alias("host"), F.when(kind.isin("URL", "REPO"), repository(v, kind == "REPO")).alias("repo"), is_host.alias("is_host"), environment(low).alias("env"),
+            F.when(kind == "DATE", written_day(v)).alias("day"), F.rtrim(low, F.lit(".")).alias("host"), F.when(kind.isin("URL", "REPO"), repository(v, kind == "REPO")).alias("repo"), is_host.alias("is_host"), environment(low).alias("env"),
         )
 
     def made(d: Column, key: Column, of: str, **attrs: Column) -> Column:
@@ -147,6 +154,7 @@ def canonical(kind: Column, value: Column) -> Column:
         private6 = F.array_join(six, "").rlike(r"\A(?:f[cd]|fe[89ab]|0{31}1\z)")
         return (
             F.when((kind == "DATE") & F.try_to_date(v, "yyyy-MM-dd").isNotNull(), made(d, v, "date"))
+            .when(d["day"].isNotNull(), made(d, F.concat(F.lit("date:"), d["day"].cast("string"), F.lit("|"), low), "date"))
             .when((kind == "IP_ADDRESS") & number.isNotNull(), made(d, F.concat(F.lit("ip:"), ipv4_text(number)), "ip", subnet=subnet(number), private=is_private(number), v=F.lit("4")))
             .when((kind == "IP_ADDRESS") & six.isNotNull(), made(d, F.concat(F.lit("ip:"), F.array_join(six, ":")), "ip", subnet=F.array_join(F.slice(six, 1, 4), ":"), private=private6, v=F.lit("6")))
             .when(block.isNotNull(), made(d, F.concat(F.lit("cidr:"), ipv4_text(block["base"]), F.lit("/"), block["bits"].cast("string")), "cidr", bits=block["bits"], private=is_private(block["base"])))

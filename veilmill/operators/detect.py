@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..functions.findall import SPAN, find_all
+from . import written_dates
 
 
 @dataclass(frozen=True)
@@ -48,13 +49,24 @@ RECOGNISERS = (
     *(Recogniser(f"token{i}", kind, pattern, score, needs) for i, (kind, pattern, score, needs) in enumerate(fixed.TOKEN_FORMATS)),
 )
 BY_NAME = {r.name: r for r in RECOGNISERS}
-#: Pairs of armour lines; Java only, for the back-reference.
-ARMOUR = r"(?s)-----BEGIN ([A-Z0-9 ]+)-----.{0,16384}?-----END \1-----"
+#: The lines that open and close armour.
+ARMOUR = r"-----(?:BEGIN|END) [A-Z0-9 ]+-----"
 
 
 def armour_spans(text: str) -> Column:
-    spans = find_all(text, ARMOUR, "CRYPTOGRAPHIC_KEY", 0.99, needs=("-----BEGIN ",))
-    return F.transform(spans, lambda s: s.withField("type", F.when(F.contains(F.substring_index(s["value"], "\n", 1), F.lit("CERTIFICATE")), "CERTIFICATE").otherwise("CRYPTOGRAPHIC_KEY")))
+    """Blocks of any length from an opening line to the closing one of the same name that is the next such line."""
+    marks = find_all(text, ARMOUR, "CRYPTOGRAPHIC_KEY", 0.99, needs=("-----BEGIN ",))
+
+    def paired(m: Column) -> Column:
+        def block(a: Column, i: Column) -> Column:
+            b = F.get(m, i + 1)
+            fits = b["value"] == F.concat(F.lit("-----END "), F.substring(a["value"], F.lit(12), F.length(a["value"])))
+            kind = F.when(F.contains(a["value"], F.lit("CERTIFICATE")), "CERTIFICATE").otherwise("CRYPTOGRAPHIC_KEY")
+            return F.when(F.startswith(a["value"], F.lit("-----BEGIN ")) & fits, F.struct(kind.alias("type"), F.substring(F.col(text), a["start"] + 1, b["end"] - a["start"]).alias("value"), a["start"].alias("start"), b["end"].alias("end"), a["score"].alias("score")))
+
+        return F.filter(F.transform(m, block), lambda s: s.isNotNull())
+
+    return F.get(F.transform(F.array(marks), paired), F.lit(0))
 
 
 def spans_of(text: str, recognisers: tuple[Recogniser, ...] = RECOGNISERS) -> Column:
@@ -183,8 +195,12 @@ PERSONAL = (
     Recogniser("address, way last", "ADDRESS", rf"\b[0-9]{{1,5}} (?:{_NAME_WORD} ){{1,3}}(?i:{_WAY_AFTER})\b(?:, {_NAME_WORD}(?: {_NAME_WORD}){{0,2}}(?:,? [A-Z]{{2}} [0-9]{{5}})?)?", 0.75),
     Recogniser("address, joined", "ADDRESS", rf"\b\p{{Lu}}[\p{{L}}-]{{1,30}}(?i:{_WAY_JOINED}) [0-9]{{1,4}}[a-z]?(?:, [0-9]{{5}} {_NAME_WORD})?", 0.75),
 )
-#: Recognisers by strategy: patterns only, or persons and addresses too, in certain types.
-STRATEGIES = {"regex": RECOGNISERS, "filtered": (*RECOGNISERS, *PERSONAL)}
+#: Dates as people write them.
+WRITTEN_DATES = (Recogniser("written date", "DATE", written_dates.WRITTEN, 0.8), Recogniser("numeric date", "DATE", written_dates.NUMERIC, 0.75))
+#: What leaves no text in clear by default: patterns, written dates, persons and addresses.
+COMPOSITE = (*RECOGNISERS, *WRITTEN_DATES, *PERSONAL)
+#: Recognisers by strategy: patterns only, persons and addresses too, or all of them.
+STRATEGIES = {"regex": RECOGNISERS, "filtered": (*RECOGNISERS, *PERSONAL), "composite": COMPOSITE}
 
 
 def strategy(name: str, types: tuple[str, ...] | None = None) -> tuple[Recogniser, ...]:

@@ -7,12 +7,15 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..functions.crypto import choice, hmac_hex, number
-from .canonical import bound, environment, ipv4_number, ipv4_text, is_internal, is_private, subnet
+from . import written_dates
+from .canonical import bound, environment, ipv4_number, ipv4_text, ipv6_groups, is_internal, is_private, is_service, subnet
 from .overlap import class_of
 
 SEPARATOR = "\x1f"
 #: Scheme, host, port, path, query and fragment of a URL.
-URL = r"\A([A-Za-z][A-Za-z0-9+.-]*://)(?:[^/?#]*@)?([^/?#:]*)(:[0-9]{1,5})?([^?#]*)(\?[^#]*)?(#.*)?\z"
+URL = r"\A([A-Za-z][A-Za-z0-9+.-]*://)(?:[^/?#]*@)?(\[[^\]/?#]*\]|[^/?#:]*)(:[0-9]{1,5})?([^?#]*)(\?[^#]*)?(#.*)?\z"
+#: Address and query of a mailto link.
+MAILTO = r"(?i)\A(mailto:)([^?@]+)@([^?@]+)(\?.*)?\z"
 
 
 class Generator:
@@ -32,7 +35,8 @@ class Generator:
         made = lambda name, value: F.struct(F.lit(name).alias("of"), F.lower(value).alias("value"))
         host = F.lower(F.regexp_extract(v, URL, 2))
         zone = F.when(F.contains(host, F.lit(".")), F.regexp_replace(host, r"\A[^.]*\.", "")).otherwise("")
-        network = subnet(ipv4_number(host))
+        network, six = subnet(ipv4_number(host)), ipv6_groups(F.regexp_replace(host, r"[\[\]]", ""))
+        mailed = F.lower(F.regexp_extract(v, MAILTO, 3))
         first = F.substring_index(v, "/", 1)
         found = (
             F.when(of == "ip", F.when(attr("v") == "6", made("net6", attr("subnet"))).otherwise(made("net", attr("subnet"))))
@@ -40,7 +44,8 @@ class Generator:
             .when(of == "host", made("zone", attr("zone")))
             .when(of == "repo", made("org", attr("org")))
             .when((of == "image") & F.contains(first, F.lit(".")), made("registry", first))
-            .when((kind == "URL") & F.contains(v, F.lit("://")), F.when(network.isNotNull(), made("net", network)).otherwise(made("zone", zone)))
+            .when((kind == "URL") & F.contains(v, F.lit("://")), F.when(network.isNotNull(), made("net", network)).when(F.startswith(host, F.lit("[")) & six.isNotNull(), made("net6", F.array_join(F.slice(six, 1, 4), ":"))).otherwise(made("zone", zone)))
+            .when((kind == "URL") & (mailed != ""), made("zone", mailed))
         )
         return F.filter(F.array(found), lambda x: x.isNotNull() & (x["value"] != ""))
 
@@ -118,11 +123,13 @@ class Generator:
         return F.concat(F.when(actor == "service", service).otherwise(human), F.lit("@"), self.zone(domain, internal, F.lit(0)) if new_zone is None else F.coalesce(new_zone, self.zone(domain, internal, F.lit(0))))
 
     def hexadecimal(self, value: Column, attempt: Column) -> Column:
-        """As many hex digits as the value has, in its case."""
-        d = self.digest("hex", F.lower(value), attempt)
-        long = F.concat(d, self.digest("hex2", F.lower(value), attempt))
-        out = F.substring(long, F.lit(1), F.least(F.length(value), F.lit(128)))
-        return F.when(value.rlike("[A-F]") & ~value.rlike("[a-f]"), F.upper(out)).otherwise(out)
+        """As many hex digits as the value has, in its case, behind the algorithm's name where it has one."""
+        name = F.regexp_extract(value, r"\A[A-Za-z][A-Za-z0-9-]{1,15}:", 0)
+        body = F.substring(value, F.length(name) + 1, F.length(value))
+        more = F.transform(F.sequence(F.lit(3), F.greatest(F.lit(3), F.ceil(F.length(body) / 64).cast("int"))), lambda i: self.digest("hex", F.lower(body), attempt, i))
+        more = F.when(F.length(body) > 128, F.array_join(more, "")).otherwise("")
+        out = F.substring(F.concat(self.digest("hex", F.lower(body), attempt), self.digest("hex2", F.lower(body), attempt), more), F.lit(1), F.length(body))
+        return F.concat(name, F.when(body.rlike("[A-F]") & ~body.rlike("[a-f]"), F.upper(out)).otherwise(out))
 
     def uuid(self, value: Column, attempt: Column) -> Column:
         """Version and variant digits stay."""
@@ -199,25 +206,42 @@ class Generator:
         parts = F.split(F.substring(value, F.lit(1), F.length(value) - F.length(tag)), "/")
         registry = F.coalesce(shared if shared is not None else F.lit(None), F.concat(self.words(fixed.ORG_WORDS, F.concat(F.lit("registry:"), F.lower(parts[0])), F.lit(0), parts[0]), F.lit(".example")))
         named = F.when(F.contains(parts[0], F.lit(".")), registry).otherwise(self.words(fixed.SERVICE_WORDS, F.concat(F.lit("segment:"), F.lower(parts[0])), attempt, parts[0]))
-        rest = F.transform(F.slice(parts, 2, 100), lambda p: self.words(fixed.SERVICE_WORDS, F.concat(F.lit("segment:"), F.lower(p)), attempt, p))
+        rest = F.transform(F.slice(parts, F.lit(2), F.size(parts)), lambda p: self.words(fixed.SERVICE_WORDS, F.concat(F.lit("segment:"), F.lower(p)), attempt, p))
         return F.concat(F.array_join(F.concat(F.array(named), rest), "/"), tag)
 
     def url(self, value: Column, attempt: Column, shared: Column | None = None) -> Column:
-        """Scheme, port, query names and the number of path segments stay; the host is what it is as a host, values are masked."""
+        """Scheme, port, plain query names and the number of path segments and parameters stay; the host is what it is as a host or an
+        address of either family, all else is masked."""
         at = lambda i: F.regexp_extract(value, URL, i)
         host = F.lower(at(2))
         zone = F.when(F.contains(host, F.lit(".")), F.regexp_replace(host, r"\A[^.]*\.", "")).otherwise("")
         address = self.ipv4(host, F.lit(False), attempt) if shared is None else F.coalesce(self.ipv4_in(host, shared, attempt), self.ipv4(host, F.lit(False), attempt))
-        new_host = F.when(ipv4_number(host).isNotNull(), address).otherwise(self.host(host, zone, is_internal(host), environment(host), attempt, shared))
+        six = self.ipv6_in(host, F.coalesce(shared if shared is not None else F.lit(None).cast("string"), F.lit("2001:db8:0:0")), attempt)
+        new_host = F.when(ipv4_number(host).isNotNull(), address).when(F.startswith(host, F.lit("[")), F.concat(F.lit("["), six, F.lit("]"))).otherwise(self.host(host, zone, is_internal(host), environment(host), attempt, shared))
         mask = lambda x: F.concat(F.lit("x"), F.substring(self.digest("segment", x), 1, 8))
-        path = F.array_join(F.transform(F.split(at(4), "/"), lambda p: F.when(p.isin("", "api", "v1", "v2", "index.html"), p).otherwise(mask(p))), "/")
-        query = F.array_join(F.transform(F.split(F.regexp_replace(at(5), r"\A\?", ""), "&"), lambda p: F.when(F.contains(p, F.lit("=")), F.concat(F.substring_index(p, "=", 1), F.lit("="), mask(F.substring_index(p, "=", -1)))).otherwise(mask(p))), "&")
+        path = F.array_join(F.transform(F.split(at(4), "/"), lambda p: F.array_join(F.transform(F.split(p, ";"), lambda x, i: F.when(i == 0, F.when(x.isin("", "api", "v1", "v2", "index.html"), x).otherwise(mask(x))).otherwise(self.named(x, mask))), ";")), "/")
+        query = F.array_join(F.transform(F.split(F.regexp_replace(at(5), r"\A\?", ""), "&"), lambda p: self.named(p, mask)), "&")
         return F.concat(at(1), new_host, at(3), path, F.when(at(5) != "", F.concat(F.lit("?"), query)).otherwise(""), F.when(at(6) != "", F.concat(F.lit("#"), mask(at(6)))).otherwise(""))
 
+    @staticmethod
+    def named(pair: Column, mask) -> Column:
+        """name=value with its value masked, and its name too unless it is a plain word."""
+        name, rest = F.substring_index(pair, "=", 1), F.regexp_replace(pair, r"\A[^=]*=", "")
+        return F.when(~F.contains(pair, F.lit("=")), F.when(pair == "", pair).otherwise(mask(pair))).otherwise(F.concat(F.when(name.rlike(r"\A[A-Za-z][A-Za-z_-]{0,30}\z"), name).otherwise(mask(name)), F.lit("="), F.when(rest == "", rest).otherwise(mask(rest))))
+
+    def mailto(self, value: Column, attempt: Column, shared: Column | None = None) -> Column:
+        """The address becomes what it is as one in the same round; query values are masked."""
+        at = lambda i: F.regexp_extract(value, MAILTO, i)
+        local, domain = F.lower(at(2)), F.lower(at(3))
+        mask = lambda x: F.concat(F.lit("x"), F.substring(self.digest("segment", x), 1, 8))
+        address = self.email(local, domain, F.when(is_service(local), "service").otherwise("human"), environment(local), is_internal(domain), attempt, shared)
+        query = F.array_join(F.transform(F.split(F.regexp_replace(at(4), r"\A\?", ""), "&"), lambda p: self.named(p, mask)), "&")
+        return F.concat(at(1), address, F.when(at(4) != "", F.concat(F.lit("?"), query)).otherwise(""))
+
     def date(self, value: Column, attempt: Column) -> Column:
         """One shift of 200 to 1199 days for the whole scope, so intervals stay; wraps within years 1 to 9999."""
         shift = F.pmod(number(self.digest("date")), F.lit(1000).cast("decimal(20,0)")).cast("int") + 200 + attempt
-        return shifted_iso(value, shift)
+        return F.coalesce(written_dates.moved(value, shift), shifted_iso(value, shift))
 
     def cidr(self, value: Column, private: Column, attempt: Column) -> Column:
         """A network of the same size: in 10/8 or 198.18/15 where it fits in, else in the reserved range 240/4."""
@@ -324,6 +348,7 @@ class Generator:
         branches += [(kind.isin(*names), make) for names, make in by_type if types is None or types & set(names)]
         if types is None or "URL" in types:
             branches.append(((kind == "URL") & F.contains(v, F.lit("://")), lambda: self.url(v, attempt, shared)))
+            branches.append(((kind == "URL") & v.rlike(MAILTO), lambda: self.mailto(v, attempt, shared)))
         out = None
         for condition, make in branches:
             out = F.when(condition, make()) if out is None else out.when(condition, make())

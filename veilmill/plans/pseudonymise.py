@@ -10,24 +10,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.findall import spliced
-from ..operators.detect import RECOGNISERS, Recogniser, checked, spans_of, without_false_cards
+from ..operators.detect import COMPOSITE, Recogniser, checked, spans_of, without_false_cards
 from ..operators.generate import Generator, is_secret
 from ..operators.overlap import class_of, resolved
 from ..operators.policy import decide
-from ..operators.vault import Keys, allocate, entities, key_type, view
-from ..operators.canonical import canonical
+from ..operators.vault import Keys, allocate, entities, view
 from ..functions.crypto import hmac_hex, prefixed
 from ..session import materialise
 
 
-def resolved_spans(docs: DataFrame, recognisers: tuple[Recogniser, ...] = RECOGNISERS) -> DataFrame:
+def resolved_spans(docs: DataFrame, recognisers: tuple[Recogniser, ...] = COMPOSITE) -> DataFrame:
     """doc_id, text, spans (disjoint, ascending) of each row; no shuffle."""
     rows = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
     rows = rows.withColumn("spans", spans_of("text", recognisers)).withColumn("spans", without_false_cards("spans")).withColumn("spans", checked("spans", "text"))
     return rows.withColumn("spans", resolved(F.col("spans"), "text"))
 
 
-def pseudonymise(docs: DataFrame, scope: str, keys: Keys, known: DataFrame | None = None, policy: DataFrame | None = None, recognisers: tuple[Recogniser, ...] = RECOGNISERS) -> tuple[DataFrame, DataFrame]:
+def pseudonymise(docs: DataFrame, scope: str, keys: Keys, known: DataFrame | None = None, policy: DataFrame | None = None, recognisers: tuple[Recogniser, ...] = COMPOSITE) -> tuple[DataFrame, DataFrame]:
     """(doc_id, n_spans, n_entities, safe_text), mapping with its new rows.
 
     Public spans and those that the policy reveals stay; secrets become one-way references and enter no
