@@ -39,7 +39,7 @@ UNITS = f"{SPACE}*[{LETTERS}]+|\n|[0-9]|{SPACE}*[^{LETTERS}{SPACE}\n0-9]+|{SPACE
 #: Characters of a unit from which merging leaves the fold, whose state is the bits of one long.
 FOLD_CHARS = 60
 #: Characters of text in a chunk; units that are assembled at a time; encodings that are packed together.
-CHUNK_CHARS, BATCH_UNITS, FOUND_ROWS = 20 << 20, 1 << 19, 1 << 18
+CHUNK_CHARS, BATCH_UNITS, FOUND_ROWS = 20 << 20, 1 << 18, 1 << 18
 #: Documents whose chunks share a vocabulary, which bounds the uses of one unit; documents for which that has a part of its own.
 GROUP_DOCS, PART_DOCS = 1 << 25, 2_048
 #: Most tasks of a stage; most pieces that may be broadcast.
@@ -305,6 +305,7 @@ def _chunked(groups: int, parts: int):
                 if chunk.size >= CHUNK_CHARS:
                     yield chunk.row(groups, parts, where())
                     chunk = _Chunk()
+                    pa.default_memory_pool().release_unused()
         if chunk.keys:
             yield chunk.row(groups, parts, where())
 
@@ -430,6 +431,8 @@ def _assembled(key: str, table: Pieces):
                     lists = pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(ids))
                     yield pa.record_batch([part.column("key").combine_chunks(), lists, part.column("n").combine_chunks(), pa.array(digests, pa.string())], names=[key, "ids", "n_units", "decoded_sha256"])
                     at = stop
+                del body, planes, rows, named, code, pieces, own, sizes, values, length, first, ids, lists
+                pa.default_memory_pool().release_unused()
 
     return assemble
 
