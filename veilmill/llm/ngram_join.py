@@ -31,6 +31,8 @@ from .shingles import mix, shingle_sets, slices
 
 WORDS, PERCENT = 5, 80
 ORDERS = 3
+#: Texts that are packed or unpacked together.
+TEXTS = 128
 
 
 def least_overlap(n: np.ndarray) -> np.ndarray:
@@ -57,6 +59,7 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             place = np.arange(len(sets)) - np.repeat(ends - n, n)
             prefix = sets[place < np.repeat(length, n)]
             yield pa.record_batch([part.column(0), pa.array(n.astype(np.int64)), pa.array(signs, pa.binary()), _lists(prefix, length)], names=["doc_id", "n_shingles", "sign", "prefix"])
+        pa.default_memory_pool().release_unused()
 
 
 def _sign(tokens: np.ndarray) -> bytes:
@@ -69,6 +72,7 @@ def _full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sets, n = shingle_sets(data, offsets, WORDS)
             signs = [_sign(sets[e - k : e]) if k else None for k, e in zip(n, np.cumsum(n), strict=True)]
             yield pa.record_batch([pa.array(signs, pa.binary()), _lists(sets, n)], names=["sign", "tokens"])
+        pa.default_memory_pool().release_unused()
 
 
 def _ordered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -113,20 +117,26 @@ def _survivors(signed: DataFrame) -> DataFrame:
 
 
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """doc_id, text compressed before it is shuffled."""
+    """doc_id, text compressed before it is shuffled; a few texts at a time, and freed memory goes back."""
     press = zstandard.ZstdCompressor(level=1)
     for batch in batches:
-        packed = [None if t is None else press.compress(t.encode()) for t in batch.column(1).to_pylist()]
-        yield pa.record_batch([batch.column(0), pa.array(packed, pa.binary())], names=["doc_id", "packed"])
+        for at in range(0, batch.num_rows, TEXTS):
+            some = batch.slice(at, TEXTS)
+            packed = [press.compress(t.as_buffer()) if t.is_valid else None for t in some.column(1)]
+            yield pa.record_batch([some.column(0), pa.array(packed, pa.binary())], names=["doc_id", "packed"])
+            del packed
+        pa.default_memory_pool().release_unused()
 
 
 def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     unpack = zstandard.ZstdDecompressor()
     for batch in batches:
-        for at in range(0, batch.num_rows, 256):
-            some = batch.slice(at, 256)
-            texts = [None if b is None else unpack.decompress(b, max_output_size=1 << 31).decode() for b in some.column(1).to_pylist()]
-            yield pa.record_batch([some.column(0), pa.array(texts, pa.string())], names=["doc_id", "text"])
+        for at in range(0, batch.num_rows, TEXTS):
+            some = batch.slice(at, TEXTS)
+            texts = [unpack.decompress(b.as_buffer(), max_output_size=1 << 31) if b.is_valid else None for b in some.column(1)]
+            yield pa.record_batch([some.column(0), pa.array(texts, pa.binary()).cast(pa.string())], names=["doc_id", "text"])
+            del texts
+        pa.default_memory_pool().release_unused()
 
 
 def prefix_sets(docs: DataFrame, survivors: DataFrame) -> DataFrame:
@@ -134,8 +144,7 @@ def prefix_sets(docs: DataFrame, survivors: DataFrame) -> DataFrame:
     chosen = survivors.select(F.col("doc_id").alias("_id")).distinct()
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     packed = texts.mapInArrow(_packed, "doc_id bigint, packed binary").join(chosen, F.col("doc_id") == F.col("_id"), "left_semi")
-    texts = packed.mapInArrow(_unpacked, "doc_id bigint, text string")
-    tokens = texts.mapInArrow(_full, "sign binary, tokens array<bigint>").where("sign is not null").select(_id(), F.explode("tokens").alias("token"))
+    tokens = packed.mapInArrow(lambda batches: _full(_unpacked(batches)), "sign binary, tokens array<bigint>").where("sign is not null").select(_id(), F.explode("tokens").alias("token"))
     counted = tokens.withColumn("df", F.count("*").over(Window.partitionBy("token"))).where("df > 1")
     sets = counted.groupBy("id").agg(F.collect_list(F.struct(F.col("df").cast("int").alias("df"), "token")).alias("t"))
     sets = sets.join(survivors.select("id", "n"), "id").select("id", "n", F.col("t.df").alias("dfs"), F.col("t.token").alias("tokens"))
