@@ -1,18 +1,16 @@
 """Suffix dedup: removes bytes that a 100-byte string covers which also starts earlier in the corpus.
 
-Sorting all suffixes by a difference cover samples some of them, names the sampled ones by sorting tuples, names longer tuples of
-names again, orders the remaining suffixes by what stands before their next sampled one, and compares neighbours. A cover of
-fixed places modulo 3 would sort two thirds of all bytes of the corpus several times over. Here the cover is chosen by
-content, as in string synchronising sets, which keep what the algorithm needs of a difference cover: wherever two equal
-strings of 100 bytes stand, they have their first sampled place at the same distance from their starts.
+No suffix is sorted here. Places are sampled by content, as in string synchronising sets: wherever two equal strings of 100
+bytes stand, their first sampled place is at the same distance from their starts, so repeats are found among the places that
+share a sampled tuple, by comparing hashes of 100-byte strings. See the README for why.
 
 1. Sampled: in each window of 100 bytes, the leftmost least hash among its 36-byte tuples. About one place in thirty is.
    The tuple is the place's name.
-2. Names of names: starts with the same sampled place are neighbours, and form a block; what these strings span, from
+2. Blocks: starts with the same sampled place are neighbours, and form a block; what these strings span, from
    the block's first start to 100 bytes after its last, names the block.
-   Names that occur once are dropped, as in any recursion on names; equal blocks after the first are repeats as a whole.
-3. The remaining suffixes, those of each name's distinct blocks, are ordered within the name by their 100-byte prefixes
-   and then by place, and neighbours are compared: all but the first of equal ones are repeats.
+   Names that occur once are dropped; equal blocks after the first are repeats as a whole.
+3. The starts of each name's distinct blocks are grouped by the hash of the 100 bytes from there on: all but the first of equal
+   ones are repeats.
 
 Names and prefixes are compared as 64-bit hashes. A name with very many different blocks, such as one in a line
 of boilerplate, is not gathered in one task: the starts of its blocks are rows of their own.
