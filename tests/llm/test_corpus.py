@@ -470,7 +470,7 @@ def test_viterbi_fold_is_the_best_path(spark):
 
 
 def test_registry_and_pipeline(spark):
-    assert sorted(int(re.match(r"op(\d+)_", n).group(1)) for n in registry.QUERIES) == list(range(1, 11))
+    assert sorted(int(re.match(r"op(\d+)_", n).group(1)) for n in registry.QUERIES) == list(range(1, 14))
     docs = common.load(spark, FOLDER, "documents")
     for _, stage in corpus_pipeline.STAGES[:-1]:
         before = docs.columns
