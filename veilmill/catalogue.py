@@ -11,9 +11,10 @@ from .functions.crypto import hmac_hex, hmac_sql, prefixed, prefixed_sql
 from .functions.findall import find_all
 from .operators import canonical as can
 from .operators import detect as det
-from .operators import dates, guard, overlap, policy, reports, rules, vault, walk
+from .operators import dates, guard, inventory, overlap, policy, reports, rules, vault, walk
 from .operators.generate import Generator, shifted_iso
 from .plans import pseudonymise as plan
+from .session import materialise
 from .sources import readers
 from .streaming import windows
 
@@ -733,3 +734,28 @@ def spans_trimmed(spark, sf_dir):
     spans = F.flatten(F.array(*(find_all("text", det.BY_NAME[n].pattern, det.BY_NAME[n].kind, det.BY_NAME[n].score) for n in ("email", "phone"))))
     wide = F.transform(spans, lambda s: s.withField("value", F.concat(F.lit("(<"), s["value"], F.lit("!)"))).withField("start", s["start"] - 2).withField("end", s["end"] + 2))
     return docs.select("doc_id", wide.alias("spans")).select("doc_id", F.explode(det.trimmed("spans")).alias("s")).select("doc_id", "s.type", "s.value", "s.start")
+
+
+# Labels of any number: hosts of pages, what they end in, and their own first names, marked in documents where no mail address lies.
+
+_LABELS = "SELECT DISTINCT lower(l) AS label FROM (SELECT h AS l FROM hosts UNION ALL SELECT regexp_extract(h, '[^.]+\\.[^.]+$') FROM hosts UNION ALL SELECT regexp_extract(h, '([^.]+)\\.[^.]+\\.[^.]+$', 1) FROM hosts)"
+
+
+@query(f"""
+    WITH hosts AS (SELECT DISTINCT regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1) AS h FROM pages), labels AS ({_LABELS}),
+    t AS (SELECT doc_id, regexp_extract_all(text, {_s(inventory.TOKEN)}) AS m, string_split_regex(text, {_s(inventory.TOKEN)}) AS g FROM documents),
+    w AS (SELECT doc_id, m[i] AS value, CAST(list_sum(list_transform(g[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) AS INTEGER) AS start FROM t, unnest(range(1, len(m) + 1)) AS u(i)),
+    p AS (SELECT value, list_filter(string_split_regex(lower(value), {_s(inventory.BREAK)}), lambda x: x <> '') AS p FROM (SELECT DISTINCT value FROM w)),
+    r AS (SELECT value, array_to_string(p[a:b], ' ') AS gram FROM p, unnest(range(1, len(p) + 1)) AS x(a), unnest(range(1, len(p) + 1)) AS y(b) WHERE a <= b),
+    o AS (SELECT DISTINCT value FROM r JOIN (SELECT DISTINCT array_to_string(list_filter(string_split_regex(label, {_s(inventory.BREAK)}), lambda x: x <> ''), ' ') AS gram FROM labels) USING (gram) WHERE gram <> ''),
+    e AS ({_spans_sql('email')})
+    SELECT doc_id, value, start, CAST(start + length(value) AS INTEGER) AS "end" FROM w JOIN o USING (value)
+    WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.doc_id = w.doc_id AND e.start < w.start + length(w.value) AND w.start < e."end")
+""")
+def inventory_labels_marked(spark, sf_dir):
+    hosts = load(spark, sf_dir, "pages").select(F.regexp_extract("url", "^[a-z]+://([^/:?#]+)", 1).alias("h"))
+    labels = hosts.select(F.explode(F.array("h", F.regexp_extract("h", r"[^.]+\.[^.]+$", 0), F.regexp_extract("h", r"([^.]+)\.[^.]+\.[^.]+$", 1))).alias("label"))
+    email = det.BY_NAME["email"]
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text").withColumn("spans", find_all("text", email.pattern, email.kind, email.score, needs=email.needs))
+    docs = materialise(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+    return inventory.marked(docs, labels, spans="spans").join(docs.select("_row", "doc_id"), "_row").select("doc_id", "value", "start", "end")

@@ -14,6 +14,8 @@ def _text(s: str) -> str:
 
 #: Marks around matches: two code points that Unicode sets aside for internal use. Texts that have them are searched without.
 OPEN, CLOSE = "\ufdd0", "\ufdd1"
+#: Matches that are folded at once.
+CHUNK = 16
 
 
 def find_all(text: str, pattern: str, kind: str, score: float, needs: tuple[str, ...] = ()) -> Column:
@@ -25,13 +27,17 @@ def find_all(text: str, pattern: str, kind: str, score: float, needs: tuple[str,
     cheap = " or ".join(f"contains({text}, {_text(n)})" for n in needs) or "true"
     marked = f"regexp_replace(translate({text}, '{OPEN}{CLOSE}', '\ufffd\ufffd'), {_text(pattern)}, '{OPEN}$0{CLOSE}')"
     # transform(array(x), p -> ...)[0] binds x, which would be computed wherever it stands. A piece is a match, its mark, and the gap after.
+    # Pieces are folded in chunks, each from where it begins, so that no fold copies a list that grows with the text.
     found = F.expr(f"""
-        transform(array(split({marked}, '{OPEN}')), pieces -> aggregate(
-            slice(pieces, 2, size(pieces)),
-            named_struct('at', length(pieces[0]), 'out', cast(array() as array<{SPAN}>)),
-            (s, x) -> named_struct('at', s.at + length(x) - 1, 'out', concat(s.out, array(
-                named_struct('type', {_text(kind)}, 'value', substring_index(x, '{CLOSE}', 1), 'start', s.at, 'end', s.at + length(substring_index(x, '{CLOSE}', 1)), 'score', {score}D)))),
-            s -> s.out))[0]
+        transform(array(split({marked}, '{OPEN}')), pieces -> transform(
+            array(transform(sequence(0, greatest(size(pieces) - 2, 0) div {CHUNK}), c -> slice(pieces, 2 + c * {CHUNK}, {CHUNK}))), chunks -> transform(
+            array(aggregate(chunks, array(length(pieces[0])), (s, ch) -> concat(s, array(element_at(s, -1) + aggregate(ch, 0, (n, x) -> n + length(x) - 1))))), base ->
+            flatten(transform(chunks, (ch, c) -> aggregate(
+                ch,
+                named_struct('at', base[c], 'out', cast(array() as array<{SPAN}>)),
+                (s, x) -> named_struct('at', s.at + length(x) - 1, 'out', concat(s.out, array(
+                    named_struct('type', {_text(kind)}, 'value', substring_index(x, '{CLOSE}', 1), 'start', s.at, 'end', s.at + length(substring_index(x, '{CLOSE}', 1)), 'score', {score}D)))),
+                s -> s.out))))[0])[0])[0]
     """)
     exact = F.when(F.expr(f"contains({text}, '{OPEN}') or contains({text}, '{CLOSE}')"), F.transform(found, lambda x: x.withField("value", F.substring(F.col(text), x["start"] + 1, x["end"] - x["start"])))).otherwise(found)
     return F.when(F.expr(cheap), F.coalesce(exact, F.expr(f"cast(array() as array<{SPAN}>)"))).otherwise(F.expr(f"cast(array() as array<{SPAN}>)"))

@@ -249,13 +249,6 @@ def token_around(text: str, start: str, end: str) -> Column:
     return F.regexp_replace(whole, r"^[(\[{<\"'`,;:]+|[)\]}>\"'`,;:.!?]+$", "")
 
 
-def inventory_spans(text: str, labels: Column, spans: str) -> Column:
-    """INVENTORY spans of tokens with a segment among the labels, where no other span lies."""
-    found = find_all(text, r"[\w.:/@+-]+", "INVENTORY", 1.0)
-    ours = F.filter(found, lambda s: F.arrays_overlap(F.transform(F.split(s["value"], r"[.:/@+_-]+"), F.lower), labels))
-    return F.filter(ours, lambda s: ~F.exists(F.col(spans), lambda o: (o["start"] < s["end"]) & (s["start"] < o["end"])))
-
-
 def public_by_shape(spans: DataFrame, rules: list[tuple[str, str]]) -> DataFrame:
     """value, types, rule of the values that a rule (name, pattern) of public shapes matches whole; the first rule counts."""
     rule = F.coalesce(*(F.when(F.col("value").rlike(rf"\A(?:{p})\z"), F.lit(n)) for n, p in rules))

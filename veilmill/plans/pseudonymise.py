@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.findall import spliced
+from ..operators import inventory as ours
 from ..operators.detect import COMPOSITE, Recogniser, checked, spans_of, without_false_cards
 from ..operators.generate import Generator, is_secret
 from ..operators.overlap import class_of, resolved
@@ -26,16 +27,21 @@ def resolved_spans(docs: DataFrame, recognisers: tuple[Recogniser, ...] = COMPOS
     return rows.withColumn("spans", resolved(F.col("spans"), "text"))
 
 
-def pseudonymise(docs: DataFrame, scope: str, keys: Keys, known: DataFrame | None = None, policy: DataFrame | None = None, recognisers: tuple[Recogniser, ...] = COMPOSITE) -> tuple[DataFrame, DataFrame]:
+def pseudonymise(docs: DataFrame, scope: str, keys: Keys, known: DataFrame | None = None, policy: DataFrame | None = None, recognisers: tuple[Recogniser, ...] = COMPOSITE, inventory: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(doc_id, n_spans, n_entities, safe_text), mapping with its new rows.
 
     Public spans and those that the policy reveals stay; secrets become one-way references and enter no
     mapping; all others get the surrogate of their entity. Rows meet their spans by a number of their own, so null and
     repeated doc_ids do no harm. A span that ought to go and has nothing to go to fails the query: no text leaves half done.
-    Only rows with spans are shuffled.
+    inventory is a table of labels (label) of any size: tokens that hold one go too, where no other span lies.
+    Only spans and texts that meet them are shuffled.
     """
     rows = materialise(resolved_spans(docs, recognisers).withColumn("_row", F.monotonically_increasing_id()), "spans")
     spans = rows.select("_row", F.explode("spans").alias("s")).select("_row", "s.*").where(class_of(F.col("type")) != "public")
+    labelled = None
+    if inventory is not None:
+        labelled = materialise(ours.marked(rows, inventory, spans="spans"), "labelled")
+        spans = spans.unionByName(labelled)
     found = entities(spans)
     revealed = None
     if policy is not None:
@@ -57,8 +63,12 @@ def pseudonymise(docs: DataFrame, scope: str, keys: Keys, known: DataFrame | Non
     refuse = F.raise_error(F.concat(F.lit("a span has no surrogate; its type is "), F.col("type")))
     placed = placed.withColumn("new", F.when(F.col("new").isNull(), refuse).otherwise(F.col("new")))
     by_row = placed.groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("start", "end", "new", "type"))).alias("placed"))
+    n_spans = F.size("spans").cast("bigint")
+    if labelled is not None:
+        by_row = by_row.join(labelled.groupBy("_row").agg(F.count("*").alias("_more")), "_row", "full_outer")
+        n_spans = n_spans + F.coalesce("_more", F.lit(0).cast("bigint"))
     out = rows.join(by_row, "_row", "left").withColumn("placed", F.coalesce("placed", F.expr("cast(array() as array<struct<start:int,end:int,new:string,type:string>>)")))
-    safe = out.select("doc_id", F.size("spans").cast("bigint").alias("n_spans"), F.size("placed").cast("bigint").alias("n_entities"), spliced("text", "placed", "new").alias("safe_text"))
+    safe = out.select("doc_id", n_spans.alias("n_spans"), F.size("placed").cast("bigint").alias("n_entities"), spliced("text", "placed", "new").alias("safe_text"))
     return safe, mapping
 
 
