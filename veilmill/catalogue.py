@@ -759,3 +759,13 @@ def inventory_labels_marked(spark, sf_dir):
     docs = load(spark, sf_dir, "documents").select("doc_id", "text").withColumn("spans", find_all("text", email.pattern, email.kind, email.score, needs=email.needs))
     docs = materialise(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
     return inventory.marked(docs, labels, spans="spans").join(docs.select("_row", "doc_id"), "_row").select("doc_id", "value", "start", "end")
+
+
+_FIRSTS = "SELECT DISTINCT substr(text, 1, k) AS value FROM conversations, (VALUES (1), (2), (3), (4), (9)) t(k)"
+
+
+@query(f"SELECT value, CAST(coalesce(sum((length(text) - length(replace(text, value, ''))) / length(value)), 0) AS BIGINT) AS n FROM ({_FIRSTS}) v LEFT JOIN documents ON contains(text, value) WHERE value <> '' GROUP BY value")
+def any_value_occurrences(spark, sf_dir):
+    """What turns begin with, one to nine characters of it, counted in all documents."""
+    values = load(spark, sf_dir, "conversations").select(F.explode(F.array(*(F.substring("text", 1, k) for k in (1, 2, 3, 4, 9)))).alias("value"))
+    return reports.occurrences(load(spark, sf_dir, "documents").select(F.col("text").alias("body")), values)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialise
+
 FLOW = "kind string, host string, port int, method string, path string, bytes_out bigint, bytes_in bigint, status int, content_type string, error string, ts double"
 
 
@@ -65,26 +67,42 @@ def variance(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.select("id", F.col("output").alias("x")).join(b.select("id", F.col("output").alias("y")), "id", "full_outer").where("not (x <=> y)").select("id")
 
 
+#: Code points of the longest grams, and of the blocks that bodies are cut into to be read for grams.
+GRAM, BLOCK = 4, 1 << 16
+
+
+def _grams(text: Column, q: int) -> Column:
+    """The distinct runs of q code points, at every place, in one pass."""
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{q}}}))"), F.lit(1)))
+
+
 def occurrences(bodies: DataFrame, values: DataFrame) -> DataFrame:
-    """value, n: how often each sensitive value stands in the bodies, plain or with escaped slashes.
+    """value, n: how often each sensitive value stands in the bodies, plain or with escaped slashes; occurrences don't overlap.
 
-    A value is looked for in the bodies only that have its anchor, its longest run of letters and digits: anchors meet the bodies'
-    own runs by equality, and the value is counted where one holds it.
+    Values are of any length and script: each is looked for by its grams of four code points, shorter ones by themselves. The
+    grams that values have are counted in the bodies, and a value is counted in those bodies only that have its rarest gram, one
+    of which none has being found nowhere. Bodies are read block by block, meet the candidates by a number of their own, and
+    are counted as they come by, so no list of a hot value or body is ever held. Values null or empty are left out; null bodies hold nothing.
     """
-    rows = values.select("value").distinct().where("value != ''")
-    slashed = F.replace("value", F.lit("/"), F.lit("\\/"))
-    runs = F.regexp_extract_all("value", F.lit("[A-Za-z0-9]+"), F.lit(0))
-    longest = F.aggregate(runs, F.lit(""), lambda s, x: F.when(F.length(x) > F.length(s), x).otherwise(s))
-    # A run of the value may be part of a longer one in a body, so runs meet by their parts of four characters.
-    anchored = rows.withColumn("anchor", F.substring(longest, 1, 4))
-    numbered = bodies.select("body", F.monotonically_increasing_id().alias("_row"))
-    grams = lambda c: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(c) - 3)), lambda i: F.substring(c, i, F.lit(4)))
-    tokens = numbered.select("body", "_row", F.explode(F.array_distinct(F.flatten(F.transform(F.regexp_extract_all("body", F.lit("[A-Za-z0-9]+"), F.lit(0)), grams)))).alias("anchor"))
-    long = anchored.where(F.length("anchor") == 4).join(tokens, "anchor").select("value", "body")
-    short = anchored.where(F.length("anchor") < 4).select("value").join(bodies.select("body"), F.contains("body", F.col("value")) | F.contains("body", slashed))
-    n = lambda needle: F.floor((F.length("body") - F.length(F.replace("body", needle, F.lit("")))) / F.length(needle))
-    total = n(F.col("value")) + F.when(F.contains("value", F.lit("/")), n(slashed)).otherwise(0)
-    counted = long.unionByName(short).groupBy("value").agg(F.sum(total).cast("bigint").alias("n"))
+    rows = values.select("value").where("value != ''").distinct()
+    escaped = F.when(F.contains("value", F.lit("/")), F.array("value", F.replace("value", F.lit("/"), F.lit("\\/")))).otherwise(F.array("value"))
+    needles = rows.select("value", F.explode(escaped).alias("needle"))
+    by_size = [F.when(F.length("needle") == q, F.array("needle")) for q in range(1, GRAM)]
+    asked = materialise(needles.select("value", "needle", F.explode(F.coalesce(*by_size, _grams(F.col("needle"), GRAM))).alias("gram")), "grams")
+    # At most GRAM sizes.
+    sizes = sorted(r[0] for r in asked.select(F.length("gram")).distinct().collect())
+    if not sizes:
+        return rows.select("value", F.lit(0).cast("bigint").alias("n"))
+    numbered = materialise(bodies.select("body", F.monotonically_increasing_id().alias("_row")).where("body is not null"), "bodies")
+    starts = F.sequence(F.lit(1), F.greatest(F.length("body"), F.lit(1)), F.lit(BLOCK))
+    blocks = numbered.select("_row", F.col("body"), F.explode(starts).alias("_at")).select("_row", F.substring(F.col("body"), F.col("_at"), F.lit(BLOCK + GRAM - 1)).alias("_block"))
+    found = blocks.select("_row", F.explode(F.array_distinct(F.concat(*(_grams(F.col("_block"), q) for q in sizes)))).alias("gram"))
+    postings = materialise(found.join(asked.select("gram").distinct(), "gram", "left_semi").distinct(), "postings")
+    held = postings.groupBy("gram").agg(F.count("*").alias("n"))
+    rarest = asked.join(held, "gram", "left").groupBy("value", "needle").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("r")).select("value", "needle", "r.gram")
+    near = rarest.join(postings, "gram").select("_row", "value", "needle").join(numbered, "_row")
+    times = F.floor((F.length("body") - F.length(F.replace("body", F.col("needle"), F.lit("")))) / F.length("needle"))
+    counted = near.groupBy("value").agg(F.sum(times).cast("bigint").alias("n"))
     return rows.join(counted, "value", "left").select("value", F.coalesce("n", F.lit(0).cast("bigint")).alias("n"))
 
 
