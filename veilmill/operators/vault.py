@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -47,16 +49,46 @@ def entities(spans: DataFrame) -> DataFrame:
     return rows.withColumn("etype", key_type(F.col("kind"), F.col("canon")))
 
 
-def _rounds(pending: DataFrame, key: list[str], propose, taken: DataFrame) -> DataFrame | None:
-    """pending (a written table) with a surrogate that is neither taken nor equal to its value: in each round the smallest key wins among equals."""
+@dataclass(frozen=True)
+class Known:
+    """Mapping rows of earlier runs, as three tables that hold what they are asked for: by key_idx (whole rows), by real_idx and by surrogate.
+
+    key_idx covers scope and type by its digest, so it alone is joined. Surrogates that were rebound stay in by_surrogate, for they stay taken.
+    """
+
+    by_key: DataFrame
+    by_real: DataFrame
+    by_surrogate: DataFrame
+
+    @classmethod
+    def of(cls, known: DataFrame | Known) -> Known:
+        return known if isinstance(known, Known) else cls(known, known, known)
+
+    def keyed(self, scope: str) -> DataFrame:
+        """key_idx, surrogate: one row a key."""
+        return self.by_key.where((F.col("scope") == scope) & ~F.startswith("etype", F.lit("_past:"))).select("key_idx", "surrogate")
+
+    def real(self, scope: str) -> DataFrame:
+        """real_idx, surrogate: one row a real value."""
+        return self.by_real.where((F.col("scope") == scope) & ~F.startswith("etype", F.lit("_past:"))).select("real_idx", "surrogate")
+
+    def taken(self, scope: str) -> DataFrame:
+        return self.by_surrogate.where(F.col("scope") == scope).select("surrogate")
+
+
+def _rounds(pending: DataFrame, key: list[str], propose, known: DataFrame, taken: DataFrame | None = None) -> DataFrame | None:
+    """pending (a written table) with a surrogate that is neither known, nor taken, nor equal to its value: in each round the smallest key wins among equals.
+
+    Known ones are met apart from those of this run, as a union would lose the buckets they lie in."""
     done: DataFrame | None = None
     for attempt in range(ATTEMPTS):
         proposed = pending.withColumn("surrogate", propose(F.lit(attempt)))
-        free = proposed.where(F.lower("surrogate") != F.lower("value")).join(taken, "surrogate", "left_anti")
+        free = proposed.where(F.lower("surrogate") != F.lower("value")).join(known, "surrogate", "left_anti")
+        free = free if taken is None else free.join(taken, "surrogate", "left_anti")
         winner = Window.partitionBy("surrogate").orderBy(*key)
         won = materialise(free.withColumn("n", F.row_number().over(winner)).where("n = 1").drop("n"), "won")
         done = won if done is None else done.unionByName(won)
-        taken = taken.unionByName(won.select("surrogate"))
+        taken = won.select("surrogate") if taken is None else taken.unionByName(won.select("surrogate"))
         pending = materialise(pending.join(won.select(*key), key, "left_anti"), "pending")
         if pending.isEmpty():
             return done
@@ -68,7 +100,7 @@ def _sealed(rows: DataFrame, scope: str, keys: Keys, real: Column) -> DataFrame:
     return rows.select(F.lit(scope).alias("scope"), "etype", "key_idx", "real_idx", seal(keys.cipher, real, bound).alias("real_enc"), "surrogate")
 
 
-def shared_attributes(rows: DataFrame, scope: str, keys: Keys, known: DataFrame, generator: Generator) -> tuple[DataFrame, DataFrame]:
+def shared_attributes(rows: DataFrame, scope: str, keys: Keys, known: Known, generator: Generator) -> tuple[DataFrame, DataFrame]:
     """What entities share, allocated before them: networks, zones, organisations and registries, each real one to one of its own.
 
     Gives the table etype, value, shared (the surrogate) for all that rows have, and the new mapping rows among it. These stand in
@@ -77,13 +109,13 @@ def shared_attributes(rows: DataFrame, scope: str, keys: Keys, known: DataFrame,
     index = lambda *parts: hmac_hex(keys.index, prefixed(F.lit(scope), *parts))
     found = rows.select(F.explode(generator.attributes(F.col("kind"), F.col("canon"))).alias("a")).select(F.concat(F.lit("_"), "a.of").alias("etype"), "a.value").distinct()
     found = materialise(found.withColumn("key_idx", index(F.col("etype"), F.col("value"))).withColumn("real_idx", index(F.lit("shared"), F.col("etype"), F.col("value"))), "shared")
-    before = known.select("etype", "key_idx", "surrogate")
-    old = found.join(before, ["etype", "key_idx"]).select("etype", "value", F.col("surrogate").alias("shared"))
-    new = _rounds(materialise(found.join(before, ["etype", "key_idx"], "left_anti"), "pending"), ["real_idx"], lambda attempt: generator.shared(F.col("etype"), F.col("value"), attempt), known.select("surrogate"))
+    before = known.keyed(scope)
+    old = found.join(before, "key_idx").select("etype", "value", F.col("surrogate").alias("shared"))
+    new = _rounds(materialise(found.join(before, "key_idx", "left_anti"), "pending"), ["real_idx"], lambda attempt: generator.shared(F.col("etype"), F.col("value"), attempt), known.taken(scope))
     return old.unionByName(new.select("etype", "value", F.col("surrogate").alias("shared"))), _sealed(new, scope, keys, F.col("value"))
 
 
-def allocate(found: DataFrame, scope: str, keys: Keys, known: DataFrame | None = None) -> DataFrame:
+def allocate(found: DataFrame, scope: str, keys: Keys, known: DataFrame | Known | None = None) -> DataFrame:
     """New mapping rows for the entities that known has no row for, and for the networks, zones and names that they share.
 
     Each round proposes a surrogate for every open entity, drops those that are taken or equal to their value, and
@@ -93,14 +125,13 @@ def allocate(found: DataFrame, scope: str, keys: Keys, known: DataFrame | None =
     """
     spark = found.sparkSession
     generator = Generator(keys.salt(scope))
-    known = known if known is not None else spark.createDataFrame([], SCHEMA)
-    known = known.where(F.col("scope") == scope)
+    known = Known.of(known if known is not None else spark.createDataFrame([], SCHEMA))
     rows = found.withColumn("key_idx", hmac_hex(keys.index, prefixed(F.lit(scope), F.col("etype"), F.col("canon")["key"])))
     rows = rows.withColumn("real_idx", hmac_hex(keys.index, prefixed(F.lit(scope), F.lower(F.col("canon")["normalized"]))))
     # One row per key, and one key per real value.
     rows = rows.withColumn("n", F.row_number().over(Window.partitionBy("etype", "key_idx").orderBy("value"))).where("n = 1")
     rows = rows.withColumn("n", F.row_number().over(Window.partitionBy("real_idx").orderBy(priority_of(F.col("kind")), "etype", "key_idx"))).where("n = 1").drop("n")
-    pending = materialise(rows.join(known.select("etype", "key_idx"), ["etype", "key_idx"], "left_anti").join(known.select("real_idx"), "real_idx", "left_anti"), "pending")
+    pending = materialise(rows.join(known.keyed(scope), "key_idx", "left_anti").join(known.real(scope), "real_idx", "left_anti"), "pending")
     common, new_common = shared_attributes(pending, scope, keys, known, generator)
     # Few attributes are shared by many entities; an entity has one, by which it meets its surrogate.
     one = pending.withColumn("_a", F.get(generator.attributes(F.col("kind"), F.col("canon")), F.lit(0)))
@@ -108,7 +139,7 @@ def allocate(found: DataFrame, scope: str, keys: Keys, known: DataFrame | None =
     pending = materialise(one.join(common.select(F.col("etype").alias("_of"), F.col("value").alias("_value"), "shared"), ["_of", "_value"], "left").drop("_of", "_value"), "open")
     # Types are a short list, whatever the number of entities.
     present = {(r["form"], r["kind"]) for r in pending.select(F.col("canon.kind").alias("form"), "kind").distinct().collect()}
-    done = _rounds(pending, ["real_idx", "etype", "key_idx"], lambda attempt: generator.candidate(F.col("kind"), F.col("value"), F.col("canon"), attempt, F.col("shared"), present), known.select("surrogate").unionByName(new_common.select("surrogate")))
+    done = _rounds(pending, ["real_idx", "etype", "key_idx"], lambda attempt: generator.candidate(F.col("kind"), F.col("value"), F.col("canon"), attempt, F.col("shared"), present), known.taken(scope), new_common.select("surrogate"))
     return materialise(_sealed(done, scope, keys, F.col("canon")["normalized"]).unionByName(new_common), "mapping")
 
 
@@ -147,20 +178,78 @@ def rebind(mapping: DataFrame, scope: str, keys: Keys, etype: str, key_idx: str,
 # The stored table
 
 
-def save(mapping: DataFrame, path: str) -> None:
-    """Appends mapping rows to the table at path. One writer at a time: a lock file in the table's folder refuses a second one."""
-    spark = mapping.sparkSession
+@contextmanager
+def _alone(spark: SparkSession, path: str) -> Iterator[None]:
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(f"{path}/_lock")
     fs = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     if not fs.createNewFile(where):
         raise RuntimeError(f"{path} has another writer")
     try:
-        mapping.select(*(c.split()[0] for c in SCHEMA.split(", "))).write.mode("append").parquet(path)
+        yield
     finally:
         fs.delete(where, False)
 
 
+def save(mapping: DataFrame, path: str) -> None:
+    """Appends mapping rows to the table at path. One writer at a time: a lock file in the table's folder refuses a second one."""
+    with _alone(mapping.sparkSession, path):
+        mapping.select(*(c.split()[0] for c in SCHEMA.split(", "))).write.mode("append").parquet(path)
+
+
+@dataclass(frozen=True)
+class Bucketed:
+    """A stored mapping in three bucketed tables under path, so that later runs meet it without moving it: rows that ask are
+    shuffled to its buckets, its own are read where they lie. Runs append; a bucket is several files then, which costs a sort of what is read,
+    no shuffle.
+
+    Tables are entered in the session's catalogue as NAME_by_key, NAME_by_real and NAME_by_surrogate, again in each session; buckets must be
+    given alike for the life of the table. Surrogates are written first and real values last. A writer that dies between
+    leaves a surrogate that none uses, or a row that by_real lacks: mend() adds what is missing.
+    """
+
+    spark: SparkSession
+    name: str
+    path: str
+    buckets: int = 200
+
+    PARTS = {"by_surrogate": ("surrogate", "scope string, surrogate string"), "by_key": ("key_idx", SCHEMA), "by_real": ("real_idx", "scope string, etype string, real_idx string, surrogate string")}
+
+    def __post_init__(self) -> None:
+        if not self.name.isidentifier():
+            raise ValueError(f"{self.name!r} is no name of a table")
+        for part, (column, schema) in self.PARTS.items():
+            place = f"{self.path}/{part}".replace("'", "\\'")
+            self.spark.sql(f"CREATE TABLE IF NOT EXISTS {self.name}_{part} ({schema}) USING parquet CLUSTERED BY ({column}) INTO {int(self.buckets)} BUCKETS LOCATION '{place}'")
+
+    def table(self, part: str) -> DataFrame:
+        return self.spark.table(f"{self.name}_{part}")
+
+    def known(self) -> Known:
+        return Known(self.table("by_key"), self.table("by_real"), self.table("by_surrogate"))
+
+    def rows(self) -> DataFrame:
+        """All rows, as view() and the reports take them."""
+        return self.table("by_key")
+
+    def _add(self, part: str, rows: DataFrame) -> None:
+        column, schema = self.PARTS[part]
+        rows.select(*(c.split()[0] for c in schema.split(", "))).repartition(self.buckets, column).write.insertInto(f"{self.name}_{part}")
+
+    def append(self, new: DataFrame) -> None:
+        """Adds the rows whose key the table lacks: what allocate() gave, or a whole mapping that has known rows too. One writer at a time."""
+        with _alone(self.spark, self.path):
+            lacking = materialise(new.join(self.known().by_key.select("key_idx"), "key_idx", "left_anti"), "lacking")
+            for part in self.PARTS:
+                self._add(part, lacking)
+
+    def mend(self) -> None:
+        """Adds to by_real what a dead writer left out of it."""
+        with _alone(self.spark, self.path):
+            have = self.table("by_real").select("real_idx")
+            self._add("by_real", materialise(self.table("by_key").join(have, "real_idx", "left_anti"), "mended"))
+
+
 def stored(spark: SparkSession, path: str) -> DataFrame:
     """The mapping table at path. One that holds plain values, or has no sealed ones, is refused."""
     rows = spark.read.parquet(path)

@@ -15,7 +15,7 @@ from ..operators.detect import COMPOSITE, Recogniser, checked, spans_of, without
 from ..operators.generate import Generator, is_secret
 from ..operators.overlap import class_of, resolved
 from ..operators.policy import decide
-from ..operators.vault import Keys, allocate, entities, view
+from ..operators.vault import Keys, Known, allocate, entities, view
 from ..functions.crypto import hmac_hex, prefixed
 from ..session import materialise
 
@@ -27,7 +27,7 @@ def resolved_spans(docs: DataFrame, recognisers: tuple[Recogniser, ...] = COMPOS
     return rows.withColumn("spans", resolved(F.col("spans"), "text"))
 
 
-def pseudonymise(docs: DataFrame, scope: str, keys: Keys, known: DataFrame | None = None, policy: DataFrame | None = None, recognisers: tuple[Recogniser, ...] = COMPOSITE, inventory: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+def pseudonymise(docs: DataFrame, scope: str, keys: Keys, known: DataFrame | Known | None = None, policy: DataFrame | None = None, recognisers: tuple[Recogniser, ...] = COMPOSITE, inventory: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(doc_id, n_spans, n_entities, safe_text), mapping with its new rows.
 
     Public spans and those that the policy reveals stay; secrets become one-way references and enter no
@@ -50,13 +50,17 @@ def pseudonymise(docs: DataFrame, scope: str, keys: Keys, known: DataFrame | Non
         revealed = decided.where("decision != 'anonymise'").select("type", "value", F.lit(True).alias("revealed"))
     found = materialise(found, "entities")
     new = allocate(found, scope, keys, known)
-    mapping = new if known is None else known.unionByName(new)
     generator = Generator(keys.salt(scope))
-    # A real value has one surrogate under whatever type, so values meet mappings by real_idx.
-    by_real = mapping.where(F.col("scope") == scope).select("real_idx", "surrogate")
-    values = found.select("kind", "value", hmac_hex(keys.index, prefixed(F.lit(scope), F.lower(F.col("canon")["normalized"]))).alias("real_idx"), "etype", hmac_hex(keys.index, prefixed(F.lit(scope), F.col("etype"), F.col("canon")["key"])).alias("key_idx"))
-    by_key = mapping.where(F.col("scope") == scope).select("etype", "key_idx", F.col("surrogate").alias("by_key"))
-    values = values.join(by_real, "real_idx", "left").join(by_key, ["etype", "key_idx"], "left").select(F.col("kind").alias("type"), "value", F.coalesce("surrogate", "by_key").alias("surrogate"))
+    # A real value has one surrogate under whatever type, so values meet mappings by real_idx, else by key_idx; what is known apart
+    # from what is new, so that a known side in buckets is read where it lies.
+    before, fresh = None if known is None else Known.of(known), Known.of(new)
+    mapping = new if before is None else before.by_key.unionByName(new)
+    values = found.select("kind", "value", hmac_hex(keys.index, prefixed(F.lit(scope), F.lower(F.col("canon")["normalized"]))).alias("real_idx"), hmac_hex(keys.index, prefixed(F.lit(scope), F.col("etype"), F.col("canon")["key"])).alias("key_idx"))
+    sides = [fresh] if before is None else [before, fresh]
+    for side, part in [(i, "real") for i in range(len(sides))] + [(i, "key") for i in range(len(sides))]:
+        known_rows = sides[side].real(scope) if part == "real" else sides[side].keyed(scope)
+        values = values.join(known_rows.withColumnRenamed("surrogate", f"_{part}{side}"), f"{part}_idx", "left")
+    values = values.select(F.col("kind").alias("type"), "value", F.coalesce(*(f"_{part}{i}" for part in ("real", "key") for i in range(len(sides)))).alias("surrogate"))
     placed = spans.join(values, ["type", "value"], "left").withColumn("new", F.when(is_secret(F.col("type")), generator.secret(F.col("type"), F.col("value"))).otherwise(F.col("surrogate")))
     if revealed is not None:
         placed = placed.join(revealed, ["type", "value"], "left").where("new is not null or revealed is null")
