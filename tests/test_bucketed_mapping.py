@@ -74,5 +74,5 @@ def test_the_known_side_is_not_shuffled(spark, store):
 def test_names_and_second_writers_are_refused(spark, store):
     with pytest.raises(ValueError):
         vault.Bucketed(spark, "x; drop", "file:///tmp/none")
-    with vault._alone(spark, store.path), pytest.raises(RuntimeError):
+    with vault.alone(spark, store.path), pytest.raises(RuntimeError):
         store.append(store.rows())

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import threading
+import time
 from collections.abc import Iterator
 from contextlib import contextmanager
 from dataclasses import dataclass
@@ -178,22 +180,46 @@ def rebind(mapping: DataFrame, scope: str, keys: Keys, etype: str, key_idx: str,
 # The stored table
 
 
+#: Seconds between a writer's signs of life, and those for which its lock holds without one.
+BEAT, LEASE = 30.0, 600.0
+
+
 @contextmanager
-def _alone(spark: SparkSession, path: str) -> Iterator[None]:
+def alone(spark: SparkSession, path: str, beat: float = BEAT, lease: float = LEASE) -> Iterator[None]:
+    """Holds the lock of the table at path; a second writer is refused while the first gives signs of life.
+
+    The lock's time of change is renewed every beat seconds. One that is older than lease was left by a dead writer and is taken over in
+    place, by whoever creates the marker named after that time first, so of several only one gets it. Clocks must agree
+    within less than the lease.
+    """
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(f"{path}/_lock")
     fs = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    alive = lambda: fs.setTimes(where, int(time.time() * 1000), -1)
     if not fs.createNewFile(where):
-        raise RuntimeError(f"{path} has another writer")
+        left = fs.getFileStatus(where).getModificationTime()
+        if time.time() - left / 1000 <= lease or not fs.createNewFile(jvm.org.apache.hadoop.fs.Path(f"{path}/_lock-taken-{left}")):
+            raise RuntimeError(f"{path} has another writer")
+        alive()
+    done = threading.Event()
+
+    def signs() -> None:
+        while not done.wait(beat):
+            alive()
+
+    heart = threading.Thread(target=signs, daemon=True)
+    heart.start()
     try:
         yield
     finally:
+        done.set()
+        heart.join()
         fs.delete(where, False)
 
 
 def save(mapping: DataFrame, path: str) -> None:
-    """Appends mapping rows to the table at path. One writer at a time: a lock file in the table's folder refuses a second one."""
-    with _alone(mapping.sparkSession, path):
+    """Appends mapping rows to the table at path. One writer at a time, see alone()."""
+    with alone(mapping.sparkSession, path):
         mapping.select(*(c.split()[0] for c in SCHEMA.split(", "))).write.mode("append").parquet(path)
 
 
@@ -238,14 +264,14 @@ class Bucketed:
 
     def append(self, new: DataFrame) -> None:
         """Adds the rows whose key the table lacks: what allocate() gave, or a whole mapping that has known rows too. One writer at a time."""
-        with _alone(self.spark, self.path):
+        with alone(self.spark, self.path):
             lacking = materialise(new.join(self.known().by_key.select("key_idx"), "key_idx", "left_anti"), "lacking")
             for part in self.PARTS:
                 self._add(part, lacking)
 
     def mend(self) -> None:
         """Adds to by_real what a dead writer left out of it."""
-        with _alone(self.spark, self.path):
+        with alone(self.spark, self.path):
             have = self.table("by_real").select("real_idx")
             self._add("by_real", materialise(self.table("by_key").join(have, "real_idx", "left_anti"), "mended"))
 

@@ -27,16 +27,18 @@ def resolved_spans(docs: DataFrame, recognisers: tuple[Recogniser, ...] = COMPOS
     return rows.withColumn("spans", resolved(F.col("spans"), "text"))
 
 
-def pseudonymise(docs: DataFrame, scope: str, keys: Keys, known: DataFrame | Known | None = None, policy: DataFrame | None = None, recognisers: tuple[Recogniser, ...] = COMPOSITE, inventory: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+def pseudonymise(docs: DataFrame, scope: str, keys: Keys, known: DataFrame | Known | None = None, policy: DataFrame | None = None, recognisers: tuple[Recogniser, ...] = COMPOSITE, inventory: DataFrame | None = None, searched: bool = False) -> tuple[DataFrame, DataFrame]:
     """(doc_id, n_spans, n_entities, safe_text), mapping with its new rows.
 
     Public spans and those that the policy reveals stay; secrets become one-way references and enter no
     mapping; all others get the surrogate of their entity. Rows meet their spans by a number of their own, so null and
     repeated doc_ids do no harm. A span that ought to go and has nothing to go to fails the query: no text leaves half done.
     inventory is a table of labels (label) of any size: tokens that hold one go too, where no other span lies.
+    searched says that docs has the column spans of resolved_spans() already, and texts that are not null.
     Only spans and texts that meet them are shuffled.
     """
-    rows = materialise(resolved_spans(docs, recognisers).withColumn("_row", F.monotonically_increasing_id()), "spans")
+    found_in = docs.select("doc_id", "text", "spans") if searched else resolved_spans(docs, recognisers)
+    rows = materialise(found_in.withColumn("_row", F.monotonically_increasing_id()), "spans")
     spans = rows.select("_row", F.explode("spans").alias("s")).select("_row", "s.*").where(class_of(F.col("type")) != "public")
     labelled = None
     if inventory is not None:
