@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,10 +12,11 @@ from .functions.crypto import hmac_hex, hmac_sql, prefixed, prefixed_sql
 from .functions.findall import find_all
 from .operators import canonical as can
 from .operators import detect as det
-from .operators import dates, guard, inventory, overlap, policy, reports, rules, vault, walk
+from .operators import dates, guard, inventory, overlap, persons, policy, reports, rules, vault, walk
 from .operators.generate import Generator, shifted_iso
 from .plans import pseudonymise as plan
-from .session import materialise
+from .plans import seen
+from .session import materialise, scratch
 from .sources import readers
 from .streaming import windows
 
@@ -769,3 +771,85 @@ def any_value_occurrences(spark, sf_dir):
     """What turns begin with, one to nine characters of it, counted in all documents."""
     values = load(spark, sf_dir, "conversations").select(F.explode(F.array(*(F.substring("text", 1, k) for k in (1, 2, 3, 4, 9)))).alias("value"))
     return reports.occurrences(load(spark, sf_dir, "documents").select(F.col("text").alias("body")), values)
+
+
+# What the corpus itself tells: persons confirmed once, texts seen before
+
+
+_TOKENS, _NAME = f"{persons.CHARS}+", persons.NAME_WORD
+
+
+def _signed_sql() -> str:
+    """Documents, each with the first two capitalised words of its text as a signature behind it."""
+    return f"""
+        SELECT doc_id, body, w, CASE WHEN len(w) = 2 THEN body || chr(10) || 'Dr. ' || w[1] || ' ' || w[2] ELSE body END AS text
+        FROM (SELECT doc_id, coalesce(text, '') AS body, list_filter(regexp_extract_all(coalesce(text, ''), {_s(_TOKENS)}), lambda x: regexp_full_match(x, {_s(_NAME)}))[1:2] AS w FROM documents)
+    """
+
+
+def _windows_sql() -> str:
+    """Runs of 1 to 4 capitalised words of the table signed."""
+    piece = _s(rf"{_TOKENS}(?: {persons.PARTICLES}?)?")
+    linked = lambda j: f"(v{j - 1} LIKE '% ' AND e{j - 1} = s{j} AND ok{j})"
+    leads = ", ".join(f"lead({c}, {j}) OVER d AS {a}{j}" for j in (1, 2, 3) for c, a in (("value", "v"), ("word", "w"), ("start", "s"), ("e", "e"), ("ok", "ok")))
+    kinds = [f"SELECT doc_id, s0 AS start, {' || '.join([*(f'v{j}' for j in range(k)), f'w{k}'])} AS value, w0 AS first, w{k} AS last, {k + 1} AS k FROM q WHERE {' AND '.join(['ok0', *map(linked, range(1, k + 1))])}" for k in range(4)]
+    return f"""
+        m AS (SELECT doc_id, regexp_extract_all(text, {piece}) AS m, string_split_regex(text, {piece}) AS g FROM signed),
+        p AS (SELECT doc_id, i, m[i] AS value, split_part(m[i], ' ', 1) AS word, regexp_full_match(split_part(m[i], ' ', 1), {_s(_NAME)}) AS ok,
+            CAST(list_sum(list_transform(g[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) AS INTEGER) AS start FROM m, unnest(range(1, len(m) + 1)) AS u(i)),
+        r AS (SELECT *, CAST(start + length(value) AS INTEGER) AS e FROM p),
+        q AS (SELECT doc_id, value AS v0, word AS w0, start AS s0, e AS e0, ok AS ok0, {leads} FROM r WINDOW d AS (PARTITION BY doc_id ORDER BY i)),
+        runs AS ({' UNION ALL '.join(kinds)})
+    """
+
+
+@query(f"""
+    WITH signed AS ({_signed_sql()}), {_windows_sql()},
+    names AS (SELECT DISTINCT w[1] AS first, w[2] AS last, w[1] || ' ' || w[2] AS name FROM signed WHERE len(w) = 2),
+    spelt AS (SELECT w, count(*) AS n FROM (SELECT unnest(regexp_extract_all(text, {_s(_TOKENS)})) AS w FROM signed) GROUP BY w),
+    proper AS (SELECT a.word FROM (SELECT first AS word FROM names UNION SELECT last FROM names) a JOIN spelt ON lower(spelt.w) = lower(a.word) GROUP BY a.word
+        HAVING sum(CASE WHEN regexp_matches(spelt.w, '^\\p{{Lu}}') THEN n ELSE 0 END) * 100 >= sum(n) * {persons.PROPER}),
+    firsts AS (SELECT DISTINCT first FROM names WHERE first IN (SELECT word FROM proper)), lasts AS (SELECT DISTINCT last FROM names WHERE last IN (SELECT word FROM proper)),
+    hits AS (SELECT DISTINCT doc_id, start, CAST(start + length(value) AS INTEGER) AS e FROM runs
+        WHERE k > 1 AND value IN (SELECT name FROM names) OR k > 1 AND first IN (FROM firsts) AND last IN (FROM lasts) OR k = 1 AND last IN (FROM lasts)),
+    bare AS (SELECT h.* FROM hits h JOIN signed USING (doc_id) WHERE len(w) < 2 OR e <= length(body) + 5),
+    b AS (SELECT *, max(e) OVER (PARTITION BY doc_id ORDER BY start, e DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM bare),
+    i AS (SELECT *, sum(CASE WHEN before IS NULL OR start >= before THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY start, e DESC) AS island FROM b)
+    SELECT doc_id, text[min(start) + 1:max(e)] AS value, CAST(min(start) AS INTEGER) AS start, CAST(max(e) AS INTEGER) AS "end" FROM i JOIN signed USING (doc_id) GROUP BY doc_id, text, island
+""")
+def persons_named_bare(spark, sf_dir):
+    """Every document signed with the first two capitalised words of its text, title in front: where the corpus names the signers without a title."""
+    docs = load(spark, sf_dir, "documents").select(F.col("doc_id"), F.coalesce("text", F.lit("")).alias("body"))
+    first = F.slice(F.filter(F.regexp_extract_all("body", F.lit(_TOKENS), F.lit(0)), lambda x: x.rlike(rf"\A{_NAME}\z")), 1, 2)
+    docs = docs.withColumn("sign", F.when(F.size(first) == 2, F.concat(F.lit("Dr. "), F.array_join(first, " "))).otherwise(""))
+    docs = docs.select("doc_id", "body", "sign", F.when(F.col("sign") != "", F.concat_ws("\n", "body", "sign")).otherwise(F.col("body")).alias("text"))
+    docs = materialise(docs, "signed")
+    titled = det.PERSONAL[0]
+    at = F.length("body") + 1
+    taken = docs.select("doc_id", at.alias("at"), F.explode(find_all("sign", titled.pattern, titled.kind, titled.score)).alias("s"))
+    taken = taken.select("doc_id", "s.type", "s.value", (F.col("s.start") + F.col("at")).alias("start"), (F.col("s.end") + F.col("at")).alias("end"))
+    found = persons.marked(docs, taken, row="doc_id")
+    empty = spark.createDataFrame([], "doc_id bigint, value string, start int, end int")
+    return empty if found is None else found.select("doc_id", "value", "start", "end")
+
+
+_WORDY = r"'[\p{L}\p{N}_]'"
+
+
+@query(f"""
+    WITH d AS (SELECT text FROM documents WHERE regexp_matches(text, {_WORDY})), c AS (SELECT text FROM conversations WHERE regexp_matches(text, {_WORDY})), b AS (SELECT * FROM d UNION ALL SELECT * FROM c)
+    SELECT 1 AS run, (SELECT count(*) FROM d) AS calls, 0 AS hits, (SELECT count(DISTINCT text) FROM d) AS searched
+    UNION ALL SELECT 2, (SELECT count(*) FROM b), (SELECT count(*) FROM b WHERE text IN (FROM d)), (SELECT count(DISTINCT text) FROM b WHERE text NOT IN (FROM d))
+    UNION ALL SELECT 3, (SELECT count(*) FROM b), (SELECT count(*) FROM b), 0
+""")
+def texts_seen_before(spark, sf_dir):
+    """Counters of three runs: over all documents, over these and all turns of conversations, and over both again."""
+    name = f"seen_{uuid.uuid4().hex}"
+    known = seen.Seen(spark, name, scratch(spark, "seen"), KEYS, tuple(det.BY_NAME[n] for n in SOME), buckets=int(spark.conf.get("spark.sql.shuffle.partitions")))
+    docs = load(spark, sf_dir, "documents").select(F.col("doc_id"), "text")
+    both = docs.unionByName(load(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), "text"))
+    out = []
+    for run, rows in enumerate((docs, both, both), 1):
+        counters = known.searched(rows)[1]
+        out.append(materialise(counters.select(F.lit(run).alias("run"), "calls", "hits", "searched"), "counters"))
+    return out[0].unionByName(out[1]).unionByName(out[2])

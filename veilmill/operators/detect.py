@@ -189,7 +189,7 @@ _TITLE = r"(?:M\.|Mr\.?|Mrs\.?|Ms\.?|Mme\.?|Mlle\.?|Dr\.?|Prof\.?|Herr|Frau|Señ
 _NAME_WORD = r"\p{Lu}[\p{L}'’-]{1,30}"
 _WAY_BEFORE, _WAY_AFTER, _WAY_JOINED = ("|".join(w) for w in (fixed.WAYS_BEFORE, fixed.WAYS_AFTER, fixed.WAYS_JOINED))
 PERSONAL = (
-    Recogniser("titled person", "PERSON", rf"\b{_TITLE} {_NAME_WORD}(?: (?:de |van |von |la |le |du )?{_NAME_WORD}){{0,3}}", 0.8),
+    Recogniser("titled person", "PERSON", rf"(?<=(?<![\p{{L}}\p{{N}}]){_TITLE} ){_NAME_WORD}(?: (?:de |van |von |la |le |du )?{_NAME_WORD}){{0,3}}", 0.8),
     Recogniser("named person", "PERSON", rf"(?<=\b(?:name|nom|contact|author|auteur|from|by|owner): ){_NAME_WORD}(?: (?:de |van |von |la |le |du )?{_NAME_WORD}){{1,3}}", 0.7, (": ",)),
     Recogniser("address, way first", "ADDRESS", rf"\b[0-9]{{1,4}}(?: ?(?:bis|ter))?,? (?i:{_WAY_BEFORE}) (?:(?:de la|de|du|des|la|le|l'|d') ?)?\p{{L}}[\p{{L}}'’-]{{1,30}}(?: \p{{L}}[\p{{L}}'’-]{{1,30}}){{0,3}}(?:,? [0-9]{{4,5}} {_NAME_WORD}(?:[ -]{_NAME_WORD}){{0,2}})?", 0.75),
     Recogniser("address, way last", "ADDRESS", rf"\b[0-9]{{1,5}} (?:{_NAME_WORD} ){{1,3}}(?i:{_WAY_AFTER})\b(?:, {_NAME_WORD}(?: {_NAME_WORD}){{0,2}}(?:,? [A-Z]{{2}} [0-9]{{5}})?)?", 0.75),

@@ -75,17 +75,24 @@ def marked(docs: DataFrame, labels: DataFrame, row: str = "_row", text: str = "t
     grows with spans and tokens, not with their product, and a long text is settled by many tasks. Texts are never shuffled.
     """
     owned = materialise(owned_tokens(docs, labels, text), "owned")
+    ours = met(_occurrences(docs, row, text), owned, row).select(row, F.lit("INVENTORY").alias("type"), "value", "start", (F.col("start") + F.length("value")).alias("end"), F.lit(1.0).alias("score"))
+    return ours if spans is None else uncovered(ours, docs.select(row, F.explode(spans).alias("s")).select(row, "s.start", "s.end"), row)
+
+
+def met(occurrences: DataFrame, owned: DataFrame, row: str) -> DataFrame:
+    """The occurrences (row, value, start) whose value is in owned (a written table value, n; n occurrences each). Hot values are dealt to SALTS keys."""
     total = owned.agg(F.sum("n").alias("total"))
     hot = owned.crossJoin(F.broadcast(total)).where(F.col("n") * HOT_SHARE > F.col("total")).select(F.xxhash64("value").alias("_h"), F.lit(True).alias("_hot")).distinct()
     salted = owned.select("value", F.xxhash64("value").alias("_h")).join(F.broadcast(hot), "_h", "left")
     salted = salted.select("value", F.explode(F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))).alias("_salt"))
-    placed = _occurrences(docs, row, text)
-    placed = placed.withColumn("_h", F.xxhash64("value")).join(F.broadcast(hot), "_h", "left")
+    placed = occurrences.withColumn("_h", F.xxhash64("value")).join(F.broadcast(hot), "_h", "left")
     placed = placed.withColumn("_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64(row, "start"), F.lit(SALTS)).cast("int")).otherwise(0))
-    ours = placed.join(salted, ["value", "_salt"]).select(row, F.lit("INVENTORY").alias("type"), "value", "start", (F.col("start") + F.length("value")).alias("end"), F.lit(1.0).alias("score"))
-    if spans is None:
-        return ours
+    return placed.join(salted, ["value", "_salt"]).select(row, "value", "start")
+
+
+def uncovered(ours: DataFrame, taken: DataFrame, row: str) -> DataFrame:
+    """The spans of ours that none of taken (row, start, end) overlaps."""
     ours = materialise(ours, "ours")
-    taken = _cells(docs.select(row, F.explode(spans).alias("s")).select(row, "s.start", "s.end")).select(row, "_cell", F.col("start").alias("_a"), F.col("end").alias("_b"))
-    covered = _cells(ours).join(taken, [row, "_cell"]).where("_a < end and start < _b").select(row, "start").distinct()
-    return ours.join(covered, [row, "start"], "left_anti").select(row, "type", "value", "start", "end", "score")
+    taken = _cells(taken.select(row, "start", "end")).select(row, "_cell", F.col("start").alias("_a"), F.col("end").alias("_b"))
+    covered = _cells(ours).join(taken, [row, "_cell"]).where("_a < end and start < _b").select(row, "start", "end").distinct()
+    return ours.join(covered, [row, "start", "end"], "left_anti").select(row, "type", "value", "start", "end", "score")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.findall import spliced
 from ..operators import inventory as ours
+from ..operators import persons
 from ..operators.detect import COMPOSITE, Recogniser, checked, spans_of, without_false_cards
 from ..operators.generate import Generator, is_secret
 from ..operators.overlap import class_of, resolved
@@ -27,13 +28,14 @@ def resolved_spans(docs: DataFrame, recognisers: tuple[Recogniser, ...] = COMPOS
     return rows.withColumn("spans", resolved(F.col("spans"), "text"))
 
 
-def pseudonymise(docs: DataFrame, scope: str, keys: Keys, known: DataFrame | Known | None = None, policy: DataFrame | None = None, recognisers: tuple[Recogniser, ...] = COMPOSITE, inventory: DataFrame | None = None, searched: bool = False) -> tuple[DataFrame, DataFrame]:
+def pseudonymise(docs: DataFrame, scope: str, keys: Keys, known: DataFrame | Known | None = None, policy: DataFrame | None = None, recognisers: tuple[Recogniser, ...] = COMPOSITE, inventory: DataFrame | None = None, searched: bool = False, bare_names: bool = True) -> tuple[DataFrame, DataFrame]:
     """(doc_id, n_spans, n_entities, safe_text), mapping with its new rows.
 
     Public spans and those that the policy reveals stay; secrets become one-way references and enter no
     mapping; all others get the surrogate of their entity. Rows meet their spans by a number of their own, so null and
     repeated doc_ids do no harm. A span that ought to go and has nothing to go to fails the query: no text leaves half done.
     inventory is a table of labels (label) of any size: tokens that hold one go too, where no other span lies.
+    bare_names: persons whom some text confirms by a title or label are found where they are named without, in all texts.
     searched says that docs has the column spans of resolved_spans() already, and texts that are not null.
     Only spans and texts that meet them are shuffled.
     """
@@ -43,6 +45,13 @@ def pseudonymise(docs: DataFrame, scope: str, keys: Keys, known: DataFrame | Kno
     labelled = None
     if inventory is not None:
         labelled = materialise(ours.marked(rows, inventory, spans="spans"), "labelled")
+    if bare_names:
+        taken = rows.select("_row", F.explode("spans").alias("s")).select("_row", "s.type", "s.value", "s.start", "s.end")
+        taken = taken if labelled is None else taken.unionByName(labelled.select(*taken.columns))
+        people = persons.marked(rows, taken)
+        if people is not None:
+            labelled = materialise(people if labelled is None else labelled.unionByName(people), "labelled")
+    if labelled is not None:
         spans = spans.unionByName(labelled)
     found = entities(spans)
     revealed = None

@@ -39,13 +39,18 @@ def work_folder(spark: SparkSession) -> str:
     return _fallback[0]
 
 
-def materialise(df: DataFrame, label: str) -> DataFrame:
-    """df written as Parquet to the shared folder and read again; cuts lineage between rounds. Deleted when the application ends."""
-    spark = df.sparkSession
+def scratch(spark: SparkSession, label: str) -> str:
+    """A new folder in the shared one, deleted when the application ends."""
     path = f"{work_folder(spark)}/{label}-{uuid.uuid4().hex}"
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     fs = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     fs.mkdirs(where)
     fs.deleteOnExit(where)
+    return path
+
+
+def materialise(df: DataFrame, label: str) -> DataFrame:
+    """df written as Parquet to the shared folder and read again; cuts lineage between rounds. Deleted when the application ends."""
+    path = scratch(df.sparkSession, label)
     df.write.parquet(f"{path}/table")
-    return spark.read.schema(df.schema).parquet(f"{path}/table")
+    return df.sparkSession.read.schema(df.schema).parquet(f"{path}/table")
