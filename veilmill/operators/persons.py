@@ -27,33 +27,45 @@ from .inventory import met, uncovered
 CHARS, PARTICLES = r"[\p{L}\p{N}'’-]", "(?:de |van |von |la |le |du )"
 NAME_WORD = r"\p{Lu}[\p{L}'’-]{1,30}"
 #: A capitalised word with what links it to the next one.
-PIECE = rf"(?<!{CHARS}){NAME_WORD}(?!{CHARS})(?: {PARTICLES}?)?"
+PIECE = rf"(?=\p{{Lu}})(?<!{CHARS}){NAME_WORD}(?!{CHARS})(?: {PARTICLES}?)?"
 #: Names have at most so many capitalised words, as those that the rules find.
 LONGEST = 4
 #: Of 100 occurrences of a proper name, as many start with a capital.
 PROPER = 90
 SCORE = 0.7
+WINDOW = "struct<value:string,first:string,last:string,k:int,start:int>"
 
 
 def windows(text: str) -> Column:
-    """array of (value, first, last, start): each run of 1 to LONGEST capitalised words that blanks or particles part."""
+    """array of (value, first, last, k, start): each run of 1 to LONGEST capitalised words that blanks or particles part."""
     piece = find_all(text, PIECE, "PERSON", SCORE)
 
     def word(p: Column) -> Column:
         return F.substring_index(p["value"], " ", 1)
 
-    def of(p: Column, k: int) -> Column:
+    def linked(a: Column, b: Column) -> Column:
+        return F.endswith(a["value"], F.lit(" ")) & (a["end"] == b["start"])
+
+    def window(*parts: Column) -> Column:
+        value = F.concat(*(x["value"] for x in parts[:-1]), word(parts[-1]))
+        return F.struct(value.alias("value"), word(parts[0]).alias("first"), word(parts[-1]).alias("last"), F.lit(len(parts)).alias("k"), parts[0]["start"].alias("start"))
+
+    def of(p: Column, starts: Column, k: int) -> Column:
         def at(i: Column) -> Column:
             parts = [F.get(p, i + j) for j in range(k)]
-            linked = [F.endswith(a["value"], F.lit(" ")) & (a["end"] == b["start"]) for a, b in zip(parts, parts[1:], strict=False)]
-            value = F.concat(*(x["value"] for x in parts[:-1]), word(parts[-1]))
-            row = F.struct(value.alias("value"), word(parts[0]).alias("first"), word(parts[-1]).alias("last"), F.lit(k).alias("k"), parts[0]["start"].alias("start"))
-            return F.when(reduce(and_, linked, F.lit(True)), row)
+            return F.when(reduce(and_, (linked(a, b) for a, b in zip(parts[1:], parts[2:], strict=False)), F.lit(True)), window(*parts))
+
+        # Beyond the end of p, no part has an end: the condition is null and there is no window.
+        return F.filter(F.transform(starts, at), lambda w: w.isNotNull())
 
-        found = F.filter(F.transform(F.sequence(F.lit(0), F.size(p) - k), at), lambda w: w.isNotNull())
-        return F.when(F.size(p) >= k, found).otherwise(F.array().cast("array<struct<value:string,first:string,last:string,k:int,start:int>>"))
+    def every(p: Column) -> Column:
+        # Few words have one linked to them, so runs of several start from those that do.
+        starts = F.filter(F.sequence(F.lit(0), F.size(p) - 2), lambda i: linked(F.get(p, i), F.get(p, i + 1)))
+        starts = F.when(F.size(p) > 1, starts).otherwise(F.array().cast("array<int>"))
+        longer = F.get(F.transform(F.array(starts), lambda s: F.when(F.size(s) > 0, F.concat(*(of(p, s, k) for k in range(2, LONGEST + 1)))).otherwise(F.array().cast(f"array<{WINDOW}>"))), F.lit(0))
+        return F.concat(F.transform(p, lambda x: window(x)), longer)
 
-    return F.get(F.transform(F.array(piece), lambda p: F.concat(*(of(p, k) for k in range(1, LONGEST + 1)))), F.lit(0))
+    return F.get(F.transform(F.array(piece), every), F.lit(0))
 
 
 def confirmed(spans: DataFrame) -> DataFrame:
@@ -73,11 +85,10 @@ def proper_words(docs: DataFrame, words: DataFrame, text: str = "text") -> DataF
     return seen.where(F.col("n_capital") * 100 >= F.col("n_all") * PROPER).select("word")
 
 
-def accepted(docs: DataFrame, names: DataFrame, text: str = "text") -> DataFrame:
+def accepted(docs: DataFrame, occurrences: DataFrame, names: DataFrame, text: str = "text") -> DataFrame:
     """value, n: the distinct runs of capitalised words that names confirm, with their occurrences."""
     names = materialise(names, "names")
-    runs = docs.select(F.explode(windows(text)).alias("w")).groupBy("w.value", "w.first", "w.last", "w.k").agg(F.count("*").alias("n"))
-    runs = materialise(runs, "runs")
+    runs = materialise(occurrences.groupBy("value", "first", "last", "k").agg(F.count("*").alias("n")), "runs")
     ends = names.where("k > 1").select(F.lit("first").alias("place"), F.col("first").alias("word")).union(names.select(F.lit("last"), "last")).distinct()
     proper = proper_words(docs, ends, text)
     ends = materialise(ends.join(proper, "word"), "ends")
@@ -106,13 +117,13 @@ def marked(docs: DataFrame, taken: DataFrame, row: str = "_row", text: str = "te
     where these confirm no person.
 
     row numbers the rows of docs, each once, and docs is a written table or one that gives the same numbers again. Null and empty
-    texts name nobody. Distinct runs are counted first, with partial sums, and meet the gazetteer, which is a table; then occurrences meet what
+    texts name nobody. Runs are looked for once and written, some tenths of the texts' size. Distinct runs are counted first, with partial sums, and meet the gazetteer, which is a table; then occurrences meet what
     it confirms, hot ones salted. Texts are never shuffled.
     """
     names = confirmed(taken)
     if names.isEmpty():
         return None
-    owned = materialise(accepted(docs, names, text), "persons")
-    occurrences = docs.select(row, F.explode(windows(text)).alias("w")).select(row, "w.value", "w.start")
-    hits = met(occurrences, owned, row).select(row, F.lit("PERSON").alias("type"), "value", "start", (F.col("start") + F.length("value")).alias("end"), F.lit(SCORE).alias("score"))
+    occurrences = materialise(docs.select(row, F.explode(windows(text)).alias("w")).select(row, "w.*"), "windows")
+    owned = materialise(accepted(docs, occurrences, names, text), "persons")
+    hits = met(occurrences.select(row, "value", "start"), owned, row).select(row, F.lit("PERSON").alias("type"), "value", "start", (F.col("start") + F.length("value")).alias("end"), F.lit(SCORE).alias("score"))
     return _merged(uncovered(hits, taken, row), row)
