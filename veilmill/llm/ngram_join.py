@@ -11,7 +11,11 @@ n - ceil(0.8 n) + 1 of either, in whatever order all tokens are put. The join ma
 
 Equal sets are one node. Sets that share a token are never paired all with all: each round pairs the members of a
 token's group with a few leaders, verifies and merges, and later rounds take further leaders for those pairs only that
-are still in different components, until no such pair is left.
+are still in different components, until no such pair is left. Sets lie in buckets by id and groups in buckets by token,
+so that rounds shuffle pairs only; groups whose members are of one component are left behind.
+
+Texts of the second step are fetched once more. A bitmap of bounded size, in which the first filter's survivors set a bit each,
+keeps most other texts from being shuffled to them; the exact join follows.
 """
 
 from __future__ import annotations
@@ -25,7 +29,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import bucketed, written
 from .components import components
 from .shingles import mix, shingle_sets, slices
 
@@ -33,6 +37,8 @@ WORDS, PERCENT = 5, 80
 ORDERS = 3
 #: Texts that are packed or unpacked together.
 TEXTS = 128
+#: Most bits, as a power of two, of the bitmap that is broadcast (8 MB); beyond some 10 million survivors it lets more texts pass.
+MOST_BITS = 26
 
 
 def least_overlap(n: np.ndarray) -> np.ndarray:
@@ -139,11 +145,22 @@ def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pa.default_memory_pool().release_unused()
 
 
+def _perhaps(texts: DataFrame, chosen: DataFrame) -> DataFrame:
+    """The texts whose doc_id is chosen (_id), and a few others, whose bit is set too."""
+    bits = 1 << min(MOST_BITS, max(15, (16 * chosen.count()).bit_length()))
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(bits))
+    marks = chosen.select(place("_id").alias("place")).select(F.bitmap_bucket_number("place").alias("_bucket"), F.bitmap_bit_position("place").alias("bit"))
+    bitmaps = marks.repartition("_bucket").groupBy("_bucket").agg(F.bitmap_construct_agg("bit").alias("_bits"))
+    placed = texts.withColumn("_bucket", F.bitmap_bucket_number(place("doc_id"))).withColumn("_bit", F.bitmap_bit_position(place("doc_id")))
+    is_set = F.expr("shiftright(cast(conv(hex(substring(_bits, cast(_bit div 8 as int) + 1, 1)), 16, 10) as int), cast(_bit % 8 as int)) & 1 = 1")
+    return placed.join(F.broadcast(bitmaps), "_bucket").where(is_set).select(texts.columns)
+
+
 def prefix_sets(docs: DataFrame, survivors: DataFrame) -> DataFrame:
     """id, n, tokens, first, others of the surviving sets. Texts of their doc_ids are fetched; of several such texts, those of other sets go."""
     chosen = survivors.select(F.col("doc_id").alias("_id")).distinct()
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    packed = texts.mapInArrow(_packed, "doc_id bigint, packed binary").join(chosen, F.col("doc_id") == F.col("_id"), "left_semi")
+    packed = _perhaps(texts, chosen).mapInArrow(_packed, "doc_id bigint, packed binary").join(chosen, F.col("doc_id") == F.col("_id"), "left_semi")
     tokens = packed.mapInArrow(lambda batches: _full(_unpacked(batches)), "sign binary, tokens array<bigint>").where("sign is not null").select(_id(), F.explode("tokens").alias("token"))
     counted = tokens.withColumn("df", F.count("*").over(Window.partitionBy("token"))).where("df > 1")
     sets = counted.groupBy("id").agg(F.collect_list(F.struct(F.col("df").cast("int").alias("df"), "token")).alias("t"))
@@ -162,38 +179,41 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return met.where(100 * common >= PERCENT * (F.col("n_a") + F.col("n_b") - common)).select("a", "b")
 
 
+def _buckets(df: DataFrame) -> int:
+    """As many as there are shuffle partitions, so that what meets buckets is shuffled straight to them."""
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 def linked_components(sets: DataFrame) -> DataFrame:
     """node, component of all sets that link to another."""
-    spark = sets.sparkSession
-    by_rank = Window.partitionBy("token").orderBy("id")
+    spark, n_buckets, group = sets.sparkSession, _buckets(sets), Window.partitionBy("token")
     # Tokens from this one on, of n: what can still be shared if it is the first that is.
     postings = sets.select("id", "n", F.size("tokens").alias("shared"), F.posexplode("first").alias("at", "token"))
-    postings = postings.select("id", "n", "token", (F.col("shared") - F.col("at")).alias("from_here"))
-    postings = postings.withColumn("rank", F.row_number().over(by_rank) - 1)
-    postings = postings.withColumn("size", F.count("*").over(Window.partitionBy("token"))).where("size > 1")
-    postings = written(postings, "join-postings")
+    postings = postings.select("id", "n", "token", (F.col("shared") - F.col("at")).alias("from_here"), F.col("id").alias("component"))
+    postings = postings.withColumn("rank", F.row_number().over(group.orderBy("id")) - 1)
+    postings = postings.withColumn("size", F.count("*").over(group)).where("size > 1")
+    open_groups = bucketed(postings, "join-postings", n_buckets, "token")
     labels = spark.createDataFrame([], "node bigint, component bigint")
     low, high, single = 0, 1, True
-    while True:
-        now = postings.join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-        open_groups = now.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.first("size").alias("size")).where(F.col("x") < F.col("y")).where(F.col("size") > low)
-        now = now.join(open_groups.select("token"), "token", "left_semi")
-        leaders = now.where((F.col("rank") >= low) & (F.col("rank") < high)).select("token", F.col("id").alias("b"), F.col("rank").alias("leader"), F.col("component").alias("of_b"), F.col("n").alias("n_b"), F.col("from_here").alias("from_b"))
-        met = now.join(leaders, "token").where("rank > leader and component != of_b")
+    while (open_groups.agg(F.max("size")).first()[0] or 0) > low + 1:
+        leaders = open_groups.where((F.col("rank") >= low) & (F.col("rank") < high)).select("token", F.col("id").alias("b"), F.col("rank").alias("leader"), F.col("component").alias("of_b"), F.col("n").alias("n_b"), F.col("from_here").alias("from_b"))
+        met = open_groups.join(leaders, "token").where("rank > leader and component != of_b")
         # The pair's first common token passes this if the pair links, as no token before it is common.
         pairs = met.where(f"{100 + PERCENT} * least(from_here, from_b) >= {PERCENT} * (n + n_b)").select(F.col("id").alias("a"), "b")
         # First each set meets one leader only, which settles most groups; then every leader.
         pairs = pairs.groupBy("a").agg(F.min("b").alias("b")) if single else pairs.distinct()
         pairs = written(pairs, "join-pairs")
-        n_pairs = pairs.count()
-        if n_pairs and (new := written(verified(pairs, sets), "join-links")).count():
+        if pairs.count() and (new := written(verified(pairs, sets), "join-links")).count():
             labels = components(labels.select(F.col("node").alias("a"), F.col("component").alias("b")).union(new))
-        elif not n_pairs and not single and not open_groups.where(F.col("size") > high).count():
-            return labels
         if single:
             single = False
         else:
-            low, high = high, 8 * high
+            low, high = high, 16 * high
+        # Further leaders have nobody left to meet in groups that are no larger than they rank, or are of one component.
+        now = open_groups.where(F.col("size") > low + 1).drop("component").join(labels.select(F.col("node").alias("id"), "component"), "id", "left")
+        now = now.withColumn("component", F.coalesce("component", "id")).withColumn("open", F.min("component").over(group) < F.max("component").over(group))
+        open_groups = bucketed(now.where("open").drop("open"), "join-open", n_buckets, "token")
+    return labels
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -205,7 +225,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """
     signed = written(signatures(docs), "join-signed")
     survivors = written(_survivors(signed), "join-survivors")
-    sets = written(prefix_sets(docs, survivors), "join-sets")
+    sets = bucketed(prefix_sets(docs, survivors), "join-sets", _buckets(docs), "id")
     found = linked_components(sets)
     classes = signed.where("sign is not null and doc_id is not null").groupBy("sign").agg(F.min("doc_id").alias("least")).withColumn("node", F.xxhash64("sign"))
     # Components are of sets; their names are the smallest doc_ids in them.
