@@ -172,7 +172,11 @@ def merged(edges: DataFrame, table: Pieces) -> DataFrame:
     """
     # transform(array(x), v -> ...)[0] binds x to v, so that no lambda computes it again for each of its elements.
     long = "transform(filter(edges, x -> x.stop > x.start + 1), x -> struct(x.start, x.stop, x.id, shiftleft(1L, x.start) | shiftleft(1L, x.stop) as both, shiftleft(shiftleft(1L, x.stop - x.start - 1) - 1, x.start + 1) as inner))"
-    ends = "aggregate(sequence(1, greatest(1, least(n - 1, size(v.long)))), shiftleft(1L, n + 1) - 1, (m, i) -> coalesce(m & ~get(filter(v.long, x -> (m & x.both) = x.both and bit_count(m & x.inner) = 1), 0).inner, m))"
+    # After each merge those edges go that have lost an end or are symbols already, as neither can apply again; without any, what is left of the fold is idle.
+    first = "transform(array(get(filter(s.long, x -> bit_count(s.m & x.inner) = 1), 0).inner), inner -> s.m & ~inner)"
+    rest = "filter(s.long, x -> (m & x.both) = x.both and (m & x.inner) != 0L)"
+    step = f"transform({first}, m -> if(m is null, struct(s.m as m, filter(s.long, x -> false) as long), struct(m as m, {rest} as long)))[0]"
+    ends = f"aggregate(sequence(1, greatest(1, least(n - 1, size(v.long)))), struct(shiftleft(1L, n + 1) - 1 as m, v.long as long), (s, i) -> if(size(s.long) = 0, s, {step}), s -> s.m)"
     at = "filter(sequence(0, n), i -> (shiftrightunsigned(ends, i) & 1) = 1)"
     ids = "flatten(transform(slice(at, 1, size(at) - 1), (s, k) -> if(at[k + 1] = s + 1, v.chars[s], array(get(filter(v.long, x -> x.start = s and x.stop = at[k + 1]), 0).id))))"
     bound = f"transform(array(struct({long} as long, {_character_ids(table)} as chars)), v -> transform(array({ends}), ends -> transform(array({at}), at -> {ids})[0])[0])[0]"
