@@ -40,6 +40,8 @@ UNITS = f"{SPACE}*[{LETTERS}]+|\n|[0-9]|{SPACE}*[^{LETTERS}{SPACE}\n0-9]+|{SPACE
 FOLD_CHARS = 60
 #: Characters of text in a chunk; units that are assembled at a time; encodings that are packed together.
 CHUNK_CHARS, BATCH_UNITS, FOUND_ROWS = 20 << 20, 1 << 18, 1 << 18
+#: Texts that are cut into words at a time; distinct words that are cut into units at a time.
+CHUNK_STEP, UNIT_STEP = 1_024, 1 << 15
 #: Documents whose chunks share a vocabulary, which bounds the uses of one unit; documents for which that has a part of its own.
 GROUP_DOCS, PART_DOCS = 1 << 25, 2_048
 #: Most tasks of a stage; most pieces that may be broadcast.
@@ -118,71 +120,100 @@ class Pieces:
     def ids(self) -> dict[str, int]:
         return {p: i for i, p in enumerate(self.pieces) if not self.special[i]}
 
+    def late(self) -> set[str]:
+        """Pieces that consist of two symbols, pieces or single characters, of which one has no better score than the whole."""
+        score = {p: self.scores[i] for p, i in self.ids().items()}
+        of = lambda s: score.get(s) if len(s) > 1 else float("inf")
+        splits = lambda p: ((of(p[:k]), of(p[k:])) for k in range(1, len(p)))
+        return {p for p in score if any(a is not None and b is not None and min(a, b) <= score[p] for a, b in splits(p))}
 
-#: A BPE edge is one long: the rank of its cost, its start, its size and its id, from the top; the id of what is no piece.
-RANK, START, SIZE, NONE = 40, 32, 24, (1 << 24) - 1
+
+#: A BPE edge is one long: the rank of its cost, its start, its size, whether it may come late, and its id, from the top.
+RANK, START, SIZE, LATE = 40, 32, 24, 23
+#: Characters under this code point, and the mark of blanks, have their ids in an array; all others are edges.
+DIRECT = 0x250
 
 
 def lattice(vocabulary: DataFrame, table: Pieces) -> DataFrame:
     """part, unit, n (its characters), uses, edges, best score first and then from the left.
 
     Edges are structs of cost, start, stop and id for unigram models, longs for BPE models, whose order of costs is all that counts.
-    vocabulary (part, unit, uses) is partitioned by part, and all of this stays in its partitions. Every character has an
-    edge, also where it is no piece. Substrings of three characters and more are exploded in those lengths only that
-    pieces with their first three characters have.
+    vocabulary (part, unit, uses) is partitioned by part, and all of this stays in its partitions. In unigram models every
+    character has an edge, also where it is no piece; in BPE models those pieces of one character that DIRECT leaves out.
+    Substrings of three characters and more are exploded in those lengths only that pieces with their first three characters have.
     """
     spark = vocabulary.sparkSession
+    bpe = table.kind != UNIGRAM
     rows = [(p, i, float(s)) for i, (p, s, x) in enumerate(zip(table.pieces, table.scores, table.special, strict=True)) if not x]
     rank = {s: k for k, s in enumerate(sorted({s for _, _, s in rows}, reverse=True))}
+    late = table.late() if bpe else set()
     heads: dict[str, set[int]] = defaultdict(set)
     for p, _, _ in rows:
         if len(p) > 2:
             heads[p[:3]].add(len(p))
-    pieces = F.broadcast(spark.createDataFrame([(*r, rank[r[2]]) for r in rows], "piece string, id int, score double, rank bigint"))
+    pieces = F.broadcast(spark.createDataFrame([(*r, rank[r[2]] << RANK | (r[0] in late) << LATE | r[1]) for r in rows], "piece string, id int, score double, ranked bigint"))
     sizes = F.broadcast(spark.createDataFrame([(h, sorted(x)) for h, x in heads.items()] or [("", [])], "head string, sizes array<int>"))
-    # Grouping by a hash first makes for cheap comparisons where groups are sorted. One edge of each unit carries its uses.
-    starts = vocabulary.select("part", F.xxhash64("unit").alias("key"), "unit", F.length("unit").alias("n"), "uses", F.explode(F.expr("sequence(0, length(unit) - 1)")).alias("start"))
-    starts = starts.select("part", "key", "unit", "n", F.when(F.col("start") == 0, F.col("uses")).alias("uses"), "start", F.expr("substr(unit, start + 1, 3)").alias("head")).join(sizes, "head", "left")
-    parts = starts.select("*", F.explode(F.when(F.col("sizes").isNull(), F.array(F.lit(1), F.lit(2))).otherwise(F.concat(F.array(F.lit(1), F.lit(2)), "sizes"))).alias("size")).where("start + size <= n")
-    parts = parts.select("part", "key", "unit", "n", F.when(F.col("size") == 1, F.col("uses")).alias("uses"), "start", "size", F.expr("substr(unit, start + 1, size)").alias("piece"))
-    edges = parts.join(pieces, "piece", "left").where("id is not null or size = 1")
-    if table.kind == UNIGRAM:
-        unseen = min(score for _, _, score in rows) - 10.0
-        edge = F.struct((-F.coalesce("score", F.lit(unseen))).alias("cost"), "start", (F.col("start") + F.col("size")).alias("stop"), "id")
+    # Numbers of units grow along a task, so edges come to their groups in order. One row of each unit, of size 0, carries it and its uses.
+    units = vocabulary.select(F.monotonically_increasing_id().alias("key"), "part", "unit", F.length("unit").alias("n"), "uses")
+    starts = units.select("*", F.explode(F.expr("sequence(0, n - 1)")).alias("start")).withColumn("head", F.expr("substr(unit, start + 1, 3)")).join(sizes, "head", "left")
+    direct = f"(ascii(head) < {DIRECT} or ascii(head) = {ord(SPACE)})" if bpe else "false"
+    short = f"if(start = 0, if({direct}, array(0, 2), array(0, 1, 2)), if({direct}, array(2), array(1, 2)))"
+    parts = starts.select("*", F.explode(F.expr(f"if(sizes is null, {short}, concat({short}, sizes))")).alias("size")).where("start + size <= n")
+    first = F.col("size") == 0
+    parts = parts.select("key", "part", F.when(first, F.col("unit")).alias("unit"), F.when(first, F.col("uses")).alias("uses"), "start", "size", F.expr("substr(unit, start + 1, size)").alias("piece"))
+    edges = parts.join(pieces, "piece", "left").where("id is not null or size = 0" + ("" if bpe else " or size = 1"))
+    if bpe:
+        edge = F.expr(f"ranked | shiftleft(cast(start as bigint), {START}) | shiftleft(cast(size as bigint), {SIZE})")
     else:
-        edge = F.expr(f"shiftleft(coalesce(rank, {len(rank)}L), {RANK}) | shiftleft(cast(start as bigint), {START}) | shiftleft(cast(size as bigint), {SIZE}) | coalesce(id, {NONE})")
-    return edges.groupBy("part", "key", "unit", "n").agg(F.sort_array(F.collect_list(edge)).alias("edges"), F.first("uses", ignorenulls=True).alias("uses")).drop("key")
+        unseen = min(score for _, _, score in rows) - 10.0
+        edge = F.when(~first, F.struct((-F.coalesce("score", F.lit(unseen))).alias("cost"), "start", (F.col("start") + F.col("size")).alias("stop"), "id"))
+    together = edges.groupBy("key", "part").agg(F.sort_array(F.collect_list(edge)).alias("edges"), F.first("unit", ignorenulls=True).alias("unit"), F.first("uses", ignorenulls=True).alias("uses"))
+    return together.select("part", "unit", F.length("unit").alias("n"), "uses", "edges")
 
 
-def _character_ids(table: Pieces) -> str:
-    """SQL for the ids by position of a unit's single characters: a piece's, its bytes' pieces', or the unknown one."""
-    if table.byte_ids:
-        ids = f"array({', '.join(map(str, table.byte_ids))})"
-        other = f"transform(sequence(0, octet_length(substr(unit, x.start + 1, 1)) - 1), b -> {ids}[cast(conv(substr(hex(encode(substr(unit, x.start + 1, 1), 'utf-8')), 2 * b + 1, 2), 16, 10) as int)])"
-    else:
-        other = f"array({table.unknown})"
-    return f"transform(array_sort(filter(edges, x -> x.stop = x.start + 1), (l, r) -> l.start - r.start), x -> if(x.id is null, {other}, array(x.id)))"
+def _bytes_of(character: str, table: Pieces) -> str:
+    """SQL for the ids of a character that is no piece: its bytes' pieces, or the unknown one."""
+    if not table.byte_ids:
+        return f"array({table.unknown})"
+    return f"transform(sequence(0, octet_length({character}) - 1), b -> array({', '.join(map(str, table.byte_ids))})[cast(conv(substr(hex(encode({character}, 'utf-8')), 2 * b + 1, 2), 16, 10) as int)])"
 
 
 def merged(edges: DataFrame, table: Pieces) -> DataFrame:
     """part, unit, uses, ids by BPE: again and again the best edge over exactly two symbols becomes one symbol.
 
     The state is the set of symbol ends, one bit each. An edge applies if its ends are symbol ends and one more
-    lies between them.
+    lies between them. One pass over the edges, best first, is enough as long as no merge makes an earlier edge apply; that
+    can be an edge only that consists of two symbols of which one is no better than itself, and these are marked as late. Where a late edge
+    comes to apply after its turn, the unit is folded again, from the best edge on after each merge.
     """
-    # transform(array(x), v -> ...)[0] binds x to v, so that no lambda computes it again for each of its elements.
-    long = "transform(filter(edges, x -> x.stop > x.start + 1), x -> struct(x.start, x.stop, x.id, shiftleft(1L, x.start) | shiftleft(1L, x.stop) as both, shiftleft(shiftleft(1L, x.stop - x.start - 1) - 1, x.start + 1) as inner))"
-    # After each merge those edges go that have lost an end or are symbols already, as neither can apply again; without any, what is left of the fold is idle.
-    first = "transform(array(get(filter(s.long, x -> bit_count(s.m & x.inner) = 1), 0).inner), inner -> s.m & ~inner)"
-    rest = "filter(s.long, x -> (m & x.both) = x.both and (m & x.inner) != 0L)"
-    step = f"transform({first}, m -> if(m is null, struct(s.m as m, filter(s.long, x -> false) as long), struct(m as m, {rest} as long)))[0]"
-    ends = f"aggregate(sequence(1, greatest(1, least(n - 1, size(v.long)))), struct(shiftleft(1L, n + 1) - 1 as m, v.long as long), (s, i) -> if(size(s.long) = 0, s, {step}), s -> s.m)"
-    at = "filter(sequence(0, n), i -> (shiftrightunsigned(ends, i) & 1) = 1)"
-    ids = "flatten(transform(slice(at, 1, size(at) - 1), (s, k) -> if(at[k + 1] = s + 1, v.chars[s], array(get(filter(v.long, x -> x.start = s and x.stop = at[k + 1]), 0).id))))"
-    bound = f"transform(array(struct({long} as long, {_character_ids(table)} as chars)), v -> transform(array({ends}), ends -> transform(array({at}), at -> {ids})[0])[0])[0]"
-    bits = lambda at: f"cast(shiftright(e, {at}) & 255 as int)"
-    fields = f"transform(edges, e -> struct({bits(START)} as start, {bits(START)} + {bits(SIZE)} as stop, nullif(cast(e & {NONE} as int), {NONE}) as id))"
-    return edges.withColumn("edges", F.expr(fields)).select("part", "unit", "uses", F.expr(bound).alias("ids"))
+    start, size = (lambda e, at=at: f"cast(shiftright({e}, {at}) & 255 as int)" for at in (START, SIZE))
+    #: The symbol ends from an edge's start to its stop, the first one lowest.
+    ends = lambda m, e: f"shiftrightunsigned({m}, {start(e)}) & (shiftleft(2L, {size(e)}) - 1)"
+    applies = lambda m, e: f"exists(array({ends(m, e)}), w -> bit_count(w) = 3 and (w & 1) = 1 and shiftright(w, {size(e)}) = 1)"
+    without = lambda m, e: f"({m} & ~shiftleft(shiftleft(1L, {size(e)} - 1) - 1, {start(e)} + 1))"
+    none = "shiftleft(1L, n + 1) - 1"
+    # transform(array(x), v -> ...)[0] binds x to v, so that no lambda computes it again for each of its elements. A negative state is one that a late edge has spoilt.
+    after = f"transform(array({without('m', 'e')}), k -> if(exists(late, l -> l < e and {applies('k', 'l')}), -1L, k))[0]"
+    once = f"transform(array(filter(edges, e -> (e & {1 << LATE}) != 0)), late -> aggregate(edges, {none}, (m, e) -> if(m >= 0 and {applies('m', 'e')}, {after}, m)))[0]"
+    again = f"aggregate(sequence(1, greatest(1, n - 1)), {none}, (m, i) -> transform(array(get(filter(edges, e -> {applies('m', 'e')}), 0)), e -> if(e is null, m, {without('m', 'e')}))[0])"
+    state = edges.withColumn("m", F.expr(f"transform(array({once}), m -> if(m >= 0, m, {again}))[0]"))
+    # What edges and single characters are symbols at the end, as start, place in it and id, in order.
+    known = table.ids()
+    codes = f"array({', '.join(str(known.get(chr(c), -1)) for c in [*range(DIRECT), ord(SPACE)])})"
+    one = "substr(unit, i + 1, 1)"
+    id_of = f"transform(array(ascii({one})), c -> if(c < {DIRECT}, {codes}[c], if(c = {ord(SPACE)}, {codes}[{DIRECT}], -1)))[0]"
+    place = lambda at, k, i: f"shiftleft(cast({at} as bigint), {RANK}) | shiftleft(cast({k} as bigint), {START}) | {i}"
+    taken = f"transform(filter(edges, e -> ({ends('m', 'e')}) = shiftleft(1L, {size('e')}) + 1), e -> {place(start('e'), 0, f'e & {(1 << LATE) - 1}')})"
+    alone = "filter(sequence(0, n - 1), i -> (shiftrightunsigned(m, i) & 3) = 3)"
+    spelled = f"if(exists(edges, e -> {size('e')} = 1 and {start('e')} = i), cast(array() as array<bigint>), transform({_bytes_of(one, table)}, (x, k) -> {place('i', 'k', 'x')}))"
+    single = f"flatten(transform({alone}, i -> transform(array({id_of}), c -> if(c >= 0, array({place('i', 0, 'c')}), {spelled}))[0]))"
+    ids = f"transform(sort_array(concat({taken}, {single})), x -> cast(x & {(1 << LATE) - 1} as int))"
+    return state.select("part", "unit", "uses", F.expr(ids).alias("ids"))
+
+
+def _character_ids(table: Pieces) -> str:
+    """SQL for the ids by position of a unit's single characters in a unigram lattice."""
+    return f"transform(array_sort(filter(edges, x -> x.stop = x.start + 1), (l, r) -> l.start - r.start), x -> if(x.id is null, {_bytes_of('substr(unit, x.start + 1, 1)', table)}, array(x.id)))"
 
 
 def viterbi(edges: DataFrame, table: Pieces) -> DataFrame:
@@ -249,48 +280,76 @@ def _gathered(first: np.ndarray, sizes: np.ndarray, which: np.ndarray) -> np.nda
     return np.arange(upto[-1]) + np.repeat(first[which] - upto[:-1], n)
 
 
+def _words(texts: pa.Array) -> tuple[np.ndarray, pa.ListArray]:
+    """The words of texts, those of texts that are one run of words between single blanks first, and the order of texts so."""
+    odd = [pc.match_substring(texts, "  "), pc.match_substring(texts, SPACE), pc.starts_with(texts, " "), pc.ends_with(texts, " "), pc.equal(texts, "")]
+    odd = np.logical_or.reduce([x.to_numpy(zero_copy_only=False) for x in odd])
+    plain = pc.split_pattern(texts.filter(pa.array(~odd)), " ")
+    # A blank begins a unit, unless several stand together, which then begin one; a text is its words but for these.
+    split = lambda text: [m[1:] for m in re.findall(f"{SPACE}+[^{SPACE}]*", SPACE + text.replace(" ", SPACE))] if text else []
+    rest = pa.array([split(x) for x in texts.filter(pa.array(odd)).to_pylist()], plain.type)
+    return np.argsort(odd, kind="stable"), pa.concat_arrays([plain, rest]) if len(rest) else plain
+
+
 class _Chunk:
     """Texts as codes of the units that they have, by way of their words: each distinct word is cut into units once."""
 
     def __init__(self):
-        self.keys, self.texts, self.words, self.size = [], [], defaultdict(count().__next__), 0
-
-    def add(self, key, text: str) -> None:
-        # A blank begins a unit, unless several stand together, which then begin one; a text is its words but for these.
-        words = text.split(" ") if text else []
-        if "" in words:
-            words = [m[1:] for m in re.findall(f"{SPACE}+[^{SPACE}]*", SPACE + text.replace(" ", SPACE))]
-        elif SPACE in text:
-            words = [m[1:] for w in words for m in re.findall(f"{SPACE}+[^{SPACE}]*", SPACE + w)]
-        self.keys.append(key)
-        self.texts.append(np.fromiter(map(self.words.__getitem__, words), np.int32, len(words)))
-        self.size += len(text) + 32
+        self.keys, self.words, self.size = [], [], 0
+
+    def add(self, keys: pa.Array, texts: pa.Array) -> int:
+        """Takes the first of these rows, as far as they fill the chunk, and tells how many they are."""
+        upto = self.size + np.cumsum(pc.utf8_length(texts).to_numpy(zero_copy_only=False).astype(np.int64) + 32)
+        n = min(len(texts), int(np.searchsorted(upto, CHUNK_CHARS)) + 1)
+        for i in range(0, n, CHUNK_STEP):
+            order, words = _words(texts.slice(i, min(CHUNK_STEP, n - i)))
+            self.keys.append(keys.slice(i, len(order)).take(pa.array(order)))
+            self.words.append(words)
+        self.size = int(upto[n - 1])
+        return n
 
     def row(self, groups: int, parts: int, where: bytes) -> pa.RecordBatch:
         """The chunk as one row: texts as codes of its units, frequent ones having small codes, and the units by part."""
         spell, at = re.compile(UNITS), defaultdict(count().__next__)
-        sizes, flat = np.zeros(len(self.words), np.int64), array("i")
-        for i, w in enumerate(self.words):
-            found = spell.findall(SPACE + w)
-            sizes[i] = len(found)
-            flat.extend(map(at.__getitem__, found))
+        counts = [w.value_lengths().to_numpy() for w in self.words]
+        coded = pa.chunked_array([w.flatten() for w in self.words]).dictionary_encode()
         self.words.clear()
+        words, distinct = [x.indices.to_numpy() for x in coded.chunks], coded.chunk(coded.num_chunks - 1).dictionary
+        del coded
+        sizes, flat = np.zeros(len(distinct), np.int64), array("i")
+        for i in range(0, len(distinct), UNIT_STEP):
+            some = distinct.slice(i, UNIT_STEP).to_pylist()
+            found = spell.findall(SPACE + SPACE.join(some))
+            heads = np.flatnonzero(np.fromiter((u[0] == SPACE for u in found), bool, len(found)))
+            if len(heads) == len(some):
+                sizes[i : i + len(some)] = np.diff(heads, append=len(found))
+            else:  # a word of blanks only has run into the next one
+                each = [spell.findall(SPACE + w) for w in some]
+                sizes[i : i + len(some)] = [len(x) for x in each]
+                found = [u for x in each for u in x]
+            flat.extend(map(at.__getitem__, found))
+        del distinct
         of_word = np.frombuffer(flat, np.int32) if flat else np.zeros(0, np.int32)
-        words = np.concatenate(self.texts) if self.texts else np.zeros(0, np.int32)
-        code = of_word[_gathered(_ends(sizes)[:-1], sizes, words)]
-        upto = _ends(sizes[words])
-        counts = np.diff(upto[_ends(np.array([len(t) for t in self.texts]))])
+        first = _ends(sizes)[:-1]
+        code, n_units, done = np.empty(sum(int(sizes[w].sum()) for w in words), np.int32), [], 0
+        for w, n in zip(words, counts, strict=True):
+            upto = _ends(sizes[w])
+            code[done : done + upto[-1]] = of_word[_gathered(first, sizes, w)]
+            n_units.append(np.diff(upto[_ends(n)]))
+            done += upto[-1]
         units = list(at)
         order = np.argsort(-np.bincount(code, minlength=len(units)), kind="stable")
         rank = np.empty(len(units), np.int32)
         rank[order] = np.arange(len(units), dtype=np.int32)
-        code = rank[code]
+        for i in range(0, len(code), BATCH_UNITS):
+            code[i : i + BATCH_UNITS] = rank[code[i : i + BATCH_UNITS]]
         # Bytes of one weight stand together, which compresses best.
-        planes = pa.record_batch({f"b{k}": pa.array([(code >> 8 * k).astype(np.uint8).tobytes()], pa.large_binary()) for k in range(4)})
-        rows = pa.record_batch({"key": pa.array(self.keys, pa.int64()), "n": pa.array(counts, pa.int64())})
+        planes = code.astype("<i4", copy=False).view(np.uint8).reshape(-1, 4)
+        planes = pa.record_batch({f"b{k}": pa.array([planes[:, k].tobytes()], pa.large_binary()) for k in range(4)})
+        rows = pa.record_batch({"key": pa.concat_arrays(self.keys), "n": pa.array(np.concatenate(n_units).astype(np.int64))})
         part = np.fromiter((zlib.crc32(u.encode()) for u in units), np.int64, len(units)) % parts + zlib.crc32(where) % groups * parts
-        sorting = sorted(range(len(units)), key=units.__getitem__)
-        named = pa.record_batch({"unit": pa.array([units[i] for i in sorting], pa.string()), "part": pa.array(part[sorting]), "code": pa.array(rank[sorting])})
+        named = pa.record_batch({"unit": pa.array(units, pa.string()), "part": pa.array(part), "code": pa.array(rank)})
+        named = named.take(pc.sort_indices(named.column("unit")))
         packed = [_to_bytes(x) for x in (planes, rows, named)]
         name = hashlib.blake2b(where + b"".join(packed), digest_size=8).digest()
         body = pa.array([{"codes": packed[0], "rows": packed[1], "units": packed[2]}], pa.struct([("codes", pa.binary()), ("rows", pa.binary()), ("units", pa.binary())]))
@@ -304,14 +363,17 @@ def _chunked(groups: int, parts: int):
         n_chunks, chunk = count(), _Chunk()
         where = lambda: b"%d.%d." % (TaskContext.get().partitionId(), next(n_chunks))
         for batch in batches:
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                chunk.add(key, text.as_py())
+            keys, texts = batch.column(0), batch.column(1).cast(pa.string())
+            while len(keys):
+                n = chunk.add(keys, texts)
+                keys, texts = keys.slice(n), texts.slice(n)
                 if chunk.size >= CHUNK_CHARS:
                     yield chunk.row(groups, parts, where())
                     chunk = _Chunk()
                     pa.default_memory_pool().release_unused()
         if chunk.keys:
             yield chunk.row(groups, parts, where())
+            pa.default_memory_pool().release_unused()
 
     return chunks
 
@@ -410,10 +472,10 @@ def _assembled(key: str, table: Pieces):
             for packed, found in zip(*batch.columns, strict=True):
                 body = _from_bytes(packed.as_py())
                 planes, rows, named = (_from_bytes(body.column(c)[0].as_py()) for c in ("codes", "rows", "units"))
-                code = np.zeros(0, np.int32)
+                code = np.empty(len(planes.column("b0")[0].as_buffer()), "<i4")
                 for k in range(4):
-                    plane = np.frombuffer(planes.column(f"b{k}")[0].as_buffer(), np.uint8)
-                    code = plane.astype(np.int32) if k == 0 else np.bitwise_or(code, plane.astype(np.int32) << 8 * k, out=code) if plane.any() else code
+                    code.view(np.uint8).reshape(-1, 4)[:, k] = np.frombuffer(planes.column(f"b{k}")[0].as_buffer(), np.uint8)
+                del planes
                 long = named.filter(pc.greater(pc.utf8_length(named.column("unit")), table.fold_chars)).to_pylist()
                 merged_long = [merge_long(r["unit"], piece_ids, table.scores, table) for r in long]
                 pieces = [_unpacked(x.as_py()) for x in (found.values if found.is_valid else ())]
@@ -435,7 +497,7 @@ def _assembled(key: str, table: Pieces):
                     lists = pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(ids))
                     yield pa.record_batch([part.column("key").combine_chunks(), lists, part.column("n").combine_chunks(), pa.array(digests, pa.string())], names=[key, "ids", "n_units", "decoded_sha256"])
                     at = stop
-                del body, planes, rows, named, code, pieces, own, sizes, values, length, first, ids, lists
+                del body, rows, named, code, pieces, own, sizes, values, length, first, ids, lists
                 pa.default_memory_pool().release_unused()
 
     return assemble
@@ -459,7 +521,7 @@ def encode(docs: DataFrame, table: Pieces, key: str = "doc_id") -> DataFrame:
     dealt = chunks.mapInArrow(_units_by_part(table.fold_chars), "part bigint, chunk bigint, units string, codes array<int>").repartition(tasks, "part")
     used = dealt.select("part", "chunk", F.explode(F.arrays_zip(F.split("units", "\n", -1).alias("units"), "codes")).alias("u"))
     used = used.select("part", F.when(F.col("u.units") == "", "\n").otherwise(F.col("u.units")).alias("unit"), F.struct("chunk", F.col("u.codes").alias("code")).alias("use"))
-    vocabulary = used.groupBy("part", "unit").agg(F.collect_list("use").alias("uses"))
+    vocabulary = used.groupBy("unit", "part").agg(F.collect_list("use").alias("uses"))
     encoded = encode_units(vocabulary, table).select("ids", F.explode("uses").alias("use")).select("use.chunk", "use.code", "ids")
     found = encoded.select("chunk", "code", "ids").mapInArrow(_found, "chunk bigint, found binary").repartition(tasks, "chunk").groupBy("chunk").agg(F.collect_list("found").alias("found"))
     both = chunks.join(found.hint("merge"), "chunk", "left").select("packed", "found")
