@@ -25,7 +25,7 @@ spm.TaskContext = Task
 batch = pa.ipc.open_file(pa.memory_map(sys.argv[1])).get_batch(0)
 before = mb("VmRSS")
 rows = sum(spm._from_bytes(spm._from_bytes(r.column(1)[0].as_py()).column("rows")[0].as_py()).num_rows for r in spm._chunked(1, 9)(iter([batch])))
-assert rows == 8_000 and spm.CHUNK_CHARS == 20 << 20
+assert rows == 8_000
 print(mb("VmHWM") - before)
 """
 
@@ -41,6 +41,24 @@ def test_chunks_leave_room_for_two_tasks(tmp_path):
     assert float(run.stdout) < 225
 
 
+def test_assembly_of_a_chunk_keeps_nothing_large():
+    rnd, table = random.Random(4), spm.Pieces.load(registry.PIECE_MODEL)
+    n, n_units = 4_000_000, 200_000
+    planes = pa.record_batch({f"b{k}": pa.array([rnd.randbytes(n) if k < 2 else bytes(n)], pa.large_binary()) for k in range(4)})
+    rows = pa.record_batch({"key": pa.array(range(n // 1_000), pa.int64()), "n": pa.array([1_000] * (n // 1_000), pa.int64())})
+    named = pa.record_batch({"unit": pa.array(f"u{i:x}" for i in range(n_units)), "part": pa.array([0] * n_units, pa.int64()), "code": pa.array(range(n_units), pa.int32())})
+    codes, rows, named = (spm._to_bytes(x) for x in (planes, rows, named))
+    body = pa.record_batch({"codes": pa.array([codes], pa.binary()), "rows": pa.array([rows], pa.binary()), "units": pa.array([named], pa.binary())})
+    encoded = pa.record_batch({"chunk": pa.array([7] * n_units, pa.int64()), "code": pa.array(range(n_units), pa.int32()), "ids": pa.array([[300 + i % 30_000] for i in range(n_units)], pa.list_(pa.int32()))})
+    found = [r.column(1)[0].as_py() for r in spm._found(iter([encoded]))]
+    batch = pa.record_batch([pa.array([spm._to_bytes(body)], pa.binary()), pa.array([found], pa.list_(pa.binary()))], names=["packed", "found"])
+    pool, count = pa.default_memory_pool(), 0
+    before, most = pool.bytes_allocated(), 0
+    for part in spm._assembled("k", table)(iter([batch])):
+        count, most = count + part.num_rows, max(most, pool.bytes_allocated() - before)
+    assert count == n // 1_000 and most < 8_000_000
+
+
 def test_marks_of_blanks_beside_blanks_are_one_run(spark):
     table, model = spm.Pieces.load(registry.PIECE_MODEL), sentencepiece.SentencePieceProcessor(model_file=registry.PIECE_MODEL)
     texts = ["x▁ y", "x▁ 7", "x ▁y", "▁", "a▁", " ", "  ", "a  b▁▁ c", "plain words", "line one\nline two  ", ""]

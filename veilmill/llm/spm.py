@@ -265,7 +265,7 @@ def _to_bytes(batch: pa.RecordBatch) -> bytes:
     return sink.getvalue().to_pybytes()
 
 
-def _from_bytes(data: bytes) -> pa.Table:
+def _from_bytes(data: bytes | pa.Buffer) -> pa.Table:
     return pa.ipc.open_stream(data).read_all()
 
 
@@ -384,7 +384,7 @@ def _units_by_part(most: int):
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for chunk, packed in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                named = _from_bytes(_from_bytes(packed.as_py()).column("units")[0].as_py())
+                named = _from_bytes(_from_bytes(packed.as_buffer()).column("units")[0].as_buffer())
                 named = named.filter(pc.less_equal(pc.utf8_length(named.column("unit")), most))
                 named = named.take(pa.array(np.argsort(named.column("part").to_numpy(), kind="stable"))).combine_chunks()
                 heads = np.flatnonzero(np.diff(named.column("part").to_numpy(), prepend=-1))
@@ -470,18 +470,23 @@ def _assembled(key: str, table: Pieces):
         piece_ids, spelled = table.ids(), _spelled(table)
         for batch in batches:
             for packed, found in zip(*batch.columns, strict=True):
-                body = _from_bytes(packed.as_py())
-                planes, rows, named = (_from_bytes(body.column(c)[0].as_py()) for c in ("codes", "rows", "units"))
+                # Parts are read one after the other, without copies: chunks are large.
+                body = _from_bytes(packed.as_buffer())
+                rows, named = (_from_bytes(body.column(c)[0].as_buffer()) for c in ("rows", "units"))
+                n_units, named = named.num_rows, named.filter(pc.greater(pc.utf8_length(named.column("unit")), table.fold_chars))
+                planes = _from_bytes(body.column("codes")[0].as_buffer())
                 code = np.empty(len(planes.column("b0")[0].as_buffer()), "<i4")
                 for k in range(4):
                     code.view(np.uint8).reshape(-1, 4)[:, k] = np.frombuffer(planes.column(f"b{k}")[0].as_buffer(), np.uint8)
-                del planes
-                long = named.filter(pc.greater(pc.utf8_length(named.column("unit")), table.fold_chars)).to_pylist()
+                del body, planes
+                pa.default_memory_pool().release_unused()
+                long = named.to_pylist()
                 merged_long = [merge_long(r["unit"], piece_ids, table.scores, table) for r in long]
                 pieces = [_unpacked(x.as_py()) for x in (found.values if found.is_valid else ())]
                 pieces.append((np.array([r["code"] for r in long], np.int64), np.array([len(x) for x in merged_long], np.int64), np.array([i for x in merged_long for i in x], np.int32)))
                 own, sizes, values = (np.concatenate([p[i] for p in pieces]) for i in range(3))
-                length, first = np.full(named.num_rows, -1, np.int64), np.zeros(named.num_rows, np.int64)
+                del pieces
+                length, first = np.full(n_units, -1, np.int32), np.zeros(n_units, np.int32)
                 length[own], first[own] = sizes, _ends(sizes)[:-1]
                 if (length < 0).any():
                     raise RuntimeError("a chunk's units are not all encoded: the rows of a recomputed task differ from those of its first run")
@@ -497,7 +502,7 @@ def _assembled(key: str, table: Pieces):
                     lists = pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(ids))
                     yield pa.record_batch([part.column("key").combine_chunks(), lists, part.column("n").combine_chunks(), pa.array(digests, pa.string())], names=[key, "ids", "n_units", "decoded_sha256"])
                     at = stop
-                del body, rows, named, code, pieces, own, sizes, values, length, first, ids, lists
+                del rows, named, code, own, sizes, values, length, first, ids, lists
                 pa.default_memory_pool().release_unused()
 
     return assemble
