@@ -80,3 +80,10 @@ def test_one_pass_and_late_edges_merge_as_the_heap_does(spark):
         ids = table.ids()
         assert got == {u: spm.merge_long(u, ids, scores, table) for u in units}
     assert n_late > 20
+
+
+def test_texts_without_words_by_the_chunk_and_by_the_step(spark):
+    table, model = spm.Pieces.load(registry.PIECE_MODEL), sentencepiece.SentencePieceProcessor(model_file=registry.PIECE_MODEL)
+    for texts in ([""], [None, ""] * 3, [""] * spm.CHUNK_STEP + ["plain words"], ["plain words"] + [""] * (2 * spm.CHUNK_STEP) + ["more words"]):
+        got = spm.encode(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").coalesce(1), table).collect()
+        assert {r["doc_id"]: list(r["ids"]) for r in got} == {i: model.encode(t or "") for i, t in enumerate(texts)}

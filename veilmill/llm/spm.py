@@ -314,8 +314,11 @@ class _Chunk:
         counts = [w.value_lengths().to_numpy() for w in self.words]
         coded = pa.chunked_array([w.flatten() for w in self.words]).dictionary_encode()
         self.words.clear()
-        words, distinct = [x.indices.to_numpy() for x in coded.chunks], coded.chunk(coded.num_chunks - 1).dictionary
-        del coded
+        # Arrow leaves out what has no words, as where all texts of a step are empty.
+        encoded = iter(coded.chunks)
+        words = [next(encoded).indices.to_numpy() if n.any() else np.zeros(0, np.int32) for n in counts]
+        distinct = coded.chunk(coded.num_chunks - 1).dictionary if coded.num_chunks else pa.array([], pa.string())
+        del coded, encoded
         sizes, flat = np.zeros(len(distinct), np.int64), array("i")
         for i in range(0, len(distinct), UNIT_STEP):
             some = distinct.slice(i, UNIT_STEP).to_pylist()
