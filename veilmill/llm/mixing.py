@@ -6,7 +6,7 @@ weights the t-th golden-ratio point falls, and takes that source's next block: s
 to blocks by rank. So each prefix of the schedule is mixed in the target weights to within a few blocks.
 
 Ranks and running sums are taken in two levels, within short runs and over the runs' totals, so that a source with most
-of the rows is spread over many tasks.
+of the rows is spread over many tasks. What is mixed is partitioned by stretches of the schedule, so that texts move once.
 """
 
 from __future__ import annotations
@@ -91,13 +91,20 @@ def schedule(sources: DataFrame) -> DataFrame:
     return found.select("slot", "place", "rank", first.alias("first_word"), end.alias("end_word")).where("first_word < end_word")
 
 
-def streams(sizes: DataFrame, sources: DataFrame) -> DataFrame:
-    """row, doc_id, place, size, source_size, target and offset of each row of sizes in its source's stream, in hash order."""
-    runs = max(1, sizes.count() // RUN_ROWS)
-    rows = sizes.withColumn("hash", F.xxhash64("doc_id", F.lit("mix"))).withColumn("run", F.pmod("hash", F.lit(runs)))
+def _hash(doc_id: str) -> Column:
+    return F.xxhash64(doc_id, F.lit("mix"))
+
+
+def _runs(sizes: DataFrame) -> int:
+    return max(1, sizes.count() // RUN_ROWS)
+
+
+def streams(sizes: DataFrame, sources: DataFrame, ties: tuple[str, ...] = ("size", "row"), keep: tuple[str, ...] = ()) -> DataFrame:
+    """row, doc_id, place, size, source_size, target, offset and keep of each row of sizes in its source's stream, in order of hashes, doc_ids and ties."""
+    rows = sizes.withColumn("hash", _hash("doc_id")).withColumn("run", F.pmod("hash", F.lit(_runs(sizes))))
     rows = rows.join(sources.select(F.col("source").alias("_source"), "place", "source_size", "target"), F.col("source").eqNullSafe(F.col("_source")))
-    rows = _ranked(rows, "place", "run", ["hash", "doc_id", "size", "row"], F.col("size"), "offset")
-    return rows.select("row", "doc_id", "place", "size", "source_size", "target", "offset")
+    rows = _ranked(rows, "place", "run", ["hash", "doc_id", *ties], F.col("size"), "offset")
+    return rows.select("row", "doc_id", "place", "size", "source_size", "target", "offset", *keep)
 
 
 def block_parts(rows: DataFrame) -> DataFrame:
@@ -146,19 +153,51 @@ def blocks(docs: DataFrame) -> DataFrame:
     return held.select("doc_id", "offset", F.explode(cut).alias("p")).orderBy("p.slot", "p.turn", "offset", "p.first_word").select("p.slot", "doc_id", "p.turn", "p.first_word", "p.text")
 
 
+def _seal(docs: DataFrame) -> Column:
+    """A hash of all columns, nulls too: with the doc_id it tells rows apart, and rows that it doesn't tell apart are the same."""
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    return F.xxhash64(*columns, *(c.isNull() for c in columns))
+
+
+def _turns(sizes: DataFrame) -> DataFrame:
+    """source, run, hash, doc_id, seal, turn, first_slot, stretch (of RUN_ROWS slots, by the first), offset, words and size of each turn that takes words of a row."""
+    sources = written(targets(sizes), "mix-sources")
+    rows = written(streams(sizes, sources, ("seal", "row"), ("source", "run", "hash", "seal")), "mix-streams")
+    turns = taken_parts(rows, sources).groupBy("row", "turn").agg(F.sum("words").alias("words"), F.min("slot").alias("first_slot")).join(rows, "row")
+    stretch = F.floor(F.col("first_slot") / RUN_ROWS).cast("int").alias("stretch")
+    return written(turns.select("source", "run", "hash", "doc_id", "seal", "turn", "first_slot", stretch, "offset", "words", "size"), "mix-turns")
+
+
 def mixed(docs: DataFrame) -> DataFrame:
     """docs as the mix has them: each row once per turn that takes words of it, with its own columns, in order of first slots.
 
     Whole texts stay as they are; of the last document that a target reaches only the words taken stay, one blank
     apart, and n_chars, where there is one, is the length of the new text. Rows without words are in no mix.
+
+    docs is read twice, and has to give the same rows both times. No copy of it is kept, and texts are shuffled once, to where they stay: within a
+    run of its source's stream, the rows whose first slots lie in one stretch of the schedule lie between two of them, so a
+    small table of these tells where each row goes. There it meets its turns.
     """
     names = docs.columns
-    docs = written(docs.select(F.monotonically_increasing_id().alias("row"), F.struct(*names).alias("doc")), "mix-docs")
-    sizes = written(sized(docs.select("row", "doc.doc_id", "doc.source", "doc.text"), "row"), "mix-sizes")
-    rows, sources = _prepared(sizes)
-    turns = taken_parts(rows, sources).groupBy("row", "turn").agg(F.sum("words").alias("words"), F.min("slot").alias("first_slot")).join(rows.select("row", "size", "offset"), "row")
-    out = docs.join(turns.hint("merge"), "row")
+    seal = _seal(docs)
+    sizes = written(sized(docs.select("doc_id", "source", "text", seal.alias("seal")), "seal").withColumn("row", F.monotonically_increasing_id()), "mix-sizes")
+    turns = _turns(sizes)
+    key = F.struct("hash", "doc_id", "seal")
+    ranges = turns.groupBy("source", "run", "turn", "stretch").agg(F.min(key).alias("low"), F.max(key).alias("high"))
+    ranges = written(ranges.groupBy("source", "run").agg(F.collect_list(F.struct("turn", "stretch", "low", "high")).alias("ranges")), "mix-ranges")
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("doc"), F.col("source").cast("string").alias("_source"), _hash("doc_id").alias("hash"), "doc_id", seal.alias("seal"))
+    rows = rows.withColumn("_run", F.pmod("hash", F.lit(_runs(sizes)))).withColumn("key", key)
+    rows = rows.join(ranges, F.col("_source").eqNullSafe(F.col("source")) & (F.col("_run") == F.col("run")))
+    rows = rows.select("doc", "doc_id", "seal", F.explode(F.filter("ranges", lambda r: F.col("key").between(r["low"], r["high"]))).alias("range"))
+    rows = rows.select("range.stretch", "range.turn", "doc_id", "seal", "doc")
+    told = turns.select("stretch", "turn", "doc_id", "seal", F.struct("first_slot", "offset", "words", "size").alias("at"))
+    stretches = (turns.agg(F.max("stretch")).first()[0] or 0) + 1
+    both = rows.unionByName(told, allowMissingColumns=True).repartitionById(stretches, F.col("stretch"))
+    # A stretch is a partition already, so a row meets its turns without another shuffle; rows that are the same are met by the turns of each.
+    same = Window.partitionBy("stretch", "turn", "doc_id", "seal")
+    met = F.coalesce(F.first("doc", ignorenulls=True).over(same), F.raise_error(F.lit("docs had other rows when it was read again")))
+    out = both.withColumn("doc", met).where("at is not null").select("doc", "turn", "at.*")
+    out = out.sortWithinPartitions("first_slot", "turn", "offset")
     text = F.when(F.col("words") == F.col("size"), F.col("doc.text")).otherwise(F.array_join(F.slice(word_array(F.col("doc.text")), 1, F.col("words").cast("int")), " "))
     new = {"text": text, "n_chars": F.when(F.col("words") == F.col("size"), F.col("doc.n_chars")).otherwise(F.length(text))} if "n_chars" in names else {"text": text}
-    out = out.orderBy("first_slot", "turn", "offset")
     return out.select(*(new.get(c, F.col(f"doc.`{c}`")).alias(c) for c in names))
