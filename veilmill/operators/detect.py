@@ -244,9 +244,13 @@ def checked(spans: str, text: str) -> Column:
 
 
 def token_around(text: str, start: str, end: str) -> Column:
-    """The run of characters without blanks around [start, end), without its border punctuation."""
-    whole = F.concat(F.regexp_extract(F.expr(f"substr({text}, 1, {start})"), r"\S*$", 0), F.expr(f"substr({text}, {start} + 1, {end} - {start})"), F.regexp_extract(F.expr(f"substr({text}, {end} + 1)"), r"^\S*", 0))
-    return F.regexp_replace(whole, r"^[(\[{<\"'`,;:]+|[)\]}>\"'`,;:.!?]+$", "")
+    """The run of characters without blanks around [start, end), without its border punctuation.
+
+    Blanks are those of RE2, and ends are those of the text: $ would also stand before a line end that closes it.
+    """
+    before, after = F.expr(f"substr({text}, 1, {start})"), F.expr(f"substr({text}, {end} + 1)")
+    whole = F.concat(F.regexp_extract(before, r"(?<![^ \t\n\f\r])[^ \t\n\f\r]*+\z", 0), F.expr(f"substr({text}, {start} + 1, {end} - {start})"), F.regexp_extract(after, r"\A[^ \t\n\f\r]*", 0))
+    return F.regexp_replace(whole, r"\A[(\[{<\"'`,;:]+|[)\]}>\"'`,;:.!?]+\z", "")
 
 
 def public_by_shape(spans: DataFrame, rules: list[tuple[str, str]]) -> DataFrame:
