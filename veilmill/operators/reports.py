@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import materialise
+from ..functions import needles as in_texts
+from ..functions.needles import BLOCK, GRAM  # noqa: F401
+from ..session import materialise, spread
 
 FLOW = "kind string, host string, port int, method string, path string, bytes_out bigint, bytes_in bigint, status int, content_type string, error string, ts double"
 
@@ -67,43 +69,39 @@ def variance(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.select("id", F.col("output").alias("x")).join(b.select("id", F.col("output").alias("y")), "id", "full_outer").where("not (x <=> y)").select("id")
 
 
-#: Code points of the longest grams, and of the blocks that bodies are cut into to be read for grams.
-GRAM, BLOCK = 4, 1 << 16
-
-
-def _grams(text: Column, q: int) -> Column:
-    """The distinct runs of q code points, at every place, in one pass."""
-    return F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{q}}}))"), F.lit(1)))
-
-
 def occurrences(bodies: DataFrame, values: DataFrame) -> DataFrame:
     """value, n: how often each sensitive value stands in the bodies, plain or with escaped slashes; occurrences don't overlap.
 
-    Values are of any length and script: each is looked for by its grams of four code points, shorter ones by themselves. The
-    grams that values have are counted in the bodies, and a value is counted in those bodies only that have its rarest gram, one
-    of which none has being found nowhere. Bodies are read block by block, meet the candidates by a number of their own, and
+    Values are of any length and script. Those of up to GRAM code points are counted in one pass over the bodies, as windows under 64-bit
+    keys that a bit map lets through, and only sums are shuffled. A longer one is counted in those bodies only that have its rarest window of GRAM code points, one
+    of which none has being found nowhere; such bodies meet it by a number of their own, and
     are counted as they come by, so no list of a hot value or body is ever held. Values null or empty are left out; null bodies hold nothing.
     """
     rows = values.select("value").where("value != ''").distinct()
     escaped = F.when(F.contains("value", F.lit("/")), F.array("value", F.replace("value", F.lit("/"), F.lit("\\/")))).otherwise(F.array("value"))
-    needles = rows.select("value", F.explode(escaped).alias("needle"))
-    by_size = [F.when(F.length("needle") == q, F.array("needle")) for q in range(1, GRAM)]
-    asked = materialise(needles.select("value", "needle", F.explode(F.coalesce(*by_size, _grams(F.col("needle"), GRAM))).alias("gram")), "grams")
-    # At most GRAM sizes.
-    sizes = sorted(r[0] for r in asked.select(F.length("gram")).distinct().collect())
-    if not sizes:
-        return rows.select("value", F.lit(0).cast("bigint").alias("n"))
-    numbered = materialise(bodies.select("body", F.monotonically_increasing_id().alias("_row")).where("body is not null"), "bodies")
-    starts = F.sequence(F.lit(1), F.greatest(F.length("body"), F.lit(1)), F.lit(BLOCK))
-    blocks = numbered.select("_row", F.col("body"), F.explode(starts).alias("_at")).select("_row", F.substring(F.col("body"), F.col("_at"), F.lit(BLOCK + GRAM - 1)).alias("_block"))
-    found = blocks.select("_row", F.explode(F.array_distinct(F.concat(*(_grams(F.col("_block"), q) for q in sizes)))).alias("gram"))
-    postings = materialise(found.join(asked.select("gram").distinct(), "gram", "left_semi").distinct(), "postings")
-    held = postings.groupBy("gram").agg(F.count("*").alias("n"))
-    rarest = asked.join(held, "gram", "left").groupBy("value", "needle").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("r")).select("value", "needle", "r.gram")
-    near = rarest.join(postings, "gram").select("_row", "value", "needle").join(numbered, "_row")
-    times = F.floor((F.length("body") - F.length(F.replace("body", F.col("needle"), F.lit("")))) / F.length("needle"))
-    counted = near.groupBy("value").agg(F.sum(times).cast("bigint").alias("n"))
-    return rows.join(counted, "value", "left").select("value", F.coalesce("n", F.lit(0).cast("bigint")).alias("n"))
+    needles = materialise(rows.select("value", F.explode(escaped).alias("needle")).withColumn("_id", F.monotonically_increasing_id()), "needles")
+    asked = materialise(needles.select("_id", "needle").mapInArrow(in_texts.asked, "_id bigint, size int, anchor boolean, key bigint"), "keys")
+    # At most GRAM sizes, and one of anchors.
+    present = {(r["size"], r["anchor"]) for r in asked.select("size", "anchor").distinct().collect()}
+    if not present:
+        return needles.select("value", F.lit(0).cast("bigint").alias("n"))
+    single, anchors = asked.where("not anchor").select("_id", "key"), asked.where("anchor").select("_id", "key")
+    long = any(anchor for _, anchor in present)
+    read = bodies.select("body", (F.monotonically_increasing_id() if long else F.lit(0).cast("bigint")).alias("_row")).where("body is not null")
+    read = materialise(read, "bodies") if long else spread(read)
+    sizes = sorted(size for size, anchor in present if not anchor)
+    seen = read.mapInArrow(in_texts.counter(sizes, in_texts.bit_map(single.select("key").distinct()), in_texts.bit_map(anchors.select("key").distinct())), "key bigint, _row bigint, n bigint")
+    seen = materialise(seen, "seen") if long else seen
+    found = single.join(seen.where("_row is null").groupBy("key").agg(F.sum("n").alias("n")), "key").select("_id", "n")
+    if long:
+        postings = seen.where("_row is not null").join(anchors.select("key").distinct(), "key", "left_semi").select("key", "_row").distinct()
+        held = postings.groupBy("key").agg(F.count("*").alias("n"))
+        rarest = anchors.join(held, "key", "left").groupBy("_id").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "key")).alias("r")).select("_id", "r.key")
+        near = rarest.join(postings, "key").select("_id", "_row").join(needles.select("_id", "needle"), "_id").join(read, "_row")
+        times = F.floor((F.length("body") - F.length(F.replace("body", F.col("needle"), F.lit("")))) / F.length("needle"))
+        found = found.unionByName(near.groupBy("_id").agg(F.sum(times).cast("bigint").alias("n")))
+    counted = needles.join(found, "_id", "left").groupBy("value").agg(F.sum("n").alias("n"))
+    return counted.select("value", F.coalesce("n", F.lit(0)).cast("bigint").alias("n"))
 
 
 def latency(rows: DataFrame, value: str, *group: str) -> DataFrame:

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def session(name: str = "veilmill", cores: int | str = "*", **conf: str) -> SparkSession:
@@ -54,3 +55,11 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     path = scratch(df.sparkSession, label)
     df.write.parquet(f"{path}/table")
     return df.sparkSession.read.schema(df.schema).parquet(f"{path}/table")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df with its rows dealt evenly to as many tasks as the session has, by their places: for work that takes long on each row, where files
+    have few row groups. One shuffle."""
+    spark = df.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return df.withColumn("_dealt", F.monotonically_increasing_id()).repartition(n, "_dealt").drop("_dealt")
