@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.crypto import hmac_hex, hmac_sql, prefixed, prefixed_sql
-from .functions.findall import find_all
+from .functions.findall import each, find_all
 from .operators import canonical as can
 from .operators import detect as det
 from .operators import dates, guard, inventory, overlap, persons, policy, reports, rules, vault, walk
@@ -90,8 +90,8 @@ SOME = ("email", "ipv4", "card", "assignment", "phone", "sha1", "host")
 
 def _spans(spark: SparkSession, sf_dir: str, *names: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents").select("doc_id", "text")
-    found = F.flatten(F.array(*(find_all("text", det.BY_NAME[n].pattern, det.BY_NAME[n].kind, det.BY_NAME[n].score) for n in names)))
-    return docs.select("doc_id", F.explode(found).alias("s")).select("doc_id", "s.type", "s.value", "s.start", "s.end", "s.score")
+    found = F.flatten(F.array(*(find_all("text", det.BY_NAME[n].pattern, det.BY_NAME[n].kind, det.BY_NAME[n].score, det.BY_NAME[n].needs, det.BY_NAME[n].guard) for n in names)))
+    return each(docs.withColumn("found", found), "found", "doc_id").select("doc_id", "type", "value", "start", "end", "score")
 
 
 @query(f"SELECT doc_id, type, value, start, \"end\" FROM ({_spans_sql('email', 'phone')})")
@@ -180,8 +180,7 @@ def uncovered_spans(spark, sf_dir):
 
 @query()
 def overlap_resolved(spark, sf_dir):
-    rows = plan.resolved_spans(load(spark, sf_dir, "documents"))
-    return rows.select("doc_id", F.explode("spans").alias("s")).select("doc_id", "s.type", "s.value", "s.start", "s.end")
+    return each(plan.resolved_spans(load(spark, sf_dir, "documents")), "spans", "doc_id").select("doc_id", "type", "value", "start", "end")
 
 
 _WORDS = "[A-Z][a-z]+"
@@ -196,7 +195,7 @@ _WORDS = "[A-Z][a-z]+"
 """)
 def fragments_merged(spark, sf_dir):
     docs = load(spark, sf_dir, "documents").select("doc_id", "text")
-    spans = docs.select("doc_id", F.explode(find_all("text", _WORDS, "PERSON", 0.5)).alias("s")).select("doc_id", "s.*")
+    spans = each(docs.withColumn("spans", find_all("text", _WORDS, "PERSON", 0.5)), "spans", "doc_id")
     return det.merged_fragments(spans, docs).select("doc_id", "start", "end")
 
 
@@ -288,7 +287,7 @@ def secret_reference(spark, sf_dir):
 
 
 def _spans_table(spark, sf_dir):
-    return plan.resolved_spans(load(spark, sf_dir, "documents")).select("doc_id", F.explode("spans").alias("s")).select("doc_id", "s.*").where(overlap.class_of(F.col("type")) != "public")
+    return each(plan.resolved_spans(load(spark, sf_dir, "documents")), "spans", "doc_id").where(overlap.class_of(F.col("type")) != "public")
 
 
 @query()
@@ -733,7 +732,7 @@ def latency_halves(spark, sf_dir):
 def spans_trimmed(spark, sf_dir):
     """Spans, each with punctuation around it, trimmed to what they were."""
     docs = load(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    spans = F.flatten(F.array(*(find_all("text", det.BY_NAME[n].pattern, det.BY_NAME[n].kind, det.BY_NAME[n].score) for n in ("email", "phone"))))
+    spans = F.flatten(F.array(*(find_all("text", det.BY_NAME[n].pattern, det.BY_NAME[n].kind, det.BY_NAME[n].score, det.BY_NAME[n].needs, det.BY_NAME[n].guard) for n in ("email", "phone"))))
     wide = F.transform(spans, lambda s: s.withField("value", F.concat(F.lit("(<"), s["value"], F.lit("!)"))).withField("start", s["start"] - 2).withField("end", s["end"] + 2))
     return docs.select("doc_id", wide.alias("spans")).select("doc_id", F.explode(det.trimmed("spans")).alias("s")).select("doc_id", "s.type", "s.value", "s.start")
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.findall import find_all
+from ..functions.findall import each, find_all
 from ..session import materialise
 
 #: Tokens, and what parts their segments. Letters and digits of all scripts, in the terms that Java and RE2 share.
@@ -46,7 +46,7 @@ def _grams(value: Column, sizes: list[int]) -> Column:
 def _occurrences(docs: DataFrame, row: str, text: str) -> DataFrame:
     """row, value, start of every token, start in code points from 0: gaps and tokens alternate, and their lengths add up."""
     found = find_all(text, TOKEN, "INVENTORY", 1.0)
-    return docs.select(row, F.explode(found).alias("s")).select(row, "s.value", "s.start")
+    return each(docs.withColumn("_found", found), "_found", row).select(row, "value", "start")
 
 
 def owned_tokens(docs: DataFrame, labels: DataFrame, text: str = "text") -> DataFrame:

@@ -19,7 +19,7 @@ from operator import and_
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.findall import find_all
+from ..functions.findall import each, find_all
 from ..session import materialise
 from .inventory import met, uncovered
 
@@ -123,7 +123,7 @@ def marked(docs: DataFrame, taken: DataFrame, row: str = "_row", text: str = "te
     names = confirmed(taken)
     if names.isEmpty():
         return None
-    occurrences = materialise(docs.select(row, F.explode(windows(text)).alias("w")).select(row, "w.*"), "windows")
+    occurrences = materialise(each(docs.select(row, windows(text).alias("_windows")), "_windows", row), "windows")
     owned = materialise(accepted(docs, occurrences, names, text), "persons")
     hits = met(occurrences.select(row, "value", "start"), owned, row).select(row, F.lit("PERSON").alias("type"), "value", "start", (F.col("start") + F.length("value")).alias("end"), F.lit(SCORE).alias("score"))
     return _merged(uncovered(hits, taken, row), row)

@@ -35,6 +35,8 @@ NAMES = "|".join(sorted(FRENCH_FIRST, key=lambda n: (-len(n), n)))
 
 #: Recognised in texts; RE2 has these forms too.
 WRITTEN = rf"\b(?:[0-9]{{1,2}}(?:er|st|nd|rd|th)? (?i:{NAMES})\.? [0-9]{{4}}|(?i:{NAMES})\.? [0-9]{{1,2}}(?:st|nd|rd|th)?,? [0-9]{{4}})\b"
+#: What every written date has, from a digit on.
+GUARD = rf"[0-9](?:(?:er|st|nd|rd|th)? (?i:{NAMES})\.? [0-9]{{4}}|(?:st|nd|rd|th)?,? [0-9]{{4}})"
 NUMERIC = r"\b(?:[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}|[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4}|[0-9]{4}/[0-9]{1,2}/[0-9]{1,2})\b"
 
 _DAY_FIRST = rf"(?i)\A([0-9]{{1,2}})(er|st|nd|rd|th)?( )({NAMES})(\.?)( )([0-9]{{4}})\z"

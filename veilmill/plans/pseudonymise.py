@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.findall import spliced
+from ..functions.findall import each, spliced
 from ..operators import inventory as ours
 from ..operators import persons
 from ..operators.detect import COMPOSITE, Recogniser, checked, spans_of, without_false_cards
@@ -18,12 +18,13 @@ from ..operators.overlap import class_of, resolved
 from ..operators.policy import decide
 from ..operators.vault import Keys, Known, allocate, entities, view
 from ..functions.crypto import hmac_hex, prefixed
-from ..session import materialise
+from ..session import materialise, spread
 
 
-def resolved_spans(docs: DataFrame, recognisers: tuple[Recogniser, ...] = COMPOSITE) -> DataFrame:
-    """doc_id, text, spans (disjoint, ascending) of each row; no shuffle."""
-    rows = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
+def resolved_spans(docs: DataFrame, recognisers: tuple[Recogniser, ...] = COMPOSITE, dealt: bool = False) -> DataFrame:
+    """doc_id, text, spans (disjoint, ascending) of each row. Rows are dealt to all tasks first, as files with few row groups would keep few
+    of them busy, unless they are dealt already."""
+    rows = (docs if dealt else spread(docs)).select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
     rows = rows.withColumn("spans", spans_of("text", recognisers)).withColumn("spans", without_false_cards("spans")).withColumn("spans", checked("spans", "text"))
     return rows.withColumn("spans", resolved(F.col("spans"), "text"))
 
@@ -41,12 +42,12 @@ def pseudonymise(docs: DataFrame, scope: str, keys: Keys, known: DataFrame | Kno
     """
     found_in = docs.select("doc_id", "text", "spans") if searched else resolved_spans(docs, recognisers)
     rows = materialise(found_in.withColumn("_row", F.monotonically_increasing_id()), "spans")
-    spans = rows.select("_row", F.explode("spans").alias("s")).select("_row", "s.*").where(class_of(F.col("type")) != "public")
+    spans = each(rows, "spans", "_row").where(class_of(F.col("type")) != "public")
     labelled = None
     if inventory is not None:
         labelled = materialise(ours.marked(rows, inventory, spans="spans"), "labelled")
     if bare_names:
-        taken = rows.select("_row", F.explode("spans").alias("s")).select("_row", "s.type", "s.value", "s.start", "s.end")
+        taken = each(rows, "spans", "_row").select("_row", "type", "value", "start", "end")
         taken = taken if labelled is None else taken.unionByName(labelled.select(*taken.columns))
         people = persons.marked(rows, taken)
         if people is not None:

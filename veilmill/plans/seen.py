@@ -80,7 +80,7 @@ class Seen:
         in_order = lambda s, value: F.struct(s["type"].alias("type"), value.alias("value"), s["start"].alias("start"), s["end"].alias("end"), s["score"].alias("score"))
         values = F.transform("places", lambda p: in_order(p, F.substring("text", p["start"] + 1, p["end"] - p["start"])))
         old = once.where("places is not null").select("text_idx", "text", values.cast(f"array<{SPAN}>").alias("spans"))
-        new = resolved_spans(once.where("places is null").select(F.col("text_idx").alias("doc_id"), "text"), self.recognisers)
+        new = resolved_spans(once.where("places is null").select(F.col("text_idx").alias("doc_id"), "text"), self.recognisers, dealt=True)
         new = new.select(F.col("doc_id").alias("text_idx"), "text", F.transform("spans", lambda s: in_order(s, s["value"])).cast(f"array<{SPAN}>").alias("spans"))
         new = materialise(new, "searched")
         places = F.transform("spans", lambda s: F.struct(s["type"].alias("type"), s["start"].alias("start"), s["end"].alias("end"), s["score"].alias("score")))
