@@ -318,9 +318,12 @@ def pseudonymise_documents(spark, sf_dir):
 def restore_roundtrip(spark, sf_dir):
     """Documents without secrets that don't come back as they were: none."""
     docs = load(spark, sf_dir, "documents").select("doc_id", "text")
-    safe, mapping = plan.pseudonymise(docs, SCOPE, KEYS)
-    with_secret = _spans_table(spark, sf_dir).where(overlap.class_of(F.col("type")) == "secret").select("doc_id").distinct()
-    back = plan.restore(safe, mapping, SCOPE, KEYS).join(with_secret, "doc_id", "left_anti").join(docs, "doc_id")
+    rows = plan.numbered(plan.resolved_spans(docs))
+    safe, mapping = plan.pseudonymise(rows, SCOPE, KEYS, searched=True)
+    with_secret = each(rows, "spans", "doc_id").where(overlap.class_of(F.col("type")) == "secret").select("doc_id").distinct()
+    # Texts meet by their digests, not by themselves.
+    back = plan.restore(safe.select("doc_id", "safe_text"), mapping, SCOPE, KEYS).select("doc_id", F.sha2("restored", 256).alias("restored"))
+    back = back.join(with_secret, "doc_id", "left_anti").join(docs.select("doc_id", F.sha2("text", 256).alias("text")), "doc_id")
     return back.where("restored != text").select("doc_id")
 
 

@@ -29,6 +29,11 @@ def resolved_spans(docs: DataFrame, recognisers: tuple[Recogniser, ...] = COMPOS
     return rows.withColumn("spans", resolved(F.col("spans"), "text"))
 
 
+def numbered(found: DataFrame) -> DataFrame:
+    """What resolved_spans() gives, written, with a number of each row."""
+    return materialise(found.withColumn("_row", F.monotonically_increasing_id()), "spans")
+
+
 def pseudonymise(docs: DataFrame, scope: str, keys: Keys, known: DataFrame | Known | None = None, policy: DataFrame | None = None, recognisers: tuple[Recogniser, ...] = COMPOSITE, inventory: DataFrame | None = None, searched: bool = False, bare_names: bool = True) -> tuple[DataFrame, DataFrame]:
     """(doc_id, n_spans, n_entities, safe_text), mapping with its new rows.
 
@@ -37,11 +42,11 @@ def pseudonymise(docs: DataFrame, scope: str, keys: Keys, known: DataFrame | Kno
     repeated doc_ids do no harm. A span that ought to go and has nothing to go to fails the query: no text leaves half done.
     inventory is a table of labels (label) of any size: tokens that hold one go too, where no other span lies.
     bare_names: persons whom some text confirms by a title or label are found where they are named without, in all texts.
-    searched says that docs has the column spans of resolved_spans() already, and texts that are not null.
+    searched says that docs has the column spans of resolved_spans() already, and texts that are not null; with a column _row too it is a written
+    table whose rows that numbers, see numbered().
     Only spans and texts that meet them are shuffled.
     """
-    found_in = docs.select("doc_id", "text", "spans") if searched else resolved_spans(docs, recognisers)
-    rows = materialise(found_in.withColumn("_row", F.monotonically_increasing_id()), "spans")
+    rows = docs if searched and "_row" in docs.columns else numbered(docs.select("doc_id", "text", "spans") if searched else resolved_spans(docs, recognisers))
     spans = each(rows, "spans", "_row").where(class_of(F.col("type")) != "public")
     labelled = None
     if inventory is not None:
@@ -90,6 +95,8 @@ def pseudonymise(docs: DataFrame, scope: str, keys: Keys, known: DataFrame | Kno
 
 #: What texts are cut into to meet surrogates: runs of letters and digits, which no border of a match parts, and single other characters.
 RUN = "[A-Za-z0-9]+"
+#: Shapes of surrogates that are sent to all tasks.
+SMALL = 100_000
 TOKEN = re.compile(f"{RUN}|[^A-Za-z0-9]")
 
 
@@ -146,7 +153,8 @@ def restore_by_join(texts: DataFrame, real: DataFrame, text: str = "safe_text")
 
     Tokens of a text meet the anchors of surrogates; where one stands, the text is cut as the surrogates with that anchor
     are long, and the cuts with borders meet the view by equality. So a text meets no surrogate that it doesn't hold,
-    however many share an anchor. Equal texts are one.
+    however many share an anchor. Texts are written once, with numbers, and move twice: to their cuts and to what they hold. Anchors
+    go to the texts if there are SMALL or fewer, else the tokens to them. Only texts that hold surrogates pass through Python.
     """
     real = real.where("surrogate != ''")
     run = F.regexp_extract("surrogate", RUN, 0)
@@ -155,12 +163,15 @@ def restore_by_join(texts: DataFrame, real: DataFrame, text: str = "safe_text")
         F.when(run == "", 0).otherwise(F.length(F.regexp_extract("surrogate", "^[^A-Za-z0-9]*", 0))).alias("before"),
         F.length("surrogate").alias("size"),
     ).distinct()
-    keyed = texts.withColumn("_key", F.sha2(F.col(text), 256))
-    once = materialise(keyed.where("_key is not null").select("_key", F.col(text).alias("_text")).dropDuplicates(["_key"]), "texts")
-    tokens = once.select("_key", F.explode(F.array_distinct(F.regexp_extract_all("_text", F.lit(TOKEN.pattern), F.lit(0)))).alias("anchor"))
-    met = tokens.join(shapes, "anchor").groupBy("_key").agg(F.collect_list(F.struct("anchor", "before", "size")).alias("s"))
+    shapes = materialise(shapes, "shapes")
+    once = materialise(texts.withColumn("_number", F.monotonically_increasing_id()), "texts")
+    # Not explode(), for which Spark would infer a filter that takes each text apart once more.
+    tokens = once.select("_number", F.explode_outer(F.array_distinct(F.regexp_extract_all(text, F.lit(TOKEN.pattern), F.lit(0)))).alias("anchor"))
+    met = tokens.join(F.broadcast(shapes) if shapes.count() <= SMALL else shapes, "anchor").groupBy("_number").agg(F.collect_list(F.struct("anchor", "before", "size")).alias("s"))
     candidates = F.pandas_udf(_candidates, "array<string>")
-    cut = once.join(met, "_key").select("_key", F.explode(candidates("_text", "s.anchor", "s.before", "s.size")).alias("surrogate"))
-    hits = cut.join(real, "surrogate").groupBy("_key").agg(F.collect_list(F.struct("surrogate", "real")).alias("_by"))
+    cut = once.select("_number", F.col(text).alias("_text")).join(met, "_number").select("_number", F.explode_outer(candidates("_text", "s.anchor", "s.before", "s.size")).alias("surrogate"))
+    hits = cut.join(real, "surrogate").groupBy("_number").agg(F.collect_list(F.struct("surrogate", "real")).alias("_by"))
     put_back = F.pandas_udf(_put_back, "string")
-    return keyed.join(hits, "_key", "left").withColumn("restored", put_back(F.col(text), "_by.surrogate", "_by.real")).drop("_key", "_by")
+    held = once.join(hits, "_number", "left")
+    new = put_back(F.when(F.col("_by").isNotNull(), F.col(text)), "_by.surrogate", "_by.real")
+    return held.withColumn("_new", new).withColumn("restored", F.when(F.col("_by").isNull(), F.col(text)).otherwise(F.col("_new"))).drop("_number", "_by", "_new")
